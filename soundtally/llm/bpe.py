@@ -11,6 +11,7 @@ own installation.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NO_RANK = np.iinfo(np.int64).max
-#: Words a task remembers; then it forgets them all, which bounds its memory.
-REMEMBERED = 300_000
+#: Stretches of text a worker remembers; then it forgets them all, which bounds its memory.
+REMEMBERED = 500_000
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
 
@@ -48,6 +49,7 @@ class MergeTable:
         for token, i in self.special.items():
             self.tokens[i] = token
         self.base = len(self.tokens)
+        self.full = all(t is not None for t in self.tokens)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right = (np.array([vocab[p[k]] for p in pairs], dtype=np.int64) for k in (0, 1))
         made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
@@ -64,22 +66,26 @@ class MergeTable:
             raise ValueError("a merge uses a symbol that a later merge makes; rounds can't merge all of a word's equal pairs at once")
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace(r"\s", _SPACE))
         self.space = regex.compile(f"[{_SPACE}]+")
+        # str.split() also cuts at these, which aren't white space here
+        self.odd = re.compile("[\x1c-\x1f]")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def pieces(self, text: str) -> list[str]:
-        """Words and special tokens of a text, in order; a special token is its own string."""
+        """Words and special tokens of a stretch, in order; a special token is its own string."""
         out: list[str] = []
         for i, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if i % 2:
                 out.append(part)
             elif part:
                 # capital sigma lowers to the plain form wherever it stands
-                plain = self.space.sub(" ", unicodedata.normalize("NFC", part)).replace("Σ", "σ").lower()
+                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                 out += self.pattern.findall(plain)
         return out
 
     def merged(self, words: list[str]) -> list[np.ndarray]:
-        """Token ids of each word."""
+        """Token ids of each word; none is empty."""
+        if not words:
+            return []
         raw = [w.encode("utf-8") for w in words]
         length = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), np.uint8)
@@ -110,34 +116,42 @@ class MergeTable:
             symbols, word = symbols[stay], word[stay]
         owner, ids = (np.concatenate([d[k] for d in done]) if done else np.empty(0, np.int64) for k in (0, 1))
         order = np.argsort(owner, kind="stable")
-        return np.split(ids[order].astype(np.int32), np.cumsum(np.bincount(owner, minlength=len(raw)))[:-1])
+        flat_ids, stop = ids[order].astype(np.int32), np.cumsum(np.bincount(owner, minlength=len(raw))).tolist()
+        return [flat_ids[a:b] for a, b in zip([0, *stop], stop, strict=False)]
 
-    def encode(self, texts: list[str], known: dict[str, np.ndarray]) -> list[np.ndarray]:
-        """Token ids of each text. known: what this task has met, by word."""
+    def encode(self, texts: list[str], known: dict[str, bytes]) -> list[np.ndarray]:
+        """Token ids of each text. known: what this task has met, by the stretch between white space, as little int32 arrays' bytes."""
         if len(known) > REMEMBERED:
             known.clear()
-        split = [self.pieces(t) if t else [] for t in texts]
-        fresh = list({w for words in split for w in words if w not in known and w not in self.special})
+        split = [self.stretches(t) if t else [] for t in texts]
+        fresh = {w for parts in split for w in parts if w not in known}
         if fresh:
-            known.update(zip(fresh, self.merged(fresh), strict=True))
-        known.update({t: np.array([i], np.int32) for t, i in self.special.items()})
-        empty = np.empty(0, np.int32)
-        return [np.concatenate([known[w] for w in words]) if words else empty for words in split]
+            pieces = {w: self.pieces(w) for w in fresh}
+            words = list({p for parts in pieces.values() for p in parts if p not in self.special})
+            ids = {w: i.tobytes() for w, i in zip(words, self.merged(words), strict=True)}
+            ids |= {t: np.int32(i).tobytes() for t, i in self.special.items()}
+            known.update({w: b"".join([ids[p] for p in parts]) for w, parts in pieces.items()})
+        return [np.frombuffer(b"".join([known[w] for w in parts]), np.int32) for parts in split]
+
+    def stretches(self, text: str) -> list[str]:
+        """What stands between white space; no word or special token spans any."""
+        return self.space.split(text) if self.odd.search(text) else text.split()
 
     def decode(self, ids: np.ndarray) -> str:
         """Tokens joined by one space, as this vocabulary has no decoder; an unknown id is left out."""
         ids = np.asarray(ids, dtype=np.int64)
         ids = ids[(ids >= 0) & (ids < self.base)]
-        return " ".join(t for t in self.tokens[ids] if t is not None)
+        found = self.tokens[ids].tolist()
+        return " ".join(found if self.full else [t for t in found if t is not None])
 
 
-_loaded: dict[str, MergeTable] = {}
+_loaded: dict[str, tuple[MergeTable, dict[str, bytes]]] = {}
 
 
-def loaded(path: str) -> MergeTable:
-    """One table a worker process."""
+def loaded(path: str) -> tuple[MergeTable, dict[str, bytes]]:
+    """One table a worker process, and what it has met."""
     if path not in _loaded:
-        _loaded[path] = MergeTable(path)
+        _loaded[path] = MergeTable(path), {}
     return _loaded[path]
 
 
@@ -145,7 +159,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "token_id
     """docs with the token ids of every whole text. A null or empty text has an empty array; other columns stay."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table, known = loaded(path), {}
+        table, known = loaded(path)
         for texts in batches:
             out: list[np.ndarray] = []
             for i in range(0, len(texts), 500):
@@ -160,7 +174,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", into: str = "decode
     """df with the text of every id array; a null array gives an empty text."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = loaded(path)
+        table, _ = loaded(path)
         for arrays in batches:
             yield pd.Series(["" if a is None else table.decode(a) for a in arrays])
 
