@@ -13,17 +13,18 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_arrow
+
 NO_RANK = np.iinfo(np.int64).max
 #: Stretches of text a worker remembers; then it forgets them all, which bounds its memory.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
 
@@ -155,36 +156,31 @@ def loaded(path: str) -> tuple[MergeTable, dict[str, bytes]]:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", into: str = "token_ids") -> DataFrame:
-    """docs with the token ids of every whole text. A null or empty text has an empty array; other columns stay."""
+def _ids(path: str, texts: pa.Array) -> tuple[list[np.ndarray], pa.Array]:
+    table, known = loaded(path)
+    ids = table.encode(texts.to_pylist(), known)
+    stop = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return ids, pa.ListArray.from_arrays(pa.array(stop), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table, known = loaded(path)
-        for texts in batches:
-            out: list[np.ndarray] = []
-            for i in range(0, len(texts), 500):
-                out += table.encode(texts.iloc[i : i + 500].tolist(), known)
-            yield pd.Series(out)
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(into, F.pandas_udf(run, "array<int>")(F.col(text)))
+def encode(docs: DataFrame, path: str, text: str = "text", into: str = "token_ids") -> DataFrame:
+    """docs with the token ids of every whole text. A null or empty text has an empty array; other columns stay."""
+    return with_arrow(docs, f"`{into}` array<int>", lambda batch: [_ids(path, batch.column(text))[1]])
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", into: str = "decoded") -> DataFrame:
     """df with the text of every id array; a null array gives an empty text."""
+    return with_arrow(df, f"`{into}` string", lambda batch: [pa.array(["" if a is None else loaded(path)[0].decode(a) for a in batch.column(ids).to_pylist()], pa.string())])
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table, _ = loaded(path)
-        for arrays in batches:
-            yield pd.Series(["" if a is None else table.decode(a) for a in arrays])
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(into, F.pandas_udf(run, "string")(F.col(ids)))
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """docs with token_ids and, decoded from these, decoded; encode() and decode() in one pass over the rows."""
 
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        ids, column = _ids(path, batch.column(text))
+        return [column, pa.array([loaded(path)[0].decode(i) for i in ids], pa.string())]
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """docs with token_ids and decoded."""
-    return decode(encode(docs, path), path)
+    return with_arrow(docs, "token_ids array<int>, decoded string", make)
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,21 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("v", "c")
         if new.where("c <> old").isEmpty():
             return labels
+
+
+def with_arrow(df: DataFrame, fields: str, make: Callable[[pa.RecordBatch], list[pa.Array]], rows: int = 400) -> DataFrame:
+    """df and the columns that make() gives for a batch; columns of those names are replaced. Batches are cut to ``rows`` rows, which bounds a worker's memory."""
+    new = df.sparkSession.createDataFrame([], fields).schema
+    own = [c for c in df.columns if c.lower() not in {n.lower() for n in new.names}]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                kept = [part.column(i) for i, c in enumerate(part.schema.names) if c in own]
+                yield pa.RecordBatch.from_arrays([*kept, *make(part)], names=[*own, *new.names])
+
+    schema = df.select(*own).schema
+    for field in new:
+        schema = schema.add(field)
+    return df.mapInArrow(run, schema)
