@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, quality
+from . import ann, bpe, licences, lines, minhash, mixing, near_vectors, quality, shards, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,40 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.balanced_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dropped_lines(table(spark, sf_dir, "documents"))
+
+
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), entropy=0.95)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_minhash_near_dedup, op5_bpe_round_trip, op7_quality_classifier)}
+    ops = (op1_balanced_shards, op2_license_scan, op3_token_counts, op4_minhash_near_dedup, op5_bpe_round_trip)
+    ops += (op6_nearest_neighbours, op7_quality_classifier, op8_embedding_near_dedup, op9_line_dedup, op10_mixture)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": licences.oracle(), "op9_line_dedup": lines.ORACLE}
