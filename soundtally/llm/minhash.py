@@ -8,9 +8,11 @@ collision-corrected estimate drops hopeless ones, and every remaining pair is
 confirmed on the full shingle sets.
 
 Equal sets are collapsed first. Inside a band group every member is compared with
-the group's smallest id; only members that are still in different components
-afterwards are compared with each other. So a group of near copies costs one
-comparison a member, and no link between components is lost.
+the group's smallest id. While many members of groups are in different components,
+further rounds compare each group with another member of it; in the end all members
+of a group that are still in different components are compared with each other. So
+a group of near copies costs a few comparisons a member, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ REGISTERS, ROWS = 256, 8
 TAIL, MANTISSA = 56, 10
 #: A pair whose estimate is this much below the threshold isn't confirmed: seven standard deviations of 256 registers at 0.85.
 SLACK = 0.16
+#: Rounds in which every band group is compared with another of its members, before what is still apart is compared in full.
+TURNS = 10
 _ORDER = np.argsort(np.random.default_rng(20).random((REGISTERS, REGISTERS)), axis=1)
 _BOUNDS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(TAIL)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -151,31 +155,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     groups = bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
     hits = cut(bands.join(groups.select("key", "first"), "key"))
 
+    need = hits.select(F.col("id").alias("doc_id")).distinct()
+    sets = stored(docs.join(need, "doc_id", "left_semi").mapInPandas(_sets(width), "id long, shingles array<long>"))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Those of pairs (a, b) that are linked, by estimate and then by full sets."""
         side = lambda s: sketches.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}"))
         # no set can be linked with one that is too large for it
         sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        likely = cut(sized.where(pack("r_a", "r_b", "n_a", "n_b") >= percent / 100 - SLACK).select("a", "b"))
-        if likely.isEmpty():
-            return likely
-        need = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = docs.join(need, "doc_id", "left_semi").mapInPandas(_sets(width), "id long, shingles array<long>")
-        sets = stored(texts)
+        likely = sized.where(pack("r_a", "r_b", "n_a", "n_b") >= percent / 100 - SLACK).select("a", "b")
         left = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
-        return common.where(f"100 * i >= {percent} * (t - i)").select("a", "b").distinct()
+        return cut(common.where(f"100 * i >= {percent} * (t - i)").select("a", "b").distinct())
+
+    def labelled(label: DataFrame) -> DataFrame:
+        return hits.select("key", "id").join(label.select(F.col("v").alias("id"), "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
 
-    stars = cut(hits.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    links = cut(confirmed(stars))
+    tested = cut(hits.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    links = confirmed(tested)
     label = components(links)
-    named = hits.join(label.select(F.col("v").alias("id"), "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
+    rows, before = hits.count(), None
+    for turn in range(TURNS):
+        # how many pairs of a band group's members are still in different components
+        sizes = labelled(label).groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("parts"))
+        apart = sizes.where("parts > 1").agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+        if apart <= rows / 4 or before is not None and apart > 0.9 * before:
+            break
+        before = apart
+        mine = cut(labelled(label))
+        star = mine.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("p"), F.col("c").alias("pc"))).alias("s"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "s.p", "s.pc")
+        turned = mine.join(star, "key").where("c <> pc").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+        fresh = cut(turned.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(fresh)
+        links = cut(links.unionByName(confirmed(fresh)))
+        label = components(links)
+    named = labelled(label)
     mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     open_rows = cut(named.join(mixed, "key", "left_semi"))
     x, y = open_rows.alias("x"), open_rows.alias("y")
-    rest = x.join(y, F.expr("x.key = y.key and x.id < y.id and x.c <> y.c")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(confirmed(cut(rest)))
+    rest = x.join(y, F.expr("x.key = y.key and x.id < y.id and x.c <> y.c")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    more = confirmed(cut(rest))
     if not more.isEmpty():
         label = components(links.unionByName(more))
     final = head_of.join(label.select(F.col("v").alias("id"), "c"), "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("c", "id")).alias("c"))

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that the classifier is fitted on at most, half of each label; chosen by hash of the id.
-SAMPLE = 5_000
+SAMPLE = 4_000
 #: Hashed features: SHAPES for character classes, WORDS for words.
-SHAPES, WORDS = 1536, 512
+SHAPES, WORDS = 768, 256
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 64, 25, 6
 _CLASS = np.arange(256, dtype=np.uint8)
 for _first, _last, _to in ((0x61, 0x7A, 0x61), (0x41, 0x5A, 0x41), (0x30, 0x39, 0x30), (0x80, 0xFF, 0x61), (0x09, 0x0D, 0x0A), (0x20, 0x20, 0x20)):
@@ -80,8 +80,10 @@ class Model:
         self.known = self.latent(x)
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x = np.log1p(counts)
+        x *= self.idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        return x
 
     def latent(self, x: np.ndarray) -> np.ndarray:
         v = x @ self.axes
@@ -101,15 +103,15 @@ class Model:
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "counts": [features(t).astype(np.float32) for t in pdf["text"]]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "counts": [features(t).tobytes() for t in pdf["text"]]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     """Fits on the bounded sample; only hashed counts of its texts come to the driver, at most size vectors."""
     sample = F.broadcast(labelled_sample(labels, size))
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").mapInPandas(_features, "doc_id long, quality int, counts array<float>")
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").mapInPandas(_features, "doc_id long, quality int, counts binary")
     rows = got.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    counts = np.stack(rows["counts"].to_list()).astype(np.float32) if len(rows) else np.zeros((0, SHAPES + WORDS), np.float32)
+    counts = np.stack([np.frombuffer(c, np.float32) for c in rows["counts"]]) if len(rows) else np.zeros((0, SHAPES + WORDS), np.float32)
     return Model(counts, rows["quality"].to_numpy())
 
 
