@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +88,36 @@ def with_arrow(df: DataFrame, fields: str, make: Callable[[pa.RecordBatch], list
     for field in new:
         schema = schema.add(field)
     return df.mapInArrow(run, schema)
+
+
+def runs(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Sorted rows with the places of their whole runs of equal ``by``; a run may span batches."""
+    rest = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        key = pdf[by].to_numpy()
+        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]).tolist()
+        if len(start) > 1:
+            yield pdf, list(zip(start[:-1], start[1:], strict=True))
+        rest = pdf.iloc[start[-1] :]
+    if rest is not None:
+        yield rest, [(0, len(rest))]
+
+
+def tree(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Edges that join the same vectors as the pairs (a, b) do, at most one a vector: each is joined with its component's smallest id."""
+    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    low = np.arange(len(names))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, x, low[y])
+        np.minimum.at(new, y, low[x])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    other = low != np.arange(len(names))
+    return pd.DataFrame({"id": names[other], "n": 0, "to": names[low[other]]})

@@ -8,11 +8,10 @@ collision-corrected estimate drops hopeless ones, and every remaining pair is
 confirmed on the full shingle sets.
 
 Equal sets are collapsed first. Inside a band group every member is compared with
-the group's smallest id. While many members of groups are in different components,
-further rounds compare each group with another member of it; in the end all members
-of a group that are still in different components are compared with each other. So
-a group of near copies costs a few comparisons a member, and no link between
-components is lost.
+the group's smallest id. Members that are in different components afterwards are
+compared with each other inside tasks, in blocks of bounded size, and only edges
+that join components come out; no list of a group's pairs is ever made, and no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -25,15 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, spread, stored
+from .common import components, cut, partitions, runs, stored
 
 REGISTERS, ROWS = 256, 8
 #: Bits of a hash below its bucket number, and mantissa bits kept of it.
 TAIL, MANTISSA = 56, 10
 #: A pair whose estimate is this much below the threshold isn't confirmed: seven standard deviations of 256 registers at 0.85.
 SLACK = 0.16
-#: Rounds in which every band group is compared with another of its members, before what is still apart is compared in full.
-TURNS = 10
+#: Members of a band group that are compared at once; a larger group is compared block by block.
+BLOCK = 512
 _ORDER = np.argsort(np.random.default_rng(20).random((REGISTERS, REGISTERS)), axis=1)
 _BOUNDS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(TAIL)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -123,6 +122,53 @@ def _sets(width: int):
     return run
 
 
+def _blocks(percent: int):
+    """Compares the members of band groups, block by block, that are in different components; gives edges that join what is linked."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, spans in runs(batches, ["key", "x", "y"]):
+            ids, c, n, left, right, side, key = (pdf[k].to_numpy() for k in ("id", "c", "n_shingles", "x", "y", "side", "key"))
+            sets = pdf["shingles"].to_numpy()
+            for start, stop in spans:
+                own = np.arange(start, stop)
+                same = left[start] == right[start]
+                other = own if same else own[side[own] != left[start]]
+                own = own if same else own[side[own] == left[start]]
+                if not len(own) or not len(other):
+                    continue
+                ra, rb = (np.frombuffer(b"".join(pdf["registers"].iloc[i]), np.uint16).reshape(len(i), -1) for i in (own, other))
+                ba, bb = (np.stack([band_keys(r) for r in x]) for x in (ra, rb))
+                band = int((ba[0] == key[start]).argmax())
+                low = {v: v for v in np.unique(c[start:stop]).tolist()}
+                found: list[tuple[int, int]] = []
+
+                def head(v: int, low: dict[int, int] = low) -> int:
+                    while low[v] != v:
+                        v = low[v]
+                    return v
+
+                for i, at in enumerate(own):
+                    sized = 100 * np.minimum(n[at], n[other]) >= percent * np.maximum(n[at], n[other])
+                    try_ = np.flatnonzero(sized & (c[other] != c[at]) & (ids[other] > ids[at] if same else True))
+                    if not len(try_):
+                        continue
+                    # a pair that shares an earlier band is met there
+                    try_ = try_[~(bb[try_, :band] == ba[i, :band]).any(axis=1)]
+                    chance = collision_share(n[at], n[other[try_]])
+                    likely = ((rb[try_] == ra[i]).mean(axis=1) - chance) / (1 - chance) >= percent / 100 - SLACK
+                    for j in other[try_[likely]]:
+                        p, q = head(int(c[at])), head(int(c[j]))
+                        if p != q:
+                            both = len(np.intersect1d(sets[at], sets[j], assume_unique=True))
+                            if 100 * both >= percent * (n[at] + n[j] - both):
+                                low[max(p, q)] = min(p, q)
+                                found.append((int(ids[at]), int(ids[j])))
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
 def _estimate(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype="float64")
@@ -169,33 +215,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
         return cut(common.where(f"100 * i >= {percent} * (t - i)").select("a", "b").distinct())
 
-    def labelled(label: DataFrame) -> DataFrame:
-        return hits.select("key", "id").join(label.select(F.col("v").alias("id"), "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-
-    tested = cut(hits.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    links = confirmed(tested)
+    links = confirmed(hits.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
     label = components(links)
-    rows, before = hits.count(), None
-    for turn in range(TURNS):
-        # how many pairs of a band group's members are still in different components
-        sizes = labelled(label).groupBy("key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("parts"))
-        apart = sizes.where("parts > 1").agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-        if apart <= rows / 4 or before is not None and apart > 0.9 * before:
-            break
-        before = apart
-        mine = cut(labelled(label))
-        star = mine.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("p"), F.col("c").alias("pc"))).alias("s"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "s.p", "s.pc")
-        turned = mine.join(star, "key").where("c <> pc").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-        fresh = cut(turned.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(fresh)
-        links = cut(links.unionByName(confirmed(fresh)))
-        label = components(links)
-    named = labelled(label)
-    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    open_rows = cut(named.join(mixed, "key", "left_semi"))
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    rest = x.join(y, F.expr("x.key = y.key and x.id < y.id and x.c <> y.c")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = confirmed(cut(rest))
+    named = hits.select("key", "id").join(label.select(F.col("v").alias("id"), "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
+    open_keys = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("low <> high").select("key", "blocks")
+    open_rows = cut(named.join(open_keys, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("side")).alias("x"), F.greatest(i, F.col("side")).alias("y")))
+    full = open_rows.join(sketches, "id").join(sets, "id").select("key", F.explode(meet).alias("m"), "side", "id", "c", "n_shingles", "registers", "shingles").select("key", "m.x", "m.y", "side", "id", "c", "n_shingles", "registers", "shingles")
+    more = cut(full.repartition(partitions(full), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(_blocks(percent), "a long, b long"))
     if not more.isEmpty():
         label = components(links.unionByName(more))
     final = head_of.join(label.select(F.col("v").alias("id"), "c"), "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("c", "id")).alias("c"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import usable
-from .common import components, cut, partitions
+from .common import components, cut, partitions, runs, tree
 
 LINES, WINDOW, MISSED = 64, 1.6, 1e-6
 #: Vectors that a cell holds on average, and at most in one block; larger cells are searched block by block.
@@ -135,11 +135,11 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.9) -> DataFrame:
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Cells come whole and in order, with their blocks' pairs; what is found are link counts and a few joining edges."""
-        for pdf, runs in _runs(batches):
+        for pdf, spans in runs(batches, ["t", "cell", "x", "y"]):
             x = unit(pdf["embedding"])
             p = x.astype(np.float32) @ lines.value.axes
             ids, copies, t, left, right, side = (pdf[c].to_numpy() for c in ("id", "copies", "t", "x", "y", "side"))
-            for start, stop in runs:
+            for start, stop in spans:
                 own = np.arange(start, stop)
                 same = left[start] == right[start]
                 other = own if same else own[side[start:stop] != left[start]]
@@ -152,7 +152,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.9) -> DataFrame:
                 a, b = own[a], other[b]
                 links = pd.DataFrame({"id": np.concatenate([ids[a], ids[b]]), "n": np.concatenate([copies[b], copies[a]])}).groupby("id", as_index=False)["n"].sum()
                 yield links.assign(to=links["id"])
-                yield _tree(ids[a], ids[b])
+                yield tree(ids[a], ids[b])
 
     # blocks of large cells; a cell of one block meets itself alone
     keys = heads.repartition(partitions(heads)).mapInPandas(dealt, "t int, cell long, id long")
@@ -169,36 +169,3 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.9) -> DataFrame:
     named = good.join(totals, "embedding").select("vec_id", "n_links", "component_id")
     result = rows.select("vec_id").join(named, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-
-
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
-    """Sorted rows with the places of their whole runs of equal (t, cell, x, y); a run may span batches, and is as large as two blocks at most."""
-    rest = None
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        key = pdf[["t", "cell", "x", "y"]].to_numpy()
-        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]).tolist()
-        if len(start) > 1:
-            yield pdf, list(zip(start[:-1], start[1:], strict=True))
-        rest = pdf.iloc[start[-1] :]
-    if rest is not None:
-        yield rest, [(0, len(rest))]
-
-
-def _tree(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    """Edges that join the same vectors as the pairs (a, b) do, at most one a vector: each is joined with its component's smallest id."""
-    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    low = np.arange(len(names))
-    while True:
-        new = low.copy()
-        np.minimum.at(new, x, low[y])
-        np.minimum.at(new, y, low[x])
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    other = low != np.arange(len(names))
-    return pd.DataFrame({"id": names[other], "n": 0, "to": names[low[other]]})
