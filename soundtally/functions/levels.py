@@ -65,3 +65,8 @@ def duration_text(ms: Column) -> Column:
 
 def day(ms: Column) -> Column:
     return F.floor(ms / DAY_MS).cast("long")
+
+
+def shifted(ms: Column, offset_ms: Column) -> Column:
+    """Time moved by an offset of at most an hour either way."""
+    return ms + F.greatest(F.lit(-HOUR_MS), F.least(F.lit(HOUR_MS), offset_ms))

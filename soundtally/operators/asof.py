@@ -36,3 +36,37 @@ def in_intervals(rows: DataFrame, spans: DataFrame, by: str, start: str = "start
     days = spans.withColumn("__d", F.explode(F.sequence(day(F.col(start)), day(F.col(end)))))
     inside: Column = (F.col("ms") >= F.col(start)) & ((F.col("ms") < F.col(end)) if half_open else (F.col("ms") <= F.col(end)))
     return rows.withColumn("__d", day(F.col("ms"))).join(days, [by, "__d"]).where(inside).drop("__d")
+
+
+def first_at(points: DataFrame, rows: DataFrame, by: str, values: list[str], strict: bool = False, order: str = "ms") -> DataFrame:
+    """points with the values of the first of rows at or after each point: ``last_at`` with time reversed. Of rows at one time the one with the smallest order counts."""
+    back = rows.withColumn("__w", -F.col(order)).withColumn("ms", -F.col("ms"))
+    got = last_at(points.withColumn("ms", -F.col("ms")), back, by, values, strict, "__w")
+    return got.withColumn("ms", -F.col("ms")).withColumn("at_ms", -F.col("at_ms"))
+
+
+def nearest_at(points: DataFrame, rows: DataFrame, by: str, value: str) -> DataFrame:
+    """points with the value and time (at_ms) of the nearest of rows; of two at one distance the earlier counts, at one time the smaller value."""
+    before = last_at(points, rows.withColumn("__s", -F.col(value)), by, [value], order="__s")
+    before = before.withColumnsRenamed({value: "__v0", "at_ms": "__t0"})
+    both = first_at(before, rows, by, [value], order=value)
+    early = F.col("at_ms").isNull() | (F.col("ms") - F.col("__t0") <= F.col("at_ms") - F.col("ms"))
+    pick = lambda a, b: F.when(F.col("__t0").isNotNull() & early, F.col(a)).otherwise(F.col(b))
+    return both.select(*points.columns, pick("__t0", "at_ms").alias("at_ms"), pick("__v0", value).alias(value))
+
+
+def nearest_span(points: DataFrame, spans: DataFrame, by: str, value: str) -> DataFrame:
+    """points (by, start_ms, end_ms, ...) with the value of the nearest of spans (by, start_ms, end_ms, value) and the distance to it, 0 where they meet.
+
+    The spans of one ``by`` are disjoint. So only two come into question: the last
+    that ends before the point starts, and the first that ends later. Of two at one
+    distance the earlier counts. Without spans both columns are null.
+    """
+    ends = spans.select(by, F.col("end_ms").alias("ms"), F.struct("start_ms", F.col(value).alias("v")).alias("__s"))
+    asked = points.withColumn("ms", F.col("start_ms"))
+    prior = last_at(asked, ends, by, ["__s"], strict=True).withColumnsRenamed({"__s": "__s0", "at_ms": "__t0"})
+    both = first_at(prior, ends, by, ["__s"])
+    d0, d1 = F.col("start_ms") - F.col("__t0"), F.greatest(F.lit(0), F.col("__s.start_ms") - F.col("end_ms"))
+    d1 = F.when(F.col("__s").isNotNull(), d1)
+    early = F.col("__t0").isNotNull() & (d1.isNull() | (d0 <= d1))
+    return both.select(*points.columns, F.when(early, F.col("__s0.v")).otherwise(F.col("__s.v")).alias(value), F.when(early, d0).otherwise(d1).alias("distance_ms"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from soundtally.functions.levels import DAY_MS, HOUR_MS, l_n, laeq, lafmax
 from soundtally.operators.asof import in_intervals
+from soundtally.operators.timeline import ranked
 
 
 def merged(areas: DataFrame, by: list[str]) -> DataFrame:
@@ -45,3 +46,30 @@ def region_metrics(levels: DataFrame, areas: DataFrame) -> DataFrame:
     use = F.when(F.col("n_log") > 0, "log").when(F.col("n_overview") > 0, "overview").otherwise("none")
     pick = lambda c: F.when(F.col("n_log") > 0, F.col(f"{c}_log")).otherwise(F.col(f"{c}_over"))
     return r.select("region_id", "position", "duration_ms", use.alias("dataset"), pick("laeq").alias("laeq"), pick("lafmax").alias("lafmax"), F.when(F.col("n_log") > 0, F.col("l90")).alias("la90"))
+
+
+def merge_regions(areas: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Areas (region_id, position, start_ms, end_ms) after the merges of pairs (region_id, target_id): a region goes into a target of its own position, else stays."""
+    place = areas.select(F.col("region_id").alias("target_id"), F.col("position").alias("__there")).distinct()
+    moved = areas.join(pairs, "region_id", "left").join(place, "target_id", "left")
+    own = F.when(F.col("__there") == F.col("position"), F.col("target_id")).otherwise(F.col("region_id"))
+    return merged(moved.select(own.alias("region_id"), "position", "start_ms", "end_ms"), ["region_id", "position"])
+
+
+def split_regions(areas: DataFrame) -> DataFrame:
+    """Areas with part: 0 for a region's only area, else 1, 2, ... in order of time."""
+    w = Window.partitionBy("region_id")
+    n, k = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy("start_ms", "end_ms"))
+    return areas.withColumn("part", F.when(n > 1, k).otherwise(0))
+
+
+def with_ids(regions: DataFrame, order: str, given: str) -> DataFrame:
+    """regions with id: the first holder of a given id keeps it; the others are numbered on from the largest given id, in order.
+
+    All given ids count as taken from the start, whatever the order.
+    """
+    keep = regions.where(F.col(given).isNotNull()).groupBy(given).agg(F.min(order).alias(order)).select(order, F.lit(True).alias("__keep"))
+    r = regions.join(keep, order, "left")
+    most = regions.agg(F.coalesce(F.max(given), F.lit(0)).alias("__most"))
+    new = ranked(r.where("__keep is null"), order).join(F.broadcast(most)).withColumn("id", F.col("__most") + F.col("rank")).drop("rank", "__most")
+    return r.where("__keep").withColumn("id", F.col(given)).unionByName(new).drop("__keep")

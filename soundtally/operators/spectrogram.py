@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundtally.functions.levels import finite, laeq, quantised
+from soundtally.operators.asof import last_at
 
 
 def mean_spectrum(spectra: DataFrame, by: list[str]) -> DataFrame:
@@ -34,3 +35,49 @@ def pack(cells: DataFrame, by: str = "position") -> DataFrame:
     """One row a band: its levels in order of bins."""
     a = F.array_sort(F.collect_list(F.struct("bin", "level")))
     return cells.groupBy(by, "freq_hz").agg(F.transform(a, lambda x: x["level"]).alias("levels"))
+
+
+def level_range(spectra: DataFrame, by: str = "position") -> DataFrame:
+    """Least and largest finite level, 0 and 100 where there is none."""
+    x = finite(F.col("level"))
+    return spectra.groupBy(by).agg(F.coalesce(F.min(x), F.lit(0.0)).alias("lo"), F.coalesce(F.max(x), F.lit(100.0)).alias("hi"))
+
+
+def band_range(spectra: DataFrame, ranges: DataFrame, by: str = "position") -> DataFrame:
+    """Bands within each position's range of ranges (by, lo, hi); all bands where none is within."""
+    r = spectra.join(ranges, by)
+    inside = F.col("freq_hz").between(F.col("lo"), F.col("hi"))
+    hit = r.groupBy(by).agg(F.max(inside).alias("__hit"))
+    return r.join(hit, by).where(inside | ~F.col("__hit")).select(*spectra.columns)
+
+
+def spectrum_at(points: DataFrame, spectra: DataFrame, low: float, high: float, by: str = "position") -> DataFrame:
+    """points (by, ms, ...) with each band between low and high of the last spectrum at or before them; a missing level is 0."""
+    times = spectra.select(by, "ms").distinct()
+    at = last_at(points, times, by, []).where("at_ms is not null")
+    bands = spectra.where(F.col("freq_hz").between(low, high)).withColumnRenamed("ms", "at_ms")
+    return at.join(bands, [by, "at_ms"]).withColumn("level", F.coalesce(finite(F.col("level")), F.lit(0.0)))
+
+
+def align(spectra: DataFrame, by: str = "position") -> DataFrame:
+    """Every position's mean levels on the bands of the position with most of them (of equals, the first by name); null where it lacks one."""
+    mean = mean_spectrum(spectra, [by])
+    n = mean.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    base = n.agg(F.min_by(by, F.struct(-F.col("n"), by)).alias(by))
+    bands = mean.join(F.broadcast(base), by).agg(F.collect_set("freq_hz").alias("bands"))
+    grid = n.join(F.broadcast(bands)).select(by, F.explode("bands").alias("freq_hz"))
+    return grid.join(mean, [by, "freq_hz"], "left")
+
+
+def choose_resolution(requests: DataFrame, thresholds: DataFrame, limit_s: float, default_s: float, by: str = "position") -> DataFrame:
+    """requests (by, span_s, manual_s, ...) with dataset: log where the span is within the threshold, else overview.
+
+    The threshold is the manual one; else of thresholds (by, has_log, threshold_s)
+    the position's own, the smallest of all where it has none, the limit where it
+    has no log. It never exceeds the limit.
+    """
+    shared = thresholds.agg(F.coalesce(F.min(F.when(F.col("threshold_s") > 0, F.col("threshold_s"))), F.lit(float(default_s))).alias("__shared"))
+    own = F.when(~F.coalesce("has_log", F.lit(False)), F.lit(float(limit_s))).when(F.col("threshold_s") > 0, F.col("threshold_s")).otherwise(F.col("__shared"))
+    t = F.least(F.when(F.col("manual_s") > 0, F.col("manual_s")).otherwise(own), F.lit(float(limit_s)))
+    met = requests.join(thresholds, by, "left").join(F.broadcast(shared))
+    return met.select(*requests.columns, t.alias("used_s"), F.when(F.abs("span_s") <= t, "log").otherwise("overview").alias("dataset"))

@@ -5,21 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundtally.functions.levels import DAY_MS
+from soundtally.functions.levels import DAY_MS, day
 
 
 def deltas(rows: DataFrame, by: str = "position") -> DataFrame:
-    """rows with delta, the milliseconds since the row before."""
-    return rows.withColumn("delta", F.col("ms") - F.lag("ms").over(Window.partitionBy(by).orderBy("ms", "event_id")))
+    """rows with delta, the milliseconds since the row before.
+
+    Windows span one day of one ``by``; a day's first row takes the last time of
+    the day before it that has rows, from one row a day. So a long series isn't
+    one window partition. Rows without ``by`` meet within their day only.
+    """
+    d = rows.withColumn("__d", day(F.col("ms")))
+    last = d.groupBy(by, "__d").agg(F.max("ms").alias("__last"))
+    carry = last.select(by, "__d", F.lag("__last").over(Window.partitionBy(by).orderBy("__d")).alias("__before"))
+    here = Window.partitionBy(by, "__d").orderBy("ms", "event_id")
+    met = d.join(carry, [by, "__d"], "left").withColumn("delta", F.col("ms") - F.coalesce(F.lag("ms").over(here), F.col("__before")))
+    return met.select(*rows.columns, "delta")
+
+
+def interval_end(rows: DataFrame, step_ms: int, by: str = "position") -> DataFrame:
+    """rows with end_ms, the time of the next row; of the last one its own plus step_ms. Days as in ``deltas``."""
+    d = rows.withColumn("__d", day(F.col("ms")))
+    first = d.groupBy(by, "__d").agg(F.min("ms").alias("__first"))
+    carry = first.select(by, "__d", F.lead("__first").over(Window.partitionBy(by).orderBy("__d")).alias("__after"))
+    here = Window.partitionBy(by, "__d").orderBy("ms", "event_id")
+    met = d.join(carry, [by, "__d"], "left").withColumn("end_ms", F.coalesce(F.lead("ms").over(here), F.col("__after"), F.col("ms") + step_ms))
+    return met.select(*rows.columns, "end_ms")
 
 
 def segments(rows: DataFrame, by: str = "position", least_gap_ms: int = 300_000, times_median: float = 5.0) -> DataFrame:
-    """Runs without a gap of over max(least_gap_ms, times_median * median delta): by, segment, start_ms, end_ms, n."""
+    """Runs without a gap of over max(least_gap_ms, times_median * median delta): by, segment, start_ms, end_ms, n.
+
+    A day's segments go on from the number of gaps in the days before it.
+    """
     d = deltas(rows, by)
     typical = d.groupBy(by).agg(F.greatest(F.lit(float(least_gap_ms)), times_median * F.percentile("delta", 0.5)).alias("limit"))
-    w = Window.partitionBy(by).orderBy("ms", "event_id")
-    cut = d.join(typical, by).withColumn("segment", F.sum(F.coalesce((F.col("delta") > F.col("limit")).cast("int"), F.lit(0))).over(w).cast("long"))
-    return cut.groupBy(by, "segment").agg(F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count(F.lit(1)).alias("n"))
+    gap = F.coalesce((F.col("delta") > F.col("limit")).cast("long"), F.lit(0))
+    cut = d.join(typical, by).select(by, "ms", "event_id", day(F.col("ms")).alias("__d"), gap.alias("__gap"))
+    earlier = Window.partitionBy(by).orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+    upto = cut.groupBy(by, "__d").agg(F.sum("__gap").alias("__g")).select(by, "__d", F.coalesce(F.sum("__g").over(earlier), F.lit(0)).alias("__upto"))
+    here = Window.partitionBy(by, "__d").orderBy("ms", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = cut.join(upto, [by, "__d"]).withColumn("segment", F.col("__upto") + F.sum("__gap").over(here))
+    return numbered.groupBy(by, "segment").agg(F.min("ms").alias("start_ms"), F.max("ms").alias("end_ms"), F.count(F.lit(1)).alias("n"))
+
+
+def ranked(rows: DataFrame, order: str, width: int = 4096) -> DataFrame:
+    """rows with rank, from 1, by a whole-number order: counts of ranges of ``width`` orders are summed up, and rows ranked within their range."""
+    b = rows.withColumn("__b", F.floor(F.col(order) / width))
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    upto = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).select("__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__upto"))
+    return b.join(upto, "__b").withColumn("rank", F.col("__upto") + F.row_number().over(Window.partitionBy("__b").orderBy(order))).drop("__b", "__upto")
 
 
 def sample_period(rows: DataFrame, by: str = "position") -> DataFrame:
@@ -35,7 +70,8 @@ def sample_period(rows: DataFrame, by: str = "position") -> DataFrame:
 def time_step(rows: DataFrame, by: str = "position", first: int = 32) -> DataFrame:
     """Median of the positive steps among the first stamps."""
     w = Window.partitionBy(by).orderBy("ms")
-    d = rows.withColumn("i", F.row_number().over(w)).withColumn("delta", F.col("ms") - F.lag("ms").over(w)).where(F.col("i") <= first)
+    early = rows.withColumn("i", F.row_number().over(w)).where(F.col("i") <= first)
+    d = early.withColumn("delta", F.col("ms") - F.lag("ms").over(w))
     return d.where("delta > 0").groupBy(by).agg(F.percentile("delta", 0.5).alias("step_ms"))
 
 
@@ -49,5 +85,12 @@ def downsample_max(rows: DataFrame, values: list[str], target: int, by: str = "p
 
 
 def merge_sources(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+    """The first row of each key, found by partial aggregation, so that a key's many copies meet in no task."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in rows.columns])
+
+
+def head(rows: DataFrame, n: int, by: str = "position") -> DataFrame:
+    """The first n rows of each ``by``; Spark cuts each task's rows to n before the shuffle."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy("ms", "event_id"))).where(F.col("__n") <= n).drop("__n")

@@ -1,352 +1,17 @@
-"""Queries over the level tables, by name, and the SQL that checks them."""
+"""All registered queries by name, and the SQL that checks them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from soundtally.plans import base, levels, matching
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+#: Modules that register queries when imported.
+MODULES = (levels, matching)
 
-from soundtally.functions import levels as L
-from soundtally.operators import asof, regions, spectrogram, timeline
-from soundtally.sources import names
-from soundtally.streaming import streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-H = L.HOUR_MS
-
-#: Views that every SQL text may use; the same tables as the functions below.
-VIEWS = {
-    "log": "select event_type as position, epoch_us(ts) // 1000 as ms, event_id, 30 + least(value, 600) / 10.0 as laeq, 30 + least(value, 600) / 10.0 + 5 as lafmax from events",
-    "spectra": "select 'P' || label as position, vec_id * 1000 as ms, u.i as freq_hz, 50 + 10 * embedding[u.i]::double as level from embeddings, unnest(range(1, 65)) as u(i)",
-    "overview": f"select position, ms // {H} * {H} as ms, 10 * log10(avg(pow(10.0, laeq / 10))) as laeq, max(lafmax) as lafmax from log group by 1, 2",
-    "areas": f"select event_id as region_id, position, ms as start_ms, ms + {6 * H} as end_ms from log where event_id % 50 = 0",
-    "markers": "select event_id as marker_id, ms from log where position = 'error'",
-    "extent": "select position, min(ms) as lo, max(ms) as hi from log group by 1",
-}
-
-
-def log(spark: SparkSession, d: str) -> DataFrame:
-    """events as a level log: position, ms, event_id, laeq, lafmax."""
-    e = spark.read.parquet(f"{d}/events.parquet")
-    level = 30 + F.least(F.col("value"), F.lit(600)) / 10.0
-    return e.select(F.col("event_type").alias("position"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id", level.alias("laeq"), (level + 5).alias("lafmax"))
-
-
-def spectra(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.concat(F.lit("P"), F.col("label")).alias("position"), (F.col("vec_id") * 1000).alias("ms"), F.posexplode("embedding").alias("i", "x"))
-    return e.select("position", "ms", (F.col("i") + 1).cast("long").alias("freq_hz"), (50 + 10 * F.col("x").cast("double")).alias("level"))
-
-
-def overview(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("position", (F.floor(F.col("ms") / H) * H).alias("ms")).agg(L.laeq(F.col("laeq")).alias("laeq"), L.lafmax(F.col("lafmax")).alias("lafmax"))
-
-
-def areas(rows: DataFrame) -> DataFrame:
-    return rows.where("event_id % 50 = 0").select(F.col("event_id").alias("region_id"), "position", F.col("ms").alias("start_ms"), (F.col("ms") + 6 * H).alias("end_ms"))
-
-
-def extent(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("position").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
-
-
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def query(sql: str | None = None, *views: str):
-    """Registers a function; its doubles are rounded to six places, as the SQL's are by hand."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = lambda spark, d: rounded(f(spark, d))
-        if sql:
-            need = [v for v in VIEWS if v in views or v == "log" and views]
-            SQL[f.__name__] = ("with " + ", ".join(f"{v} as ({VIEWS[v]})" for v in need) + " " if need else "") + sql
-        return f
-
-    return add
-
-
-ENERGY = "round(10 * log10(avg(pow(10.0, {0} / 10))), 6)"
-
-
-@query(f"select position, {ENERGY.format('laeq')} as laeq, round(max(lafmax), 6) as lafmax, round(quantile_cont(laeq, 0.1), 6) as la90 from log group by 1", "log")
-def a_position_levels(spark, d):
-    return log(spark, d).groupBy("position").agg(L.laeq(F.col("laeq")).alias("laeq"), L.lafmax(F.col("lafmax")).alias("lafmax"), L.l_n(F.col("laeq"), 90).alias("la90"))
-
-
-@query(f"select position, freq_hz, {ENERGY.format('level')} as laeq from spectra group by 1, 2", "spectra")
-def a4_mean_spectrum(spark, d):
-    return spectrogram.mean_spectrum(spectra(spark, d), ["position"])
-
-
-A5 = """, m as (select a.region_id, l.profile, l.laeq, l.lafmax from areas a join
- (select position, 'log' as profile, ms, case when event_id % 3 = 0 then laeq end as laeq, lafmax from log where position <> 'view' union all select position, 'overview', ms, laeq, lafmax from overview) l
- on l.position = a.position and l.ms between a.start_ms and a.end_ms),
-g as (select region_id, count(laeq) filter (profile = 'log') as nl, count(laeq) filter (profile = 'overview') as no,
- 10 * log10(avg(pow(10.0, laeq / 10)) filter (profile = 'log')) as el, 10 * log10(avg(pow(10.0, laeq / 10)) filter (profile = 'overview')) as eo,
- max(lafmax) filter (profile = 'log') as ml, max(lafmax) filter (profile = 'overview') as mo, quantile_cont(laeq, 0.1) filter (profile = 'log') as q from m group by 1)
-select a.region_id, a.position, a.end_ms - a.start_ms as duration_ms, case when nl > 0 then 'log' when no > 0 then 'overview' else 'none' end as dataset,
- round(case when nl > 0 then el else eo end, 6) as laeq, round(case when nl > 0 then ml else mo end, 6) as lafmax, round(case when nl > 0 then q end, 6) as la90 from areas a left join g using (region_id)"""
-
-
-@query()
-def a5_region_metrics(spark, d):
-    rows = log(spark, d)
-    logs = rows.where("position <> 'view'").select("position", F.lit("log").alias("profile"), "ms", F.when(F.col("event_id") % 3 == 0, F.col("laeq")).alias("laeq"), "lafmax")
-    return regions.region_metrics(logs.unionByName(overview(rows).withColumn("profile", F.lit("overview"))), areas(rows))
-
-
-SQL["a5_region_metrics"] = "with " + ", ".join(f"{v} as ({VIEWS[v]})" for v in ("log", "overview", "areas")) + A5
-
-
-@query(f"select ms // {H} as slice, position, {ENERGY.format('laeq')} as laeq, round(max(lafmax), 6) as lafmax, round(quantile_cont(laeq, 0.1), 6) as la90, count(*) as n from log group by 1, 2", "log")
-def a6_compare_positions(spark, d):
-    return log(spark, d).groupBy(F.floor(F.col("ms") / H).alias("slice"), "position").agg(L.laeq(F.col("laeq")).alias("laeq"), L.lafmax(F.col("lafmax")).alias("lafmax"), L.l_n(F.col("laeq"), 90).alias("la90"), F.count(F.lit(1)).alias("n"))
-
-
-GRID = "(select distinct position, ms // 60000 * 60000 as ms from log)"
-
-
-@query(
-    f"""select position, round(m / 1000.0, 3) as period_s from (select position, delta as m, row_number() over (partition by position order by count(*) desc, delta) as r from
- (select position, ms - lag(ms) over w as delta, row_number() over w - 1 as i, count(*) over (partition by position) as n from {GRID} window w as (partition by position order by ms))
- where case when n = 2 then i = 1 when n - 2 > 20 then i > 5 and i <= n - 7 else i >= 1 and i <= n - 2 end group by 1, 2) where r = 1""",
-    "log",
-)
-def a7_sample_period(spark, d):
-    grid = log(spark, d).select("position", (F.floor(F.col("ms") / 60000) * 60000).alias("ms")).distinct()
-    return timeline.sample_period(grid)
-
-
-@query("select position, round(quantile_cont(delta, 0.5), 6) as step_ms from (select position, ms - lag(ms) over w as delta, row_number() over w as i from log window w as (partition by position order by ms)) where i <= 32 and delta > 0 group by 1", "log")
-def a8_time_step(spark, d):
-    return timeline.time_step(log(spark, d))
-
-
-@query("select position, min(ms) as lo, max(ms) as hi, count(*) as n from (select position, ms from log union all select position, ms from overview) group by 1", "log", "overview")
-def a10_timestamp_stats(spark, d):
-    rows = log(spark, d)
-    both = rows.select("position", "ms").unionByName(overview(rows).select("position", "ms"))
-    return both.groupBy("position").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"), F.count(F.lit(1)).alias("n"))
-
-
-@query(
-    """select l.position, (lo // 86400000 * 86400000 + ((ms - lo // 86400000 * 86400000) // step) * step)::bigint as ms, round(max(laeq), 6) as laeq, round(max(lafmax), 6) as lafmax
- from log l join (select *, greatest(1, ceil((hi - lo) / 500.0))::bigint as step from extent) e using (position) group by 1, 2""",
-    "log", "extent",
-)
-def a11_downsample_max(spark, d):
-    return timeline.downsample_max(log(spark, d), ["laeq", "lafmax"], 500)
-
-
-@query("select position, ms, event_id, round(laeq, 6) as laeq from (select *, row_number() over (partition by position, ms order by src, event_id) as r from (select position, ms // 1000 * 1000 as ms, event_id, laeq, 0 as src from log where event_id % 3 <> 0 union all select position, ms // 1000 * 1000, event_id, laeq, 1 from log)) where r = 1", "log")
-def a18_merge_sources(spark, d):
-    one = log(spark, d).withColumn("ms", F.floor(F.col("ms") / 1000) * 1000)
-    both = one.where("event_id % 3 <> 0").withColumn("src", F.lit(0)).unionByName(one.withColumn("src", F.lit(1)))
-    return timeline.merge_sources(both, ["position", "ms"], ["src", "event_id"]).select("position", "ms", "event_id", "laeq")
-
-
-@query("select event_id, position, ms - lag(ms) over (partition by position order by ms, event_id) as delta from log", "log")
-def w1_time_delta(spark, d):
-    return timeline.deltas(log(spark, d)).select("event_id", "position", "delta")
-
-
-@query(
-    """, d as (select *, ms - lag(ms) over (partition by position order by ms, event_id) as delta from log), g as (select position, greatest(300000, 5 * quantile_cont(delta, 0.5)) as lim from d group by 1),
- s as (select d.*, sum(coalesce((delta > lim)::int, 0)) over (partition by position order by ms, event_id)::bigint as segment from d join g using (position))
- select position, segment, min(ms) as start_ms, max(ms) as end_ms, count(*) as n from s group by 1, 2""",
-    "log",
-)
-def w2_segments(spark, d):
-    return timeline.segments(log(spark, d))
-
-
-@query("select event_id, coalesce(lead(ms) over (partition by position order by ms, event_id), ms + 1000) as end_ms from log", "log")
-def w4_interval_end(spark, d):
-    w = Window.partitionBy("position").orderBy("ms", "event_id")
-    return log(spark, d).select("event_id", F.coalesce(F.lead("ms").over(w), F.col("ms") + 1000).alias("end_ms"))
-
-
-@query("select event_id, position, round(laeq, 6) as laeq from log where ms between (select min(ms) from log) + 3600000 and (select min(ms) from log) + 90000000", "log")
-def f1_slice_time(spark, d):
-    rows = log(spark, d)
-    lo = rows.agg(F.min("ms").alias("lo"))
-    return rows.join(F.broadcast(lo)).where((F.col("ms") >= F.col("lo") + 3600000) & (F.col("ms") <= F.col("lo") + 90000000)).select("event_id", "position", "laeq")
-
-
-@query("select position, count(*) as n from log where laeq is not null and isfinite(laeq) and laeq < 89 group by 1", "log")
-def f3_finite_only(spark, d):
-    return log(spark, d).where(L.finite(F.col("laeq")).isNotNull() & (F.col("laeq") < 89)).groupBy("position").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("select a.region_id, count(*) as n, round(max(l.laeq), 6) as most from areas a join log l on l.position = a.position and l.ms between a.start_ms and a.end_ms group by 1", "log", "areas")
-def j2_region_join(spark, d):
-    rows = log(spark, d)
-    met = asof.in_intervals(rows.select("position", "ms", "laeq"), areas(rows), "position")
-    return met.groupBy("region_id").agg(F.count(F.lit(1)).alias("n"), F.max("laeq").alias("most"))
-
-
-@query(
-    """, p as (select marker_id, position, m.ms from markers m cross join (select distinct position from log))
- select p.marker_id, p.position, l.ms as at_ms, round(l.laeq, 6) as laeq from p left join lateral (select * from log l where l.position = p.position and l.ms <= p.ms order by l.ms desc, l.event_id desc limit 1) l on true""",
-    "log", "markers",
-)
-def j1_asof_markers(spark, d):
-    rows = log(spark, d)
-    marks = rows.where("position = 'error'").select(F.col("event_id").alias("marker_id"), "ms")
-    # one row a position
-    points = marks.join(F.broadcast(rows.select("position").distinct()))
-    return asof.last_at(points.select("position", "ms", "marker_id"), rows, "position", ["laeq"], order="event_id").select("marker_id", "position", "at_ms", "laeq")
-
-
-@query(
-    """, r as (select event_id as recording, ms as start_ms, ms + (laeq * 1000)::bigint as end_ms from log where position = 'purchase'),
- t as (select event_id, ms from log where position = 'view')
- select t.event_id, case when r.end_ms > t.ms then r.recording when t.ms < (select min(start_ms) from r) then (select min_by(recording, (start_ms, recording)) from r) end as recording,
- case when r.end_ms > t.ms then t.ms - r.start_ms when t.ms < (select min(start_ms) from r) then 0 end as offset_ms
- from t left join lateral (select * from r where r.start_ms <= t.ms order by start_ms desc, recording desc limit 1) r on true""",
-    "log",
-)
-def j5_recording_at(spark, d):
-    rows = log(spark, d).withColumn("site", F.lit("all"))
-    rec = rows.where("position = 'purchase'").select("site", F.col("event_id").alias("recording"), "ms", (F.col("ms") + F.round(F.col("laeq") * 1000).cast("long")).alias("end_ms"))
-    points = rows.where("position = 'view'").select("site", "ms", "event_id")
-    got = asof.last_at(points, rec, "site", ["recording", "end_ms"], order="recording")
-    first = rec.agg(F.min("ms").alias("first_ms"), F.min_by("recording", F.struct("ms", "recording")).alias("first"))
-    inside, before = F.col("end_ms") > F.col("ms"), F.col("ms") < F.col("first_ms")
-    return got.join(F.broadcast(first)).select("event_id", F.when(inside, F.col("recording")).when(before, F.col("first")).alias("recording"), F.when(inside, F.col("ms") - F.col("at_ms")).when(before, F.lit(0)).alias("offset_ms"))
-
-
-@query("select l.event_id, max_by(a.region_id, a.region_id) as region_id from log l join areas a on l.position = a.position and l.ms between a.start_ms and a.end_ms group by 1", "log", "areas")
-def j8_region_at(spark, d):
-    rows = log(spark, d)
-    return asof.in_intervals(rows.select("position", "ms", "event_id"), areas(rows), "position").groupBy("event_id").agg(F.max("region_id").alias("region_id"))
-
-
-@query("select a.region_id, p.position from areas a join (select distinct position from log) p on p.position <> a.position", "log", "areas")
-def j10_copy_regions(spark, d):
-    rows = log(spark, d)
-    places = rows.select(F.col("position").alias("other")).distinct()
-    return areas(rows).join(F.broadcast(places), F.col("other") != F.col("position")).select("region_id", F.col("other").alias("position"))
-
-
-@query("select coalesce(a.k, b.k) as k, a.n as left_n, b.n as right_n from (select ms // 60000 as k, count(*) as n from log where position = 'click' group by 1) a full join (select ms // 60000 as k, count(*) as n from log where position = 'error' group by 1) b on a.k = b.k", "log")
-def j7_align_reports(spark, d):
-    rows = log(spark, d).withColumn("k", F.floor(F.col("ms") / 60000))
-    side = lambda p, n: rows.where(F.col("position") == p).groupBy("k").agg(F.count(F.lit(1)).alias(n))
-    return side("click", "left_n").join(side("error", "right_n"), "k", "full")
-
-
-MERGED = """, o as (select *, case when start_ms <= max(end_ms) over (partition by position order by start_ms, end_ms rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from areas),
- i as (select *, sum(fresh) over (partition by position order by start_ms, end_ms rows unbounded preceding) as isl from o)"""
-
-
-@query(MERGED + " select position, min(start_ms) as start_ms, max(end_ms) as end_ms from i group by position, isl", "log", "areas")
-def u2_merge_intervals(spark, d):
-    return regions.merged(areas(log(spark, d)), ["position"])
-
-
-@query(MERGED + ", u as (select position, min(start_ms) as s, max(end_ms) as e from i group by position, isl) select position, sum(e - s)::bigint as duration_ms, count(*) as n from u group by 1", "log", "areas")
-def a19_total_duration(spark, d):
-    return regions.merged(areas(log(spark, d)), ["position"]).groupBy("position").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("duration_ms"), F.count(F.lit(1)).alias("n"))
-
-
-@query("select ms, min_by(event_id, event_id) as event_id from (select ms // 60000 * 60000 as ms, event_id from log where position = 'error') group by 1", "log")
-def u5_dedupe_markers(spark, d):
-    m = log(spark, d).where("position = 'error'").select((F.floor(F.col("ms") / 60000) * 60000).alias("ms"), "event_id")
-    return timeline.merge_sources(m, ["ms"], ["event_id"])
-
-
-@query(
-    """, d as (select position, lo, hi, unnest(range(lo // 86400000, hi // 86400000 + 1)) as k from extent),
- r as (select position, mode, greatest(k * 86400000 + a * 3600000, lo) as start_ms, least(k * 86400000 + b * 3600000, hi) as end_ms from d, (values ('day', 7, 23), ('night', 23, 31)) as m(mode, a, b))
- select * from r where start_ms < end_ms""",
-    "log", "extent",
-)
-def r1_day_night_regions(spark, d):
-    return regions.day_night(extent(log(spark, d)))
-
-
-@query("select m.marker_id, l.position, count(*) as n, round(10 * log10(avg(pow(10.0, laeq / 10))), 6) as laeq from markers m join log l on l.ms between m.ms - 1800000 and m.ms + 1800000 group by 1, 2", "log", "markers")
-def r4_event_windows(spark, d):
-    rows = log(spark, d).withColumn("site", F.lit(1))
-    spans = rows.where("position = 'error'").select("site", F.col("event_id").alias("marker_id"), (F.col("ms") - 1800000).alias("start_ms"), (F.col("ms") + 1800000).alias("end_ms"))
-    return asof.in_intervals(rows, spans, "site").groupBy("marker_id", "position").agg(F.count(F.lit(1)).alias("n"), L.laeq(F.col("laeq")).alias("laeq"))
-
-
-@query("select event_id, round(least(greatest(900000 + (laeq * 20 - 100) / 900 * 2700000, 900000), 3600000), 6) as window_ms from log", "log")
-def v1_log_window(spark, d):
-    return log(spark, d).select("event_id", L.log_window_ms(F.col("laeq") * 20).alias("window_ms"))
-
-
-@query("select a.region_id, round(greatest(0, least(a.end_ms, e.hi) - greatest(a.start_ms, e.lo)) / (a.end_ms - a.start_ms)::double, 6) as ratio, greatest(0, least(a.end_ms, e.hi) - greatest(a.start_ms, e.lo)) / (a.end_ms - a.start_ms)::double >= 0.98 as adequate from areas a join extent e using (position)", "log", "areas", "extent")
-def v4_coverage_ratio(spark, d):
-    rows = log(spark, d)
-    ratio = F.greatest(F.lit(0), F.least("end_ms", "hi") - F.greatest("start_ms", "lo")) / (F.col("end_ms") - F.col("start_ms"))
-    return areas(rows).join(extent(rows), "position").select("region_id", ratio.alias("ratio"), (ratio >= 0.98).alias("adequate"))
-
-
-@query("select position, ms, freq_hz, round_even(level, 0)::smallint as level from spectra", "spectra")
-def v6_quantise_levels(spark, d):
-    return spectrogram.quantise(spectra(spark, d))
-
-
-RASTER = """, t as (select distinct position, ms from spectra), n as (select position, ms, coalesce(lead(ms) over (partition by position order by ms), ms + 1000) as e from t),
- s as (select position, min(ms) as t0, max(e) as t1 from n group by 1), w as (select n.*, t0, (t1 - t0) / 40.0 as w from n join s using (position)),
- b as (select position, ms, least(floor((ms - t0) / w), 39)::bigint as b0, ceil((e - t0) / w)::bigint as b1 from w),
- p as (select position, ms, unnest(range(b0, least(greatest(b1, b0 + 1), 40))) as bin from b),
- c as (select position, freq_hz, bin, max(level) as level from spectra join p using (position, ms) group by 1, 2, 3)"""
-
-
-@query(RASTER + " select position, freq_hz, bin, round(level, 6) as level from c", "spectra")
-def v7_rasterise(spark, d):
-    return spectrogram.rasterise(spectra(spark, d), 40, 1000)
-
-
-@query(RASTER + " select position, freq_hz, string_agg(round_even(level, 0)::int::varchar, ',' order by bin) as levels from c group by 1, 2", "spectra")
-def v11_pack_spectrogram(spark, d):
-    cells = spectrogram.rasterise(spectra(spark, d), 40, 1000).withColumn("level", F.rint("level").cast("int"))
-    return spectrogram.pack(cells).withColumn("levels", F.array_join(F.col("levels").cast("array<string>"), ","))
-
-
-@query(names.ROUTE_SQL)
-def s9_route_source(spark, d):
-    return names.routed(names.listing(spark, d)).select("path", "reader")
-
-
-@query(names.PARTS_SQL)
-def s_classify_names(spark, d):
-    return names.classified(names.listing(spark, d))
-
-
-@query(
-    """select dir, count(*) as files, sum(bytes)::bigint as bytes, count(distinct ext)::bigint as kinds from (select regexp_extract(url, '^(.*)/[^/]*$', 1) as dir, coalesce(regexp_extract(url, '\\.([a-z]+)$', 1), '') as ext, strlen(html) as bytes from pages where url is not null) group by 1"""
-)
-def a16_folder_totals(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet").where("url is not null")
-    x = p.select(F.regexp_extract("url", "^(.*)/[^/]*$", 1).alias("dir"), F.regexp_extract("url", r"\.([a-z]+)$", 1).alias("ext"), F.octet_length("html").alias("bytes"))
-    return x.groupBy("dir").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.countDistinct("ext").alias("kinds"))
-
-
-@query("select position, round(laeq, 6) as laeq, ms from log where event_id % 7 <> 0", "log")
-def s1_read_delimited_log(spark, d):
-    """Writes each position's log as delimited lines with a header, and reads these lines."""
-    rows = log(spark, d).where("event_id % 7 <> 0")
-    return names.parsed_lines(names.as_lines(rows)).select("position", "laeq", "ms")
-
-
-@query(f"select position, window_start, {ENERGY.format('laeq')} as laeq, round(max(lafmax), 6) as lafmax, count(*) as n from (select *, ms // 300000 * 300000 as window_start from log) group by 1, 2", "log")
-def t2_stream_leq(spark, d):
-    return streams.stream_leq(spark, d)
-
-
-def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+def queries() -> dict[str, base.Query]:
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     # a text that goes on with further views begins with a comma
-    return {k: v.replace(") , ", "), ") for k, v in SQL.items()}
+    return {k: v.replace(") , ", "), ") for k, v in base.SQL.items()}
