@@ -22,7 +22,7 @@ def third_days(rows):
 
 @query(
     SEGMENTS
-    + """, rec as (select event_id, position, ms - (laeq * 10000)::bigint as s, ms as e from log where event_id % 10 = 3),
+    + """, rec as (select event_id, position, ms - (laeq * 10000)::bigint as s, ms as e from log),
  c as (select rec.event_id, segment, case when rec.s <= seg.e and rec.e >= seg.s then 0 else least(abs(rec.s - seg.e), abs(rec.e - seg.s)) end as dist from rec join seg using (position)),
  b as (select event_id, min_by(segment, (dist, segment)) as segment, min(dist) as dist from c group by 1)
  select event_id, case when dist <= 43200000 then rec.s end as start_ms, case when dist <= 43200000 then segment end as segment,
@@ -31,7 +31,7 @@ def third_days(rows):
 )
 def j4_match_recordings(spark, d):
     rows = log(spark, d)
-    rec = rows.where("event_id % 10 = 3").select("event_id", "position", (F.col("ms") - F.round(F.col("laeq") * 10000).cast("long")).alias("start_ms"), F.col("ms").alias("end_ms"))
+    rec = rows.select("event_id", "position", (F.col("ms") - F.round(F.col("laeq") * 10000).cast("long")).alias("start_ms"), F.col("ms").alias("end_ms"))
     got = asof.nearest_span(rec, timeline.segments(third_days(rows)), "position", "segment")
     near = F.col("distance_ms") <= 12 * H
     confidence = F.when(F.col("distance_ms") <= 2 * H, "high").when(near, "medium").otherwise("unmatched")
@@ -40,7 +40,7 @@ def j4_match_recordings(spark, d):
 
 @query(
     """, m as (select event_id as marker_id, ms, case event_id % 3 when 0 then 'click' when 1 then 'view' else 'global' end as pool from log where position = 'error'),
- p as (select event_id, ms, case when position in (select pool from m) then position else 'global' end as pool from log where event_id % 10 = 0)
+ p as (select event_id, ms, case when position in (select pool from m) then position else 'global' end as pool from log where position <> 'error')
  select p.event_id, min_by(m.marker_id, (abs(m.ms - p.ms), m.ms, m.marker_id)) as marker_id from p left join m using (pool) group by 1""",
     "log",
 )
@@ -49,7 +49,7 @@ def j6_nearest_marker(spark, d):
     pool = F.when(F.col("event_id") % 3 == 0, "click").when(F.col("event_id") % 3 == 1, "view").otherwise("global")
     marks = rows.where("position = 'error'").select(F.col("event_id").alias("marker_id"), "ms", pool.alias("pool"))
     own = marks.select(F.col("pool").alias("position")).distinct().withColumn("pool", F.col("position"))
-    points = rows.where("event_id % 10 = 0").join(own, "position", "left").select("event_id", "ms", F.coalesce("pool", F.lit("global")).alias("pool"))
+    points = rows.where("position <> 'error'").join(own, "position", "left").select("event_id", "ms", F.coalesce("pool", F.lit("global")).alias("pool"))
     return asof.nearest_at(points, marks, "pool", "marker_id").select("event_id", "marker_id")
 
 
@@ -147,7 +147,7 @@ def u6_distinct_bands(spark, d):
 @query(
     """, st as (select position, median(delta) / 1000 as s from (select position, ms - lag(ms) over (partition by position order by ms) as delta, row_number() over (partition by position order by ms) as i from log) where i <= 32 and delta > 0 group by 1),
  th as (select position, position <> 'signup' as has_log, case when position in ('click', 'view') then least(greatest(900000 + (s - 100) / 900 * 2700000, 900000), 3600000) / 1000 end as t from st),
- r as (select event_id, position, laeq * 80 as span_s, case when event_id % 15 = 0 then 3000.0 end as manual_s from log where event_id % 5 = 0),
+ r as (select event_id, position, laeq * 80 as span_s, case when event_id % 15 = 0 then 3000.0 end as manual_s from log),
  u as (select event_id, span_s, least(coalesce(manual_s, case when not has_log then 3600 else coalesce(t, (select min(t) from th), 3600) end), 3600) as used_s from r join th using (position))
  select event_id, round(used_s, 6) as used_s, case when span_s <= used_s then 'log' else 'overview' end as dataset from u""",
     "log",
@@ -156,20 +156,20 @@ def v5_choose_resolution(spark, d):
     rows = log(spark, d)
     own = F.when(F.col("position").isin("click", "view"), L.log_window_ms(F.col("step_ms") / 1000) / 1000)
     thresholds = timeline.time_step(rows).select("position", (F.col("position") != "signup").alias("has_log"), own.alias("threshold_s"))
-    asked = rows.where("event_id % 5 = 0").select("event_id", "position", (F.col("laeq") * 80).alias("span_s"), F.when(F.col("event_id") % 15 == 0, F.lit(3000.0)).alias("manual_s"))
+    asked = rows.select("event_id", "position", (F.col("laeq") * 80).alias("span_s"), F.when(F.col("event_id") % 15 == 0, F.lit(3000.0)).alias("manual_s"))
     return spectrogram.choose_resolution(asked, thresholds, limit_s=3600, default_s=3600).select("event_id", "used_s", "dataset")
 
 
 @query(
     """, g as (select position, ms, freq_hz, case when (freq_hz + ms // 1000) % 15 > 0 then level end as level from spectra), t as (select distinct position, ms from g),
- p as (select distinct vec_id as k, 'P' || ((label + 1) % 10) as position, vec_id * 1000 + 500 as ms from embeddings where vec_id % 7 = 0), a as (select p.*, (select max(ms) from t where t.position = p.position and t.ms <= p.ms) as at_ms from p)
+ p as (select distinct vec_id as k, 'P' || ((label + 1) % 10) as position, vec_id * 1000 + 500 as ms from embeddings), a as (select p.*, (select max(ms) from t where t.position = p.position and t.ms <= p.ms) as at_ms from p)
  select a.k, a.position, a.ms, g.freq_hz, round(coalesce(g.level, 0), 6) as level from a join g on g.position = a.position and g.ms = a.at_ms and g.freq_hz between 8 and 32""",
     "spectra",
 )
 def v10_spectrum_at(spark, d):
     s = spectra(spark, d)
     holed = s.withColumn("level", F.when((F.col("freq_hz") + F.floor(F.col("ms") / 1000)) % 15 > 0, F.col("level")))
-    e = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 7 = 0")
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
     points = e.select(F.col("vec_id").alias("k"), F.concat(F.lit("P"), (F.col("label") + 1) % 10).alias("position"), (F.col("vec_id") * 1000 + 500).alias("ms"))
     return spectrogram.spectrum_at(points, holed, 8, 32).select("k", "position", "ms", "freq_hz", "level")
 

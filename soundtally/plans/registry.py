@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from soundtally.plans import base, levels, matching
+from soundtally.plans import annotations, base, ingest, levels, matching
 
 #: Modules that register queries when imported.
-MODULES = (levels, matching)
+MODULES = (levels, matching, ingest, annotations)
 
 
 def queries() -> dict[str, base.Query]:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soundtally.functions.levels import laeq, lafmax
+from soundtally.sources.place import shared_dir
 
 
 def windowed_leq(levels: DataFrame, late: str = "1 hour", width: str = "5 minutes") -> DataFrame:
@@ -18,12 +16,6 @@ def windowed_leq(levels: DataFrame, late: str = "1 hour", width: str = "5 minute
     return out.select("position", F.unix_millis(F.col("w.start")).alias("window_start"), "laeq", "lafmax", "n")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the session's checkpoint folder, or a temporary one where none is set."""
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def stream_leq(spark: SparkSession, d: str) -> DataFrame:
     """The events table read as a stream to its end, in complete mode; the last state of each window."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
