@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from soundtally.plans import annotations, base, ingest, levels, matching
+from soundtally.plans import annotations, base, ingest, levels, live, matching, surveys
 
 #: Modules that register queries when imported.
-MODULES = (levels, matching, ingest, annotations)
+MODULES = (levels, matching, ingest, annotations, surveys, live)
 
 
 def queries() -> dict[str, base.Query]:

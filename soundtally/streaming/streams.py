@@ -23,13 +23,58 @@ def stream_leq(spark: SparkSession, d: str) -> DataFrame:
     # a glob, so that a table of one file and one of a folder are both read
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     levels = source.select(F.col("event_type").alias("position"), F.col("ts").cast("timestamp").alias("ts"), level.alias("laeq"), (level + 5).alias("lafmax"))
+    return drained(windowed_leq(levels), "complete")
+
+
+def sessions(levels: DataFrame, late: str = "1 hour", gap: str = "5 minutes") -> DataFrame:
+    """position, start_ms, end_ms, n of a stream (position, ts): runs without a gap of this length."""
+    w = levels.withWatermark("ts", late).groupBy("position", F.session_window("ts", gap).alias("w"))
+    return w.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count(F.lit(1)).alias("n")).select("position", F.unix_millis("lo").alias("start_ms"), F.unix_millis("hi").alias("end_ms"), "n")
+
+
+def first_per_time(levels: DataFrame, late: str = "1 hour") -> DataFrame:
+    """A stream (position, ts) without later copies of a position's time, as long as they come within ``late``."""
+    return levels.withWatermark("ts", late).dropDuplicatesWithinWatermark(["position", "ts"])
+
+
+def events_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events table as a stream (position, ts, event_id)."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    return source.select(F.col("event_type").alias("position"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+
+
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives until its source is read to the end; in complete mode the last state."""
+    spark = stream.sparkSession
     place = shared_dir(spark)
 
     def keep(df: DataFrame, epoch: int) -> None:
         df.write.mode("overwrite").parquet(f"{place}/out/epoch={epoch}")
 
-    run = windowed_leq(levels).writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    run.awaitTermination()
+    out = spark.read.schema(stream.schema.add("epoch", "long")).parquet(f"{place}/out")
+    if mode == "complete":
+        out = out.join(F.broadcast(out.agg(F.max("epoch").alias("epoch"))), "epoch")
+    return out.drop("epoch")
+
+
+def ingest(spark: SparkSession, source: str) -> tuple[DataFrame, DataFrame]:
+    """Lines 'position,ms,level' of the files in a folder, read as a stream to its end: rows, and lines that are none with their file.
+
+    Each batch is written once under its number, so a batch run again after a failure replaces its own output.
+    """
+    place = shared_dir(spark)
+    cells = F.split("value", ",")
+    typed = spark.readStream.text(source).select("value", F.col("_metadata.file_name").alias("file"), F.get(cells, F.lit(0)).alias("position"), F.get(cells, F.lit(1)).try_cast("bigint").alias("ms"), F.get(cells, F.lit(2)).try_cast("double").alias("level"))
+    good = F.col("ms").isNotNull() & F.col("level").isNotNull()
+
+    def keep(df: DataFrame, epoch: int) -> None:
+        marked = df.withColumn("good", good)
+        marked.write.mode("overwrite").partitionBy("good").parquet(f"{place}/out/epoch={epoch}")
+
+    run = typed.writeStream.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep).start()
     run.awaitTermination()
-    out = spark.read.parquet(f"{place}/out")
-    last = out.agg(F.max("epoch").alias("epoch"))
-    return out.join(F.broadcast(last), "epoch").select("position", "window_start", "laeq", "lafmax", "n")
+    out = spark.read.schema(typed.schema.add("good", "boolean").add("epoch", "long")).parquet(f"{place}/out")
+    return out.where("good").select("position", "ms", "level"), out.where("not good").select("file", "value")
