@@ -60,7 +60,7 @@ def split_regions(areas: DataFrame) -> DataFrame:
     """Areas with part: 0 for a region's only area, else 1, 2, ... in order of time."""
     w = Window.partitionBy("region_id")
     n, k = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy("start_ms", "end_ms"))
-    return areas.withColumn("part", F.when(n > 1, k).otherwise(0))
+    return areas.withColumn("part", F.when(n > 1, k).otherwise(0).cast("long"))
 
 
 def with_ids(regions: DataFrame, order: str, given: str) -> DataFrame:

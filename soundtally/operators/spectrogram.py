@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soundtally.functions.levels import finite, laeq, quantised
 from soundtally.operators.asof import last_at
+from soundtally.operators.timeline import interval_end
 
 
 def mean_spectrum(spectra: DataFrame, by: list[str]) -> DataFrame:
@@ -21,8 +22,8 @@ def quantise(spectra: DataFrame, by: str = "position") -> DataFrame:
 
 def rasterise(spectra: DataFrame, bins: int, step_ms: int, by: str = "position") -> DataFrame:
     """Fixed number of time bins over each position's span; a spectrum paints the bins that it reaches into until the next one, with the largest level."""
-    ends = spectra.select(by, "ms").distinct().withColumn("end", F.lead("ms").over(Window.partitionBy(by).orderBy("ms")))
-    ends = ends.withColumn("end", F.coalesce("end", F.col("ms") + step_ms))
+    times = spectra.select(by, "ms", F.lit(0).alias("event_id")).distinct()
+    ends = interval_end(times, step_ms, by).select(by, "ms", F.col("end_ms").alias("end"))
     span = ends.groupBy(by).agg(F.min("ms").alias("t0"), F.max("end").alias("t1"))
     place = ends.join(span, by).withColumn("w", (F.col("t1") - F.col("t0")) / bins)
     first = F.least(F.floor((F.col("ms") - F.col("t0")) / F.col("w")), F.lit(bins - 1))

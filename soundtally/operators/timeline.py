@@ -58,13 +58,16 @@ def ranked(rows: DataFrame, order: str, width: int = 4096) -> DataFrame:
 
 
 def sample_period(rows: DataFrame, by: str = "position") -> DataFrame:
-    """Smallest most frequent step in seconds: of two rows their delta; else of the deltas but the last, five at each end left out where over 20 remain."""
-    w = Window.partitionBy(by).orderBy("ms")
-    d = rows.withColumn("delta", F.col("ms") - F.lag("ms").over(w)).withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(by)))
-    used = F.col("n") - 2
-    inside = F.when(F.col("n") == 2, F.col("i") == 1).when(used > 20, (F.col("i") > 5) & (F.col("i") <= used - 5)).otherwise((F.col("i") >= 1) & (F.col("i") <= used))
-    steps = d.withColumn("step", F.when(inside, F.col("delta")))
-    return steps.groupBy(by).agg(F.round(F.mode("step", True) / 1000, 3).alias("period_s"))
+    """Smallest most frequent step in seconds of rows with distinct times: of two rows their delta; else of the deltas but the last, five at each end left out where over 20 remain.
+
+    The ends are found by their times, so that no series is numbered as a whole.
+    """
+    end = lambda order, pick, name: rows.withColumn("__k", F.row_number().over(Window.partitionBy(by).orderBy(order))).where("__k <= 6").groupBy(by).agg(pick("ms").alias(name))
+    size = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n"), F.max("ms").alias("__last"))
+    ends = size.join(end(F.asc("ms"), F.max, "__lo"), by).join(end(F.desc("ms"), F.min, "__hi"), by)
+    d = deltas(rows.withColumn("event_id", F.lit(0)), by).join(ends, by)
+    inside = F.when(F.col("__n") == 2, True).when(F.col("__n") - 2 > 20, (F.col("ms") > F.col("__lo")) & (F.col("ms") < F.col("__hi"))).otherwise(F.col("ms") < F.col("__last"))
+    return d.withColumn("step", F.when(inside, F.col("delta"))).groupBy(by).agg(F.round(F.mode("step", True) / 1000, 3).alias("period_s"))
 
 
 def time_step(rows: DataFrame, by: str = "position", first: int = 32) -> DataFrame:

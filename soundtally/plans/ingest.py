@@ -48,10 +48,10 @@ def by_position(long):
 
 
 def union_sql(*parts):
-    return " union all ".join(f"select position, ms, '{name}' as name, {hz} as freq_hz, round({x}, 6) as level from log" for name, hz, x in parts)
+    return " union all ".join(f"select position, ms, '{name}' as name, {hz}::double as freq_hz, round({x}, 6) as level from log" for name, hz, x in parts)
 
 
-NONE = "null::double"
+NONE = "null"
 
 
 def three_rows(spark, d):

@@ -83,7 +83,7 @@ def a17_position_facts(spark, d):
 def o4_first_groups(spark, d):
     """The ten groups that a report lists first."""
     first = grouped(spark, d).orderBy("spot", "visit", "position", "session").limit(10)
-    return first.agg(F.array_sort(F.collect_list(F.struct("spot", "visit", "position", "session"))).alias("g")).select(F.posexplode("g").alias("i", "g")).select((F.col("i") + 1).alias("place"), "g.visit", "g.position", "g.session")
+    return first.agg(F.array_sort(F.collect_list(F.struct("spot", "visit", "position", "session"))).alias("g")).select(F.posexplode("g").alias("i", "g")).select((F.col("i") + 1).cast("long").alias("place"), "g.visit", "g.position", "g.session")
 
 
 @query(f"select position, role as profile, string_agg(distinct 'job/' || path, ',' order by 'job/' || path) as paths, count(distinct path) filter (page_id % 10 = 3) as missing from {FILES} where page_id % 5 <> 2 and role is not null and path not like '%.wav' group by 1, 2")
@@ -98,7 +98,10 @@ def s15_read_job_config(spark, d):
     return I.job_sources(configs, there).select("position", "profile", F.array_join("paths", ",").alias("paths"), "missing")
 
 
-@query()
+@query(
+    """select event_type as path, event_id as line_no, local, case when local < timestamp '2024-03-31 01:00:00' then local when local < timestamp '2024-03-31 02:00:00' then timestamp '2024-03-31 01:00:00' else local - interval 1 hour end as utc
+ from (select *, ts + interval 70 day as local from events)"""
+)
 def w3_local_to_utc(spark, d):
     """The log's times, moved by 70 days to cross a change of the clock, taken for local ones."""
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("path"), F.col("event_id").alias("line_no"), (F.col("ts").cast("timestamp_ntz") + F.expr("interval 70 days")).alias("local"))

@@ -98,3 +98,10 @@ def test_empty_annotations(spark, tmp_path):
     got = {r["type"]: r for r in A.read_annotations(spark, str(path)).collect()}
     assert sorted(got) == ["marker", "region"] and got["region"]["note"] == 'a "b"' and got["marker"]["id"] is None
     assert [tuple(a) for a in got["region"]["areas"]] == [(1704067200000, 1704067210000)] and got["marker"]["ms"] == 1704067200000
+
+
+@pytest.mark.parametrize("n, want", [(1, None), (2, 1.0), (3, 1.0), (40, 3.0)])
+def test_sample_period(spark, n, want):
+    times = [0, 1000, 9000] if n < 40 else [0, 1, 2, 3, 4, 5, *(6 + 3000 * i for i in range(28)), *(90_000 + i for i in range(6))]
+    rows = spark.createDataFrame([("p", t) for t in times[:n]], "position string, ms long")
+    assert timeline.sample_period(rows).first()["period_s"] == want
