@@ -1,14 +1,17 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals.
 
 Coarse centroids and residual code books are fitted on a bounded sample; every
-vector is indexed. A query visits its nearest lists, ranks their codes with
-asymmetric distance tables, and the best of each part of a list are reranked with
-exact distances on the original vectors. Lists are cut into parts of at most about
-``PART`` vectors, so one large list is many tasks' work.
+vector is indexed. The index is dealt into parts by hash, each a fair sample of all
+lists, and a query visits its nearest lists in every part. Asymmetric distance
+tables rank the codes there, and the best of all parts are reranked with exact
+distances on the original vectors. A large list, of equal vectors say, is spread
+over all parts, and each part hands on little more than its fair share of the
+candidates.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +19,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, hashed_sample, partitions
 
 #: Vectors that centroids and code books are fitted on at most, chosen by hash.
 SAMPLE = 16_384
-#: Lists; share of them that a query visits; sub-vectors of the codes; vectors of a part; candidates that a query keeps.
-LISTS, VISITED, PIECES, CODES, PART, KEPT = 64, 0.8, 16, 64, 1_024, 200
+#: Lists; share of them that a query visits; sub-vectors of a code and values of each; candidates that a query keeps.
+LISTS, VISITED, PIECES, CODES, KEPT = 256, 0.5, 32, 256, 100
+#: Vectors of a part and queries of a block on average, which bound a task's memory; smaller tables are dealt into parts of SMALL while the session has partitions for them.
+PART, QUERIES, SMALL = 1_048_576, 131_072, 8_192
+#: Distances that a task holds at once.
+HELD = 4_194_304
 
 
 def usable(df: DataFrame, vector: str = "embedding") -> Column:
@@ -58,25 +65,51 @@ class Index:
         self.cuts = [slice(i, min(i + width, x.shape[1])) for i in range(0, x.shape[1], width)]
         self.books = [clusters(rest[:, c], min(CODES, len(x)), 6, rng) for c in self.cuts]
 
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, codes, and what a vector's code adds to its distance from any query."""
         lists = nearest(x, self.centroids)
-        rest = x - self.centroids[lists]
-        return lists, np.stack([nearest(rest[:, c], b) for c, b in zip(self.cuts, self.books, strict=True)], axis=1).astype(np.uint8)
-
-    def visits(self, q: np.ndarray, share: float) -> np.ndarray:
+        at = self.centroids[lists]
+        rest = x - at
+        codes = np.stack([nearest(rest[:, c], b) for c, b in zip(self.cuts, self.books, strict=True)], axis=1).astype(np.uint8)
+        known = np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], axis=1)
+        return lists, codes, (known * (known + 2 * at)).sum(axis=1)
+
+    def gaps(self, q: np.ndarray) -> np.ndarray:
+        """Squared distances of queries from centroids."""
+        return (q * q).sum(axis=1)[:, None] - 2 * (q @ self.centroids.T) + (self.centroids**2).sum(axis=1)
+
+    def visits(self, gaps: np.ndarray, share: float) -> np.ndarray:
+        """Whether a query visits a list: (queries, lists)."""
         k = max(1, int(np.ceil(len(self.centroids) * share)))
-        d = (self.centroids**2).sum(axis=1) - 2 * (q @ self.centroids.T)
-        return np.argsort(d, axis=1, kind="stable")[:, :k]
+        out = np.zeros(gaps.shape, bool)
+        np.put_along_axis(out, np.argsort(gaps, axis=1, kind="stable")[:, :k], True, axis=1)
+        return out
+
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """A piece's share of the squared distance by query and code, but for what hangs on the list: (queries, codes) each."""
+        return [-2 * (q[:, c] @ b.T) for c, b in zip(self.cuts, self.books, strict=True)]
+
+
+def fair_share(parts: int, kept: int = KEPT) -> int:
+    """Candidates that a part hands on, so that the best ``kept`` of all are among them but for one part in a billion: parts are dealt by hash, so their shares are nearly Poisson."""
+    mean = kept / parts
+    return min(kept, math.ceil(mean + 6 * math.sqrt(mean) + 6))
 
-    def tables(self, q: np.ndarray, at: int) -> np.ndarray:
-        """Squared distances of the queries' residuals in list ``at`` to each code: (queries, pieces, codes)."""
-        rest = q - self.centroids[at]
-        return np.stack([((rest[:, c][:, None, :] - b[None]) ** 2).sum(axis=2) for c, b in zip(self.cuts, self.books, strict=True)], axis=1)
 
+def smallest(far: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest finite values; among equals the first."""
+    if len(far) > k:
+        bar = np.partition(far, k - 1)[k - 1]
+        less = np.flatnonzero(far < bar)
+        out = np.concatenate([less, np.flatnonzero(far == bar)[: k - len(less)]])
+    else:
+        out = np.arange(len(far))
+    return out[np.isfinite(far[out])]
 
-def fit(vectors: DataFrame) -> Index | None:
-    """From a sample by hash of at most SAMPLE usable vectors; None if there are none."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()["embedding"]
+
+def fit(vectors: DataFrame, n: int) -> Index | None:
+    """From a sample by hash of at most SAMPLE of n usable vectors; None if there are none."""
+    rows = hashed_sample(vectors, "vec_id", SAMPLE, n).select("embedding").toPandas()["embedding"]
     return Index(np.array(rows.tolist(), dtype=np.float32)) if len(rows) else None
 
 
@@ -86,10 +119,10 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 10, visited: floa
     score is the Euclidean distance in double precision; ties go to the smaller
     vec_id. Vectors that are null or zero, or hold null or non-finite components,
     rows without vec_id, and vectors of another length than most of the sample take
-    no part. Repeated rows of a vec_id are one. Fewer than k candidates give fewer
+    no part. Repeated rows of a vec_id are one, with the smallest vector. Fewer than k candidates give fewer
     rows, an empty table none.
     """
-    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(df)).dropDuplicates(["vec_id"])
+    clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(df)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     spark = embeddings.sparkSession
     base = cut(clean(embeddings))
     width = base.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -97,47 +130,51 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 10, visited: floa
     if not width:
         return empty
     base = base.where(F.size("embedding") == width[0]["n"])
-    asked = clean(queries).where(F.size("embedding") == width[0]["n"])
-    index = spark.sparkContext.broadcast(fit(base))
+    asked = cut(clean(queries).where(F.size("embedding") == width[0]["n"]))
+    n = base.count()
+    index = spark.sparkContext.broadcast(fit(base, n))
+    parts = max(-(-n // PART), min(partitions(base), -(-n // SMALL)))
+    blocks = max(1, -(-asked.count() // QUERIES))
+    share = fair_share(parts)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                lists, codes = index.value.place(np.array(pdf["embedding"].tolist(), dtype=np.float32))
-                yield pd.DataFrame({"list": lists, "vec_id": pdf["vec_id"], "codes": [c.tobytes() for c in codes]})
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                q = np.array(pdf["embedding"].tolist(), dtype=np.float32)
-                at = index.value.visits(q, visited)
-                yield pd.DataFrame({"list": at.ravel(), "query_id": np.repeat(pdf["vec_id"].to_numpy(), at.shape[1]), "query": np.repeat(pdf["embedding"].to_numpy(), at.shape[1])})
+                lists, codes, added = index.value.place(np.array(pdf["embedding"].tolist(), dtype=np.float32))
+                yield pd.DataFrame({"list": lists, "vec_id": pdf["vec_id"], "added": added, "codes": [c.tobytes() for c in codes]})
 
     def scan(_, codes: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(codes) and len(asking):
-            ids = codes["vec_id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, code = ids[order], np.frombuffer(b"".join(codes["codes"].iloc[order]), np.uint8).reshape(len(ids), -1)
-            at, q_ids = int(codes["list"].iloc[0]), asking["query_id"].to_numpy()
-            for i in range(0, len(asking), 128):
-                q = np.array(asking["query"].iloc[i : i + 128].tolist(), dtype=np.float32)
-                table = index.value.tables(q, at)
-                far = np.zeros((len(q), len(ids)), np.float32)
-                for j in range(code.shape[1]):
-                    far += table[:, j, :][:, code[:, j]]
-                # ids ascend, so a stable order breaks ties by them
-                top = np.argsort(far, axis=1, kind="stable")[:, : KEPT + 1]
-                found.append(pd.DataFrame({"query_id": np.repeat(q_ids[i : i + 128], top.shape[1]), "vec_id": ids[top].ravel(), "far": np.take_along_axis(far, top, axis=1).ravel()}))
+            codes = codes.sort_values(["list", "vec_id"], ignore_index=True)
+            ids, added = codes["vec_id"].to_numpy(), codes["added"].to_numpy()
+            code = np.ascontiguousarray(np.frombuffer(b"".join(codes["codes"]), np.uint8).reshape(len(ids), -1).T)
+            lists, start = np.unique(codes["list"].to_numpy(), return_index=True)
+            stop, q_ids = [*start[1:], len(ids)], asking["query_id"].to_numpy()
+            step = max(1, min(128, HELD // len(ids)))
+            for i in range(0, len(asking), step):
+                q = np.array(asking["query"].iloc[i : i + step].tolist(), dtype=np.float32)
+                gaps, tables = index.value.gaps(q), index.value.tables(q)
+                goes = index.value.visits(gaps, visited)
+                far = np.full((len(q), len(ids)), np.inf, np.float32)
+                for at, a, b in zip(lists, start, stop, strict=True):
+                    who = np.flatnonzero(goes[:, at])
+                    if len(who):
+                        sums = gaps[who, at][:, None] + added[None, a:b]
+                        for table, c in zip(tables, code, strict=True):
+                            sums += table[who][:, c[a:b]]
+                        far[who, a:b] = sums
+                far[q_ids[i : i + step, None] == ids] = np.inf
+                for j, row in enumerate(far):
+                    top = smallest(row, share)
+                    found.append(pd.DataFrame({"query_id": q_ids[i + j], "vec_id": ids[top], "far": row[top]}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "far": []})
 
-    placed = cut(base.repartition(partitions(base)).mapInPandas(place, "list int, vec_id long, codes binary"))
-    parts = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    # at most LISTS rows
-    dealt = placed.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).select("list", "part", "vec_id", "codes")
-    going = asked.mapInPandas(visit, "list int, query_id long, query array<float>").join(F.broadcast(parts.withColumnRenamed("parts", "of")), "list")
-    going = going.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("list", "part", "query_id", "query")
-    ranked = dealt.groupBy("list", "part").cogroup(going.groupBy("list", "part")).applyInPandas(scan, "query_id long, vec_id long, far float").where("query_id <> vec_id")
+    placed = base.repartition(partitions(base)).mapInPandas(place, "list int, vec_id long, added float, codes binary")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = placed.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), each(blocks).alias("block"), "list", "vec_id", "added", "codes")
+    going = asked.select(each(parts).alias("part"), F.pmod(F.xxhash64(F.lit(6), "vec_id"), F.lit(blocks)).cast("int").alias("block"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    ranked = dealt.groupBy("part", "block").cogroup(going.groupBy("part", "block")).applyInPandas(scan, "query_id long, vec_id long, far float")
     best = ranked.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("far", "vec_id"))).where(F.col("n") <= KEPT).select("query_id", "vec_id")
     both = best.join(base, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
     gap = F.aggregate(F.zip_with("embedding", "query", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)

@@ -48,6 +48,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(partitions(df))
 
 
+def hashed_sample(df: DataFrame, key: str, size: int, n: int) -> DataFrame:
+    """At most size of the n rows of df, first by hash of key. A bound on the hash leaves about four times as many before they are sorted, so that large tables don't sort in one task."""
+    h = F.xxhash64(F.lit(3), key)
+    bound = -(-4 * size * (1 << 40) // max(1, n))
+    few = df.where(F.pmod(h, F.lit(1 << 40)) < bound) if bound < 1 << 40 else df
+    return few.orderBy(h, key).limit(size)
+
+
 def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.octet_length(col), F.lit(0)).cast("long")
 

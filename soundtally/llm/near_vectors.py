@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import usable
-from .common import components, cut, partitions, runs, tree
+from .common import components, cut, hashed_sample, partitions, runs, tree
 
 LINES, WINDOW, MISSED = 64, 1.6, 1e-6
 #: Vectors that a cell holds on average, and at most in one block; larger cells are searched block by block.
@@ -97,8 +97,9 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.9) -> DataFrame:
         return alone
     good = good.where(F.size("embedding") == width[0]["n"])
     heads = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    sample = heads.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").toPandas()["embedding"]
-    lines = spark.sparkContext.broadcast(Lines(width[0]["n"], heads.count(), cosine, unit(sample)))
+    n = heads.count()
+    sample = hashed_sample(heads, "id", SAMPLE, n).select("embedding").toPandas()["embedding"]
+    lines = spark.sparkContext.broadcast(Lines(width[0]["n"], n, cosine, unit(sample)))
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
