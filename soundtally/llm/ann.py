@@ -174,6 +174,9 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 10, visited: floa
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = placed.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), each(blocks).alias("block"), "list", "vec_id", "added", "codes")
     going = asked.select(each(parts).alias("part"), F.pmod(F.xxhash64(F.lit(6), "vec_id"), F.lit(blocks)).cast("int").alias("block"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    # a task's work follows from vectors times queries, not from bytes, so small partitions aren't to be joined
+    tasks = max(partitions(base), parts * blocks)
+    dealt, going = (df.repartition(tasks, "part", "block") for df in (dealt, going))
     ranked = dealt.groupBy("part", "block").cogroup(going.groupBy("part", "block")).applyInPandas(scan, "query_id long, vec_id long, far float")
     best = ranked.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("far", "vec_id"))).where(F.col("n") <= KEPT).select("query_id", "vec_id")
     both = best.join(base, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
