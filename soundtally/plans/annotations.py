@@ -44,10 +44,35 @@ def s17_read_markers(spark, d):
 @query(MERGES + " select * from u", "log", "areas")
 def s18_read_regions(spark, d):
     place = shared_dir(spark) + "/regions"
-    A.write_regions(united(spark, d), place)
+    A.write_regions(A.region_rows(united(spark, d)), place)
     return A.read_regions(spark, place)
 
 
+@query("select event_id as id, ms as timestamp_ms, '" + NOTE.replace("\n", "' || chr(10) || '") + "' as note, '#f00' as color, round(laeq, 6) as laeq, '' as selected from log where position = 'error'", "log")
+def k2_write_markers(spark, d):
+    place = shared_dir(spark) + "/written_markers"
+    m = marks(spark, d).select(F.col("marker_id").alias("id"), "ms", "note", "color", F.struct("laeq").alias("metrics"))
+    A.write_csv(A.marker_rows(m), place)
+    raw = spark.read.options(**A.CSV).csv(place)
+    return raw.select(F.col("id").cast("long"), F.col("timestamp_ms").cast("long"), "note", "color", F.get_json_object("metrics_json", "$.laeq").cast("double").alias("laeq"), F.coalesce("selected", F.lit("")).alias("selected"))
+
+
+@query(
+    MERGES
+    + """ select region_id as id, position as "positionId", min(start_ms) as start, max(end_ms) as "end", 300000 as "chartOffsetMs", 'of ' || region_id as note, count(*) as n,
+ '[' || string_agg('{"start":' || start_ms - 300000 || ',"end":' || end_ms - 300000 || '}', ',' order by start_ms) || ']' as source from u group by 1, 2""",
+    "log", "areas",
+)
+def k3_write_regions(spark, d):
+    place, a = shared_dir(spark) + "/written_regions", united(spark, d)
+    offsets = a.select("position").distinct().withColumn("chart_offset_ms", F.lit(300_000).cast("long"))
+    facts = a.groupBy("region_id").agg(F.concat(F.lit("of "), F.col("region_id").cast("string")).alias("note"), F.lit("#0f0").alias("color"), F.struct(F.count(F.lit(1)).alias("n")).alias("metrics"))
+    A.write_regions(A.region_rows(a, offsets, facts), place)
+    text = F.col("value")
+    field = lambda name, kind="long": F.get_json_object(text, f"$.{name}").cast(kind).alias(name)
+    return spark.read.text(place).select(field("id"), field("positionId", "string"), field("start"), field("end"), field("chartOffsetMs", "int"), field("note", "string"), F.get_json_object(text, "$.metrics.n").cast("long").alias("n"), F.get_json_object(text, "$.sourceAreas").alias("source"))
+
+
 TEXT = "strftime(epoch_ms({0}::bigint), '%Y-%m-%d %H:%M:%S.%g')"
 
 

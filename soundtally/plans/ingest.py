@@ -109,6 +109,12 @@ def s10_header_hint(spark, d):
     return h.select(F.substring_index("path", "_", 1).alias("position"), F.substring_index("path", "_", -1).cast("long").alias("day"), "matches", "status")
 
 
+@query(f"select position, (ms // {DAY})::bigint as day, 'Broadband LOG Results' as section, count(*) + 2 as n from log group by 1, 2 union all select distinct position, (ms // {DAY})::bigint, m.section, m.n from log, (values ('Hardware Configuration', 2), ('Measurement Setup', 1)) as m(section, n)", "log")
+def w7_fill_section(spark, d):
+    n = T.sections(sectioned(spark, d)).groupBy("path", "section").agg(F.count(F.lit(1)).alias("n"))
+    return n.select(F.substring_index("path", "_", 1).alias("position"), F.substring_index("path", "_", -1).cast("long").alias("day"), "section", "n")
+
+
 @query(f"select p.*, m.* from (select distinct position, (ms // {DAY})::bigint as day from log) p, (values ('Hardware Configuration', 'Serial number', 'A2'), ('Hardware Configuration', 'Note', 'a: b'), ('Measurement Setup', 'Profile', 'Full')) as m(section, key, value)", "log")
 def s11_section_metadata(spark, d):
     m = T.metadata(sectioned(spark, d), ["Hardware Configuration", "Measurement Setup"])
@@ -129,6 +135,22 @@ def reports(spark, d):
     return one.unionByName(two)
 
 
+def repeats(parts):
+    return " union all ".join(f"select position, ms as start_ms, ms + 1000 as end_ms, '{name}' as name, {hz}::double as freq_hz, round({x}::double, 6) as level from log" for name, hz, x in parts)
+
+
+@query(repeats([("LAeq", NONE, "laeq"), ("LAFmax", NONE, "0"), ("LZeq", "31.5", "laeq"), ("LZFmax", "1000", "lafmax")]), "log")
+def s13_read_repeat_reports(spark, d):
+    end = F.timestamp_millis(F.col("ms") + 1000)
+    rows = files(spark, d).withColumn("ed", F.date_format(end, "yyyy-MM-dd")).withColumn("et", F.date_format(end, "HH:mm:ss.SSS")).withColumn("none", F.lit("-.-"))
+    units = "[YYYY-MM-DD]\t[hh:mm:ss]\t[YYYY-MM-DD]\t[hh:mm:ss]"
+    total = [*SECTIONS, "# Broadband Results", "\tStart\t\tStop", "Date\tTime\tDate\tTime\tLAeq_dt\tLAFmax", units + "\t[dB]\t[dB]"]
+    one = readers.repeat_reports(reread(spark, rows, total, tabbed("", "date", "time", "ed", "et", "laeq", "none"), ["#CheckSum", "x"]))
+    band = [*SECTIONS, "# RTA Results", "Start\t\tStop\t\t\tLZeq\tLZFmax", "Date\tTime\tDate\tTime\tBand [Hz]\t31.5\t1k", units + "\t\t[dB]\t[dB]"]
+    two = readers.repeat_reports(reread(spark, rows, band, tabbed("", "date", "time", "ed", "et", "", "laeq", "lafmax"), ["#CheckSum", "x"]), bands=True)
+    return one.unionByName(two).withColumn("position", F.substring_index("path", "_", 1)).drop("path")
+
+
 DAILY = f"select position, (ms // {DAY})::bigint as day, min(ms) as start_ms, max(ms) as end_ms, {ENERGY.format('laeq')} as level from log group by 1, 2"
 
 

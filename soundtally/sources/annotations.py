@@ -89,10 +89,23 @@ def read_markers(spark: SparkSession, place: str, metrics: str) -> DataFrame:
     return raw.where(ok).select(F.when(n > 0, n).alias("id"), t.cast("long").alias("ms"), F.coalesce("note", F.lit("")).alias("note"), F.coalesce("color", F.lit("")).alias("color"), F.from_json("metrics_json", metrics).alias("metrics"))
 
 
-def write_regions(areas: DataFrame, place: str) -> None:
-    """Regions as JSON lines: id, positionId and their areas in order."""
-    span = F.array_sort(F.collect_list(F.struct(F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))))
-    areas.groupBy(F.col("region_id").alias("id"), F.col("position").alias("positionId")).agg(span.alias("areas")).write.json(place)
+def region_rows(areas: DataFrame, offsets: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """Regions of areas (region_id, position, start_ms, end_ms) in the fields of a region file.
+
+    Source areas lie chart_offset_ms (offsets: position, chart_offset_ms) before the
+    shown ones. facts (region_id, note, color, metrics) has a row for each region at most.
+    """
+    shift = areas.withColumn("chart_offset_ms", F.lit(0).cast("long")) if offsets is None else areas.join(offsets, "position", "left").fillna(0, ["chart_offset_ms"])
+    g = shift.groupBy("region_id", "position", "chart_offset_ms").agg(F.array_sort(F.collect_list(F.struct(F.col("start_ms").alias("start"), F.col("end_ms").alias("end")))).alias("areas"))
+    source = F.transform("areas", lambda x: F.struct((x["start"] - F.col("chart_offset_ms")).alias("start"), (x["end"] - F.col("chart_offset_ms")).alias("end")))
+    g = g.withColumns({"start": F.col("areas")[0]["start"], "end": F.array_max(F.transform("areas", lambda x: x["end"])), "source": source})
+    known = g.withColumns({"note": F.lit(""), "color": F.lit(None).cast("string"), "metrics": F.lit(None).cast("string")}) if facts is None else g.join(facts, "region_id", "left").fillna("", ["note"])
+    return known.select(F.col("region_id").alias("id"), F.col("position").alias("positionId"), "areas", "start", "end", F.col("chart_offset_ms").alias("chartOffsetMs"), F.col("source").alias("sourceAreas"), "note", "metrics", "color")
+
+
+def write_regions(regions: DataFrame, place: str) -> None:
+    """region_rows as JSON lines."""
+    regions.write.json(place)
 
 
 def read_regions(spark: SparkSession, place: str) -> DataFrame:

@@ -132,6 +132,27 @@ def single_reports(lines: DataFrame) -> DataFrame:
     return cut.select("path", tail("names").alias("names"), stamp(1).alias("start_ms"), stamp(3).alias("end_ms"), F.transform(tail("c"), number).alias("values"))
 
 
+def repeat_reports(lines: DataFrame, bands: bool = False) -> DataFrame:
+    """(path, start_ms, end_ms, name, freq_hz, level) of files with a table of many measurements.
+
+    Three rows of groups, names and units stand over rows of two dates with times and
+    the values; a name stands one cell left of its values. Band tables have one more
+    cell before the values, their levels' names in the first row and frequencies in
+    the second. '-.-' counts as 0.
+    """
+    before = 6 if bands else 5
+    body = T.sections(lines).where((F.col("section") == ("RTA Results" if bands else "Broadband Results")) & F.col("line").rlike(r"\S"))
+    names = lambda i: F.transform(F.slice(F.split(F.col("top")[i]["line"], "\t"), before, 9999), clean)
+    heads = T.top(body, 3).where(F.size("top") == 3).select("path", F.col("top")[2]["line_no"].alias("header_no"), names(0).alias("upper"), names(1).alias("lower"))
+    rows = body.join(heads, "path").where(F.col("line_no") > F.col("header_no")).withColumn("c", F.split("line", "\t"))
+    stamp = lambda i: F.unix_millis(F.try_to_timestamp(F.concat_ws(" ", F.get("c", F.lit(i)), F.get("c", F.lit(i + 1)))))
+    cells = F.arrays_zip(F.col("upper").alias("upper"), F.col("lower").alias("lower"), F.slice("c", before + 1, 9999).alias("text"))
+    long = rows.select("path", stamp(1).alias("start_ms"), stamp(3).alias("end_ms"), F.explode(cells).alias("v"))
+    level = F.when(F.trim("v.text") == "-.-", 0.0).otherwise(F.col("v.text").try_cast("double"))
+    named = long.select("path", "start_ms", "end_ms", F.col("v.upper" if bands else "v.lower").alias("name"), (frequency_hz(F.col("v.lower")) if bands else F.lit(None).cast("double")).alias("freq_hz"), level.alias("level"))
+    return named.where("name <> '' and start_ms is not null and level is not null" + (" and freq_hz is not null" if bands else ""))
+
+
 def combined(reports: DataFrame) -> DataFrame:
     """single_reports with accepted: whether a file has the names of the first file by name and as many values."""
     first = reports.agg(F.min_by("names", "path").alias("__names"))

@@ -105,3 +105,19 @@ def test_sample_period(spark, n, want):
     times = [0, 1000, 9000] if n < 40 else [0, 1, 2, 3, 4, 5, *(6 + 3000 * i for i in range(28)), *(90_000 + i for i in range(6))]
     rows = spark.createDataFrame([("p", t) for t in times[:n]], "position string, ms long")
     assert timeline.sample_period(rows).first()["period_s"] == want
+
+
+def test_repeat_reports(spark):
+    head = "# RTA Results\nStart\t\tStop\t\t\tLZeq\tLZFmax\nDate\tTime\tDate\tTime\tBand [Hz]\t31.5\t1k\n[d]\t[t]\t[d]\t[t]\t\t[dB]\t[dB]\n"
+    row = "\t2024-01-01\t00:00:0{}\t2024-01-01\t00:00:0{}\t\t{}\t{}\n"
+    t = text(spark, a=head + row.format(1, 2, 50, "-.-") + "\n" + row.format(3, 4, "bad", 61) + "#CheckSum\n" + row.format(5, 6, 1, 1), b="# RTA Results\nonly\n", c="no section")
+    got = sorted((r["start_ms"] % 60_000, r["end_ms"] % 60_000, r["name"], r["freq_hz"], r["level"]) for r in readers.repeat_reports(t, bands=True).collect())
+    assert got == [(1000, 2000, "LZFmax", 1000.0, 0.0), (1000, 2000, "LZeq", 31.5, 50.0), (3000, 4000, "LZFmax", 1000.0, 61.0)]
+
+
+def test_region_rows(spark):
+    areas = spark.createDataFrame([(1, "P1", 50, 60), (1, "P1", 10, 20), (2, "P2", 5, 9)], "region_id long, position string, start_ms long, end_ms long")
+    offsets = spark.createDataFrame([("P1", 10)], "position string, chart_offset_ms long")
+    got = {r["id"]: r for r in A.region_rows(areas, offsets).collect()}
+    assert [tuple(a) for a in got[1]["areas"]] == [(10, 20), (50, 60)] and [tuple(a) for a in got[1]["sourceAreas"]] == [(0, 10), (40, 50)]
+    assert (got[1]["start"], got[1]["end"], got[2]["chartOffsetMs"], got[2]["note"]) == (10, 60, 0, "")
