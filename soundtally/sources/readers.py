@@ -142,8 +142,8 @@ def repeat_reports(lines: DataFrame, bands: bool = False) -> DataFrame:
     """
     before = 6 if bands else 5
     body = T.sections(lines).where((F.col("section") == ("RTA Results" if bands else "Broadband Results")) & F.col("line").rlike(r"\S"))
-    names = lambda i: F.transform(F.slice(F.split(F.col("top")[i]["line"], "\t"), before, 9999), clean)
-    heads = T.top(body, 3).where(F.size("top") == 3).select("path", F.col("top")[2]["line_no"].alias("header_no"), names(0).alias("upper"), names(1).alias("lower"))
+    names = lambda i: F.transform(F.slice(F.split(F.get("top", F.lit(i))["line"], "\t"), before, 9999), clean)
+    heads = T.top(body, 3).where(F.size("top") == 3).select("path", F.get("top", F.lit(2))["line_no"].alias("header_no"), names(0).alias("upper"), names(1).alias("lower"))
     rows = body.join(heads, "path").where(F.col("line_no") > F.col("header_no")).withColumn("c", F.split("line", "\t"))
     stamp = lambda i: F.unix_millis(F.try_to_timestamp(F.concat_ws(" ", F.get("c", F.lit(i)), F.get("c", F.lit(i + 1)))))
     cells = F.arrays_zip(F.col("upper").alias("upper"), F.col("lower").alias("lower"), F.slice("c", before + 1, 9999).alias("text"))
