@@ -3,15 +3,15 @@
 Coarse centroids and residual code books are fitted on a bounded sample; every
 vector is indexed. The index is dealt into parts by hash, each a fair sample of all
 lists, and a query visits its nearest lists in every part. Asymmetric distance
-tables rank the codes there, and the best of all parts are reranked with exact
-distances on the original vectors. A large list, of equal vectors say, is spread
-over all parts, and each part hands on little more than its fair share of the
-candidates.
+tables rank the codes there, and the best are reranked with exact distances on the
+original vectors. A code's distance is off by at most the vector's quantisation
+error, which is stored: every other code that this bound lets come as near as the
+last exact distance kept is reranked too, so a part hands on its k truly nearest of
+the visited lists. A large list, of equal vectors say, is spread over all parts.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +23,14 @@ from .common import cut, hashed_sample, partitions
 
 #: Vectors that centroids and code books are fitted on at most, chosen by hash.
 SAMPLE = 16_384
-#: Lists; share of them that a query visits; sub-vectors of a code and values of each; candidates that a query keeps.
+#: Lists; share of them that a query visits; sub-vectors of a code and values of each; candidates that are reranked first in a part.
 LISTS, VISITED, PIECES, CODES, KEPT = 256, 0.5, 32, 256, 100
 #: Vectors of a part and queries of a block on average, which bound a task's memory; smaller tables are dealt into parts of SMALL while the session has partitions for them.
-PART, QUERIES, SMALL = 1_048_576, 131_072, 8_192
-#: Distances that a task holds at once.
-HELD = 4_194_304
+PART, QUERIES, SMALL = 524_288, 524_288, 8_192
+#: Distances that a task holds at once, and vectors that it reranks at once.
+HELD, RERANKED = 4_194_304, 65_536
+#: Rounding of a code's squared distance in single precision, as a share of the squared norms.
+ROUNDING = 2e-5
 
 
 def usable(df: DataFrame, vector: str = "embedding") -> Column:
@@ -65,14 +67,14 @@ class Index:
         self.cuts = [slice(i, min(i + width, x.shape[1])) for i in range(0, x.shape[1], width)]
         self.books = [clusters(rest[:, c], min(CODES, len(x)), 6, rng) for c in self.cuts]
 
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lists, codes, and what a vector's code adds to its distance from any query."""
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lists, codes, what a vector's code adds to its distance from any query, and how far the code is from the vector."""
         lists = nearest(x, self.centroids)
         at = self.centroids[lists]
         rest = x - at
         codes = np.stack([nearest(rest[:, c], b) for c, b in zip(self.cuts, self.books, strict=True)], axis=1).astype(np.uint8)
         known = np.concatenate([b[codes[:, j]] for j, b in enumerate(self.books)], axis=1)
-        return lists, codes, (known * (known + 2 * at)).sum(axis=1)
+        return lists, codes, (known * (known + 2 * at)).sum(axis=1), np.sqrt(((rest - known) ** 2).sum(axis=1))
 
     def gaps(self, q: np.ndarray) -> np.ndarray:
         """Squared distances of queries from centroids."""
@@ -90,12 +92,6 @@ class Index:
         return [-2 * (q[:, c] @ b.T) for c, b in zip(self.cuts, self.books, strict=True)]
 
 
-def fair_share(parts: int, kept: int = KEPT) -> int:
-    """Candidates that a part hands on, so that the best ``kept`` of all are among them but for one part in a billion: parts are dealt by hash, so their shares are nearly Poisson."""
-    mean = kept / parts
-    return min(kept, math.ceil(mean + 6 * math.sqrt(mean) + 6))
-
-
 def smallest(far: np.ndarray, k: int) -> np.ndarray:
     """Places of the k smallest finite values; among equals the first."""
     if len(far) > k:
@@ -107,6 +103,33 @@ def smallest(far: np.ndarray, k: int) -> np.ndarray:
     return out[np.isfinite(far[out])]
 
 
+def squares(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact squared distances of vectors from a query."""
+    return np.concatenate([((x[i : i + RERANKED].astype(np.float64) - q) ** 2).sum(axis=1) for i in range(0, len(x), RERANKED)])
+
+
+def nearest_of(far: np.ndarray, error: np.ndarray, slack: float, x: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact squared distances of the k nearest vectors x of q with finite code distance far, ties by ids.
+
+    error is each vector's distance from its code, slack the rounding of far.
+    """
+    top = smallest(far, max(KEPT, k))
+    if not len(top):
+        return top, np.empty(0)
+    exact = squares(x[top], q)
+    if len(top) >= k:
+        last = np.sqrt(np.partition(exact, k - 1)[k - 1])
+        left = far <= (np.float32(last) + error) ** 2 + np.float32(slack)
+        left[top] = False
+        for i in np.split(rest := np.flatnonzero(left), range(RERANKED, len(rest), RERANKED)):
+            if len(i):
+                top, exact = np.concatenate([top, i]), np.concatenate([exact, squares(x[i], q)])
+                best = np.lexsort((ids[top], exact))[:k]
+                top, exact = top[best], exact[best]
+    best = np.lexsort((ids[top], exact))[:k]
+    return top[best], exact[best]
+
+
 def fit(vectors: DataFrame, n: int) -> Index | None:
     """From a sample by hash of at most SAMPLE of n usable vectors; None if there are none."""
     rows = hashed_sample(vectors, "vec_id", SAMPLE, n).select("embedding").toPandas()["embedding"]
@@ -119,8 +142,9 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 10, visited: floa
     score is the Euclidean distance in double precision; ties go to the smaller
     vec_id. Vectors that are null or zero, or hold null or non-finite components,
     rows without vec_id, and vectors of another length than most of the sample take
-    no part. Repeated rows of a vec_id are one, with the smallest vector. Fewer than k candidates give fewer
-    rows, an empty table none.
+    no part. Repeated rows of a vec_id are one, with the smallest vector. The result is
+    exact but for lists that are not visited. Fewer than k candidates give fewer rows,
+    an empty table none.
     """
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(df)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     spark = embeddings.sparkSession
@@ -135,25 +159,29 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 10, visited: floa
     index = spark.sparkContext.broadcast(fit(base, n))
     parts = max(-(-n // PART), min(partitions(base), -(-n // SMALL)))
     blocks = max(1, -(-asked.count() // QUERIES))
-    share = fair_share(parts)
+    kind = "f8" if base.schema["embedding"].dataType.elementType.typeName() == "double" else "f4"
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                lists, codes, added = index.value.place(np.array(pdf["embedding"].tolist(), dtype=np.float32))
-                yield pd.DataFrame({"list": lists, "vec_id": pdf["vec_id"], "added": added, "codes": [c.tobytes() for c in codes]})
+                x = np.array(pdf["embedding"].tolist(), dtype=kind)
+                lists, codes, added, error = index.value.place(x.astype(np.float32))
+                yield pd.DataFrame({"list": lists, "vec_id": pdf["vec_id"], "added": added, "error": error, "codes": [c.tobytes() for c in codes], "vector": [v.tobytes() for v in x]})
 
     def scan(_, codes: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(codes) and len(asking):
             codes = codes.sort_values(["list", "vec_id"], ignore_index=True)
-            ids, added = codes["vec_id"].to_numpy(), codes["added"].to_numpy()
+            ids, added, error = (codes[c].to_numpy() for c in ("vec_id", "added", "error"))
+            x = np.frombuffer(b"".join(codes["vector"]), kind).reshape(len(ids), -1)
+            size = max(float((x[i : i + RERANKED].astype(np.float64) ** 2).sum(axis=1).max()) for i in range(0, len(ids), RERANKED))
             code = np.ascontiguousarray(np.frombuffer(b"".join(codes["codes"]), np.uint8).reshape(len(ids), -1).T)
             lists, start = np.unique(codes["list"].to_numpy(), return_index=True)
             stop, q_ids = [*start[1:], len(ids)], asking["query_id"].to_numpy()
             step = max(1, min(128, HELD // len(ids)))
             for i in range(0, len(asking), step):
-                q = np.array(asking["query"].iloc[i : i + step].tolist(), dtype=np.float32)
+                true = np.array(asking["query"].iloc[i : i + step].tolist(), dtype=np.float64)
+                q = true.astype(np.float32)
                 gaps, tables = index.value.gaps(q), index.value.tables(q)
                 goes = index.value.visits(gaps, visited)
                 far = np.full((len(q), len(ids)), np.inf, np.float32)
@@ -166,21 +194,17 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = 10, visited: floa
                         far[who, a:b] = sums
                 far[q_ids[i : i + step, None] == ids] = np.inf
                 for j, row in enumerate(far):
-                    top = smallest(row, share)
-                    found.append(pd.DataFrame({"query_id": q_ids[i + j], "vec_id": ids[top], "far": row[top]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "far": []})
+                    top, exact = nearest_of(row, error, ROUNDING * (size + float(true[j] @ true[j])), x, true[j], ids, k)
+                    found.append(pd.DataFrame({"query_id": q_ids[i + j], "vec_id": ids[top], "score": np.sqrt(exact)}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    placed = base.repartition(partitions(base)).mapInPandas(place, "list int, vec_id long, added float, codes binary")
+    placed = base.repartition(partitions(base)).mapInPandas(place, "list int, vec_id long, added float, error float, codes binary, vector binary")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = placed.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), each(blocks).alias("block"), "list", "vec_id", "added", "codes")
+    dealt = placed.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), each(blocks).alias("block"), "list", "vec_id", "added", "error", "codes", "vector")
     going = asked.select(each(parts).alias("part"), F.pmod(F.xxhash64(F.lit(6), "vec_id"), F.lit(blocks)).cast("int").alias("block"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     # a task's work follows from vectors times queries, not from bytes, so small partitions aren't to be joined
     tasks = max(partitions(base), parts * blocks)
     dealt, going = (df.repartition(tasks, "part", "block") for df in (dealt, going))
-    ranked = dealt.groupBy("part", "block").cogroup(going.groupBy("part", "block")).applyInPandas(scan, "query_id long, vec_id long, far float")
-    best = ranked.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("far", "vec_id"))).where(F.col("n") <= KEPT).select("query_id", "vec_id")
-    both = best.join(base, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
-    gap = F.aggregate(F.zip_with("embedding", "query", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    scored = both.select("query_id", "vec_id", F.sqrt(gap).alias("score"))
+    found = dealt.groupBy("part", "block").cogroup(going.groupBy("part", "block")).applyInPandas(scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

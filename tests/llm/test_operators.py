@@ -136,6 +136,25 @@ def test_neighbours_recall(spark):
     assert ann.search(empty, empty).count() == 0
 
 
+def test_neighbours_among_noisy_copies(spark, monkeypatch):
+    # few of the group are in the sample, as in a large table
+    monkeypatch.setattr(ann, "SAMPLE", 2048)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((40_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:500] = x[0] + 0.002 / 8 * rng.standard_normal((500, 64))
+    df = vectors(spark, x)
+    got = {}
+    for r in ann.search(df, df.where("vec_id < 500 and vec_id % 20 = 0"), 10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    hit = 0
+    for q, found in got.items():
+        d = ((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len({v for _, v in found} & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 25 and hit >= 0.99 * 250
+
+
 def test_near_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((800, 16)).astype(np.float32)
