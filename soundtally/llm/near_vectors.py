@@ -8,7 +8,9 @@ share of all vectors, so enumerating every line's windows grows with the square
 the input. The lines are therefore sorted jointly first: in each of ``TABLES``
 tables a few further lines, each cut at its sample median, give a vector's cell, and
 windows are searched inside cells, the number of lines growing with the logarithm
-of the input.
+of the input at most. How often a median parts a near pair is measured on the sample,
+as vectors with a common mean direction lie close to their medians; the number of
+tables follows from that.
 
 A pair is counted in the first table in which it shares a cell, so links are summed
 without spelling pairs out. Equal vectors are collapsed first.
@@ -30,8 +32,12 @@ from .common import components, cut, hashed_sample, partitions, runs, tree
 LINES, WINDOW, MISSED = 64, 1.6, 1e-6
 #: Vectors that a cell holds on average, and at most in one block; larger cells are searched block by block.
 CELL, BLOCK = 48, 1_024
+#: Vectors that cost as much to search in a cell as one costs to be placed.
+PLACED = 3.5 * CELL
 #: Vectors that the medians are taken of at most, chosen by hash.
 SAMPLE = 8_192
+#: Lines on which parted() measures, and vectors at most.
+TRIALS = 2_048
 
 
 def share_in_window(z: float) -> float:
@@ -48,10 +54,41 @@ def needed(lines: int = LINES, window: float = WINDOW, missed: float = MISSED) -
     return lines
 
 
-def tables_for(bits: int, cosine: float, missed: float = 1e-5) -> int:
-    """Tables after which a pair at the threshold shares no cell with probability below ``missed``; a line's median parts it with probability angle / pi."""
-    share = (1 - math.acos(cosine) / math.pi) ** bits
-    return math.ceil(math.log(missed) / math.log1p(-share))
+def parted(sample: np.ndarray, cosine: float) -> np.ndarray:
+    """How often a random line, cut at its median, parts a pair at the threshold, by the vector of the unit sample that the pair lies about.
+
+    The middle of a pair lies as much nearer to the sample's mean as its half
+    distance asks for. The half distance along a line is normal, whatever the middle
+    is, so the line parts the pair where that is more than the middle's distance
+    from the median. An empty sample counts as one of vectors all about.
+    """
+    if not len(sample):
+        return np.array([math.acos(cosine) / math.pi])
+    half, sample = math.sqrt((1 - cosine) / 2), sample[:TRIALS]
+    p = sample.astype(np.float32) @ np.random.default_rng(80).standard_normal((sample.shape[1], TRIALS)).astype(np.float32)
+    about = ((sample - sample.mean(axis=0)) ** 2).sum(axis=1).mean()
+    shrunk = math.sqrt(max(1 - half * half / about, 0.1)) if about > 0 else 0.0
+    grid = np.linspace(0, 6, 6001)
+    beyond = np.array([math.erfc(z / math.sqrt(2)) for z in grid])
+    return np.interp(np.abs(p - np.median(p, axis=0)) * (shrunk / half), grid, beyond, right=0.0).mean(axis=1)
+
+
+def tables_for(bits: int, part: np.ndarray, missed: float = 1e-5) -> int:
+    """Tables of so many lines after which a pair at the threshold shares no cell with probability below ``missed``, on average over what parted() gives."""
+    alone = np.log1p(-np.minimum((1 - part) ** bits, 1 - 1e-12))
+    few, many = 0, 1
+    while np.exp(many * alone).mean() > missed:
+        few, many = many, 2 * many
+    while many - few > 1:
+        mid = (few + many) // 2
+        few, many = (mid, many) if np.exp(mid * alone).mean() > missed else (few, mid)
+    return many
+
+
+def bits_for(n: int, part: np.ndarray) -> int:
+    """Lines a table: as many as leave CELL vectors in a cell, or fewer where the tables that they ask for cost more than larger cells do."""
+    most = max(2, round(math.log2(max(4, n / CELL))))
+    return min(range(most, -1, -1), key=lambda b: tables_for(b, part) * (PLACED * (1 + n / 2**b / BLOCK) + n / 2**b))
 
 
 def unit(rows: pd.Series) -> np.ndarray:
@@ -66,8 +103,9 @@ class Lines:
     def __init__(self, width: int, n: int, cosine: float, sample: np.ndarray):
         rng = np.random.default_rng(8)
         self.cosine = cosine
-        self.bits = max(2, round(math.log2(max(4, n / CELL))))
-        self.tables = tables_for(self.bits, cosine)
+        part = parted(sample, cosine)
+        self.bits = bits_for(n, part)
+        self.tables = tables_for(self.bits, part)
         self.axes = rng.standard_normal((width, LINES)).astype(np.float32)
         self.window = np.float32(WINDOW * math.sqrt(2 - 2 * cosine))
         self.guides = rng.standard_normal((width, self.tables * self.bits)).astype(np.float32)
@@ -103,8 +141,9 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.9) -> DataFrame:
 
     def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 1000):
-                part = pdf.iloc[i : i + 1000]
+            step = max(1, min(1000, 8_000_000 // (lines.value.tables * max(1, lines.value.bits))))
+            for i in range(0, len(pdf), step):
+                part = pdf.iloc[i : i + step]
                 cells = lines.value.cells(unit(part["embedding"]))
                 t = np.tile(np.arange(cells.shape[1]), len(part))
                 yield pd.DataFrame({"t": t, "cell": cells.ravel(), "id": np.repeat(part["id"].to_numpy(), cells.shape[1])})

@@ -169,6 +169,27 @@ def test_near_vectors_equal_brute_force(spark):
     assert got[9002]["n_links"] == 0 and got[9002]["kept"] and got[None]["kept"]
 
 
+def test_near_vectors_with_a_common_mean(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    mean, n = unit(rng.standard_normal((1, 64))), 2500
+    x = unit(np.sqrt(0.7) * mean + np.sqrt(0.3) * unit(rng.standard_normal((n, 64))))
+    side = unit(rng.standard_normal((n, 64)))
+    side = unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    side = unit(side + 0.7 * (mean - (mean * x).sum(axis=1, keepdims=True) * x))
+    both = np.concatenate([x, 0.901 * x + np.sqrt(1 - 0.901**2) * side]).astype(np.float32)
+    u = unit(both.astype(np.float64))
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = table(near_vectors.near_vectors(vectors(spark, both)), "vec_id")
+    assert near.sum() >= 4000
+    # a table of a million such vectors, which is cut into small cells
+    lines_ = near_vectors.Lines(64, 1_000_000, 0.9, unit(x))
+    pairs = [lines_.cells(part) for part in (u[:n], u[n:])]
+    assert lines_.bits >= 8 and (~(pairs[0] == pairs[1]).any(axis=1)).sum() <= 2
+    assert [got[i]["n_links"] for i in range(2 * n)] == near.sum(axis=1).tolist()
+
+
 def test_quality(spark, odd, none):
     # the smallest table has 19 held-out labels, too few to tell
     larger = SF.replace("0.001", "0.01")
