@@ -3,11 +3,15 @@
 A text is canonical in lower case, without lines that state a copyright, with
 every run of other characters than a-z and 0-9 made one space, and with one
 spelling of words that have several. Its SHA-256 is joined with the digests of
-known licences. A document is looked up as a whole, and each of its lines too.
+known licences. A document is looked up as a whole, and each of its lines and of
+its paragraphs too. The whole texts of common licences lie in ``licence_texts``.
 """
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +61,33 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
 }
+# What a paragraph must name to stand for a long licence, parts of which other licences have too.
+NAMED = {
+    "Apache-2.0": ["apache license"],
+    "GPL-2.0": ["gnu general public license", "version 2"],
+    "GPL-3.0": ["gnu general public license", "version 3"],
+    "LGPL-2.1": ["gnu lesser general public license", "version 2 1"],
+    "LGPL-3.0": ["gnu lesser general public license", "version 3"],
+    "MPL-1.1": ["mozilla public license"],
+    "MPL-2.0": ["mozilla public license"],
+    "GFDL-1.3": ["gnu free documentation license", "version 1 3"],
+    "CC0-1.0": ["cc0"],
+    "CC-BY-SA-4.0": ["sharealike"],
+    "OFL-1.1": ["sil open font license"],
+}
+# Headings of files that hold a short licence.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License"],
+    "Zlib": ["zlib License", "The zlib License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+}
+#: Words that a paragraph of a known text has at least, and a heading at most.
+WORDS = 8
+#: Lines of running text or list items that only begin like a copyright statement, where a text is wrapped there.
+RUNNING = r"^\W*(copyright([,.;-]|ed|able|\W*$|\W+(like|if|also|resulting|the library|then|doctrine|exception|holder|owner|notice|law|licen[cs]e|statement|interest|and |or |in |on |to |of |for |is |as |that |which |treat|disclaim|permission|right|line))|\(c\) +[a-z])"
 COPYRIGHT = r"^\W*(copyright|\(c\)|©|all rights reserved)"
 
 
@@ -77,11 +108,63 @@ def canonical(line: Column) -> Column:
     return F.when(low.rlike(COPYRIGHT), F.lit("")).otherwise(spelt)
 
 
-def known(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
-    """(digest, license) of known licence texts; as large as the table passed in, which is a constant of this module by default."""
-    rows = [(k, t) for k, many in (texts or KNOWN).items() for t in many]
+def running(line: Column, c: Column) -> Column:
+    """Canonical form c of one line, but not empty where the line belongs to a sentence."""
+    again = F.trim(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " "))
+    return F.when((c == "") & F.lower(line).rlike(RUNNING), _spelt(again)).otherwise(c)
+
+
+def paragraphs(c: Column) -> Column:
+    """Runs of lines that are not empty among canonical lines c, joined into one line each: (first, last, text)."""
+    full = lambda i: F.coalesce(F.get(c, i) != "", F.lit(False))
+    edge = lambda to: F.filter(F.transform(c, lambda x, i: F.when((x != "") & ~full(i + to), i)), lambda i: i.isNotNull())
+    joined = F.array_join(F.transform(c, lambda x: F.when(x == "", F.lit("\n")).otherwise(x)), " ")
+    texts = F.filter(F.transform(F.split(joined, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.arrays_zip(edge(-1).alias("first"), edge(1).alias("last"), texts.alias("text"))
+
+
+def texts() -> dict[str, str]:
+    """Whole licence texts by name."""
+    files = [f for f in resources.files(__package__).joinpath("licence_texts").iterdir() if f.name.endswith(".txt")]
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8").replace("<copyright notice>", "") for f in sorted(files, key=lambda f: f.name)}
+
+
+def forms(name: str, text: str) -> list[str]:
+    """A text with and without heading, list numbers and what follows its terms."""
+    out = [text]
+    if len(terms := re.split(r"\n\W*END OF TERMS AND CONDITIONS\W*\n", text, maxsplit=1)) == 2:
+        out += [terms[0], f"{terms[0]}\nEND OF TERMS AND CONDITIONS"]
+    for form in list(out):
+        parts = re.split(r"\n\s*\n", form.strip())
+        if name not in NAMED:
+            out.append(re.sub(r"(?m)^\s*\d+\.\s", "", form))
+        while len(parts) > 1 and (len(parts[0].split()) <= WORDS or re.match(COPYRIGHT, parts[0].lower())):
+            parts = parts[1:]
+            out.append("\n\n".join(parts))
+            if name in TITLES:
+                out.append(re.sub(r"(?m)^\s*\d+\.\s", "", out[-1]))
+    bare = list(dict.fromkeys(out))
+    return list(dict.fromkeys([*bare, *(f"{title}\n\n{form}" for title in TITLES.get(name, []) for form in bare)]))
+
+
+def known(spark: SparkSession, texts_: dict[str, list[str]] | None = None) -> DataFrame:
+    """(digest, license) of known licence texts; as large as the table passed in, which is the constants of this module and the texts beside it by default.
+
+    Of the texts beside it, paragraphs are known too where no other of these licences has them.
+    """
+    rows = [(k, t) for k, many in (texts_ or KNOWN).items() for t in many]
     df = spark.createDataFrame(rows, "license string, body string")
-    return df.select(_digest(_whole(F.split("body", "\n"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    noted = df.select(_digest(_whole(F.split("body", "\n"))).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    if texts_:
+        return noted
+    lined = lambda d: d.withColumn("l", F.split("body", "\n")).withColumn("c", F.transform("l", lambda x: running(x, canonical(x))))
+    every = lined(spark.createDataFrame([(k, form) for k, t in texts().items() for form in forms(k, t)], "license string, body string"))
+    wholes = every.select(_digest(F.array_join(F.filter("c", lambda x: x != ""), " ")).alias("digest"), "license")
+    parts = lined(spark.createDataFrame([(k, t, NAMED.get(k, [])) for k, t in texts().items()], "license string, body string, named array<string>"))
+    parts = parts.select("license", "named", F.explode(paragraphs(F.col("c"))["text"]).alias("p")).select("license", "named", F.explode(F.array("p", F.regexp_replace("p", "^[0-9]+ ", ""))).alias("p"))
+    parts = parts.where((F.size(F.split("p", " ")) >= WORDS) & F.forall("named", lambda x: F.col("p").contains(x)))
+    more = wholes.unionByName(parts.select(_digest(F.col("p")).alias("digest"), "license")).groupBy("digest").agg(F.min("license").alias("license"), F.max("license").alias("other"))
+    return noted.unionByName(more.where("license = other").drop("other").join(noted, "digest", "left_anti"))
 
 
 def _whole(lines: Column) -> Column:
@@ -93,15 +176,20 @@ def _digest(c: Column) -> Column:
 
 
 def scan(docs: DataFrame, licences: DataFrame | None = None) -> DataFrame:
-    """doc_id, line_no, license: each line of docs (doc_id, text) that is a known licence text; line_no -1 for a whole document of several lines.
+    """doc_id, line_no, license: each line of docs (doc_id, text) that is a known licence text; line_no -1 for a whole document of several lines, and a paragraph's first line for one of several lines in a document of several paragraphs.
 
     A null, empty or blank text has none; nor has a row without doc_id. Rows that
     share a doc_id give each their own rows. An empty table gives an empty result.
     """
     found = known(docs.sparkSession) if licences is None else licences
-    canon = docs.where("doc_id is not null").select("doc_id", F.transform(F.split(F.col("text").cast("string"), "\n"), canonical).alias("c"))
+    lines = docs.where("doc_id is not null").select("doc_id", F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x: F.struct(x.alias("l"), canonical(x).alias("c"))).alias("l"))
+    canon = lines.select("doc_id", F.col("l.c").alias("c"), F.transform("l", lambda x: running(x["l"], x["c"])).alias("r"))
+    canon = canon.select("doc_id", "c", "r", paragraphs(F.col("r")).alias("p"))
     full = F.filter("c", lambda x: x != "")
     units = F.concat(F.transform("c", lambda x, i: F.struct(i.alias("line_no"), F.when(x != "", _digest(x)).alias("digest"))), F.array(F.struct(F.lit(-1).alias("line_no"), F.when(F.size(full) > 1, _digest(F.array_join(full, " "))).alias("digest"))))
+    wrapped = F.transform(F.filter("p", lambda p: (p["last"] > p["first"]) & (F.size("p") > 1)), lambda p: F.struct(p["first"].alias("line_no"), _digest(p["text"]).alias("digest")))
+    other = F.array(F.struct(F.lit(-1).alias("line_no"), F.when((F.col("r") != F.col("c")) & (F.size("r") > 1), _digest(F.array_join(F.filter("r", lambda x: x != ""), " "))).alias("digest")))
+    units = F.concat(units, wrapped, other)
     each = canon.select("doc_id", F.explode(F.filter(units, lambda u: u["digest"].isNotNull())).alias("u")).select("doc_id", "u.line_no", "u.digest")
     # a constant of this module, or what the caller chose to be small
     return each.join(F.broadcast(found), "digest").select("doc_id", "line_no", "license")

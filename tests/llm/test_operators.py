@@ -1,4 +1,6 @@
 import random
+import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -53,6 +55,22 @@ def test_licences(spark, odd, none):
     assert (1, -1, "MIT") in {tuple(r) for r in licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
 
 
+def test_licences_whole_and_wrapped(spark):
+    whole, out = licences.texts(), {}
+    wrap = lambda t, n: "\n\n".join(p if "opyright (" in p else textwrap.fill(" ".join(p.split()), n) for p in re.split(r"\n\s*\n", t))
+    mit = whole["MIT"].split("\n\n", 2)[2]
+    docs = [(f"{k} {n}", wrap(t, n)) for k, t in whole.items() for n in (60, 78) if k not in ("GPL-2.0", "LGPL-2.1", "MPL-1.1")]
+    docs += [(k, t) for k, t in whole.items()]
+    docs += [("file", f"The MIT License (MIT)\n\nCopyright (c) 2020 Me\n\n{wrap(mit, 70)}"), ("inside", f"My words\n\n# {wrap(mit, 60)}\n\nmore words")]
+    docs += [("header", "def f():\n\n" + textwrap.indent(textwrap.fill('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', 60), "# ") + "\n\nreturn")]
+    for r in licences.scan(spark.createDataFrame(docs, "doc_id string, text string")).collect():
+        out.setdefault(r["doc_id"], []).append((r["line_no"], r["license"]))
+    for k in whole:
+        assert {v for d in out if d.split()[0] == k for v in out[d] if v[0] == -1} == {(-1, k)} and (-1, k) in out[k], k
+    assert all(out[d].count((-1, d.split()[0])) == 1 for d, _ in docs[:-3]), [d for d, _ in docs[:-3] if (-1, d.split()[0]) not in out.get(d, [])]
+    assert (-1, "MIT") in out["file"] and {v for _, v in out["inside"]} == {"MIT"} and out["header"] == [(2, "Apache-2.0")]
+
+
 def test_unigram_counts_as_the_library(spark, odd, none):
     model = unigram.loaded(PIECES)
     vocabulary = [None] * len(model.ids)
