@@ -103,5 +103,9 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs as often as the mixture has them, with their columns."""
-    times = passes(docs, **how).where("passes > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("passes").cast("int").alias("__n"))
-    return docs.join(times, docs["doc_id"] == F.col("__id")).withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    often = passes(docs, **how).where("passes > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s")).agg(F.max("passes").cast("int").alias("__n"))
+    same = docs["source"].cast("string").eqNullSafe(F.col("__s"))
+    known = docs.join(often.where("__id is not null"), (docs["doc_id"] == F.col("__id")) & same)
+    # rows without doc_id hash alike, so that all of a source have the same passes: at most one row a source
+    blank = docs.where(docs["doc_id"].isNull()).join(F.broadcast(often.where("__id is null")), same)
+    return known.unionByName(blank).withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)

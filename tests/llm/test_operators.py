@@ -246,6 +246,15 @@ def test_mixing(spark, odd, none):
     assert mixing.passes(odd).count() == len(ODD) and mixing.mixture(none).count() == 0 and mixing.mixed(odd).columns == odd.columns
 
 
+def test_mixed_keeps_rows_without_id(spark):
+    rows = [(i if i % 5 else None, f"a b c {i}", None if i % 7 == 0 else "big" if i % 10 else "small") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    often = {tuple(r) for r in mixing.passes(docs, entropy=1.0).where("doc_id is null").select("source", "passes").collect()}
+    got = [tuple(r) for r in mixing.mixed(docs, entropy=1.0).collect()]
+    assert len(often) == 3 and max(n for _, n in often) > 1
+    assert all(got.count(r) == dict(often)[r[2]] for r in rows if r[0] is None) and len(got) == mixing.mixture(docs, entropy=1.0).count()
+
+
 def test_pipeline(spark):
     docs, before = spark.read.parquet(f"{SF}/documents.parquet"), None
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
