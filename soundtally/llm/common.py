@@ -48,6 +48,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(partitions(df))
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], by: str, rows: int) -> DataFrame:
+    """big, of so many rows, joined with small, which has one row for each of keys and says in copies how many rows of big have it.
+
+    A key with over half a task's fair share of rows is met in several parts: its
+    rows of big are dealt over them by hash of ``by``, and its row of small is repeated
+    for each. There are at most two such keys a shuffle partition.
+    """
+    share = max(1, rows // (4 * partitions(big)))
+    parts = F.ceil(F.col("copies") / share).cast("int")
+    heavy = small.where(F.col("copies") > 2 * share).select(*keys, parts.alias("__parts"))
+    dealt = big.join(F.broadcast(heavy), keys, "left").withColumn("__part", F.pmod(F.xxhash64(by), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    there = F.when(F.col("copies") > 2 * share, parts).otherwise(1)
+    return dealt.join(small.withColumn("__part", F.explode(F.sequence(F.lit(0), there - 1))).drop("copies"), [*keys, "__part"]).drop("__part")
+
+
 def hashed_sample(df: DataFrame, key: str, size: int, n: int) -> DataFrame:
     """At most size of the n rows of df, first by hash of key. A bound on the hash leaves about four times as many before they are sorted, so that large tables don't sort in one task."""
     h = F.xxhash64(F.lit(3), key)

@@ -187,14 +187,15 @@ def test_near_vectors_equal_brute_force(spark):
     assert got[9002]["n_links"] == 0 and got[9002]["kept"] and got[None]["kept"]
 
 
-def test_near_vectors_with_a_common_mean(spark):
+@pytest.mark.parametrize("cosine", [0.0, 0.5, 0.7, 0.8, 0.85])
+def test_near_vectors_with_a_common_mean(spark, cosine):
     rng = np.random.default_rng(5)
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
     mean, n = unit(rng.standard_normal((1, 64))), 2500
-    x = unit(np.sqrt(0.7) * mean + np.sqrt(0.3) * unit(rng.standard_normal((n, 64))))
+    x = unit(np.sqrt(cosine) * mean + np.sqrt(1 - cosine) * unit(rng.standard_normal((n, 64))))
     side = unit(rng.standard_normal((n, 64)))
     side = unit(side - (side * x).sum(axis=1, keepdims=True) * x)
-    side = unit(side + 0.7 * (mean - (mean * x).sum(axis=1, keepdims=True) * x))
+    side = unit(side + cosine * (mean - (mean * x).sum(axis=1, keepdims=True) * x))
     both = np.concatenate([x, 0.901 * x + np.sqrt(1 - 0.901**2) * side]).astype(np.float32)
     u = unit(both.astype(np.float64))
     near = u @ u.T >= 0.9
@@ -204,10 +205,37 @@ def test_near_vectors_with_a_common_mean(spark):
     # a table of a million such vectors, which is cut into small cells
     lines_ = near_vectors.Lines(64, 1_000_000, 0.9, unit(x))
     pairs = [lines_.cells(part) for part in (u[:n], u[n:])]
-    assert lines_.bits >= 8 and (~(pairs[0] == pairs[1]).any(axis=1)).sum() <= 2
+    assert (lines_.layout.picks > 0 or cosine > 0.7) and (~(pairs[0] == pairs[1]).any(axis=1)).sum() <= 2
     assert [got[i]["n_links"] for i in range(2 * n)] == near.sum(axis=1).tolist()
 
 
+def test_near_vectors_in_small_cells_of_clusters(spark, monkeypatch):
+    # as if cells cost nothing to open and pairs much to count, so that a small table is cut finely
+    monkeypatch.setattr(near_vectors, "OPENED", 1.0)
+    monkeypatch.setattr(near_vectors, "COUNTED", 1.0)
+    monkeypatch.setattr(near_vectors, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((20, 32))
+    x = (centres[rng.integers(0, 20, 3000)] + 0.33 * rng.standard_normal((3000, 32))).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    assert near_vectors.layout(u, len(x), 0.9).picks > 0
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = table(near_vectors.near_vectors(vectors(spark, x)), "vec_id")
+    lost = near.sum() - sum(r["n_links"] for r in got.values())
+    assert 0 <= lost <= 1e-4 * near.sum() and near.sum() > 10_000
+
+
+def test_collisions_are_counted_exactly():
+    rng = np.random.default_rng(7)
+    for nx, ny in ((1, 1), (3, 200), (130, 64), (65, 129)):
+        px, py = (rng.standard_normal((n, 9)).astype(np.float32) for n in (nx, ny))
+        count = (np.abs(px[:, None] - py[None]) <= np.float32(0.7)).sum(axis=2)
+        for least in (1, 4, 5, 9, 10):
+            a, b = near_vectors.colliding(px, py, np.float32(0.7), least)
+            assert set(zip(a.tolist(), b.tolist(), strict=True)) == set(zip(*(v.tolist() for v in np.nonzero(count >= least)), strict=True))
+
+
 def test_quality(spark, odd, none):
     # the smallest table has 19 held-out labels, too few to tell
     larger = SF.replace("0.001", "0.01")
