@@ -1,10 +1,12 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
-Rows start evenly dealt. In each round every linked row looks at the shards of its
-neighbours and wants to move to the one that holds most of them. Moves from shard
-a to b may be as many as go from b to a, plus rows without links that b can send
-back, so every round keeps the row counts. Links are given as membership of hubs:
-the rows of a hub are linked with each other, and no pair is ever spelt out.
+Rows start evenly dealt. Links are given as membership of hubs: the rows of a hub are
+linked with each other, and no pair is ever spelt out. In each round the members of
+every hub look at the shards of their neighbours, and the hub votes for the one with
+most of them that has room for all. A shard takes the hubs that vote for it, large
+ones first, up to its quota, and those that found no room vote again for what is left.
+A hub for which no shard has room takes all of one and goes on with the rest. Rows
+without links fill the quotas, so that row counts are at most one apart.
 """
 
 from __future__ import annotations
@@ -12,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, text_bytes
+from .common import cut, partitions, salted_join, text_bytes
 
-ROUNDS = 3
+#: Rounds of votes at most, after which the rows of hubs that still have no place fill quotas like rows without links; passes at most where rows are in several hubs.
+ROUNDS, PASSES = 40, 4
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -31,57 +34,109 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank"
     return dealt.withColumn("__at", F.row_number().over(inner) - 1).join(F.broadcast(sums), [*by, "__part"]).withColumn(name, (F.col("__from") + F.col("__at")).cast("long")).drop("__part", "__at", "__from")
 
 
+def before(df: DataFrame, by: list[str], size: str, name: str = "start") -> DataFrame:
+    """df (hub, size, ...) with what the sizes before a row sum up to within the groups ``by``: larger sizes first, equal classes of them in hashed parts.
+
+    The parts are at most 4 a shuffle partition, group and power of two; by must have few groups.
+    """
+    parts, h = 4 * partitions(df), F.xxhash64(F.lit(37), "hub")
+    dealt = df.withColumn("__part", (63 - F.floor(F.log2(F.col(size)))) * parts + F.pmod(h, F.lit(parts)))
+    earlier = Window.partitionBy(*by).orderBy("__part")
+    sums = dealt.groupBy(*by, "__part").agg(F.sum(size).alias("__n")).withColumn("__from", F.sum("__n").over(earlier) - F.col("__n")).drop("__n")
+    inner = Window.partitionBy(*by, "__part").orderBy(h, "hub").rowsBetween(Window.unboundedPreceding, 0)
+    met = dealt.withColumn("__at", F.sum(size).over(inner) - F.col(size)).join(F.broadcast(sums), [*by, "__part"])
+    return met.withColumn(name, (F.col("__from") + F.col("__at")).cast("long")).drop("__part", "__at", "__from")
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, hub) of the rows whose text another document has too."""
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(5), "text").alias("g")).distinct()
-    many = keyed.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keyed.join(many, ["h", "g"]).select("doc_id", F.xxhash64("h", "g").alias("hub"))
+    many = keyed.groupBy("h", "g").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return salted_join(keyed, cut(many), ["h", "g"], "doc_id", docs.count()).select("doc_id", F.xxhash64("h", "g").alias("hub"))
 
 
-def _quotas(flow: DataFrame, free: DataFrame, spark) -> DataFrame:
-    """(a, b, quota, fill, first): rows that may move from a to b, and free rows that move the other way in exchange, numbered from first."""
-    back = flow.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("back"))
-    both = flow.join(back, ["a", "b"], "left").withColumn("even", F.least("n", F.coalesce("back", F.lit(0)))).withColumn("over", F.col("n") - F.col("even"))
-    spare = both.join(free.select(F.col("shard").alias("b"), F.col("n").alias("spare")), "b", "left")
-    fill = F.least(F.col("over"), F.floor(F.coalesce("spare", F.lit(0)) * F.col("over") / F.greatest(F.sum("over").over(Window.partitionBy("b")), F.lit(1))))
-    filled = spare.withColumn("fill", fill.cast("long"))
-    upto = Window.partitionBy("b").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
-    return filled.select("a", "b", (F.col("even") + F.col("fill")).alias("quota"), "fill", F.coalesce(F.sum("fill").over(upto), F.lit(0)).alias("first"))
+def granted(hubs: DataFrame, votes: DataFrame, rooms: list[int]) -> DataFrame:
+    """(hub, shard, first, take): which of a hub's rows, from the first, a shard takes; what finds no room in ROUNDS rounds isn't there.
 
-
-def balanced_shards(docs: DataFrame, shards: int = 8, links: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+    hubs: hub, size; votes: hub, shard, n; rooms: rows that each shard may take.
+    """
+    shards, spark = len(rooms), hubs.sparkSession
+    known = votes.groupBy("hub").agg(F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("votes"))  # at most a pair a shard
+    left = cut(hubs.join(known, "hub", "left").withColumn("left", F.col("size")))
+    out = spark.createDataFrame([], "hub long, shard int, first long, take long")
+    for _ in range(ROUNDS):
+        if not any(rooms) or left.isEmpty():
+            break
+        room = F.array(*[F.lit(r).cast("long") for r in rooms])
+        fit = lambda s: F.element_at(room, s + 1)
+        open_to = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: fit(s) > 0)
+        wish = F.transform(open_to, lambda s: F.struct((fit(s) >= F.col("left")).alias("fits"), F.coalesce(F.element_at("votes", s), F.lit(0)).alias("n"), F.xxhash64("hub", s).alias("tie"), s.alias("shard")))
+        asked = before(left.withColumn("shard", F.array_max(wish)["shard"]), ["shard"], "left")
+        free = fit(F.col("shard")) - F.col("start")
+        take = F.when(F.col("left") <= free, F.col("left")).when(F.col("left") > max(rooms), F.greatest(free, F.lit(0))).otherwise(0)
+        told = cut(asked.withColumn("take", take.cast("long")).withColumn("first", F.col("size") - F.col("left")))
+        for r in told.groupBy("shard").agg(F.sum("take").alias("take")).collect():  # a row a shard
+            rooms[r["shard"]] -= r["take"]
+        out = out.unionByName(told.where("take > 0").select("hub", "shard", "first", "take"))
+        left = told.where("left > take").select("hub", "size", "votes", (F.col("left") - F.col("take")).alias("left"))
+    return cut(out)
+
+
+def propagated(state: DataFrame, links: DataFrame, shards: int, n: int) -> DataFrame:
+    """state (doc_id, size, text_crc32, shard) after one pass of votes."""
+    tie = F.xxhash64(F.lit(17), "doc_id", "text_crc32")
+    sizes = cut(links.groupBy("hub").agg(F.count(F.lit(1)).alias("copies")))
+    m = links.count()
+    # a row goes with the largest of its hubs
+    lead = salted_join(links, sizes.withColumn("members", F.col("copies")), ["hub"], "doc_id", m).groupBy("doc_id").agg(F.max(F.struct("members", "hub"))["hub"].alias("hub"))
+    led = cut(state.join(lead, "doc_id", "left"))
+    where = state.where("doc_id is not null").groupBy("doc_id", "shard").agg(F.count(F.lit(1)).alias("n"))
+    votes = links.join(where, "doc_id").groupBy("hub", "shard").agg(F.sum("n").alias("n"))
+    hubs = cut(led.where("hub is not null").groupBy("hub").agg(F.count(F.lit(1)).alias("size")))
+    rooms = [n // shards + (s < n % shards) for s in range(shards)]
+    grants = granted(hubs, votes, rooms)
+    met = cut(grants.join(hubs, "hub"))
+    whole = met.where("take = size").select("hub", F.col("shard").alias("to"), F.col("size").alias("copies"))
+    linked = led.where("hub is not null")
+    going = salted_join(linked, whole, ["hub"], "doc_id", n).select("doc_id", "size", "text_crc32", F.col("to").alias("shard"))
+    # a hub is split only where it fills a shard, so at most a row a shard is broadcast here
+    part = met.where("take < size").select("hub", F.col("shard").alias("to"), "first", (F.col("first") + F.col("take")).alias("last"))
+    split = ranked(linked.join(F.broadcast(part.select("hub").distinct()), "hub"), ["hub"], [tie, F.col("size")])
+    met_part = split.join(F.broadcast(part), (split["hub"] == part["hub"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")), "left")
+    some = cut(met_part.select("doc_id", "size", "text_crc32", "to"))
+    lost = linked.join(met.select("hub").distinct(), "hub", "left_anti")
+    rest = led.where("hub is null").select("doc_id", "size", "text_crc32")
+    rest = rest.unionByName(lost.select("doc_id", "size", "text_crc32")).unionByName(some.where("to is null").select("doc_id", "size", "text_crc32"))
+    upto, last = F.array(*[F.lit(sum(rooms[: s + 1])) for s in range(shards)]), F.lit(shards - 1)
+    to = F.least(F.size(F.filter(upto, lambda u: u <= F.col("rank"))), last).cast("int")
+    filled = ranked(rest.withColumn("one", F.lit(1)), ["one"], [tie, F.col("doc_id"), F.col("size")]).select("doc_id", "size", "text_crc32", to.alias("shard"))
+    return going.unionByName(some.where("to is not null").withColumnRenamed("to", "shard")).unionByName(filled)
+
+
+def balanced_shards(docs: DataFrame, shards: int = 8, links: DataFrame | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs (doc_id, text).
 
     Law ``rows``: shards hold counts at most one apart, and slots number a shard's
-    rows without gaps. links (doc_id, hub) defaults to equal texts. A null text has
+    rows without gaps. links (doc_id, hub long) defaults to equal texts. A null text has
     size 1 and no links; a row without doc_id has none either; rows that share a
-    doc_id move alike but are counted singly. A group larger than a shard fills as
-    much of one as its quota allows. An empty table gives an empty result.
+    doc_id move alike but are counted singly. A group larger than a shard fills whole
+    shards. Where rows are in several hubs, passes are made until no more members are
+    kept together, PASSES at most. Other columns are ignored. An empty table gives an
+    empty result.
     """
-    spark = docs.sparkSession
     text = F.col("text").cast("string")
     base = docs.select("doc_id", (text_bytes() + 1).alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"))
     tie = F.xxhash64(F.lit(17), "doc_id", "text_crc32")
     state = cut(ranked(base.withColumn("one", F.lit(1)), ["one"], [tie, F.col("doc_id"), F.col("size")]).select("doc_id", "size", "text_crc32", (F.col("rank") % shards).cast("int").alias("shard")))
-    links = cut((links if links is not None else copies(docs.select("doc_id", text.alias("text")))).select("doc_id", "hub").distinct())
-    for _ in range(rounds if not links.isEmpty() else 0):
-        where = state.where("doc_id is not null").groupBy("doc_id", "shard").agg(F.count(F.lit(1)).alias("n"))
-        votes = links.join(where, "doc_id").groupBy("hub", "shard").agg(F.sum("n").alias("n"))
-        best = links.join(votes, "hub").groupBy("doc_id", "shard").agg(F.sum("n").alias("n"), F.min("hub").alias("hub")).groupBy("doc_id")
-        best = best.agg(F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")).alias("m"), F.min("hub").alias("hub")).select("doc_id", F.col("m.shard").alias("best"), "hub")
-        seen = cut(state.join(best, "doc_id", "left"))
-        movers = seen.where("best <> shard").select("*", F.col("shard").alias("a"), F.col("best").alias("b"))
-        free = seen.where("best is null")
-        flow = movers.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-        quotas = cut(_quotas(flow, free.groupBy("shard").agg(F.count(F.lit(1)).alias("n")), spark))
-        # at most shards * shards rows
-        going = ranked(movers, ["a", "b"], [F.xxhash64("hub"), F.xxhash64("doc_id"), F.col("text_crc32")]).join(F.broadcast(quotas), ["a", "b"])
-        moved = going.select("doc_id", "size", "text_crc32", F.when(F.col("rank") < F.col("quota"), F.col("b")).otherwise(F.col("a")).alias("shard"))
-        numbered = ranked(free, ["shard"], [tie, F.col("size")]).drop("best", "hub")
-        slots = quotas.where("fill > 0").select(F.col("b").alias("home"), F.col("a").alias("away"), "first", (F.col("first") + F.col("fill")).alias("last"))
-        sent = numbered.join(F.broadcast(slots), (F.col("shard") == F.col("home")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")), "left")
-        rest = seen.where("best = shard").select("doc_id", "size", "text_crc32", "shard")
-        state = cut(moved.unionByName(sent.select("doc_id", "size", "text_crc32", F.coalesce("away", "shard").alias("shard"))).unionByName(rest))
+    links = cut((links if links is not None else copies(docs.select("doc_id", text.alias("text")))).where("doc_id is not null and hub is not null").select("doc_id", "hub").distinct())
+    n, m, kept = state.count(), links.count(), -1
+    several = bool(m) and m > links.select("doc_id").distinct().count()
+    for _ in range(PASSES if several else 1 if m else 0):
+        new = cut(propagated(state, links, shards, n))
+        now = cut_links(new, links).first()["kept_together"] if several else 0
+        if now <= kept:
+            break
+        state, kept = new, now
     out = ranked(state, ["shard"], [tie, F.col("doc_id"), F.col("size")], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
