@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Labelled rows that the classifier is fitted on at most, half of each label; chosen by hash of the id.
 SAMPLE = 4_000
 #: Hashed features: SHAPES for character classes, WORDS for words.
-SHAPES, WORDS = 768, 256
+SHAPES, WORDS = 768, 1280
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 64, 25, 6
 _CLASS = np.arange(256, dtype=np.uint8)
 for _first, _last, _to in ((0x61, 0x7A, 0x61), (0x41, 0x5A, 0x41), (0x30, 0x39, 0x30), (0x80, 0xFF, 0x61), (0x09, 0x0D, 0x0A), (0x20, 0x20, 0x20)):
@@ -42,13 +42,15 @@ def features(text: str | None) -> np.ndarray:
                 h = (h ^ kind[i : i + len(h)]) * np.uint32(0x9E3779B1)
                 h ^= h >> np.uint32(15)
             out[:SHAPES] += np.bincount(h % np.uint32(SHAPES), minlength=SHAPES)
-    # words: sums of scrambled bytes between spaces
+    # words: sums of scrambled bytes between spaces, each weighted by its place in the word
     space = raw <= 0x20
-    value = (raw.astype(np.uint32) * np.uint32(0x85EBCA6B)) ^ (raw.astype(np.uint32) << np.uint32(9))
     start = np.flatnonzero(~space & np.r_[True, space[:-1]])
     if len(start):
-        value[space] = 0
-        word = np.add.reduceat(value, start)
+        body = raw[start[0] :].astype(np.uint32)
+        place = np.arange(len(body), dtype=np.uint32) - np.repeat((start - start[0]).astype(np.uint32), np.diff(np.r_[start, len(raw)]))
+        value = (body * np.uint32(0x85EBCA6B) ^ body << np.uint32(9)) * (place * np.uint32(0x9E3779B2) + np.uint32(1))
+        value[space[start[0] :]] = 0
+        word = np.add.reduceat(value, start - start[0])
         word ^= word >> np.uint32(13)
         out[SHAPES:] += np.bincount((word * np.uint32(0xC2B2AE35) >> np.uint32(8)) % np.uint32(WORDS), minlength=WORDS)
     return out
@@ -93,7 +95,8 @@ class Model:
         """Share of label 1 among the nearest labelled vectors by weight; a text without features gets the sample's share."""
         if not len(self.known):
             return np.full(len(counts), self.prior)
-        sims = self.latent(self.weighted(counts)) @ self.known.T
+        # rounded, so that which texts share a batch doesn't decide between equal neighbours
+        sims = np.round(self.latent(self.weighted(counts)) @ self.known.T, 5)
         k = min(NEIGHBOURS, sims.shape[1])
         top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(sims, top, axis=1), 0).astype(np.float64) ** SHARPNESS
@@ -107,10 +110,16 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
-    """Fits on the bounded sample; only hashed counts of its texts come to the driver, at most size vectors."""
+    """Fits on the bounded sample; only hashed counts of its texts come to the driver, at most size vectors.
+
+    Of rows that share a doc_id the smallest text counts, whatever their order. A null
+    text has no features, a label without a document teaches nothing, and without
+    labels every score is 1. Ids of documents that are null have no label.
+    """
     sample = F.broadcast(labelled_sample(labels, size))
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id").mapInPandas(_features, "doc_id long, quality int, counts binary")
-    rows = got.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    one = known.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = one.mapInPandas(_features, "doc_id long, quality int, counts binary").toPandas().sort_values("doc_id")
     counts = np.stack([np.frombuffer(c, np.float32) for c in rows["counts"]]) if len(rows) else np.zeros((0, SHAPES + WORDS), np.float32)
     return Model(counts, rows["quality"].to_numpy())
 
@@ -129,11 +138,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
+    """doc_id, held_out, score, predicted for every row of docs (doc_id, text; other columns are ignored).
+
+    Rows that share a doc_id are scored singly. Null and empty texts get the sample's
+    share of label 1; a row without doc_id isn't held out. A very long text is scored
+    as a whole. Equal similarities at the last neighbour kept may fall either way. An
+    empty table gives an empty result.
+    """
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score at least threshold, with their columns."""
+    """The rows of docs that score at least threshold, with their columns; rows without doc_id, repeated rows and empty texts are scored like others, see ``classify``."""
     return score(docs, fit(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
