@@ -7,7 +7,8 @@ documents have full sketches. Bands of registers propose pairs, the
 collision-corrected estimate drops hopeless ones, and every remaining pair is
 confirmed on the full shingle sets.
 
-Equal sets are collapsed first. Inside a band group every member is compared with
+Equal sets are collapsed first. Keys that many rows share are met in salted parts.
+Inside a band group every member is compared with
 the group's smallest id. Members that are in different components afterwards are
 compared with each other inside tasks, in blocks of bounded size, and only edges
 that join components come out; no list of a group's pairs is ever made, and no link
@@ -24,9 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, partitions, runs, stored
+from .common import components, cut, partitions, runs, salted_join, stored
 
-REGISTERS, ROWS = 256, 8
+REGISTERS = 256
+#: Share of the pairs at the threshold that may share no band.
+MISSED = 1e-5
 #: Bits of a hash below its bucket number, and mantissa bits kept of it.
 TAIL, MANTISSA = 56, 10
 #: A pair whose estimate is this much below the threshold isn't confirmed: seven standard deviations of 256 registers at 0.85.
@@ -81,13 +84,17 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """One signed 64-bit key a band."""
-    parts = registers.view(np.uint64).reshape(-1, ROWS // 4)
-    acc = np.arange(len(parts), dtype=np.uint64) + np.uint64(77)
-    for i in range(parts.shape[1]):
-        acc = _mixed(acc ^ (parts[:, i] * _ODD[i]))
-    return acc.view(np.int64)
+def band_rows(percent: int) -> int:
+    """Registers of a band: the most with which a pair at the threshold shares a band but in MISSED of cases."""
+    p = percent / 100
+    return max([1] + [r for r in range(1, 9) if (1 - p**r) ** (REGISTERS // r) <= MISSED])
+
+
+def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
+    """(sets, bands) signed 64-bit keys of sketches (sets, registers)."""
+    bands = registers.shape[1] // rows
+    parts = registers[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+    return _mixed((parts * _ODD[:rows]).sum(axis=2) + np.arange(77, 77 + bands, dtype=np.uint64) * _ODD[7]).view(np.int64)
 
 
 def collision_share(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -96,7 +103,7 @@ def collision_share(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return 0.33 * 2.0**-MANTISSA / (1 + skew)
 
 
-def _sketches(width: int, smallest: int):
+def _sketches(width: int, smallest: int, rows: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
         for pdf in batches:
@@ -107,7 +114,7 @@ def _sketches(width: int, smallest: int):
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 r = sketch(s) if len(s) >= smallest else None
                 registers.append(None if r is None else r.tobytes())
-                keys.append(None if r is None else band_keys(r))
+                keys.append(None if r is None else band_keys(r[None], rows)[0])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "digest": digest, "registers": registers, "bands": keys})
 
     return run
@@ -125,6 +132,8 @@ def _sets(width: int):
 def _blocks(percent: int):
     """Compares the members of band groups, block by block, that are in different components; gives edges that join what is linked."""
 
+    rows = band_rows(percent)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf, spans in runs(batches, ["key", "x", "y"]):
             ids, c, n, left, right, side, key = (pdf[k].to_numpy() for k in ("id", "c", "n_shingles", "x", "y", "side", "key"))
@@ -137,7 +146,7 @@ def _blocks(percent: int):
                 if not len(own) or not len(other):
                     continue
                 ra, rb = (np.frombuffer(b"".join(pdf["registers"].iloc[i]), np.uint16).reshape(len(i), -1) for i in (own, other))
-                ba, bb = (np.stack([band_keys(r) for r in x]) for x in (ra, rb))
+                ba, bb = band_keys(ra, rows), band_keys(rb, rows)
                 band = int((ba[0] == key[start]).argmax())
                 low = {v: v for v in np.unique(c[start:stop]).tolist()}
                 found: list[tuple[int, int]] = []
@@ -184,42 +193,50 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Two documents are linked where 100 * |A & B| >= percent * |A | B| of their
     shingle sets; component_id is the smallest doc_id reachable. A null or blank
     text has an empty set and is linked with nothing. Rows that share a doc_id are
-    one node. A row without a doc_id has a null component and is kept. An empty
-    table gives an empty result.
+    one node; of their differing texts each is met by its copies, and the one with the
+    smallest digest by what is near and not equal. A row without a doc_id has a null component and is
+    kept. Very long texts are compared as a whole. An empty table gives an empty
+    result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     smallest = -(-percent // max(1, 100 - percent))  # a smaller set is linked with equal sets alone
     pack = F.pandas_udf(_estimate, "double")
-    made = docs.mapInPandas(_sketches(width, smallest), "doc_id long, n_shingles long, digest binary, registers binary, bands array<long>")
+    made = docs.mapInPandas(_sketches(width, smallest, band_rows(percent)), "doc_id long, n_shingles long, digest binary, registers binary, bands array<long>")
     all_rows = stored(made)
+    n = all_rows.count()
     slim = all_rows.where("doc_id is not null and digest is not null")
-    heads = slim.groupBy("digest").agg(F.min("doc_id").alias("id"))
-    head_of = cut(slim.select("doc_id", "digest").join(heads, "digest").select("doc_id", "id").distinct())
-    reps = slim.where("bands is not null").join(heads.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    heads = cut(slim.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    head_of = cut(salted_join(slim.select("doc_id", "digest"), heads, ["digest"], "doc_id", n).select("doc_id", "id").distinct())
+    reps = slim.where("bands is not null").join(heads.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi")
+    reps = reps.groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "registers", "bands"), "digest").alias("r")).select("doc_id", "r.*")
     sketches = reps.select(F.col("doc_id").alias("id"), "n_shingles", "registers")
     bands = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    groups = bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    hits = cut(bands.join(groups.select("key", "first"), "key"))
+    groups = cut(bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("copies")).where("first <> last"))
+    hits = cut(salted_join(bands, groups.select("key", "first", "copies"), ["key"], "id", n * (REGISTERS // band_rows(percent))))
 
     need = hits.select(F.col("id").alias("doc_id")).distinct()
     sets = stored(docs.join(need, "doc_id", "left_semi").mapInPandas(_sets(width), "id long, shingles array<long>"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those of pairs (a, b) that are linked, by estimate and then by full sets."""
-        side = lambda s: sketches.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}"))
+        """Those of pairs (a, b) that are linked, by estimate and then by full sets; a row of a that many pairs name is met in parts."""
+        m = pairs.count()
+        often = cut(pairs.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("copies")))
+        named = lambda df, s, *more: df.select(F.col("id").alias(s), *more)
+        sketch = lambda s: (F.col("n_shingles").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}"))
+        met = salted_join(pairs, named(sketches.join(often, "id"), "a", *sketch("a"), "copies"), ["a"], "b", m)
         # no set can be linked with one that is too large for it
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        sized = met.join(named(sketches, "b", *sketch("b")), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
         likely = sized.where(pack("r_a", "r_b", "n_a", "n_b") >= percent / 100 - SLACK).select("a", "b")
-        left = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-        both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        left = salted_join(likely, named(sets.join(often, "id"), "a", F.col("shingles").alias("x"), "copies"), ["a"], "b", m)
+        both = left.join(named(sets, "b", F.col("shingles").alias("y")), "b")
         common = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("i"), (F.size("x") + F.size("y")).cast("long").alias("t"))
         return cut(common.where(f"100 * i >= {percent} * (t - i)").select("a", "b").distinct())
 
-    links = confirmed(hits.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    links = confirmed(cut(hits.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()))
     label = components(links)
     named = hits.select("key", "id").join(label.select(F.col("v").alias("id"), "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-    open_keys = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("low <> high").select("key", "blocks")
-    open_rows = cut(named.join(open_keys, "key").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    open_keys = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("copies")).where("low <> high").select("key", F.ceil(F.col("copies") / BLOCK).cast("int").alias("blocks"), "copies")
+    open_rows = cut(salted_join(named, cut(open_keys), ["key"], "id", hits.count()).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("side")).alias("x"), F.greatest(i, F.col("side")).alias("y")))
     full = open_rows.join(sketches, "id").join(sets, "id").select("key", F.explode(meet).alias("m"), "side", "id", "c", "n_shingles", "registers", "shingles").select("key", "m.x", "m.y", "side", "id", "c", "n_shingles", "registers", "shingles")
     more = cut(full.repartition(partitions(full), "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(_blocks(percent), "a long, b long"))
@@ -231,7 +248,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose document is the smallest doc_id of its group, with their columns; repeated rows of it become one."""
-    verdict = near_duplicates(docs, width, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    out = docs.join(verdict, "doc_id", "left_anti").select(*docs.columns)
-    return out
+    """One row of docs for each group of near duplicates, with its columns: that of the smallest doc_id.
+
+    Rows that share a doc_id are copies of one document, of which the one with the
+    smallest text stays, whatever their order. Rows without doc_id all stay, as do
+    those with a null or blank text, which are near to nothing. An empty table gives
+    an empty result.
+    """
+    found = near_duplicates(docs, width, percent).where("doc_id is not null")
+    marks = cut(found.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or(~F.col("kept")).alias("__gone"), F.count(F.lit(1)).alias("__n")).where("__gone or __n > 1"))
+    met = docs.join(marks, docs["doc_id"].cast("long") == F.col("__id"), "left").where(~F.coalesce("__gone", F.lit(False)))
+    if marks.where("not __gone").isEmpty():
+        return met.select(*docs.columns)
+    own = [f"`{c}`" for c in docs.columns]
+    first = F.min_by(F.struct(*own), F.struct(F.col("text").isNull().alias("null"), "text", F.xxhash64(*own).alias("tie")))
+    again = met.where("__n > 1").groupBy("__id").agg(first.alias("__r")).select("__r.*")
+    return met.where("__n is null").select(*docs.columns).unionByName(again)
