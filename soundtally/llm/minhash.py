@@ -29,7 +29,7 @@ from .common import components, cut, partitions, runs, salted_join, stored
 
 REGISTERS = 256
 #: Share of the pairs at the threshold that may share no band.
-MISSED = 1e-5
+MISSED = 1e-4
 #: Bits of a hash below its bucket number, and mantissa bits kept of it.
 TAIL, MANTISSA = 56, 10
 #: A pair whose estimate is this much below the threshold isn't confirmed: seven standard deviations of 256 registers at 0.85.
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = slim.where("bands is not null").join(heads.select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi")
     reps = reps.groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "registers", "bands"), "digest").alias("r")).select("doc_id", "r.*")
     sketches = reps.select(F.col("doc_id").alias("id"), "n_shingles", "registers")
-    bands = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
+    bands = reps.select(F.posexplode("bands").alias("b", "key"), F.col("doc_id").alias("id"))
     groups = cut(bands.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("copies")).where("first <> last"))
     hits = cut(salted_join(bands, groups.select("key", "first", "copies"), ["key"], "id", n * (REGISTERS // band_rows(percent))))
 
@@ -234,8 +234,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     links = confirmed(cut(hits.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()))
     label = components(links)
-    named = hits.select("key", "id").join(label.select(F.col("v").alias("id"), "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-    open_keys = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("copies")).where("low <> high").select("key", F.ceil(F.col("copies") / BLOCK).cast("int").alias("blocks"), "copies")
+    named = hits.select("key", "b", "id").join(label.select(F.col("v").alias("id"), "c"), "id", "left").select("key", "b", "id", F.coalesce("c", "id").alias("c"))
+    mix = [F.bit_xor(F.xxhash64(F.lit(s), "id")).alias(f"m{s}") for s in (0, 1)]
+    open_keys = named.groupBy("key").agg(F.min("b").alias("b"), F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("i0"), F.max("id").alias("i1"), *mix).where("low <> high")
+    # bands with the same members are searched once, in the first, where a pair of them would be met anyway
+    open_keys = open_keys.groupBy("copies", "i0", "i1", "m0", "m1").agg(F.min_by("key", "b").alias("key")).select("key", F.ceil(F.col("copies") / BLOCK).cast("int").alias("blocks"), "copies")
     open_rows = cut(salted_join(named, cut(open_keys), ["key"], "id", hits.count()).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("side")).alias("x"), F.greatest(i, F.col("side")).alias("y")))
     full = open_rows.join(sketches, "id").join(sets, "id").select("key", F.explode(meet).alias("m"), "side", "id", "c", "n_shingles", "registers", "shingles").select("key", "m.x", "m.y", "side", "id", "c", "n_shingles", "registers", "shingles")
