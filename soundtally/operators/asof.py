@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +33,27 @@ def last_at(points: DataFrame, rows: DataFrame, by: str, values: list[str], stri
     return got.select("__q.*", F.col("__r.ms").alias("at_ms"), *[F.col(f"__r.{v}").alias(v) for v in values])
 
 
+#: Least width of a bucket in which rows and spans meet, and how much wider the next class of buckets is.
+LEAST_MS, WIDER = 60_000, 8
+
+
 def in_intervals(rows: DataFrame, spans: DataFrame, by: str, start: str = "start_ms", end: str = "end_ms", half_open: bool = False) -> DataFrame:
-    """Rows (by, ms, ...) joined with spans (by, start, end, ...) that contain them, ends included; each span meets the rows of the days it touches."""
-    days = spans.withColumn("__d", F.explode(F.sequence(day(F.col(start)), day(F.col(end)))))
+    """Rows (by, ms, ...) joined with spans (by, start, end, ...) that contain them, ends included.
+
+    Spans are told apart by length: those of a class are no longer than its buckets
+    are wide, so that a span touches at most two, and a row is looked up in one bucket
+    of each class that occurs. There are at most a dozen. Reversed spans hold nothing.
+    """
+    length = F.greatest(F.col(end) - F.col(start), F.lit(1))
+    number = F.greatest(F.lit(0), F.ceil(F.log(length / LEAST_MS) / math.log(WIDER))).cast("int")
+    known = spans.where(F.col(start) <= F.col(end)).withColumn("__c", number)
+    classes = [r["__c"] for r in known.select("__c").distinct().collect()]
+    width = F.lit(LEAST_MS) * F.pow(F.lit(float(WIDER)), F.col("__c"))
+    at = lambda ms: F.floor(ms / width).cast("long")
+    placed = known.withColumn("__d", F.explode(F.sequence(at(F.col(start)), at(F.col(end)))))
+    asked = rows.withColumn("__c", F.explode(F.array(*map(F.lit, classes)).cast("array<int>"))).withColumn("__d", at(F.col("ms")))
     inside: Column = (F.col("ms") >= F.col(start)) & ((F.col("ms") < F.col(end)) if half_open else (F.col("ms") <= F.col(end)))
-    return rows.withColumn("__d", day(F.col("ms"))).join(days, [by, "__d"]).where(inside).drop("__d")
+    return asked.join(placed, [by, "__c", "__d"]).where(inside).drop("__d", "__c")
 
 
 def first_at(points: DataFrame, rows: DataFrame, by: str, values: list[str], strict: bool = False, order: str = "ms") -> DataFrame:
@@ -70,3 +88,41 @@ def nearest_span(points: DataFrame, spans: DataFrame, by: str, value: str) -> Da
     d1 = F.when(F.col("__s").isNotNull(), d1)
     early = F.col("__t0").isNotNull() & (d1.isNull() | (d0 <= d1))
     return both.select(*points.columns, F.when(early, F.col("__s0.v")).otherwise(F.col("__s.v")).alias(value), F.when(early, d0).otherwise(d1).alias("distance_ms"))
+
+
+def recording_at(points: DataFrame, recordings: DataFrame, by: str) -> DataFrame:
+    """points (by, ms, ...) with recording and offset_ms, the recording of recordings (by, recording, start_ms, end_ms) that sounds at each.
+
+    A recording sounds from its start until before its end; those without length are
+    left out. A point before the first recording gets that one at offset 0, one in a
+    gap or after the last none.
+    """
+    rec = recordings.where("end_ms > start_ms").select(by, "recording", F.col("start_ms").alias("ms"), "end_ms")
+    got = last_at(points, rec, by, ["recording", "end_ms"], order="recording")
+    first = rec.groupBy(by).agg(F.min("ms").alias("__t0"), F.min_by("recording", F.struct("ms", "recording")).alias("__r0"))
+    inside, early = F.col("end_ms") > F.col("ms"), F.col("ms") < F.col("__t0")
+    met = got.join(first, by, "left")
+    return met.select(*points.columns, F.when(inside, F.col("recording")).when(early, F.col("__r0")).alias("recording"), F.when(inside, F.col("ms") - F.col("at_ms")).when(early, F.lit(0)).alias("offset_ms"))
+
+
+def match_recordings(recordings: DataFrame, segments: DataFrame, by: str = "position", near_ms: int = 7_200_000, far_ms: int = 43_200_000) -> DataFrame:
+    """recordings (by, start_ms, end_ms, ...) with the nearest of segments (by, segment, start_ms, end_ms), and confidence: high up to near_ms away, medium up to far_ms, else unmatched and without start and segment."""
+    got = nearest_span(recordings, segments, by, "segment")
+    near = F.col("distance_ms") <= far_ms
+    confidence = F.when(F.col("distance_ms") <= near_ms, "high").when(near, "medium").otherwise("unmatched")
+    rest = [c for c in recordings.columns if c != "start_ms"]
+    return got.select(*rest, F.when(near, F.col("start_ms")).alias("start_ms"), F.when(near, F.col("segment")).alias("segment"), confidence.alias("confidence"))
+
+
+def event_windows(times: DataFrame, half_ms: int = 1_800_000) -> DataFrame:
+    """times (ms, ...) with start_ms and end_ms, half a width before and after."""
+    return times.withColumn("start_ms", F.col("ms") - half_ms).withColumn("end_ms", F.col("ms") + half_ms)
+
+
+def marker_metrics(markers: DataFrame, levels: DataFrame, by: str = "position") -> DataFrame:
+    """markers (by, ms, ...) with at_ms, parameter and value of the last row of levels (by, ms, event_id, laeq, lzeq) at or before each: LAeq where the position has it, else LZeq."""
+    has = levels.groupBy(by).agg((F.count("laeq") > 0).alias("__a"), (F.count("lzeq") > 0).alias("__z"))
+    got = last_at(markers, levels, by, ["laeq", "lzeq"], order="event_id").join(has, by, "left")
+    name = F.when(F.col("at_ms").isNotNull(), F.when(F.col("__a"), "LAeq").when(F.col("__z"), "LZeq"))
+    value = F.when(name == "LAeq", F.col("laeq")).when(name == "LZeq", F.col("lzeq"))
+    return got.select(*markers.columns, "at_ms", name.alias("parameter"), value.alias("value"))

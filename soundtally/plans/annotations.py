@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from soundtally.operators import spectrogram
-from soundtally.plans.base import log, query, spectra
+from soundtally.plans.base import areas, log, query, spectra
 from soundtally.plans.matching import MERGES, united
 from soundtally.sources import annotations as A
 from soundtally.sources.place import shared_dir
@@ -74,24 +74,64 @@ def k3_write_regions(spark, d):
 
 
 TEXT = "strftime(epoch_ms({0}::bigint), '%Y-%m-%d %H:%M:%S.%g')"
+NUMBER = "rtrim(rtrim(printf('%.3f', floor({0} * 1000 + 0.5) / 1000), '0'), '.')"
+
+
+def facts(spark, d):
+    """Markers and regions with metrics: every third region has none, every other one no L90."""
+    a = united(spark, d)
+    n = F.col("region_id")
+    some = a.where("region_id % 3 > 0").groupBy("region_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
+    of = some.select("region_id", F.lit("LAeq").alias("parameter"), F.lit("log").alias("dataset"), "duration_ms", (n * 1.0625).alias("laeq"), F.lit(None).cast("double").alias("lafmax"), F.when(n % 2 == 0, n * 0.5).alias("la90"), (n % 2 == 0).alias("la90_available"), F.lit("log").alias("source"))
+    m = marks(spark, d)
+    values = m.select("marker_id", F.lit("LZeq").alias("parameter"), F.when(F.col("marker_id") % 2 == 0, F.col("marker_id") * 0.25).alias("value"), F.lit("P").alias("place"), (F.col("ms") - 500).alias("at_ms"))
+    return m, a, values, of
 
 
 @query(
     MERGES
-    + f""" select region_id as id, position, {TEXT.format("min(start_ms)")} as start_utc, {TEXT.format("max(end_ms)")} as end_utc, {TEXT.format("min(start_ms) - 300000")} as source_start_utc,
- '[' || string_agg('{{"startUtc":"' || {TEXT.format("start_ms")} || '","endUtc":"' || {TEXT.format("end_ms")} || '"}}', ',' order by start_ms) || ']' as areas from u group by region_id, position""",
-    "log", "areas",
+    + f""", shown as (select region_id as id, position, min(start_ms) as s, max(end_ms) as e, sum(end_ms - start_ms) as w, '[' || string_agg('{{"startUtc":"' || {TEXT.format("start_ms")} || '","endUtc":"' || {TEXT.format("end_ms")} || '"}}', ',' order by start_ms) || ']' as areas from u group by 1, 2)
+ select 'region' as type, id, position, {TEXT.format("s")} as start_utc, {TEXT.format("e")} as end_utc, {TEXT.format("s - 300000")} as source_start_utc, areas, '300000' as chart_offset_ms, '' as timestamp_utc, (case when id % 3 > 0 then w else e - s end)::bigint::varchar as duration_ms,
+ case when id % 3 > 0 then 'LAeq' else '' end as metrics_parameter, '' as metrics_timestamp_utc, '' as metrics_broadband_value, '' as metrics_broadband_position, case when id % 3 > 0 then 'log' else '' end as metrics_data_resolution, case when id % 3 > 0 then w::bigint::varchar else '' end as metrics_duration_ms,
+ case when id % 3 > 0 then {NUMBER.format("id * 1.0625")} else '' end as metrics_laeq, case when id % 3 > 0 and id % 2 = 0 then {NUMBER.format("id * 0.5")} else '' end as metrics_la90, case when id % 3 > 0 and id % 2 = 0 then 'true' else '' end as metrics_la90_available, case when id % 3 > 0 then 'log' else '' end as metrics_spectrum_source from shown
+ union all select 'marker', marker_id, 'error', {TEXT.format("ms")}, '', '', '', '', {TEXT.format("ms")}, '', 'LZeq', {TEXT.format("ms - 500")}, case when marker_id % 2 = 0 then {NUMBER.format("marker_id * 0.25")} else '' end, case when marker_id % 2 = 0 then 'P' else '' end, '', '', '', '', '', '' from markers""",
+    "log", "areas", "markers",
 )
 def k1_annotation_rows(spark, d):
-    a = united(spark, d)
+    m, a, values, of = facts(spark, d)
     offsets = a.select("position").distinct().withColumn("chart_offset_ms", F.lit(300_000))
-    return A.annotation_rows(marks(spark, d), a, offsets).where("type = 'region'").select("id", F.col("positionId").alias("position"), "start_utc", "end_utc", "source_start_utc", "areas")
+    rows = A.annotation_rows(m, a, offsets, values, of)
+    return rows.select("type", "id", F.col("positionId").alias("position"), "start_utc", "end_utc", "source_start_utc", "areas", "chart_offset_ms", *[c for c in A.METRICS if c != "metrics_lafmax"])
 
 
 @query(
-    "select position as id, floor(a8 * 1000 + 0.5) / 1000 as \"band_8_Hz\", floor(a16 * 1000 + 0.5) / 1000 as \"band_16_Hz\" from (select position, 10 * log10(avg(pow(10.0, level / 10)) filter (freq_hz = 8)) as a8, 10 * log10(avg(pow(10.0, level / 10)) filter (freq_hz = 16)) as a16 from spectra group by 1)",
+    f"""select position as id, {NUMBER.format("a8")} as "band_8_HZ", {NUMBER.format("a16")} as "band_16_Hz", {NUMBER.format("a16")} as "band_16_Hz_2", {NUMBER.format("a31")} as "band_31_5_Hz" from
+ (select position, 10 * log10(avg(pow(10.0, level / 10)) filter (freq_hz = 8)) as a8, 10 * log10(avg(pow(10.0, level / 10)) filter (freq_hz = 16)) as a16, 10 * log10(avg(pow(10.0, level / 10)) filter (freq_hz = 31)) as a31 from spectra group by 1)""",
     "spectra",
 )
 def k1_band_columns(spark, d):
-    mean = spectrogram.mean_spectrum(spectra(spark, d), ["position"]).select(F.col("position").alias("id"), F.concat(F.col("freq_hz").cast("string"), F.lit(" Hz")).alias("label"), F.col("laeq").alias("level"))
-    return A.with_bands(mean.select("id").distinct(), mean, ["8 Hz", "16 Hz"])
+    """Labels in natural order, one in two cases, two of which give one column name."""
+    mean = spectrogram.mean_spectrum(spectra(spark, d), ["position"]).where("freq_hz in (8, 16, 31)")
+    label = F.when(F.col("freq_hz") == 8, F.when(F.col("position") == "P3", "8 HZ").otherwise("8 Hz")).when(F.col("freq_hz") == 16, "16 Hz").otherwise("31.5 Hz")
+    one = mean.select(F.col("position").alias("id"), label.alias("label"), F.col("laeq").alias("level"))
+    two = one.where("label = '16 Hz'").withColumn("label", F.lit("16-Hz"))
+    return A.with_bands(one.select("id").distinct(), one.unionByName(two), ["id"])
+
+
+@query(
+    """, a as (select region_id, position, start_ms as s, end_ms as e from areas where region_id > 0 and end_ms > start_ms),
+ x as (select region_id, position, s, e from a where region_id % 5 <> 3 union all select region_id, position, e, e + 1000 from a where region_id % 5 < 3 union all select region_id, position, s, e from a where region_id % 5 = 3)
+ select region_id as id, position, s as start_ms, e as end_ms from x""",
+    "log", "areas",
+)
+def s16_read_area_forms(spark, d):
+    """Areas as objects, pairs, texts between bars, one bare object, and unreadable ones, for which the region's own ends count."""
+    a = areas(log(spark, d)).where("region_id > 0 and end_ms > start_ms")
+    s, e, more = A.utc_text(F.col("start_ms")), A.utc_text(F.col("end_ms")), A.utc_text(F.col("end_ms") + 1000)
+    two = lambda form: F.format_string("[" + form + "," + form + "]", s, e, e, more)
+    n = F.col("region_id") % 5
+    text = F.when(n == 0, two('{"start":"%s","end":"%s"}')).when(n == 1, two('["%s","%sZ"]')).when(n == 2, two('"%s | %s"')).when(n == 3, "[{bad").otherwise(F.format_string('{"start_utc":"%s","endUtc":"%s"}', e, s))
+    rows = a.select(F.lit("Region ").alias("type"), F.col("region_id").alias("id"), F.col("position").alias("positionId"), e.alias("start_utc"), s.alias("end_utc"), F.lit("").alias("note"), F.lit("").alias("color"), text.alias("areas"))
+    place = shared_dir(spark) + "/area_forms"
+    A.write_csv(rows, place)
+    return A.read_annotations(spark, place).select("id", "position", F.explode("areas").alias("a")).select("id", "position", "a.start_ms", "a.end_ms")

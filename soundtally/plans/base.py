@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soundtally.functions import levels as L
+from soundtally.operators import timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,7 +20,7 @@ VIEWS = {
     "log": "select event_type as position, epoch_us(ts) // 1000 as ms, event_id, 30 + least(value, 600) / 10.0 as laeq, 30 + least(value, 600) / 10.0 + 5 as lafmax from events",
     "spectra": "select 'P' || label as position, vec_id * 1000 as ms, u.i as freq_hz, 50 + 10 * embedding[u.i]::double as level from embeddings, unnest(range(1, 65)) as u(i)",
     "overview": f"select position, ms // {H} * {H} as ms, 10 * log10(avg(pow(10.0, laeq / 10))) as laeq, max(lafmax) as lafmax from log group by 1, 2",
-    "areas": f"select event_id as region_id, position, ms as start_ms, ms + {6 * H} as end_ms from log where event_id % 50 = 0",
+    "areas": f"select event_id as region_id, position, ms as start_ms, ms + (coalesce(lead(ms) over (partition by position order by ms, event_id), ms + {H}) - ms) * (1 + event_id % 3) // 2 as end_ms from log",
     "markers": "select event_id as marker_id, ms from log where position = 'error'",
     "extent": "select position, min(ms) as lo, max(ms) as hi from log group by 1",
 }
@@ -42,7 +43,10 @@ def overview(rows: DataFrame) -> DataFrame:
 
 
 def areas(rows: DataFrame) -> DataFrame:
-    return rows.where("event_id % 50 = 0").select(F.col("event_id").alias("region_id"), "position", F.col("ms").alias("start_ms"), (F.col("ms") + 6 * H).alias("end_ms"))
+    """A region for every row: it ends halfway to the next row of its position, at it, or half as far again beyond."""
+    ends = timeline.interval_end(rows, H)
+    length = F.floor((F.col("end_ms") - F.col("ms")) * (1 + F.col("event_id") % 3) / 2).cast("long")
+    return ends.select(F.col("event_id").alias("region_id"), "position", F.col("ms").alias("start_ms"), (F.col("ms") + length).alias("end_ms"))
 
 
 def extent(rows: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from soundtally.functions import levels as L
 from soundtally.operators import timeline
-from soundtally.plans.base import ENERGY, log, query
+from soundtally.plans.base import ENERGY, SQL, VIEWS, log, query
 from soundtally.sources import lines as T
-from soundtally.sources import names, readers
+from soundtally.sources import readers
 from soundtally.sources.place import shared_dir
 
 DAY = L.DAY_MS
@@ -102,11 +102,11 @@ def s7_read_generic(spark, d):
     return by_position(one.unionByName(two))
 
 
-@query(f"select distinct position, (ms // {DAY})::bigint as day, 3 + 1 as matches, 'likely_valid' as status from log", "log")
+@query(f"select distinct position, (ms // {DAY})::bigint as day, 3 + 1 as matches, 'likely_valid' as status, '4 of the layout''s marks found' as reason from log", "log")
 def s10_header_hint(spark, d):
     marks = ["# HARDWARE CONFIGURATION", "# MEASUREMENT SETUP", "# BROADBAND RESULTS", "# BROADBAND LOG RESULTS", "SERIAL NUMBER"]
     h = T.hints(sectioned(spark, d), marks)
-    return h.select(F.substring_index("path", "_", 1).alias("position"), F.substring_index("path", "_", -1).cast("long").alias("day"), "matches", "status")
+    return h.select(F.substring_index("path", "_", 1).alias("position"), F.substring_index("path", "_", -1).cast("long").alias("day"), "matches", "status", "reason")
 
 
 @query(f"select position, (ms // {DAY})::bigint as day, 'Broadband LOG Results' as section, count(*) + 2 as n from log group by 1, 2 union all select distinct position, (ms // {DAY})::bigint, m.section, m.n from log, (values ('Hardware Configuration', 2), ('Measurement Setup', 1)) as m(section, n)", "log")
@@ -170,7 +170,7 @@ def k4_combine_reports(spark, d):
 def k5_overview_sheet(spark, d):
     rows = log(spark, d).withColumn("hour", F.floor(F.col("ms") / L.HOUR_MS))
     block = lambda p, c, name: rows.where(F.col("position") == p).groupBy("hour").agg(L.laeq(F.col(c)).alias(name))
-    return block("click", "laeq", "broadband").join(block("error", "lafmax", "band"), "hour", "full")
+    return timeline.aligned(block("click", "laeq", "broadband"), block("error", "lafmax", "band"), ["hour"])
 
 
 @query("select position, count(*) filter (ms < epoch_ms(timestamp '" + CUTOFF + f"')) + 4 * count(distinct ms // {DAY}) as n from log group by 1", "log")
@@ -195,9 +195,93 @@ def s20_peek_cadence(spark, d):
     return step.join(spectral, "path").select(F.substring_index("path", "_", 1).alias("position"), F.substring_index("path", "_", -1).cast("long").alias("day"), "step_ms", "spectral")
 
 
-@query(f"select path, recording_no, round(strlen(html) / 1048576.0, 2) as size_mb from ({names.LISTING_SQL}) l join pages using (page_id) where regexp_matches(lower(path), '/r.*\\.wav$')".replace("select path, recording_no", "select path, try_cast(nullif(regexp_extract(path, '/R(\\d+)\\.wav$', 1, 'i'), '') as bigint) as recording_no"))
-def s8_list_recordings(spark, d):
-    size = spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.round(F.octet_length("html") / 1048576, 2).alias("size_mb"))
-    listed = names.listing(spark, d).where(F.lower("path").rlike(r"/r.*\.wav$|_audio_.*\.wav$")).join(size, "page_id")
-    number = F.regexp_extract("path", r"(?i)/R(\d+)\.wav$", 1).try_cast("bigint")
-    return listed.select("path", number.alias("recording_no"), "size_mb")
+SHORT = union_sql(("LAeq", NONE, "laeq"), ("LAFmax", NONE, "lafmax"), ("LAF10", NONE, "laeq + 1"), ("LAF90", NONE, "laeq - 1"))
+
+
+@query(f"select * from ({SHORT}) where position <> 'view' union all select position, ms, 'Odd_level' as name, null::double as freq_hz, round(laeq, 6) as level from log where position = 'view'", "log")
+def s1_read_short_delimited(spark, d):
+    """Files of real date and time texts and four levels, some between tabs, with blank lines and lines without a time; those of one position have no known header."""
+    rows = files(spark, d).withColumn("stamp", F.concat_ws(" ", "date", "time")).withColumn("l10", F.col("laeq") + 1).withColumn("l90", F.col("laeq") - 1)
+    head = ["", "Exported", "Time (Date hh:mm:ss.ms),LEQ dB-A,Lmax dB-A,L10 dB-A,L90 dB-A"]
+    known, tabs, odd = F.col("position").isin("click", "error"), F.col("position").isin("purchase", "signup"), F.col("position") == "view"
+    one = reread(spark, rows.where(known), head, comma("stamp", "laeq", "lafmax", "l10", "l90"), ["", "no time,1,2,3,4", ",,,,"])
+    two = reread(spark, rows.where(tabs), [h.replace(",", "\t") for h in head], tabbed("stamp", "laeq", "lafmax", "l10", "l90"), ["\t\t\t\t"])
+    three = reread(spark, rows.where(odd), ["", "Time (Date hh:mm:ss.ms),Odd level"], comma("stamp", "laeq"))
+    return by_position(readers.short_delimited(one).unionByName(readers.short_delimited(two)).unionByName(readers.short_delimited(three)))
+
+
+@query()
+def s_read_files(spark, d):
+    rows, _ = readers.read_files(*mixed_files(spark, d))
+    return rows.select(F.substring_index("path", "_", 1).alias("position"), "reader", "profile", "name", "freq_hz", "ms", "level")
+
+
+def mixed_files(spark, d):
+    """Files of all kinds in one folder, with the readers that some are forced to: delimited and tabular ones, sectioned broadband and band tables, one kind without a known name, and empty ones."""
+    rows = files(spark, d).withColumn("stamp", F.concat_ws(" ", "date", "time")).withColumn("day", F.floor(F.col("ms") / DAY).cast("string"))
+    name = lambda tail: F.concat("position", F.lit("_"), "day", F.lit(tail))
+    of = lambda p, tail, where=F.lit(True): rows.where((F.col("position") == p) & where).withColumn("path", name(tail))
+    odd = F.col("day").cast("int") % 2 == 1
+    lines = reread(spark, of("click", "_2024_01_01__00h00m00s.csv"), ["Time (Date hh:mm:ss.ms),LEQ dB-A,Lmax dB-A"], comma("stamp", "laeq", "lafmax"))
+    head = ["Buffer,P1 (SR),P1 (A; Fast) (SR),", ",LAeq [dB],LAFmax,", "Date & time,,,"]
+    lines = lines.unionByName(reread(spark, of("error", "_x.csv"), ["Site", *head], comma("stamp", "laeq", "lafmax", "")))
+    total = [*SECTIONS, "# Broadband LOG Results", "Date\tTime\tTimer\tLAeq_dt\tLAFmax", "[YYYY-MM-DD]\t[hh:mm:ss]\t[hh:mm:ss]\t[dB]\t[dB]"]
+    lines = lines.unionByName(reread(spark, of("purchase", "_SLM_123_Log.txt", ~odd), total, tabbed("date", "time", "", "laeq", "lafmax"), ["#CheckSum", "x"]))
+    band = [*SECTIONS, "# RTA LOG Results LZeq_dt", "Date\tTime\tTimer\tBand [Hz]\t63.0", "[YYYY-MM-DD]\t[hh:mm:ss]\t[hh:mm:ss]\t\t[dB]"]
+    lines = lines.unionByName(reread(spark, of("purchase", "_SLM_RTA_3rd_Log.txt", odd), band, tabbed("date", "time", "", "", "laeq"), ["#CheckSum", "x"]))
+    lines = lines.unionByName(reread(spark, of("signup", "_overview.dat"), ["Timestamp,LAeq,LAFmax"], comma("stamp", "laeq", "lafmax")))
+    lines = lines.unionByName(reread(spark, of("view", "_unknown.bin", odd), ["nothing"], F.lit("here")))
+    lines = lines.unionByName(reread(spark, of("view", "_broken.csv", ~odd), ["no header"], F.lit("1,2,3")))
+    forced = lines.where(F.col("path").contains("_overview.dat")).select("path", F.lit("Plot_Lines-Only").alias("forced")).distinct()
+    return lines, forced
+
+
+MIXED = f"""(select position, ms, laeq, lafmax, ms // {DAY} % 2 = 1 as odd, count(*) over (partition by position, ms // {DAY}) as n from log)"""
+SQL["s_read_files"] = (
+    "with log as (" + VIEWS["log"] + f"), g as (select *, case position when 'click' then 'sentry' when 'error' then 'svan' when 'purchase' then 'nti' when 'signup' then 'generic' end as reader, case position when 'purchase' then 'log' when 'click' then 'period' else 'overview' end as profile, ms // {DAY} as day from {MIXED}),"
+    # the period is the smallest most frequent step of a file's distinct times but the ends, see a7
+    + """ u as (select distinct position, day, ms from g where position = 'click'), dl as (select position, day, ms - lag(ms) over w as delta, row_number() over w - 1 as i, count(*) over (partition by position, day) as n from u window w as (partition by position, day order by ms)),
+ md as (select position, day, delta from dl where case when n = 2 then i = 1 when n - 2 > 20 then i > 5 and i <= n - 7 else i >= 1 and i <= n - 2 end group by 1, 2, 3 qualify row_number() over (partition by position, day order by count(*) desc, delta) = 1),
+ pr as (select g.*, case when profile = 'period' then case when round(delta / 1000.0, 3) > 60 then 'overview' else 'log' end else profile end as prof from g left join md using (position, day))
+ select position, reader, prof as profile, 'LAeq' as name, null::double as freq_hz, ms, round(laeq, 6) as level from pr where reader is not null and not (position = 'purchase' and odd)
+ union all select position, reader, prof, 'LAFmax', null, ms, round(lafmax, 6) from pr where reader is not null and not (position = 'purchase' and odd)
+ union all select position, reader, prof, 'LZeq', 63, ms, round(laeq, 6) from pr where position = 'purchase' and odd"""
+)
+
+
+@query(f"select distinct (ms // {DAY})::bigint as day, case when ms // {DAY} % 2 = 0 then 'svan' end as reader, case when ms // {DAY} % 2 = 0 then 'no rows found' else 'no reader for this name' end as reason from log where position = 'view'", "log")
+def s_rejected_files(spark, d):
+    _, rejects = readers.read_files(*mixed_files(spark, d))
+    return rejects.select(F.split("path", "_")[1].cast("long").alias("day"), "reader", "reason")
+
+
+def band_reports(spark, d):
+    """A third-octave report for each position and day; those of 'view' have other bands, of 'error' another order of metrics."""
+    rows = files(spark, d)
+    at = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd, HH:mm:ss")
+    r = rows.groupBy("path").agg(F.min("event_id").alias("event_id"), F.min("ms").alias("s"), F.max("ms").alias("e"), L.laeq(F.col("laeq")).alias("laeq"), L.lafmax(F.col("lafmax")).alias("lafmax"))
+    view, error = F.col("path").startswith("view"), F.col("path").startswith("error")
+    text = lambda *c: F.concat_ws("\t", F.lit(""), *c)
+    low, high = F.col("laeq").cast("string"), F.col("lafmax").cast("string")
+    eq, top = text(F.lit("LZeq_dt"), low, F.lit("-.-")), text(F.lit("LZFmax"), high, low)
+    parts = [F.lit("# Time"), F.concat(F.lit("Start:\t"), at("s")), F.concat(F.lit("End:\t"), at("e")), F.lit("# RTA Results"), text(F.lit("Band [Hz]"), F.when(view, "31.5").otherwise("63.0"), F.lit("125.0")), text(F.lit(""), F.lit("[dB]"), F.lit("[dB]")), F.when(error, top).otherwise(eq), F.when(error, eq).otherwise(top), F.lit("#CheckSum"), F.lit("x")]
+    lines = r.select("path", F.posexplode(F.array(*parts)).alias("i", "line")).select("path", F.col("i").cast("long").alias("line_no"), "line")
+    place = shared_dir(spark) + "/lines"
+    T.write_lines(lines, place)
+    return readers.single_band_reports(T.read_lines(spark, place))
+
+
+DAILY_BANDS = f"select position, (ms // {DAY})::bigint as day, min(ms) // 1000 * 1000 as start_ms, max(ms) // 1000 * 1000 as end_ms, {ENERGY.format('laeq')} as e, round(max(lafmax), 6) as m from log group by 1, 2"
+
+
+@query(f"select position, day, start_ms, end_ms, name, band, round(level, 6) as level from (select *, 'LZeq_dt' as name, 0 as i, e as level from ({DAILY_BANDS}) union all select *, 'LZeq_dt', 1, 0 from ({DAILY_BANDS}) union all select *, 'LZFmax', 0, m from ({DAILY_BANDS}) union all select *, 'LZFmax', 1, e from ({DAILY_BANDS})) cross join lateral (select case when i = 1 then '125.0' when position = 'view' then '31.5' else '63.0' end as band)", "log")
+def s12_read_single_band_reports(spark, d):
+    r = band_reports(spark, d).select("path", "start_ms", "end_ms", "header", F.explode("metrics").alias("m"))
+    flat = r.select("path", "start_ms", "end_ms", F.col("m.name").alias("name"), F.explode(F.arrays_zip(F.col("header").alias("band"), F.col("m.values").alias("level"))).alias("v"))
+    return flat.select(F.substring_index("path", "_", 1).alias("position"), F.substring_index("path", "_", -1).cast("long").alias("day"), "start_ms", "end_ms", "name", F.col("v.band").alias("band"), F.col("v.level").alias("level"))
+
+
+@query(f"select distinct position, (ms // {DAY})::bigint as day, position not in ('view', 'error') as accepted from log", "log")
+def k4_combine_band_reports(spark, d):
+    c = readers.combined_bands(band_reports(spark, d))
+    return c.select(F.substring_index("path", "_", 1).alias("position"), F.substring_index("path", "_", -1).cast("long").alias("day"), "accepted")

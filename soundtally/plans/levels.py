@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from soundtally.functions import levels as L
 from soundtally.operators import asof, regions, spectrogram, timeline
-from soundtally.plans.base import ENERGY, SQL, VIEWS, H, areas, extent, log, overview, query, spectra
-from soundtally.sources import names
+from soundtally.plans.base import ENERGY, H, areas, extent, log, overview, query, spectra
 from soundtally.streaming import streams
 
 
@@ -21,29 +20,67 @@ def a4_mean_spectrum(spark, d):
     return spectrogram.mean_spectrum(spectra(spark, d), ["position"])
 
 
-A5 = """, m as (select a.region_id, l.profile, l.laeq, l.lafmax from areas a join
- (select position, 'log' as profile, ms, case when event_id % 3 = 0 then laeq end as laeq, lafmax from log where position <> 'view' union all select position, 'overview', ms, laeq, lafmax from overview) l
- on l.position = a.position and l.ms between a.start_ms and a.end_ms),
-g as (select region_id, count(laeq) filter (profile = 'log') as nl, count(laeq) filter (profile = 'overview') as no,
- 10 * log10(avg(pow(10.0, laeq / 10)) filter (profile = 'log')) as el, 10 * log10(avg(pow(10.0, laeq / 10)) filter (profile = 'overview')) as eo,
- max(lafmax) filter (profile = 'log') as ml, max(lafmax) filter (profile = 'overview') as mo, quantile_cont(laeq, 0.1) filter (profile = 'log') as q from m group by 1)
-select a.region_id, a.position, a.end_ms - a.start_ms as duration_ms, case when nl > 0 then 'log' when no > 0 then 'overview' else 'none' end as dataset,
- round(case when nl > 0 then el else eo end, 6) as laeq, round(case when nl > 0 then ml else mo end, 6) as lafmax, round(case when nl > 0 then q end, 6) as la90 from areas a left join g using (region_id)"""
+LEVELS = """, levels as (select position, 'log' as profile, ms, case when event_id % 3 = 0 then laeq end as laeq, lafmax, case when event_id % 4 = 0 then laeq - 3 end as laf90, case when event_id % 5 < 2 then lafmax end as value from log where position <> 'view'
+ union all select position, 'overview', ms, laeq, lafmax, null, null from overview)"""
 
 
-@query()
+def both_profiles(rows):
+    """A log with gaps, which one position lacks, and an overview of all."""
+    some = lambda c, n, k: F.when(F.col("event_id") % n < k, c)
+    logs = rows.where("position <> 'view'").select("position", F.lit("log").alias("profile"), "ms", some(F.col("laeq"), 3, 1).alias("laeq"), "lafmax", some(F.col("laeq") - 3, 4, 1).alias("laf90"), some(F.col("lafmax"), 5, 2).alias("value"))
+    return logs.unionByName(overview(rows).withColumn("profile", F.lit("overview")), allowMissingColumns=True)
+
+
+@query(
+    LEVELS
+    + """, src as (select *, start_ms - case position when 'click' then 600000 when 'view' then -3600000 else 0 end as s, end_ms - case position when 'click' then 600000 when 'view' then -3600000 else 0 end as e from areas),
+ m as (select a.region_id, l.profile, l.laeq, l.lafmax, l.laf90 from src a join levels l on l.position = a.position and l.ms between a.s and a.e where a.s < a.e),
+ g as (select region_id, profile, count(laeq) as n, 10 * log10(avg(pow(10.0, laeq / 10))) as laeq, max(lafmax) as lafmax, coalesce(quantile_cont(laf90, 0.1), quantile_cont(laeq, 0.1)) as la90 from m group by 1, 2 having count(laeq) > 0),
+ c as (select * from g qualify row_number() over (partition by region_id order by profile) = 1)
+ select a.region_id, a.position, a.end_ms - a.start_ms as duration_ms, coalesce(c.profile, 'none') as dataset, round(c.laeq, 6) as laeq, round(c.lafmax, 6) as lafmax, round(c.la90, 6) as la90, coalesce(c.profile = 'log' and c.la90 is not null, false) as la90_available from areas a left join c using (region_id)""",
+    "log", "overview", "areas",
+)
 def a5_region_metrics(spark, d):
     rows = log(spark, d)
-    logs = rows.where("position <> 'view'").select("position", F.lit("log").alias("profile"), "ms", F.when(F.col("event_id") % 3 == 0, F.col("laeq")).alias("laeq"), "lafmax")
-    return regions.region_metrics(logs.unionByName(overview(rows).withColumn("profile", F.lit("overview"))), areas(rows))
+    # an offset beyond an hour counts as an hour
+    offsets = spark.createDataFrame([("click", 600_000), ("view", -9_000_000)], "position string, chart_offset_ms long")
+    return regions.region_metrics(both_profiles(rows), areas(rows), offsets)
 
 
-SQL["a5_region_metrics"] = "with " + ", ".join(f"{v} as ({VIEWS[v]})" for v in ("log", "overview", "areas")) + A5
+@query(
+    """, sp as (select position, case when substr(position, 2)::int % 3 = 0 then 'overview' else 'log' end as profile, 'LZeq' as param, ms, freq_hz, level from spectra
+ union all select position, 'overview', 'LZFmax', ms, freq_hz, level + 1 from spectra where position in ('P1', 'P5', 'P9')
+ union all select position, 'overview', 'LZeq', ms, freq_hz, level - 1 from spectra where position = 'P2'),
+ b as (select position, profile, param from (select distinct position, profile, param from sp) qualify row_number() over (partition by position order by param = 'LZeq', profile) = 1),
+ a as (select vec_id as region_id, 'P' || label as position, vec_id * 1000 as s, vec_id * 1000 + 5000 as e from embeddings)
+ select a.region_id, sp.param, sp.profile as source, sp.freq_hz, round(10 * log10(avg(pow(10.0, level / 10))), 6) as laeq from a join b using (position) join sp on sp.position = a.position and sp.profile = b.profile and sp.param = b.param and sp.ms between a.s and a.e group by 1, 2, 3, 4""",
+    "spectra",
+)
+def a5_region_spectra(spark, d):
+    s = spectra(spark, d)
+    kind = lambda df, profile, param, more=0: df.select("position", profile.alias("profile"), F.lit(param).alias("param"), "ms", "freq_hz", (F.col("level") + more).alias("level"))
+    own = F.when(F.substring("position", 2, 9).cast("int") % 3 == 0, "overview").otherwise("log")
+    sp = kind(s, own, "LZeq").unionByName(kind(s.where(F.col("position").isin("P1", "P5", "P9")), F.lit("overview"), "LZFmax", 1)).unionByName(kind(s.where("position = 'P2'"), F.lit("overview"), "LZeq", -1))
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    a = e.select(F.col("vec_id").alias("region_id"), F.concat(F.lit("P"), F.col("label")).alias("position"), (F.col("vec_id") * 1000).alias("start_ms"), (F.col("vec_id") * 1000 + 5000).alias("end_ms"))
+    return regions.region_spectra(sp, a, "LZFmax")
 
 
-@query(f"select ms // {H} as slice, position, {ENERGY.format('laeq')} as laeq, round(max(lafmax), 6) as lafmax, round(quantile_cont(laeq, 0.1), 6) as la90, count(*) as n from log group by 1, 2", "log")
+@query(
+    LEVELS
+    + f""", sl as (select distinct ms // {H} as slice_id, ms // {H} * {H} as s, ms // {H} * {H} + {H - 1} as e from log), p as (select distinct position from log), grid as (select * from sl cross join p),
+ g as (select slice_id, l.position, profile, count(laeq) as nl, count(value) as nv, 10 * log10(avg(pow(10.0, laeq / 10))) as laeq, 10 * log10(avg(pow(10.0, value / 10))) as value, max(lafmax) as lafmax, quantile_cont(laeq, 0.1) as ql, quantile_cont(value, 0.1) as qv
+  from grid join levels l on l.position = grid.position and l.ms between s and e group by 1, 2, 3 having count(laeq) + count(value) > 0),
+ c as (select * from g qualify row_number() over (partition by slice_id, position order by profile) = 1),
+ r as (select grid.slice_id, grid.position, e - s as duration_ms, coalesce(profile, 'none') as dataset, case when nl > 0 then laeq else value end as laeq, case when nv > 0 or profile is null then 'LAFmax' else 'LAeq' end as parameter,
+  case when nv > 0 then value else laeq end as broadband, lafmax, case when profile = 'log' then case when nl > 0 then ql else qv end end as la90 from grid left join c using (slice_id, position))
+ select slice_id, position, duration_ms, dataset, round(laeq, 6) as laeq, parameter, round(broadband, 6) as broadband, round(lafmax, 6) as lafmax, round(la90, 6) as la90, la90 is not null as la90_available, bool_or(laeq is not null or broadband is not null or lafmax is not null) over (partition by slice_id) as has_data from r""",
+    "log", "overview",
+)
 def a6_compare_positions(spark, d):
-    return log(spark, d).groupBy(F.floor(F.col("ms") / H).alias("slice"), "position").agg(L.laeq(F.col("laeq")).alias("laeq"), L.lafmax(F.col("lafmax")).alias("lafmax"), L.l_n(F.col("laeq"), 90).alias("la90"), F.count(F.lit(1)).alias("n"))
+    rows = log(spark, d)
+    slices = rows.select(F.floor(F.col("ms") / H).alias("slice_id")).distinct().select("slice_id", (F.col("slice_id") * H + H - 1).alias("start_ms"), (F.col("slice_id") * H).alias("end_ms"))
+    return regions.compare_positions(both_profiles(rows), slices, rows, "LAFmax")
 
 
 GRID = "(select distinct position, ms // 60000 * 60000 as ms from log)"
@@ -65,6 +102,11 @@ def a8_time_step(spark, d):
     return timeline.time_step(log(spark, d))
 
 
+@query("select position, list_sort(list(delta))[count(*) // 2 + 1] as step_ms from (select position, ms - lag(ms) over w as delta, row_number() over w as i from log window w as (partition by position order by ms)) where i <= 4001 and delta > 0 group by 1", "log")
+def a8_upper_median_step(spark, d):
+    return timeline.upper_median_step(log(spark, d))
+
+
 @query("select position, min(ms) as lo, max(ms) as hi, count(*) as n from (select position, ms from log union all select position, ms from overview) group by 1", "log", "overview")
 def a10_timestamp_stats(spark, d):
     rows = log(spark, d)
@@ -73,12 +115,19 @@ def a10_timestamp_stats(spark, d):
 
 
 @query(
-    """select l.position, (lo // 86400000 * 86400000 + ((ms - lo // 86400000 * 86400000) // step) * step)::bigint as ms, round(max(laeq), 6) as laeq, round(max(lafmax), 6) as lafmax
- from log l join (select *, greatest(1, ceil((hi - lo) / 500.0))::bigint as step from extent) e using (position) group by 1, 2""",
-    "log", "extent",
+    """, r as (select position, ms, event_id, laeq, lafmax from log union all select position || '-' || (ms // 86400000), ms, event_id, laeq, lafmax from log union all select position || '-flat', 5, event_id, laeq, lafmax from log),
+ g as (select position, min(ms) as lo, max(ms) as hi, count(*) as n from r group by 1),
+ k as (select r.*, case when n <= 500 then 'whole' when hi <= lo then 'first' else 'buckets' end as kind, lo // 86400000 * 86400000 as day0, greatest(1, ceil((hi - lo) / 500.0))::bigint as step, row_number() over (partition by position order by event_id) as i from r join g using (position))
+ select position, ms, round(laeq, 6) as laeq, round(lafmax, 6) as lafmax from k where kind = 'whole' or (kind = 'first' and i <= 500)
+ union all select position, (day0 + (ms - day0) // step * step)::bigint, round(max(laeq), 6), round(max(lafmax), 6) from k where kind = 'buckets' group by position, (day0 + (ms - day0) // step * step)""",
+    "log",
 )
 def a11_downsample_max(spark, d):
-    return timeline.downsample_max(log(spark, d), ["laeq", "lafmax"], 500)
+    """Each position's series, each of its days, and its rows at one time."""
+    rows = log(spark, d)
+    days = rows.withColumn("position", F.concat_ws("-", "position", F.floor(F.col("ms") / L.DAY_MS).cast("string")))
+    flat = rows.withColumn("position", F.concat("position", F.lit("-flat"))).withColumn("ms", F.lit(5).cast("long"))
+    return timeline.downsample_max(rows.unionByName(days).unionByName(flat), ["laeq", "lafmax"], 500)
 
 
 @query("select position, ms, event_id, round(laeq, 6) as laeq from (select *, row_number() over (partition by position, ms order by src, event_id) as r from (select position, ms // 1000 * 1000 as ms, event_id, laeq, 0 as src from log where event_id % 3 <> 0 union all select position, ms // 1000 * 1000, event_id, laeq, 1 from log)) where r = 1", "log")
@@ -112,7 +161,8 @@ def w4_interval_end(spark, d):
 def f1_slice_time(spark, d):
     rows = log(spark, d)
     lo = rows.agg(F.min("ms").alias("lo"))
-    return rows.join(F.broadcast(lo)).where((F.col("ms") >= F.col("lo") + 3600000) & (F.col("ms") <= F.col("lo") + 90000000)).select("event_id", "position", "laeq")
+    # one row; the bounds are given the wrong way round
+    return timeline.between(rows.join(F.broadcast(lo)), F.col("lo") + 90000000, F.col("lo") + 3600000).select("event_id", "position", "laeq")
 
 
 @query("select position, count(*) as n from log where laeq is not null and isfinite(laeq) and laeq < 89 group by 1", "log")
@@ -135,8 +185,8 @@ def j2_region_join(spark, d):
 def j1_asof_markers(spark, d):
     rows = log(spark, d)
     marks = rows.where("position = 'error'").select(F.col("event_id").alias("marker_id"), "ms")
-    # one row a position
-    points = marks.join(F.broadcast(rows.select("position").distinct()))
+    # the result has a row for each marker and position by definition
+    points = marks.crossJoin(rows.select("position").distinct())
     return asof.last_at(points.select("position", "ms", "marker_id"), rows, "position", ["laeq"], order="event_id").select("marker_id", "position", "at_ms", "laeq")
 
 
@@ -152,10 +202,7 @@ def j5_recording_at(spark, d):
     rows = log(spark, d).withColumn("site", F.lit("all"))
     rec = rows.where("position = 'purchase'").select("site", F.col("event_id").alias("recording"), "ms", (F.col("ms") + F.round(F.col("laeq") * 1000).cast("long")).alias("end_ms"))
     points = rows.where("position = 'view'").select("site", "ms", "event_id")
-    got = asof.last_at(points, rec, "site", ["recording", "end_ms"], order="recording")
-    first = rec.agg(F.min("ms").alias("first_ms"), F.min_by("recording", F.struct("ms", "recording")).alias("first"))
-    inside, before = F.col("end_ms") > F.col("ms"), F.col("ms") < F.col("first_ms")
-    return got.join(F.broadcast(first)).select("event_id", F.when(inside, F.col("recording")).when(before, F.col("first")).alias("recording"), F.when(inside, F.col("ms") - F.col("at_ms")).when(before, F.lit(0)).alias("offset_ms"))
+    return asof.recording_at(points, rec.withColumnRenamed("ms", "start_ms"), "site").select("event_id", "recording", "offset_ms")
 
 
 @query("select l.event_id, max_by(a.region_id, a.region_id) as region_id from log l join areas a on l.position = a.position and l.ms between a.start_ms and a.end_ms group by 1", "log", "areas")
@@ -168,18 +215,19 @@ def j8_region_at(spark, d):
 def j10_copy_regions(spark, d):
     rows = log(spark, d)
     places = rows.select(F.col("position").alias("other")).distinct()
-    return areas(rows).join(F.broadcast(places), F.col("other") != F.col("position")).select("region_id", F.col("other").alias("position"))
+    # the result has a row for each region and other position by definition
+    return areas(rows).crossJoin(places).where(F.col("other") != F.col("position")).select("region_id", F.col("other").alias("position"))
 
 
 @query("select coalesce(a.k, b.k) as k, a.n as left_n, b.n as right_n from (select ms // 60000 as k, count(*) as n from log where position = 'click' group by 1) a full join (select ms // 60000 as k, count(*) as n from log where position = 'error' group by 1) b on a.k = b.k", "log")
 def j7_align_reports(spark, d):
     rows = log(spark, d).withColumn("k", F.floor(F.col("ms") / 60000))
     side = lambda p, n: rows.where(F.col("position") == p).groupBy("k").agg(F.count(F.lit(1)).alias(n))
-    return side("click", "left_n").join(side("error", "right_n"), "k", "full")
+    return timeline.aligned(side("click", "left_n"), side("error", "right_n"), ["k"])
 
 
 MERGED = """, o as (select *, case when start_ms <= max(end_ms) over (partition by position order by start_ms, end_ms rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from areas),
- i as (select *, sum(fresh) over (partition by position order by start_ms, end_ms rows unbounded preceding) as isl from o)"""
+ i as (select *, sum(fresh) over (partition by position order by start_ms, end_ms rows unbounded preceding) as isl from o)""".replace("from areas)", "from areas where start_ms < end_ms)")
 
 
 @query(MERGED + " select position, min(start_ms) as start_ms, max(end_ms) as end_ms from i group by position, isl", "log", "areas")
@@ -198,33 +246,48 @@ def u5_dedupe_markers(spark, d):
     return timeline.merge_sources(m, ["ms"], ["event_id"])
 
 
-@query(
-    """, d as (select position, lo, hi, unnest(range(lo // 86400000, hi // 86400000 + 1)) as k from extent),
- r as (select position, mode, greatest(k * 86400000 + a * 3600000, lo) as start_ms, least(k * 86400000 + b * 3600000, hi) as end_ms from d, (values ('day', 7, 23), ('night', 23, 31)) as m(mode, a, b))
- select * from r where start_ms < end_ms""",
-    "log", "extent",
-)
+ZONE = 19_800_000
+NIGHTS = f""", z as (select position, lo, hi, (lo + {ZONE}) // 86400000 * 86400000 - {ZONE} as d0, (hi + {ZONE}) // 86400000 * 86400000 - {ZONE} as d1 from extent),
+ d as (select position, lo, hi, unnest(range(d0, d1 + 1, 86400000)) as k from z),
+ r as (select position, mode, greatest(k + a * 3600000, lo) as start_ms, least(k + b * 3600000, hi) as end_ms from d, (values ('daytime', 7, 23), ('nighttime', 23, 31)) as m(mode, a, b))"""
+AREAS_TEXT = "string_agg(start_ms || '-' || end_ms, ',' order by start_ms)"
+
+
+def areas_text(df):
+    return df.select("position", "mode", "note", F.array_join(F.transform("areas", lambda a: F.concat_ws("-", a["start_ms"].cast("string"), a["end_ms"].cast("string"))), ",").alias("areas"))
+
+
+@query(NIGHTS + f" select position, mode, upper(mode[1]) || mode[2:] || ' - ' || position as note, {AREAS_TEXT} as areas from r where start_ms < end_ms group by 1, 2", "log", "extent")
 def r1_day_night_regions(spark, d):
-    return regions.day_night(extent(log(spark, d)))
+    """One region a position and mode, in a zone five and a half hours ahead."""
+    return areas_text(regions.auto_regions(extent(log(spark, d)), ["daytime", "nighttime"], zone="Asia/Kolkata"))
+
+
+@query(NIGHTS + " select position, mode, 'Nighttime - ' || position || case when count(*) over (partition by position) > 1 then ' (' || row_number() over (partition by position order by start_ms) || ')' else '' end as note, start_ms || '-' || end_ms as areas from r where start_ms < end_ms and mode = 'nighttime'", "log", "extent")
+def r1_night_regions(spark, d):
+    return areas_text(regions.auto_regions(extent(log(spark, d)), ["nighttime"], zone="Asia/Kolkata"))
 
 
 @query("select m.marker_id, l.position, count(*) as n, round(10 * log10(avg(pow(10.0, laeq / 10))), 6) as laeq from markers m join log l on l.ms between m.ms - 1800000 and m.ms + 1800000 group by 1, 2", "log", "markers")
 def r4_event_windows(spark, d):
     rows = log(spark, d).withColumn("site", F.lit(1))
-    spans = rows.where("position = 'error'").select("site", F.col("event_id").alias("marker_id"), (F.col("ms") - 1800000).alias("start_ms"), (F.col("ms") + 1800000).alias("end_ms"))
+    spans = asof.event_windows(rows.where("position = 'error'").select("site", F.col("event_id").alias("marker_id"), "ms")).drop("ms")
     return asof.in_intervals(rows, spans, "site").groupBy("marker_id", "position").agg(F.count(F.lit(1)).alias("n"), L.laeq(F.col("laeq")).alias("laeq"))
 
 
-@query("select event_id, round(least(greatest(900000 + (laeq * 20 - 100) / 900 * 2700000, 900000), 3600000), 6) as window_ms from log", "log")
+@query("select event_id, round(w, 6) as window_ms, case when s > 0 then ceil(round(w / s, 9))::bigint end as bins from (select event_id, s, case when s is null or s <= 0 then 900000 else least(greatest(900000 + (s - 100) / 900 * 2700000, 900000), 3600000) end as w from (select event_id, case when event_id % 7 = 0 then 0.0 when event_id % 11 = 0 then null else event_id * 1.0 end as s from log))", "log")
 def v1_log_window(spark, d):
-    return log(spark, d).select("event_id", L.log_window_ms(F.col("laeq") * 20).alias("window_ms"))
+    step = F.when(F.col("event_id") % 7 == 0, 0.0).when(F.col("event_id") % 11 != 0, F.col("event_id") * 1.0)
+    return log(spark, d).select("event_id", L.log_window_ms(step).alias("window_ms"), L.log_window_bins(step).alias("bins"))
 
 
-@query("select a.region_id, round(greatest(0, least(a.end_ms, e.hi) - greatest(a.start_ms, e.lo)) / (a.end_ms - a.start_ms)::double, 6) as ratio, greatest(0, least(a.end_ms, e.hi) - greatest(a.start_ms, e.lo)) / (a.end_ms - a.start_ms)::double >= 0.98 as adequate from areas a join extent e using (position)", "log", "areas", "extent")
+@query("""select *, ratio >= 0.98 as adequate from (select a.region_id, round(case when a.end_ms > a.start_ms then greatest(0, least(a.end_ms, e.hi) - greatest(a.start_ms, e.lo)) / (a.end_ms - a.start_ms)::double else (a.start_ms between e.lo and e.hi)::int end, 6) as ratio
+ from (select region_id, position, start_ms, case when region_id % 9 = 0 then start_ms else end_ms end as end_ms from areas) a join extent e using (position))""".replace("select *, ratio", "select region_id, ratio::double as ratio, ratio"), "log", "areas", "extent")
 def v4_coverage_ratio(spark, d):
     rows = log(spark, d)
-    ratio = F.greatest(F.lit(0), F.least("end_ms", "hi") - F.greatest("start_ms", "lo")) / (F.col("end_ms") - F.col("start_ms"))
-    return areas(rows).join(extent(rows), "position").select("region_id", ratio.alias("ratio"), (ratio >= 0.98).alias("adequate"))
+    a = areas(rows).withColumn("end_ms", F.when(F.col("region_id") % 9 == 0, F.col("start_ms")).otherwise(F.col("end_ms")))
+    ratio = L.coverage(F.col("start_ms"), F.col("end_ms"), F.col("lo"), F.col("hi"))
+    return a.join(extent(rows), "position").select("region_id", ratio.alias("ratio"), (F.round(ratio, 6) >= 0.98).alias("adequate"))
 
 
 @query("select position, ms, freq_hz, round_even(level, 0)::smallint as level from spectra", "spectra")
@@ -250,16 +313,6 @@ def v11_pack_spectrogram(spark, d):
     return spectrogram.pack(cells).withColumn("levels", F.array_join(F.col("levels").cast("array<string>"), ","))
 
 
-@query(names.ROUTE_SQL)
-def s9_route_source(spark, d):
-    return names.routed(names.listing(spark, d)).select("path", "reader")
-
-
-@query(names.PARTS_SQL)
-def s_classify_names(spark, d):
-    return names.classified(names.listing(spark, d))
-
-
 @query(
     """select dir, count(*) as files, sum(bytes)::bigint as bytes, count(distinct ext)::bigint as kinds from (select regexp_extract(url, '^(.*)/[^/]*$', 1) as dir, coalesce(regexp_extract(url, '\\.([a-z]+)$', 1), '') as ext, strlen(html) as bytes from pages where url is not null) group by 1"""
 )
@@ -269,13 +322,6 @@ def a16_folder_totals(spark, d):
     return x.groupBy("dir").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.countDistinct("ext").alias("kinds"))
 
 
-@query("select position, round(laeq, 6) as laeq, ms from log where event_id % 7 <> 0", "log")
-def s1_read_delimited_log(spark, d):
-    """Writes each position's log as delimited lines with a header, and reads these lines."""
-    rows = log(spark, d).where("event_id % 7 <> 0")
-    return names.parsed_lines(names.as_lines(rows)).select("position", "laeq", "ms")
-
-
-@query(f"select position, window_start, {ENERGY.format('laeq')} as laeq, round(max(lafmax), 6) as lafmax, count(*) as n from (select *, ms // 300000 * 300000 as window_start from log) group by 1, 2", "log")
+@query(f"select position, window_start, {ENERGY.format('laeq')} as laeq, round(max(lafmax), 6) as lafmax, count(*) as n from (select *, ms // 300000 * 300000 as window_start from log) where window_start + 300000 <= (select max(ms) from log) - 3600000 group by 1, 2", "log")
 def t2_stream_leq(spark, d):
     return streams.stream_leq(spark, d)

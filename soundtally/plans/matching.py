@@ -7,22 +7,19 @@ from pyspark.sql import functions as F
 from soundtally.functions import levels as L
 from soundtally.operators import asof, regions, spectrogram, timeline
 from soundtally.plans.base import ENERGY, H, areas, log, overview, query, spectra
+from soundtally.sources import inventory
 
 DAY = L.DAY_MS
 
-SEGMENTS = """, m as (select * from log where ms // 86400000 % 3 = 0), d as (select *, ms - lag(ms) over (partition by position order by ms, event_id) as delta from m),
+SEGMENTS = """, d as (select *, ms - lag(ms) over (partition by position order by ms, event_id) as delta from log),
  lim as (select position, greatest(300000, 5 * quantile_cont(delta, 0.5)) as lim from d group by 1),
  s as (select d.*, sum(coalesce((delta > lim)::int, 0)) over (partition by position order by ms, event_id)::bigint as segment from d join lim using (position)),
  seg as (select position, segment, min(ms) as s, max(ms) as e from s group by 1, 2)"""
 
 
-def third_days(rows):
-    return rows.where(F.floor(F.col("ms") / DAY) % 3 == 0)
-
-
 @query(
     SEGMENTS
-    + """, rec as (select event_id, position, ms - (laeq * 10000)::bigint as s, ms as e from log),
+    + """, rec as (select event_id, position, ms + (event_id % 90 - 45) * 86400000::bigint - (laeq * 10000)::bigint as s, ms + (event_id % 90 - 45) * 86400000::bigint as e from log),
  c as (select rec.event_id, segment, case when rec.s <= seg.e and rec.e >= seg.s then 0 else least(abs(rec.s - seg.e), abs(rec.e - seg.s)) end as dist from rec join seg using (position)),
  b as (select event_id, min_by(segment, (dist, segment)) as segment, min(dist) as dist from c group by 1)
  select event_id, case when dist <= 43200000 then rec.s end as start_ms, case when dist <= 43200000 then segment end as segment,
@@ -31,11 +28,10 @@ def third_days(rows):
 )
 def j4_match_recordings(spark, d):
     rows = log(spark, d)
-    rec = rows.select("event_id", "position", (F.col("ms") - F.round(F.col("laeq") * 10000).cast("long")).alias("start_ms"), F.col("ms").alias("end_ms"))
-    got = asof.nearest_span(rec, timeline.segments(third_days(rows)), "position", "segment")
-    near = F.col("distance_ms") <= 12 * H
-    confidence = F.when(F.col("distance_ms") <= 2 * H, "high").when(near, "medium").otherwise("unmatched")
-    return got.select("event_id", F.when(near, F.col("start_ms")).alias("start_ms"), F.when(near, F.col("segment")).alias("segment"), confidence.alias("confidence"))
+    # recordings from a month and a half before to a month and a half after
+    end = F.col("ms") + (F.col("event_id") % 90 - 45) * DAY
+    rec = rows.select("event_id", "position", (end - F.round(F.col("laeq") * 10000).cast("long")).alias("start_ms"), end.alias("end_ms"))
+    return asof.match_recordings(rec, timeline.segments(rows)).select("event_id", "start_ms", "segment", "confidence")
 
 
 @query(
@@ -71,7 +67,7 @@ def j9_align_spectra(spark, d):
 
 
 @query(
-    """, p as (select marker_id, position, m.ms from markers m cross join (select distinct position from log)), q as (select * from log where ms // 86400000 % 3 = 0)
+    """, p as (select marker_id, position, m.ms from markers m cross join (select distinct position from log)), q as (select * from log)
  select p.marker_id, p.position, round(l.laeq, 6) as laeq, round(l.lafmax, 6) as lafmax, case when l.ms is null then 'no data' else 'ok' end as status
  from p left join lateral (select * from q where q.position = p.position and q.ms <= p.ms order by q.ms desc, q.event_id desc limit 1) l on true""",
     "log", "markers",
@@ -79,9 +75,9 @@ def j9_align_spectra(spark, d):
 def j11_values_at(spark, d):
     rows = log(spark, d)
     marks = rows.where("position = 'error'").select(F.col("event_id").alias("marker_id"), "ms")
-    places = rows.agg(F.collect_set("position").alias("places"))
-    points = marks.join(F.broadcast(places)).select("marker_id", "ms", F.explode("places").alias("position"))
-    got = asof.last_at(points, third_days(rows), "position", ["laeq", "lafmax"], order="event_id")
+    # the result has a row for each marker and position by definition
+    points = marks.crossJoin(rows.select("position").distinct())
+    got = asof.last_at(points, rows, "position", ["laeq", "lafmax"], order="event_id")
     return got.select("marker_id", "position", "laeq", "lafmax", F.when(F.col("at_ms").isNull(), "no data").otherwise("ok").alias("status"))
 
 
@@ -103,21 +99,29 @@ def a12_level_range(spark, d):
 def r2_comparison_to_regions(spark, d):
     rows = log(spark, d)
     slices = rows.where("position = 'click'").select((F.floor(F.col("ms") / DAY) * DAY).alias("start_ms")).distinct()
-    included = rows.where("position <> 'view'").agg(F.collect_set("position").alias("places"))
-    return slices.join(F.broadcast(included)).select("start_ms", (F.col("start_ms") + DAY).alias("end_ms"), F.explode("places").alias("position"))
+    included = rows.where("position <> 'view'").select("position").distinct()
+    # the result has a row for each slice and included position by definition
+    return slices.crossJoin(included).select("start_ms", (F.col("start_ms") + DAY).alias("end_ms"), "position")
 
 
 @query(
-    """, g as (select region_id, case when region_id % 150 > 0 then region_id // 150 end as given from areas), k as (select *, given is not null and row_number() over (partition by given order by region_id) = 1 as keep from g)
- select region_id, case when keep then given else (select max(given) from g) + row_number() over (partition by keep order by region_id) end as id from k""",
+    """, g as (select region_id, position || '/' || (start_ms // 86400000) as scope, case when region_id % 5 = 0 then region_id % 40 + 1 end as given from areas),
+ s as (select *, row_number() over (partition by scope order by region_id) as i from g)
+ , f as (select scope, list(struct_pack(r := region_id, g := given) order by i) as rows from s group by 1)
+ , w as (with recursive w as (select scope, rows, 0 as k, 0::bigint as top, []::bigint[] as ids from f union all
+  select scope, rows, k + 1, greatest(top, id), list_append(ids, id) from (select *, case when rows[k + 1].g is not null and not list_contains(ids, rows[k + 1].g) then rows[k + 1].g else top + 1 end as id from w where k < len(rows)))
+  select * from w where k = len(rows))
+ select rows[i].r as region_id, ids[i] as id from w, unnest(range(1, len(rows) + 1)) as t(i)""",
     "log", "areas",
 )
 def r3_assign_region_ids(spark, d):
-    given = F.when(F.col("region_id") % 150 > 0, F.floor(F.col("region_id") / 150))
-    return regions.with_ids(areas(log(spark, d)).select("region_id", given.alias("given")), "region_id", "given").select("region_id", "id")
+    """Ids within each position and day; every fifth region brings one."""
+    given = F.when(F.col("region_id") % 5 == 0, F.col("region_id") % 40 + 1)
+    scope = F.concat_ws("/", "position", F.floor(F.col("start_ms") / DAY).cast("string"))
+    return regions.with_ids(areas(log(spark, d)).select("region_id", scope.alias("scope"), given.alias("given")), "region_id", "given", "scope").select("region_id", "id")
 
 
-MERGES = """, g as (select case when t.position = a.position then t.region_id else a.region_id end as region_id, a.position, a.start_ms, a.end_ms from areas a left join areas t on t.region_id = a.region_id // 400 * 400),
+MERGES = """, g as (select case when t.position = a.position then t.region_id else a.region_id end as region_id, a.position, a.start_ms, a.end_ms from areas a left join areas t on t.region_id = a.region_id // 400 * 400 where a.start_ms < a.end_ms),
  o as (select *, case when start_ms <= max(end_ms) over (partition by region_id, position order by start_ms, end_ms rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from g),
  i as (select *, sum(fresh) over (partition by region_id, position order by start_ms, end_ms rows unbounded preceding) as isl from o),
  u as (select region_id, position, min(start_ms) as start_ms, max(end_ms) as end_ms from i group by region_id, position, isl)"""
@@ -198,29 +202,36 @@ def f5_band_range(spark, d):
     return spectrogram.band_range(s, ranges).groupBy("position", "freq_hz").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select page_id, url from pages where coalesce(case page_id % 3 when 0 then true when 1 then false end, true) and page_id % 5 > 0 and url is not null")
+@query("select page_id from pages where coalesce(case page_id % 3 when 0 then true when 1 then false end, true) and page_id % 5 > 0 and url is not null")
 def f6_enabled_sources(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet")
     enabled = F.when(F.col("page_id") % 3 == 0, True).when(F.col("page_id") % 3 == 1, False)
     place = F.when(F.col("page_id") % 5 > 0, F.concat(F.lit("P"), F.col("page_id") % 5))
-    s = p.select("page_id", "url", enabled.alias("enabled"), place.alias("position"))
-    return s.where(F.coalesce("enabled", F.lit(True)) & F.col("position").isNotNull() & F.col("url").isNotNull()).select("page_id", "url")
+    return inventory.enabled_sources(p.select("page_id", F.col("url").alias("path"), enabled.alias("enabled"), place.alias("position"))).select("page_id")
 
 
 @query(SEGMENTS + " select position, segment, coalesce(e - s < 3600000, false) as is_spot from seg", "log")
 def f7_spot_measurement(spark, d):
-    return timeline.segments(third_days(log(spark, d))).select("position", "segment", F.coalesce(F.col("end_ms") - F.col("start_ms") < H, F.lit(False)).alias("is_spot"))
+    return timeline.segments(log(spark, d)).select("position", "segment", timeline.is_spot(F.col("start_ms"), F.col("end_ms")).alias("is_spot"))
 
 
-@query("select position, true as has_log, bool_or(laeq > 85) as has_loud from log group by 1", "log")
+@query(
+    """, t as (select position || '/' || (ms // 86400000) as position, 'log' as profile, laeq > 85 as spectral from log where position in ('click', 'view') union all select position || '/' || (ms // 86400000), 'overview', lafmax > 93 from log where position in ('view', 'error'))
+ select position, coalesce(bool_or(profile = 'overview' and not spectral), false) as has_overview, coalesce(bool_or(profile = 'log' and not spectral), false) as has_log, coalesce(bool_or(profile = 'overview' and spectral), false) as has_overview_spectra, coalesce(bool_or(profile = 'log' and spectral), false) as has_log_spectra from t group by 1""",
+    "log",
+)
 def f8_presence(spark, d):
-    return log(spark, d).groupBy("position").agg((F.count(F.lit(1)) > 0).alias("has_log"), F.max(F.col("laeq") > 85).alias("has_loud"))
+    """Which tables each position has on a day."""
+    rows = log(spark, d).withColumn("place", F.concat_ws("/", "position", F.floor(F.col("ms") / DAY).cast("string")))
+    table = lambda names, profile, spectral: rows.where(F.col("position").isin(names)).select(F.col("place").alias("position"), F.lit(profile).alias("profile"), spectral.alias("spectral"))
+    return timeline.presence(table(["click", "view"], "log", F.col("laeq") > 85).unionByName(table(["view", "error"], "overview", F.col("lafmax") > 93)))
 
 
-@query("select region_id from (select region_id, case when region_id % 100 = 0 then end_ms else start_ms end as s, end_ms as e from areas) where s >= 0 and e > s", "log", "areas")
+@query("select region_id from (select region_id, case region_id % 7 when 0 then end_ms when 1 then -1 else start_ms end as s, end_ms as e from areas) where s >= 0 and e > s", "log", "areas")
 def f9_valid_range(spark, d):
-    a = areas(log(spark, d)).select("region_id", F.when(F.col("region_id") % 100 == 0, F.col("end_ms")).otherwise(F.col("start_ms")).alias("s"), F.col("end_ms").alias("e"))
-    return a.where("s >= 0 and e > s").select("region_id")
+    a = areas(log(spark, d))
+    s = F.when(F.col("region_id") % 7 == 0, F.col("end_ms")).when(F.col("region_id") % 7 == 1, -1).otherwise(F.col("start_ms"))
+    return regions.valid_ranges(a.select("region_id", s.alias("start_ms"), "end_ms")).select("region_id")
 
 
 @query("select event_id, ms + greatest(-3600000, least(3600000, (event_id % 5 - 2) * 1800000 * 2)) as ms from log", "log")
@@ -228,11 +239,52 @@ def p11_apply_offset(spark, d):
     return log(spark, d).select("event_id", L.shifted(F.col("ms"), (F.col("event_id") % 5 - 2) * 3_600_000).alias("ms"))
 
 
+@query("select region_id, start_ms - case position when 'click' then 600000 when 'view' then -3600000 else 0 end as start_ms, end_ms - case position when 'click' then 600000 when 'view' then -3600000 else 0 end as end_ms from areas", "log", "areas")
+def p11_source_areas(spark, d):
+    offsets = spark.createDataFrame([("click", 600_000), ("view", -9_000_000)], "position string, chart_offset_ms long")
+    return regions.source_areas(areas(log(spark, d)), offsets).select("region_id", "start_ms", "end_ms")
+
+
 @query("select event_id, position, ms from (select *, row_number() over (partition by position order by ms, event_id) as r from log) where r <= 20", "log")
 def o6_head_rows(spark, d):
     return timeline.head(log(spark, d), 20).select("event_id", "position", "ms")
 
 
-@query("select event_id as marker_id, ms, row_number() over (order by event_id) as rank from log where position = 'error'", "log")
+@query("select event_id as marker_id, ms, row_number() over (order by ms, event_id) as rank from (select event_id, ms // 60000 * 60000 as ms from log where position = 'error')", "log")
 def o5_marker_order(spark, d):
-    return timeline.ranked(log(spark, d).where("position = 'error'").select(F.col("event_id").alias("marker_id"), "ms"), "marker_id")
+    """Markers by time and id; times are whole minutes, of which some are equal."""
+    m = log(spark, d).where("position = 'error'").select(F.col("event_id").alias("marker_id"), (F.floor(F.col("ms") / 60000) * 60000).alias("ms"))
+    return timeline.ranked(m, "ms", H, "marker_id")
+
+
+@query("select event_id, position, case position when 'signup' then 1 when 'click' then 2 else 2 + (case position when 'error' then 1 when 'purchase' then 2 else 3 end) end as place from log", "log")
+def o7_position_order(spark, d):
+    return timeline.in_position_order(log(spark, d), ["signup", "absent", "click"]).select("event_id", "position", "place")
+
+
+@query(
+    """, q as (select position, ms, event_id, case when position in ('click', 'view') then laeq end as laeq, case when position in ('view', 'error') then lafmax end as lzeq from log),
+ p as (select marker_id, position, m.ms from markers m cross join (select distinct position from log)),
+ g as (select p.*, l.ms as at_ms, l.laeq, l.lzeq from p left join lateral (select * from q where q.position = p.position and q.ms <= p.ms order by q.ms desc, q.event_id desc limit 1) l on true)
+ select marker_id, position, at_ms, case when at_ms is not null then case when position in ('click', 'view') then 'LAeq' when position = 'error' then 'LZeq' end end as parameter, round(case when position in ('click', 'view') then laeq when position = 'error' then lzeq end, 6) as value from g""",
+    "log", "markers",
+)
+def j1_marker_metrics(spark, d):
+    """Two positions have LAeq, one LZeq alone, two neither."""
+    rows = log(spark, d)
+    of = lambda names, c: F.when(F.col("position").isin(names), F.col(c))
+    levels = rows.select("position", "ms", "event_id", of(["click", "view"], "laeq").alias("laeq"), of(["view", "error"], "lafmax").alias("lzeq"))
+    marks = rows.where("position = 'error'").select(F.col("event_id").alias("marker_id"), "ms").crossJoin(rows.select("position").distinct())
+    return asof.marker_metrics(marks, levels).select("marker_id", "position", "at_ms", "parameter", "value")
+
+
+@query(
+    """, e as (select distinct vec_id as k, 'P' || ((label + 3) % 10) as position, vec_id * 1000 + 500 as ms from embeddings), t as (select distinct position, ms from spectra), a as (select e.*, (select max(t.ms) from t where t.position = e.position and t.ms <= e.ms) as at_ms from e)
+ select a.k, a.position, count(*) as bands, round(sum(level), 6) as total from a join spectra s on s.position = a.position and s.ms = a.at_ms group by 1, 2""",
+    "spectra",
+)
+def j1_marker_spectra(spark, d):
+    """All bands of the last spectrum at or before each marker."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    points = e.select(F.col("vec_id").alias("k"), F.concat(F.lit("P"), (F.col("label") + 3) % 10).alias("position"), (F.col("vec_id") * 1000 + 500).alias("ms"))
+    return spectrogram.spectrum_at(points, spectra(spark, d), 0, 100_000).groupBy("k", "position").agg(F.count(F.lit(1)).alias("bands"), F.sum("level").alias("total"))

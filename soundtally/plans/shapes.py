@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from soundtally.functions import columns as C
 from soundtally.functions import levels as L
+from soundtally.functions import texts as X
 from soundtally.plans.base import log, query, spectra
-from soundtally.sources import lines
+from soundtally.sources import lines, readers
 
 
 def wide(spark, d):
@@ -23,11 +25,38 @@ def p1_standardise(spark, d):
     return C.standardised(rows, ["event_id"])
 
 
-@query("select position, ms, freq_hz, (freq_hz * case when freq_hz % 3 = 0 then 1000 else 1 end)::double as hz from spectra", "spectra")
+NOMINAL = "case when hz in (6.3, 8, 10, 12.5, 16, 20, 25, 31, 31.5, 40, 50, 63, 80, 100, 125, 160, 200, 250, 315, 400, 500, 630, 800, 1000, 1250, 1600, 2000, 2500, 3150, 4000, 5000, 6300, 8000, 10000, 12500, 16000, 20000) then hz end"
+
+
+@query(f"select position, ms, freq_hz, hz, {NOMINAL} as band_hz from (select position, ms, freq_hz, (freq_hz * case when freq_hz % 3 = 0 then 1000 else 1 end)::double as hz from spectra)", "spectra")
 def p3_normalise_frequency(spark, d):
     s = spectra(spark, d)
     unit = F.when(F.col("freq_hz") % 3 == 0, "k").when(F.col("freq_hz") % 3 == 1, " Hz").otherwise("_Hz")
-    return s.select("position", "ms", "freq_hz", L.frequency_hz(F.concat(F.col("freq_hz").cast("string"), unit)).alias("hz"))
+    label = F.concat(F.col("freq_hz").cast("string"), unit)
+    return s.select("position", "ms", "freq_hz", L.frequency_hz(label).alias("hz"), L.band_hz(label).alias("band_hz"))
+
+
+@query("select label, row_number() over (order by k) as place from (select distinct freq_hz || ' Hz' as label, freq_hz as k from spectra)", "spectra")
+def o3_band_order(spark, d):
+    """Labels by the value of their numbers: one row a band."""
+    labels = spectra(spark, d).select(F.concat(F.col("freq_hz").cast("string"), F.lit(" Hz")).alias("label")).distinct()
+    return labels.withColumn("place", F.row_number().over(Window.orderBy(X.natural_key(F.col("label")))).cast("long"))
+
+
+@query("select position, ms, 'LAeq' as name, round(laeq, 6) as level from log union all select position, ms, 'LAFmax', round(lafmax, 6) from log union all select position, ms, 'LAF90', round(laeq - 1, 6) from log", "log")
+def p2_map_columns(spark, d):
+    """Levels under three-row names; names of no level go."""
+    rows = log(spark, d)
+    names = {"P1 (A; Fast) (TH)_LAeq [dB]": "laeq", "P2 (A, Slow)_LAFmax (SR)": "lafmax", "P1_Histogram LAeq_L90": "low", "P1_Battery": "low"}
+    wide = rows.withColumn("low", F.col("laeq") - 1)
+    long = wide.select("position", "ms", F.explode(F.array(*[F.struct(F.lit(n).alias("raw"), F.col(c).alias("level")) for n, c in names.items()])).alias("v")).select("position", "ms", "v.*")
+    return long.withColumn("name", readers.three_row_name(F.col("raw"))["name"]).where("name is not null").select("position", "ms", "name", "level")
+
+
+@query("select event_id, round(case when event_id % 3 = 1 then laeq end, 6) as level, event_id % 3 = 1 as was_number from log", "log")
+def p9_safe_numeric(spark, d):
+    text = F.when(F.col("event_id") % 3 == 0, "-.-").when(F.col("event_id") % 3 == 1, F.concat(F.lit(" "), F.col("laeq").cast("string"))).otherwise("")
+    return log(spark, d).select("event_id", text.try_cast("double").alias("level")).withColumn("was_number", F.col("level").isNotNull())
 
 
 @query("select event_id, round(laeq, 6) as laeq from log", "log")

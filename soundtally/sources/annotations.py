@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soundtally.functions.levels import half_up3
+from soundtally.functions.texts import natural_key
 
 CSV = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False}
-AREA_SCHEMA = "array<struct<startUtc string, start string, start_utc string, endUtc string, end string, end_utc string>>"
+# Spellings of an area's two ends in JSON.
+STARTS, ENDS = ["startUtc", "start", "start_utc"], ["endUtc", "end", "end_utc"]
 
 
 def utc_text(ms: Column) -> Column:
@@ -24,50 +26,110 @@ def utc_ms(text: Column) -> Column:
     return F.coalesce(t.try_cast("double").cast("long"), F.unix_millis(F.try_to_timestamp(F.regexp_replace(t, "[zZ]$", ""))))
 
 
-def band_column(label: str) -> str:
-    """Name of a band's column: 31.5 Hz is band_31_5_Hz."""
-    return "band_" + (re.sub("[^0-9A-Za-z]+", "_", label.strip()).strip("_") or "value")
+# Columns of an annotation file after type and id, in order; bands follow.
+BASE = ["type", "id", "positionId", "start_utc", "end_utc", "note", "color", "areas"]
+PROVENANCE = ["chart_offset_ms", "source_start_utc", "source_end_utc", "source_areas"]
+METRICS = ["timestamp_utc", "duration_ms", "metrics_parameter", "metrics_data_resolution", "metrics_duration_ms", "metrics_laeq", "metrics_lafmax", "metrics_la90", "metrics_la90_available", "metrics_broadband_value", "metrics_broadband_position", "metrics_timestamp_utc", "metrics_spectrum_source"]
 
 
-def annotation_rows(markers: DataFrame, areas: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
-    """One row a marker of markers (marker_id, ms, position, note, color) and a region of areas (region_id, position, start_ms, end_ms).
+def number_text(x: Column) -> Column:
+    """A number with up to three places, halves up, without trailing zeros; empty where it is missing."""
+    y = half_up3(x)
+    text = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", y), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.coalesce(F.when(x.isNotNull() & ~F.isnan(x), text), F.lit(""))
+
+
+def whole_text(x: Column) -> Column:
+    return F.coalesce(F.floor(x + 0.5).cast("long").cast("string"), F.lit(""))
+
+
+def band_columns(labels: DataFrame) -> list[tuple[str, str]]:
+    """(key, column) of each distinct label of labels (label), in natural order. The columns of a table are named, so the labels come to the driver: bands, of which more than 1,000 are refused."""
+    key = F.lower(F.trim("label"))
+    named = labels.where(key != "").groupBy(key.alias("key")).agg(F.min("label").alias("label")).withColumn("order", natural_key(F.col("label")))
+    rows = named.orderBy("order", "key").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("more than 1,000 band labels")
+    out: list[tuple[str, str]] = []
+    for r in rows:
+        base = "band_" + (re.sub("_+", "_", re.sub("[^0-9A-Za-z_]+", "_", re.sub(r"\s+", "_", r["label"].strip()))).strip("_") or "value")
+        name, n = base, 2
+        while name in {c for _, c in out}:
+            name, n = f"{base}_{n}", n + 1
+        out.append((r["key"], name))
+    return out
+
+
+def annotation_rows(markers: DataFrame, areas: DataFrame, offsets: DataFrame | None = None, marker_facts: DataFrame | None = None, region_facts: DataFrame | None = None) -> DataFrame:
+    """One row a marker of markers (marker_id, ms, position, note, color) and a region of areas (region_id, position, start_ms, end_ms), in BASE, PROVENANCE and METRICS columns, all text but id.
 
     A region's areas are JSON in order of time; its source times lie chart_offset_ms
-    (offsets: position, chart_offset_ms) before the shown ones.
+    (offsets: position, chart_offset_ms) before the shown ones. marker_facts
+    (marker_id, parameter, value, place, at_ms) and region_facts (region_id, parameter,
+    dataset, duration_ms, laeq, lafmax, la90, la90_available, source) fill the metrics;
+    without them a region's duration is that from its start to its end.
     """
-    m = markers.select(F.lit("marker").alias("type"), F.col("marker_id").alias("id"), F.col("position").alias("positionId"), utc_text(F.col("ms")).alias("start_utc"), F.lit("").alias("end_utc"), "note", "color", F.lit("").alias("areas"))
+    empty = lambda df, cols: df.select(*df.columns, *[F.lit("").alias(c) for c in cols if c not in df.columns])
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    known = markers if marker_facts is None else markers.join(marker_facts, "marker_id", "left")
+    for c, t in (("parameter", "string"), ("value", "double"), ("place", "string"), ("at_ms", "long")):
+        known = known if c in known.columns else known.withColumn(c, F.lit(None).cast(t))
+    fine = F.col("value").isNotNull() & ~F.isnan("value")
+    m = known.where("ms is not null").select(
+        F.lit("marker").alias("type"), F.col("marker_id").alias("id"), text("position").alias("positionId"), utc_text(F.col("ms")).alias("start_utc"), utc_text(F.col("ms")).alias("timestamp_utc"), text("note").alias("note"), text("color").alias("color"),
+        text("parameter").alias("metrics_parameter"), F.coalesce(utc_text(F.col("at_ms")), F.lit("")).alias("metrics_timestamp_utc"), number_text(F.col("value")).alias("metrics_broadband_value"), F.when(fine, text("place")).otherwise("").alias("metrics_broadband_position"),
+    )
     shift = areas.withColumn("chart_offset_ms", F.lit(0)) if offsets is None else areas.join(offsets, "position", "left").fillna(0, ["chart_offset_ms"])
     span = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms")))
     g = shift.groupBy("region_id", "position", "chart_offset_ms").agg(span.alias("a"), F.min("start_ms").alias("s"), F.max("end_ms").alias("e"))
+    g = g if region_facts is None else g.join(region_facts, "region_id", "left")
+    for c, t in (("parameter", "string"), ("dataset", "string"), ("duration_ms", "long"), ("laeq", "double"), ("lafmax", "double"), ("la90", "double"), ("la90_available", "boolean"), ("source", "string"), ("note", "string"), ("color", "string")):
+        g = g if c in g.columns else g.withColumn(c, F.lit(None).cast(t))
     js = lambda off: F.to_json(F.transform("a", lambda x: F.struct(utc_text(x["start_ms"] - off).alias("startUtc"), utc_text(x["end_ms"] - off).alias("endUtc"))))
+    length = whole_text(F.coalesce("duration_ms", F.col("e") - F.col("s")))
     r = g.select(
-        F.lit("region").alias("type"), F.col("region_id").alias("id"), F.col("position").alias("positionId"), utc_text(F.col("s")).alias("start_utc"), utc_text(F.col("e")).alias("end_utc"), F.lit("").alias("note"), F.lit("").alias("color"), js(F.lit(0)).alias("areas"),
-        F.col("chart_offset_ms"), utc_text(F.col("s") - F.col("chart_offset_ms")).alias("source_start_utc"), utc_text(F.col("e") - F.col("chart_offset_ms")).alias("source_end_utc"), js(F.col("chart_offset_ms")).alias("source_areas"),
+        F.lit("region").alias("type"), F.col("region_id").alias("id"), text("position").alias("positionId"), utc_text(F.col("s")).alias("start_utc"), utc_text(F.col("e")).alias("end_utc"), text("note").alias("note"), text("color").alias("color"), js(F.lit(0)).alias("areas"),
+        text("chart_offset_ms").alias("chart_offset_ms"), utc_text(F.col("s") - F.col("chart_offset_ms")).alias("source_start_utc"), utc_text(F.col("e") - F.col("chart_offset_ms")).alias("source_end_utc"), js(F.col("chart_offset_ms")).alias("source_areas"),
+        length.alias("duration_ms"), text("parameter").alias("metrics_parameter"), text("dataset").alias("metrics_data_resolution"), whole_text(F.col("duration_ms")).alias("metrics_duration_ms"),
+        *[number_text(F.col(c)).alias(f"metrics_{c}") for c in ("laeq", "lafmax", "la90")], F.when(F.col("la90_available"), "true").otherwise("").alias("metrics_la90_available"), text("source").alias("metrics_spectrum_source"),
     )
-    return m.unionByName(r, allowMissingColumns=True)
+    order = BASE + PROVENANCE + METRICS
+    return empty(m, order).select(*order).unionByName(empty(r, order).select(*order))
 
 
-def with_bands(rows: DataFrame, spectra: DataFrame, labels: list[str]) -> DataFrame:
-    """rows (id, ...) and a column for each of these labels, rounded to three places; spectra: id, label, level."""
-    wide = spectra.groupBy("id").agg(*[half_up3(F.max(F.when(F.col("label") == x, F.col("level")))).alias(band_column(x)) for x in labels])
-    return rows.join(wide, "id", "left")
+def with_bands(rows: DataFrame, spectra: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, ...) and a column for each label of spectra (keys, label, level), as text of up to three places; labels differ whatever their case."""
+    columns = band_columns(spectra)
+    if not columns:
+        return rows
+    low = F.lower(F.trim("label"))
+    wide = spectra.groupBy(*keys).agg(*[F.max(F.when(low == key, F.col("level"))).alias(name) for key, name in columns])
+    return rows.join(wide, keys, "left").select(*rows.columns, *[number_text(F.col(f"`{n}`")).alias(n) for _, n in columns])
 
 
 def write_csv(rows: DataFrame, place: str) -> None:
     rows.write.options(header=True, escape='"', quoteAll=False, emptyValue="").csv(place)
 
 
+def area_ends(text: Column) -> Column:
+    """An array of structs (a, b) of the areas in a JSON text: one or a list of objects, pairs, or texts of two times with a comma, semicolon or bar between. What isn't two times has null ends."""
+    t = F.trim(text)
+    entries = F.from_json(F.when(t.startswith("["), t).otherwise(F.concat(F.lit("["), t, F.lit("]"))), "array<string>")
+    field = lambda x, keys: F.coalesce(*[F.get_json_object(x, f"$.{k}") for k in keys])
+    part = lambda x, i: F.get(F.split(F.trim(x), r"\s*[,;|]\s*"), F.lit(i))
+    end = lambda x, keys, i: utc_ms(F.when(x.startswith("{"), field(x, keys)).when(x.startswith("["), F.get_json_object(x, f"$[{i}]")).otherwise(part(x, i)))
+    return F.transform(entries, lambda x: F.struct(end(x, STARTS, 0).alias("a"), end(x, ENDS, 1).alias("b")))
+
+
 def read_annotations(spark: SparkSession, place: str) -> DataFrame:
     """(type, id, position, note, color, ms, areas) of annotation files. Rows of another type, markers without a time, regions without a position or length are left out.
 
-    Areas are objects with one of three spellings of their keys; a region without
-    usable ones has its own start and end. Reversed ends are swapped.
+    Areas are read in all forms of ``area_ends``; a region without usable ones has its
+    own start and end. Reversed ends are swapped.
     """
     raw = spark.read.options(**CSV).csv(place)
     s, e = utc_ms(F.col("start_utc")), utc_ms(F.col("end_utc"))
-    parsed = F.from_json("areas", AREA_SCHEMA)
-    ends = F.transform(parsed, lambda x: F.struct(utc_ms(F.coalesce(x["startUtc"], x["start"], x["start_utc"])).alias("a"), utc_ms(F.coalesce(x["endUtc"], x["end"], x["end_utc"])).alias("b")))
-    tidy = F.transform(F.filter(ends, lambda x: x["a"].isNotNull() & x["b"].isNotNull() & (x["a"] != x["b"])), lambda x: F.struct(F.least(x["a"], x["b"]).alias("start_ms"), F.greatest(x["a"], x["b"]).alias("end_ms")))
+    tidy = F.transform(F.filter(area_ends(F.col("areas")), lambda x: x["a"].isNotNull() & x["b"].isNotNull() & (x["a"] != x["b"])), lambda x: F.struct(F.least(x["a"], x["b"]).alias("start_ms"), F.greatest(x["a"], x["b"]).alias("end_ms")))
     own = F.array(F.struct(F.least("__s", "__e").alias("start_ms"), F.greatest("__s", "__e").alias("end_ms")))
     kind, number = F.lower(F.trim("type")), F.col("id").try_cast("bigint")
     r = raw.withColumns({"kind": kind, "__s": s, "__e": e, "__a": tidy, "number": F.when(number > 0, number), "place": F.nullif(F.trim("positionId"), F.lit(""))})

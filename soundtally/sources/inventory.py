@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from soundtally.functions.texts import contents
+
 # Words that mark a folder as a visit rather than a position.
 VISIT_WORDS = ["verification", "monitoring", "testing", "test", "glazing", "manuals", "manual", "survey", "visit", "phase", "round"]
 MONTHS = ["jan", "january", "feb", "february", "mar", "march", "apr", "april", "may", "jun", "june", "jul", "july", "aug", "august", "sep", "sept", "september", "oct", "october", "nov", "november", "dec", "december"]
@@ -61,22 +63,48 @@ def groups(sources: DataFrame) -> DataFrame:
 
 
 def visits(groups: DataFrame) -> DataFrame:
-    return groups.groupBy("visit").agg(F.count(F.lit(1)).alias("positions"), F.count_if("recommended").alias("recommended"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    """One row a visit, with place: the newest by its end first, those without times last."""
+    v = groups.groupBy("visit").agg(F.count(F.lit(1)).alias("positions"), F.count_if("recommended").alias("recommended"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # one row a visit
+    return v.withColumn("place", F.row_number().over(Window.orderBy(F.col("hi").desc_nulls_last(), "visit")).cast("long"))
+
+
+def described(groups: DataFrame) -> DataFrame:
+    """groups with contents, what each offers in words."""
+    return groups.withColumn("contents", contents(F.split("roles", ", ")))
+
+
+# Endings of files that a survey may have.
+SUPPORTED = r"\.(csv|svl|txt|xlsx|xls|json|wav)$"
 
 
 def scanned(files: DataFrame) -> DataFrame:
-    """files (path, bytes) as they are listed: one row a file, but one a folder for recordings, with their number and bytes."""
-    audio = F.lower("path").rlike(r"\.(wav|flac)$")
+    """files (path, bytes, content) as they are listed: one row a file of a supported kind, but one a folder for recordings, with their number and bytes.
+
+    A JSON file counts where its content is a configuration with a list of sources.
+    """
+    low = F.lower("path")
+    config = F.get_json_object("content", "$.sources").startswith("[") | F.get_json_object("content", "$.sourceConfigs").startswith("[")
+    some = files.where(low.rlike(SUPPORTED) & (~low.endswith(".json") | F.coalesce(config, F.lit(False))))
+    audio = low.endswith(".wav")
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    loud = files.where(audio).groupBy(folder.alias("path")).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
-    return files.where(~audio).select("path", F.lit(1).cast("long").alias("files"), F.col("bytes").cast("long").alias("bytes"), F.lit("file").alias("kind")).unionByName(loud.withColumn("kind", F.lit("audio")))
+    loud = some.where(audio).groupBy(folder.alias("path")).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").cast("long").alias("bytes"))
+    kind = F.when(low.endswith(".json"), "config").otherwise("file")
+    return some.where(~audio).select("path", F.lit(1).cast("long").alias("files"), F.col("bytes").cast("long").alias("bytes"), kind.alias("kind")).unionByName(loud.withColumn("kind", F.lit("audio")))
+
+
+def enabled_sources(sources: DataFrame) -> DataFrame:
+    """Sources (position, path, enabled) that are used: enabled unless they say otherwise, with a position and a path."""
+    return sources.where(F.coalesce("enabled", F.lit(True)) & F.col("position").isNotNull() & (F.col("position") != "") & F.col("path").isNotNull() & (F.col("path") != ""))
 
 
 def job_sources(configs: DataFrame, listing: DataFrame) -> DataFrame:
-    """(position, reader, profile, paths, missing) of configs (base, sources): the sources' paths against the base, grouped; missing counts paths that the listing lacks."""
-    s = configs.select("base", F.explode("sources").alias("s"))
-    s = s.where(F.coalesce("s.enabled", F.lit(True)) & F.col("s.position").isNotNull() & F.col("s.path").isNotNull())
-    full = F.when(F.col("s.path").startswith("/"), F.col("s.path")).otherwise(F.concat_ws("/", "base", "s.path"))
-    flat = s.select(F.col("s.position").alias("position"), F.coalesce("s.reader", F.lit("auto")).alias("reader"), F.col("s.profile").alias("profile"), full.alias("path"))
+    """(position, reader, columns, profile, axis, low, high, paths, missing) of configs (base, sources): the sources' paths against the base, grouped by what is to be read and how it is shown; missing counts paths that the listing lacks, paths has the others."""
+    s = configs.select("base", F.explode("sources").alias("s")).select("base", "s.*")
+    s = enabled_sources(s)
+    full = F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat_ws("/", "base", "path"))
+    keys = ["position", "reader", "columns", "profile", "axis", "low", "high"]
+    flat = s.withColumn("path", full).withColumn("reader", F.coalesce("reader", F.lit("auto"))).withColumn("columns", F.array_join(F.coalesce("columns", F.array().cast("array<string>")), ","))
     met = flat.join(listing.select("path", F.lit(True).alias("__there")).distinct(), "path", "left")
-    return met.groupBy("position", "reader", "profile").agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count_distinct(F.when(F.col("__there").isNull(), F.col("path"))).alias("missing"))
+    there = F.col("__there").isNotNull()
+    return met.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(there, F.col("path")))).alias("paths"), F.count_distinct(F.when(~there, F.col("path"))).alias("missing"))

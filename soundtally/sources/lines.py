@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from soundtally.sources.place import cut
+
 
 def write_lines(lines: DataFrame, place: str) -> None:
     """Writes (path, line_no, line) as text, one folder path=... a file, in order of line_no."""
@@ -19,18 +21,45 @@ def read_lines(spark: SparkSession, place: str) -> DataFrame:
     return raw.select(F.col("path").cast("string").alias("path"), F.struct("block", F.monotonically_increasing_id().alias("i")).alias("line_no"), F.col("value").alias("line"))
 
 
+#: Rows of a table with one row a file that are broadcast at most; more are met in MANY parts a file.
+FEW, MANY = 20_000, 16
+#: Section lines of a file up to which each of its lines looks them up.
+MARKS = 200
+
+
+def with_heads(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """lines with the columns of heads, which has a row a file at most: broadcast if their number, which is counted, allows it, else met in parts, so that a long file isn't one task."""
+    small = cut(heads)
+    if small.count() <= FEW:
+        return lines.join(F.broadcast(small), "path")
+    dealt = lines.withColumn("__part", F.pmod(F.xxhash64("line_no"), F.lit(MANY)).cast("int"))
+    return dealt.join(small.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(MANY - 1)))), ["path", "__part"]).drop("__part")
+
+
 def sections(lines: DataFrame, marker: str = r"^#", end: str = "#CheckSum") -> DataFrame:
     """Lines below a section line, with its text as section; what follows a line with ``end`` goes.
 
     A file has few section lines. They are gathered by file and each line looks up
-    the last one above it, so that no file is ordered in one task.
+    the last one above it, so that no file is ordered in one task. A file with more
+    than MARKS of them is ordered after all.
     """
     title = F.trim(F.regexp_replace("line", "^#+", ""))
-    marks = lines.where(F.col("line").rlike(marker)).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", title.alias("title"), F.col("line").contains(end).alias("end")))).alias("marks"))
-    met = lines.join(marks, "path").where(~F.col("line").rlike(marker))
+    marked = lines.where(F.col("line").rlike(marker))
+    many = marked.groupBy("path").agg(F.count(F.lit(1)).alias("__n"))
+    heads = cut(many)
+    few = heads.where(F.col("__n") <= MARKS).select("path")
+    marks = marked.join(F.broadcast(few) if heads.count() <= FEW else few, "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", title.alias("title"), F.col("line").contains(end).alias("end")))).alias("marks"))
+    met = with_heads(lines.where(~F.col("line").rlike(marker)), marks)
     above = F.filter("marks", lambda m: m["line_no"] < F.col("line_no"))
     here = met.withColumn("__above", above).where((F.size("__above") > 0) & ~F.exists("__above", lambda m: m["end"]))
-    return here.select("path", "line_no", "line", F.element_at("__above", -1)["title"].alias("section"))
+    out = here.select("path", "line_no", "line", F.element_at("__above", -1)["title"].alias("section"))
+    if heads.where(F.col("__n") > MARKS).isEmpty():
+        return out
+    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    long = lines.join(heads.where(F.col("__n") > MARKS).select("path"), "path", "left_semi")
+    is_mark = F.col("line").rlike(marker)
+    filled = long.withColumn("section", F.last(F.when(is_mark, title), True).over(w)).withColumn("__over", F.max(is_mark & F.col("line").contains(end)).over(w))
+    return out.unionByName(filled.where(~is_mark & F.col("section").isNotNull() & ~F.col("__over")).select("path", "line_no", "line", "section"))
 
 
 def top(lines: DataFrame, first: int) -> DataFrame:
@@ -55,7 +84,7 @@ def numbered(names: Column, first: int) -> Column:
 
 def cells(lines: DataFrame, heads: DataFrame, separator: str | Column, is_time: Callable[[Column], Column]) -> DataFrame:
     """(path, line_no, ts_text, name, text) for every non-empty cell below a file's header of heads (path, names, header_no). ts_text is the line's time cells in order of name."""
-    body = lines.join(heads, "path").where((F.col("line_no") > F.col("header_no")) & (F.trim("line") != ""))
+    body = with_heads(lines, heads).where((F.col("line_no") > F.col("header_no")) & (F.trim("line") != ""))
     pairs = body.withColumn("__c", F.arrays_zip(F.col("names").alias("name"), F.transform(F.split("line", separator), lambda x: F.trim(x)).alias("text")))
     ts = F.array_join(F.transform(F.array_sort(F.filter("__c", lambda c: is_time(c["name"]))), lambda c: c["text"]), " ")
     rest = F.filter("__c", lambda c: ~is_time(c["name"]) & (c["text"] != ""))
@@ -70,13 +99,14 @@ def metadata(lines: DataFrame, titles: list[str]) -> DataFrame:
 
 
 def hints(lines: DataFrame, markers: list[str], first: int = 40, enough: int = 3) -> DataFrame:
-    """(path, matches, status): how many markers a file's first lines hold, in upper case."""
+    """(path, matches, status, reason): how many of a layout's markers a file's first lines hold, in upper case."""
     heads = top(lines, first).select("path", F.transform("top", lambda x: F.upper(x["line"])).alias("top"))
     held = lambda m: F.exists("top", lambda x: x.contains(m)).cast("int")
     n = sum((held(m) for m in markers), F.lit(0))
     filled = F.exists("top", lambda x: F.trim(x) != "")
     status = F.when(~filled, "unlikely_valid").when(n >= enough, "likely_valid").otherwise("needs_review")
-    return heads.select("path", n.alias("matches"), status.alias("status"))
+    reason = F.when(~filled, "the file is empty").otherwise(F.format_string("%d of the layout's marks found", n))
+    return heads.select("path", n.alias("matches"), status.alias("status"), reason.alias("reason"))
 
 
 def span(rows: DataFrame) -> DataFrame:

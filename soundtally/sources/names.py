@@ -1,62 +1,61 @@
-"""Routing by file name, name grammars, and delimited log lines."""
+"""Routing by file name, and what names tell of profiles and recordings."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# File name patterns of the loggers.
-SECTIONED = r"_(rta|123)_.*(report|log)\.txt$"
-STAMPED = r"_\d{4}_\d{2}_\d{2}__\d{2}h\d{2}m\d{2}s.*\.csv$"
-TABULAR = r"\.(csv|svl)$"
-
-
-def listing(spark: SparkSession, d: str) -> DataFrame:
-    """(page_id, path): file names made from the pages table's rows."""
-    p = spark.read.parquet(f"{d}/pages.parquet")
-    n = F.col("page_id")
-    name = F.when(n % 4 == 0, F.concat(F.lit("Site_"), n, F.lit("_RTA_3rd_Log.txt"))).when(n % 4 == 1, F.concat(F.lit("P"), n, F.lit("_2024_05_13__09h00m00s.csv"))).when(n % 4 == 2, F.concat(F.lit("L"), n, F.lit(" summary.csv"))).otherwise(F.concat(F.lit("R"), n, F.lit(".wav")))
-    return p.select("page_id", F.concat(F.lit("job/"), name).alias("path"))
-
+from soundtally.functions.texts import file_name
 
-LISTING_SQL = "(select page_id, 'job/' || case page_id % 4 when 0 then 'Site_' || page_id || '_RTA_3rd_Log.txt' when 1 then 'P' || page_id || '_2024_05_13__09h00m00s.csv' when 2 then 'L' || page_id || ' summary.csv' else 'R' || page_id || '.wav' end as path from pages)"
+# File name patterns of the loggers, and other names of the readers.
+SECTIONED = r"_(rta|123)_"
+SECTIONED_END = r"_report\.txt|_log\.txt"
+STAMPED = r"_\d{4}_\d{2}_\d{2}__\d{2}h\d{2}m\d{2}s.*\.csv$"
+TABULAR = r"\.(csv|svl)$|overview\.xlsx"
+ALIASES = {"sentry": "sentry", "noisesentry": "sentry", "svan": "svan", "svantek": "svan", "nti": "nti", "audio": "audio", "wav": "audio", "generic": "generic", "plotlinesonly": "generic", "lineonly": "generic"}
 
 
 def routed(files: DataFrame) -> DataFrame:
-    """files (path) with reader: nti, sentry, svan, audio or null."""
-    low = F.lower("path")
-    return files.withColumn("reader", F.when(low.rlike(SECTIONED), "nti").when(low.rlike(STAMPED), "sentry").when(low.rlike(TABULAR), "svan").when(low.rlike(r"\.wav$"), "audio"))
-
-
-ROUTE_SQL = f"select path, case when regexp_matches(lower(path), '{SECTIONED}') then 'nti' when regexp_matches(lower(path), '{STAMPED}') then 'sentry' when regexp_matches(lower(path), '{TABULAR}') then 'svan' when regexp_matches(lower(path), '\\.wav$') then 'audio' end as reader from {LISTING_SQL}"
-
-
-def classified(files: DataFrame) -> DataFrame:
-    """path, profile and the number in a recording's name."""
-    low = F.lower("path")
-    profile = F.when(low.rlike("summary|overview"), "overview").when(low.rlike("_log"), "log").otherwise("log")
-    number = F.expr(r"try_cast(nullif(regexp_extract(path, '(?i)/R(\\d+)\\.wav$', 1), '') as bigint)")
-    return files.select("path", profile.alias("profile"), number.alias("recording_no"))
-
-
-PARTS_SQL = f"select path, case when regexp_matches(lower(path), 'summary|overview') then 'overview' else 'log' end as profile, try_cast(nullif(regexp_extract(path, '/R(\\d+)\\.wav$', 1, 'i'), '') as bigint) as recording_no from {LISTING_SQL}"
-
-
-def as_lines(rows: DataFrame) -> DataFrame:
-    """(path, line_no, line): each position's rows as a delimited file with a header and some blank lines."""
-    body = rows.select(F.concat("position", F.lit(".csv")).alias("path"), F.col("event_id").alias("line_no"), F.concat_ws(",", F.col("ms").cast("string"), F.col("laeq").cast("string"), F.lit("")).alias("line"))
-    head = rows.select("position").distinct().select(F.concat("position", F.lit(".csv")).alias("path"), F.lit(-1).cast("long").alias("line_no"), F.lit("Time,LEQ dB-A,Lmax dB-A").alias("line"))
-    return head.unionByName(body)
-
-
-def parsed_lines(lines: DataFrame) -> DataFrame:
-    """position, ms, laeq from (path, line_no, line). A file's header is the first of its 20 first lines with two known names; columns are found by its names; blank lines and lines without a time go."""
-    known = F.size(F.filter(F.split(F.lower("line"), "[,\t]"), lambda c: c.rlike("time|leq|lmax|l10|l90")))
-    first = lines.where(known >= 2).groupBy("path").agg(F.min_by("line", "line_no").alias("header"), F.min("line_no").alias("header_no"))
-    names = F.transform(F.split(F.lower("header"), "[,\t]"), lambda c: F.trim(c))
-    at = lambda pattern: F.coalesce(F.array_position(F.transform("names", lambda c: c.rlike(pattern)), F.lit(True)), F.lit(0))
-    plan = first.withColumn("names", names).select("path", "header_no", at("time").cast("int").alias("t"), at("leq").cast("int").alias("l"))
-    cells = lines.join(plan, "path").where((F.col("line_no") > F.col("header_no")) & (F.trim("line") != "")).withColumn("c", F.split("line", "[,\t]"))
-    value = lambda i: F.when((F.col(i) > 0) & (F.col(i) <= F.size("c")), F.expr(f"try_element_at(c, {i})"))
-    out = cells.select(F.regexp_extract("path", r"([^/]*)\.[^.]*$", 1).alias("position"), value("t").try_cast("bigint").alias("ms"), value("l").try_cast("double").alias("laeq"))
-    return out.where("ms is not null")
+    """files (path, forced) with reader: nti, sentry, svan, audio, generic or null. A forced reader that has a known name wins, underscores, dashes and case aside; else the file's name decides."""
+    low = F.lower(file_name(F.col("path")))
+    known = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    asked = F.element_at(known, F.regexp_replace(F.lower(F.trim(F.coalesce("forced", F.lit("")))), "[_-]", ""))
+    named = F.when(low.rlike(r"\.wav$"), "audio").when(low.rlike(SECTIONED_END) & low.rlike(SECTIONED), "nti").when(low.rlike(STAMPED), "sentry").when(low.rlike(TABULAR), "svan")
+    return files.withColumn("reader", F.coalesce(asked, named))
+
+
+def profile(path: Column, reader: Column, top: Column, period_s: Column) -> Column:
+    """log, overview or unknown, by the reader's rule.
+
+    Names decide for svan, then marks in its first five lines, given in capitals as
+    top; the period alone for sentry; words in the name and then the period for
+    generic; the file's ending for nti.
+    """
+    name = file_name(path)
+    up, low = F.upper(name), F.lower(name)
+    mark = lambda m: F.exists(top, lambda x: x.contains(m))
+    first = F.get(F.filter(top, lambda x: x.contains("(TH)") | x.contains("(SR)")), F.lit(0))
+    by_period = F.when(period_s > 60, "overview").otherwise("log")
+    svan = F.when(up.contains("_LOG.CSV") | up.contains("_LOG_"), "log").when(up.contains("_SUMMARY.CSV"), "overview").when(first.contains("(TH)"), "log").when(mark("(SR)"), "overview").otherwise("unknown")
+    words = F.when(low.rlike("summary|overview"), "overview").when(low.contains("log"), "log").otherwise(by_period)
+    return F.when(reader == "svan", svan).when(reader == "sentry", by_period).when(reader == "nti", F.when(low.rlike(r"_log\.txt"), "log").otherwise("overview")).otherwise(words)
+
+
+def recording_index(path: Column) -> Column:
+    """The number in a recording's name: R<n>.wav, or _<n>.wav at its end."""
+    name = file_name(path)
+    number = lambda form: F.nullif(F.regexp_extract(name, form, 1), F.lit(""))
+    return F.coalesce(number(r"(?i)^R(\d+)\.wav$"), number(r"(?i)_(\d+)\.wav$")).try_cast("bigint")
+
+
+def recordings(files: DataFrame) -> DataFrame:
+    """(path, folder, recording_no, size_mb, end_ms, duration_s, rank) of files (path, bytes, modified_ms, duration_s) that are recordings of some length.
+
+    They are named r*.wav or *_audio_*.wav, in any case. The time of their last change
+    is rounded to seconds. rank orders a folder's: numbers by value, before names.
+    """
+    low = F.lower(file_name(F.col("path")))
+    r = files.where(low.rlike(r"^r.*\.wav$|_audio_.*\.wav$") & (F.col("duration_s") > 0))
+    out = r.select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), recording_index(F.col("path")).alias("recording_no"), F.round(F.col("bytes") / 1048576, 2).alias("size_mb"), (F.round(F.col("modified_ms") / 1000) * 1000).cast("long").alias("end_ms"), "duration_s")
+    order = Window.partitionBy("folder").orderBy(F.col("recording_no").isNull(), "recording_no", "path")
+    return out.withColumn("rank", F.row_number().over(order).cast("long"))

@@ -1,14 +1,30 @@
-"""Folders that all executors share."""
+"""Folders that the driver and all executors see."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The session's checkpoint folder, else the one that spark.checkpoint.dir names. Only a local session may do without: a temporary folder of the driver is no good to executors elsewhere."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return sc.getCheckpointDir()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the session's checkpoint folder, or a temporary one where none is set."""
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{base}/{uuid.uuid4().hex}"
+    """A new folder that all executors see."""
+    return f"{shared_root(spark)}/tables/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: lineage ends here and survives lost executors."""
+    shared_root(df.sparkSession)
+    return df.checkpoint(eager=True)

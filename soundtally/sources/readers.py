@@ -9,16 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soundtally.functions.levels import frequency_hz
+from soundtally.functions.texts import date_comma_time_ms
+from soundtally.functions.levels import band_hz, frequency_hz
+from soundtally.operators import timeline
+from soundtally.sources import names as N
 from soundtally.sources import lines as T
+from soundtally.sources.place import cut
 
-# Nominal third-octave bands in Hz.
-BANDS = [6.3, 8, 10, 12.5, 16, 20, 25, 31.5, 40, 50, 63, 80, 100, 125, 160, 200, 250, 315, 400, 500, 630, 800, 1000, 1250, 1600, 2000, 2500, 3150, 4000, 5000, 6300, 8000, 10000, 12500, 16000, 20000]
 # Names of broadband levels that mark a header.
 BROADBAND = "LAeq|LAFmax|LAF10|LAF90|LCSmax|LCFmax|LZSmax|LZFmax"
 # Names of time columns, most explicit first.
 TIME_NAMES = ["datetime", "date_time", "timestamp", "time_stamp", "start datetime", "start date time", "start time"]
 SEPARATORS = [",", ";", "\t", "|"]
+# Words of a short delimited log's header, and its column names with what they stand for.
+SHORT_WORDS = ["time", "leq", "lmax", "l10", "l90"]
+SHORT_NAMES = {"Time (Date hh:mm:ss.ms)": "Datetime", "LEQ dB-A": "LAeq", "LEQ dB -A": "LAeq", "Lmax dB-A": "LAFmax", "L-Max dB -A": "LAFmax", "L-Max dB-A": "LAFmax", "L10 dB-A": "LAF10", "L90 dB-A": "LAF90"}
 LONG = ["path", "ms", "name", "freq_hz", "level"]
 
 
@@ -42,8 +47,8 @@ def three_row_name(raw: Column) -> Column:
     low = F.lower(F.regexp_extract(c, r"(?i)(?:^|_)(L[a-z]\w*?)(?:_|$)", 1))
     upper = F.when(low.rlike("^l[acz]f"), 3).otherwise(2)
     param = F.when(low != "", F.concat(F.upper(F.substring(low, F.lit(1), upper)), F.substring(low, upper + 1, F.lit(99))))
-    hz = frequency_hz(F.regexp_extract(c, r"(?i)_([\d.]+k?)(?:_?Hz)?$", 1))
-    band = c.contains("Oct") & hz.isin([float(b) for b in BANDS])
+    hz = band_hz(F.regexp_extract(c, r"(?i)_([\d.]+k?)(?:_?Hz)?$", 1))
+    band = c.contains("Oct") & hz.isNotNull()
     return F.struct(F.coalesce(total, F.when(band, param)).alias("name"), F.when(total.isNull() & band, hz).alias("freq_hz"))
 
 
@@ -60,6 +65,35 @@ def three_row_header(lines: DataFrame) -> DataFrame:
     return levels(met, F.col("__k.name"), F.col("__k.freq_hz"))
 
 
+def short_delimited(lines: DataFrame) -> DataFrame:
+    """Delimited files of a time and up to four levels.
+
+    The header is the first of 20 lines in which two of SHORT_WORDS occur in cells,
+    else the first line that isn't blank; a tab separates where it has more tabs than
+    commas. Known names are translated, others get underscores for spaces. A file
+    with standard columns gives these alone, another all. Cells are cut as the header
+    is; rows without a time, blank rows and cells that aren't numbers go.
+    """
+    words = lambda x: F.transform(F.split(F.lower(x), "[;\t,]"), lambda c: F.trim(c))
+    has = lambda x, word: F.exists(words(x), lambda c: c.contains(word)).cast("int")
+    marks = lambda x: sum((has(x, word) for word in SHORT_WORDS), F.lit(0))
+    t = T.top(lines, 20)
+    place = lambda test: F.array_position(F.transform("top", lambda x: test(x["line"])), F.lit(True)).cast("int")
+    at = F.coalesce(F.nullif(place(lambda x: marks(x) >= 2), F.lit(0)), place(lambda x: F.trim(x) != ""))
+    h = t.withColumn("at", at).where(F.col("at") > 0).withColumn("__h", F.element_at("top", F.col("at"))).select("path", F.trim("__h.line").alias("header"), F.col("__h.line_no").alias("header_no"))
+    tabs = F.length("header") - F.length(F.replace("header", F.lit("\t"), F.lit("")))
+    commas = F.length("header") - F.length(F.replace("header", F.lit(","), F.lit("")))
+    tabbed = tabs > commas
+    raw = F.filter(F.transform(F.split("header", F.when(tabbed, "[;\t,]").otherwise(",")), lambda c: F.trim(c)), lambda c: c != "")
+    known = F.create_map(*[F.lit(x) for pair in SHORT_NAMES.items() for x in pair])
+    canonical = F.transform(raw, lambda c: F.coalesce(F.element_at(known, c), F.replace(c, F.lit(" "), F.lit("_"))))
+    heads = h.select("path", "header_no", F.when(tabbed, "\t").otherwise(",").alias("sep"), canonical.alias("names"))
+    standard = F.exists("names", lambda c: c.isin("LAeq", "LAFmax", "LAF10", "LAF90"))
+    heads = heads.withColumn("names", F.when(standard, F.transform("names", lambda c: F.when(c.isin("Datetime", "LAeq", "LAFmax", "LAF10", "LAF90"), c).otherwise(""))).otherwise(F.col("names")))
+    long = T.cells(lines, heads, F.col("sep"), lambda n: n == "Datetime")
+    return levels(long, F.nullif(F.col("name"), F.lit("")), F.lit(None))
+
+
 def plain_header(lines: DataFrame) -> DataFrame:
     """Comma-separated files with one header row that has 'start time' and 'laeq'."""
     h = T.found(lines, 50, lambda x: F.lower(x).contains("start time") & F.lower(x).contains("laeq"))
@@ -164,3 +198,64 @@ def before(lines: DataFrame, cutoff: str) -> DataFrame:
     """Lines without a time, and those with one before the cutoff (text like 2024-01-15 00:00:00)."""
     ts = F.try_to_timestamp(F.regexp_extract("line", r"(\d{4}-\d{2}-\d{2}[ \tT]\d{2}:\d{2}:\d{2}(?:\.\d+)?)", 1))
     return lines.where(ts.isNull() | (ts < F.lit(cutoff).cast("timestamp")))
+
+
+def single_band_reports(lines: DataFrame) -> DataFrame:
+    """(path, header, units, start_ms, end_ms, metrics) of files with one third-octave measurement: metrics is an array of structs (name, values) in order of the rows.
+
+    Start and end stand as 'Start: YYYY-MM-DD, HH:MM:SS' before the table, whose rows
+    are the bands, the units, and one row a metric. '-.-' counts as 0.
+    """
+    stamp = lambda word: F.max(F.when(F.col("line").rlike(rf"(?i)^\s*{word}\s*:"), date_comma_time_ms(F.regexp_replace("line", rf"(?i)^\s*{word}\s*:", ""))))
+    when = T.sections(lines).where(F.col("section").startswith("Time")).groupBy("path").agg(stamp("Start").alias("start_ms"), stamp("End").alias("end_ms"))
+    body = T.sections(lines).where((F.col("section") == "RTA Results") & (F.trim("line") != ""))
+    number = lambda x: F.when(F.trim(x) == "-.-", 0.0).otherwise(x.try_cast("double"))
+    # a table has a row a metric
+    rows = F.array_sort(F.collect_list(F.struct("line_no", F.split("line", "\t").alias("c"))))
+    table = body.groupBy("path").agg(rows.alias("rows")).where(F.size("rows") >= 3)
+    cut = lambda c, first: F.slice(c, first, 9999)
+    metric = F.transform(F.slice("rows", 3, 9999), lambda r: F.struct(F.trim(F.get(r["c"], F.lit(1))).alias("name"), F.transform(cut(r["c"], 3), number).alias("values")))
+    metrics = F.filter(metric, lambda m: m["name"].isNotNull() & (m["name"] != ""))
+    out = table.select("path", cut(F.get("rows", F.lit(0))["c"], 3).alias("header"), cut(F.get("rows", F.lit(1))["c"], 3).alias("units"), metrics.alias("metrics"))
+    return out.where(F.size("metrics") > 0).join(when, "path")
+
+
+def combined_bands(reports: DataFrame) -> DataFrame:
+    """single_band_reports with accepted: whether a file has the header, the units and the metrics of the first file by name, and as many values in each row."""
+    key = F.struct("header", "units", F.transform("metrics", lambda m: m["name"]).alias("names"))
+    first = reports.agg(F.min_by(key, "path").alias("__k"), F.min_by(F.size(F.get("metrics", F.lit(0))["values"]), "path").alias("__n"))
+    same = (key == F.col("__k")) & F.forall("metrics", lambda m: F.size(m["values"]) == F.col("__n"))
+    return reports.join(F.broadcast(first)).withColumn("accepted", F.coalesce(same, F.lit(False))).drop("__k", "__n")
+
+
+#: Section titles of one kind of recorder's files, by the kind of measurement and of file.
+TITLES = {("rta", "log"): "RTA LOG Results", ("rta", "report"): "RTA Results", ("123", "log"): "Broadband LOG Results", ("123", "report"): "Broadband Results"}
+
+
+def read_files(lines: DataFrame, forced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files of all layouts: rows (path, reader, profile, ms, name, freq_hz, level), and rejects (path, reader, reason) of those that gave none.
+
+    Names decide on the reader, see ``names.routed``; forced (path, forced) overrides
+    them. A file that can't be read never fails the job.
+    """
+    files = lines.select("path").distinct()
+    files = files.join(forced, "path", "left") if forced is not None else files.withColumn("forced", F.lit(None).cast("string"))
+    routes = cut(N.routed(files))
+    sent = T.with_heads(lines, routes.select("path", "reader"))
+    of = lambda where: sent.where(where).drop("reader")
+    low = F.lower("path")
+    parts = [short_delimited(of("reader = 'sentry'")), three_row_header(of("reader = 'svan'")), plain_header(of("reader = 'svan'")), generic(of("reader = 'generic'"))]
+    for (kind, end), title in TITLES.items():
+        mine = of((F.col("reader") == "nti") & low.contains(f"_{kind}_") & low.rlike(rf"_{end}\.txt$"))
+        parts.append((sectioned_bands if kind == "rta" else sectioned_broadband)(mine, title))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    rows = cut(rows)
+    periods = timeline.sample_period(rows.select("path", "ms").distinct(), "path")
+    early = T.top(lines, 5).select("path", F.transform("top", lambda x: F.upper(x["line"])).alias("top"))
+    facts = routes.join(periods, "path", "left").join(early, "path", "left").withColumn("profile", N.profile(F.col("path"), F.col("reader"), F.col("top"), F.col("period_s")))
+    got = rows.select("path").distinct().withColumn("__got", F.lit(True))
+    missing = facts.join(got, "path", "left").where("__got is null")
+    reason = F.when(F.col("reader").isNull(), "no reader for this name").otherwise("no rows found")
+    return T.with_heads(rows.withColumn("line_no", F.col("ms")), facts.select("path", "reader", "profile")).select("path", "reader", "profile", "ms", "name", "freq_hz", "level"), missing.select("path", "reader", reason.alias("reason"))

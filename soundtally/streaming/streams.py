@@ -17,13 +17,13 @@ def windowed_leq(levels: DataFrame, late: str = "1 hour", width: str = "5 minute
 
 
 def stream_leq(spark: SparkSession, d: str) -> DataFrame:
-    """The events table read as a stream to its end, in complete mode; the last state of each window."""
+    """The events table read as a stream to its end, in append mode: the windows that the watermark has closed by then. Their state is dropped as they are given out."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     level = 30 + F.least(F.col("value"), F.lit(600)) / 10.0
     # a glob, so that a table of one file and one of a folder are both read
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     levels = source.select(F.col("event_type").alias("position"), F.col("ts").cast("timestamp").alias("ts"), level.alias("laeq"), (level + 5).alias("lafmax"))
-    return drained(windowed_leq(levels), "complete")
+    return drained(windowed_leq(levels), "append")
 
 
 def sessions(levels: DataFrame, late: str = "1 hour", gap: str = "5 minutes") -> DataFrame:
