@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from soundtally.operators import asof, regions, spectrogram, timeline
 from soundtally.sources import annotations as A
-from soundtally.sources import clock, lines, readers
+from soundtally.sources import clock, lines, place, readers
 from soundtally.sources import inventory as I
 
 
@@ -61,7 +61,7 @@ def test_cutoff_keeps_lines_without_a_time(spark):
     assert readers.before(t, "2024-01-02 00:00:00").count() == 2
 
 
-@pytest.mark.parametrize("name, want", [("july_2026", True), ("Glazing Tests", True), ("2026 works", True), ("Marlow Gardens", False), ("summary", False), ("971-2", False), (None, False)])
+@pytest.mark.parametrize("name, want", [("march_2031", True), ("Round Two", True), ("2031 works", True), ("Harbour Mews", False), ("summary", False), ("44-2", False), (None, False)])
 def test_visit_folders(spark, name, want):
     assert spark.range(1).select(I.is_visit(F.lit(name).cast("string")).alias("v")).first()["v"] is want
 
@@ -81,9 +81,68 @@ def test_segments_over_days(spark):
     assert [(r["segment"], r["n"]) for r in got] == [(0, 3), (1, 2)]
 
 
-def test_ids(spark):
-    r = spark.createDataFrame([(1, 5), (2, 5), (3, None), (4, 7)], "n long, given long")
-    assert {x["n"]: x["id"] for x in regions.with_ids(r, "n", "given").collect()} == {1: 5, 2: 8, 3: 9, 4: 7}
+@pytest.mark.parametrize("given", [[5, 5, None, 7], [None, 1, 2, None, 2], [None, None, 2, 3, 9, None, 10, 1], [], [3, None, 4, 4, 5, 6, None]])
+def test_ids(spark, given):
+    taken, top, want = set(), 0, []
+    for g in given:
+        i = g if g is not None and g not in taken else top + 1
+        taken.add(i)
+        top = max(top, i)
+        want.append(i)
+    r = spark.createDataFrame([("s", n, g) for n, g in enumerate(given)], "scope string, n long, given long")
+    assert [x["id"] for x in sorted(regions.with_ids(r, "n", "given", "scope").collect(), key=lambda x: x["n"])] == want
+
+
+def test_mixed_files(spark):
+    t = text(
+        spark,
+        **{
+            "a_2024_05_13__09h00m00s.csv": "Time (Date hh:mm:ss.ms),LEQ dB-A\n2024-01-01 00:00:00,50\n2024-01-01 00:02:00,51",
+            "b_log.csv": "Site\n,P1 (TH),\n,LAeq [dB],\nDate & time,,\n2024-01-01 00:00:01,40,",
+            "c.csv": "Start time,LAeq\n2024-01-01 00:00:01,41",
+            "d.dat": "Timestamp;v\n2024-01-01 00:00:01;42",
+            "e.csv": "nothing",
+            "f.bin": "x",
+            "g_123_Log.txt": "# Broadband LOG Results\nDate\tTime\tLAeq_dt\n2024-01-01\t00:00:01\t43",
+        },
+    )
+    forced = spark.createDataFrame([("d.dat", "generic")], "path string, forced string")
+    rows, rejects = readers.read_files(t, forced)
+    assert sorted((r["path"][0], r["reader"], r["profile"], r["level"]) for r in rows.collect()) == [("a", "sentry", "overview", 50.0), ("a", "sentry", "overview", 51.0), ("b", "svan", "log", 40.0), ("c", "svan", "unknown", 41.0), ("d", "generic", "log", 42.0), ("g", "nti", "log", 43.0)]
+    assert {(r["path"], r["reason"]) for r in rejects.collect()} == {("e.csv", "no rows found"), ("f.bin", "no reader for this name")}
+
+
+def test_a_file_of_comments(spark, monkeypatch):
+    monkeypatch.setattr(lines, "MARKS", 5)
+    many = "\n".join(f"# c{i}\n{i}" for i in range(9))
+    got = {(r["path"], r["section"], r["line"]) for r in lines.sections(text(spark, a=many + "\n#CheckSum\nx", b="# One\n1")).collect()}
+    assert got == {*(("a", f"c{i}", str(i)) for i in range(9)), ("b", "One", "1")}
+
+
+def test_many_files_are_met_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(lines, "FEW", 0)
+    t = text(spark, a="# One\n1\n2", b="x\n# Two\n3")
+    assert {(r["path"], r["section"], r["line"]) for r in lines.sections(t).collect()} == {("a", "One", "1"), ("a", "One", "2"), ("b", "Two", "3")}
+
+
+def test_band_report(spark):
+    t = text(spark, a="# Time\nStart:\t2024-01-01, 00:00:01\nEnd:\t2024-01-01, 00:10:01\n# RTA Results\n\tBand [Hz]\t63\t125\n\t\t[dB]\t[dB]\n\tLZeq\t50\t-.-\n\t\t1\t2\n#CheckSum\nx", b="# RTA Results\n\tBand\n")
+    r = readers.single_band_reports(t).collect()
+    assert [(x["path"], x["end_ms"] - x["start_ms"], x["header"], [tuple(m) for m in x["metrics"]]) for x in r] == [("a", 600_000, ["63", "125"], [("LZeq", [50.0, 0.0])])]
+
+
+def test_shared_folder_of_a_cluster_is_asked_for():
+    class Conf:
+        get = staticmethod(lambda key, default: default)
+
+    class Context:
+        master, getCheckpointDir, getConf = "spark://host:7077", staticmethod(lambda: None), staticmethod(Conf)
+
+    class Session:
+        sparkContext = Context
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        place.shared_root(Session)
 
 
 def test_all_bands_where_none_is_in_range(spark):
