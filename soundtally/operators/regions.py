@@ -144,6 +144,22 @@ def compare_positions(levels: DataFrame, slices: DataFrame, positions: DataFrame
     return out.join(any_, "slice_id").withColumn("la90_available", F.col("la90").isNotNull())
 
 
+def compare_spectra(spectra: DataFrame, compared: DataFrame, slices: DataFrame, selected: str) -> DataFrame:
+    """slice_id, position, source, freq_hz, laeq: the mean spectrum of the selected parameter in each slice at each position of compared (slice_id, position, dataset), see ``compare_positions``.
+
+    Where the log was chosen the position's log spectra count, if it has any of the
+    parameter; else its overview's. A position without a dataset has no spectrum.
+    """
+    own = spectra.where(F.col("param") == selected).select("position", "profile", "ms", "freq_hz", "level")
+    has = own.groupBy("position").agg(F.bool_or(F.col("profile") == "log").alias("__log"))
+    asked = compared.where("dataset <> 'none'").select("slice_id", "position", "dataset").join(has, "position")
+    source = F.when((F.col("dataset") == "log") & F.col("__log"), "log").otherwise("overview")
+    ends = slices.select("slice_id", F.least("start_ms", "end_ms").alias("start_ms"), F.greatest("start_ms", "end_ms").alias("end_ms"))
+    spans = asked.select("slice_id", "position", source.alias("source")).join(ends, "slice_id")
+    met = in_intervals(own, spans, "position").where("profile = source")
+    return met.groupBy("slice_id", "position", "source", "freq_hz").agg(L.laeq(F.col("level")).alias("laeq"))
+
+
 def merge_regions(areas: DataFrame, pairs: DataFrame) -> DataFrame:
     """Areas (region_id, position, start_ms, end_ms) after the merges of pairs (region_id, target_id): a region goes into a target of its own position, else stays."""
     place = areas.select(F.col("region_id").alias("target_id"), F.col("position").alias("__there")).distinct()

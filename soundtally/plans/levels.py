@@ -83,6 +83,26 @@ def a6_compare_positions(spark, d):
     return regions.compare_positions(both_profiles(rows), slices, rows, "LAFmax")
 
 
+@query(
+    """, sp as (select position, case when substr(position, 2)::int % 3 = 0 then 'overview' else 'log' end as profile, ms, freq_hz, level from spectra union all select position, 'overview', ms, freq_hz, level - 1 from spectra where position in ('P1', 'P2')),
+ c as (select distinct ms // 20000 as slice_id, position, case (ms // 20000 + substr(position, 2)::int) % 3 when 0 then 'none' when 1 then 'log' else 'overview' end as dataset from spectra),
+ k as (select c.*, case when dataset = 'log' and substr(position, 2)::int % 3 > 0 then 'log' else 'overview' end as source from c where dataset <> 'none')
+ select k.slice_id, k.position, k.source, freq_hz, round(10 * log10(avg(pow(10.0, level / 10))), 6) as laeq from k join sp on sp.position = k.position and sp.profile = k.source and sp.ms between k.slice_id * 20000 and k.slice_id * 20000 + 19999 group by 1, 2, 3, 4""",
+    "spectra",
+)
+def a6_compare_spectra(spark, d):
+    s = spectra(spark, d)
+    number = F.substring("position", 2, 9).cast("int")
+    own = F.when(number % 3 == 0, "overview").otherwise("log")
+    part = lambda df, profile, more: df.select("position", profile.alias("profile"), F.lit("LZeq").alias("param"), "ms", "freq_hz", (F.col("level") + more).alias("level"))
+    sp = part(s, own, 0).unionByName(part(s.where(F.col("position").isin("P1", "P2")), F.lit("overview"), -1))
+    each = s.select(F.floor(F.col("ms") / 20_000).alias("slice_id"), "position").distinct()
+    k = (F.col("slice_id") + number) % 3
+    compared = each.withColumn("dataset", F.when(k == 0, "none").when(k == 1, "log").otherwise("overview"))
+    slices = each.select("slice_id").distinct().withColumns({"start_ms": F.col("slice_id") * 20_000, "end_ms": F.col("slice_id") * 20_000 + 19_999})
+    return regions.compare_spectra(sp, compared, slices, "LZeq")
+
+
 GRID = "(select distinct position, ms // 60000 * 60000 as ms from log)"
 
 
