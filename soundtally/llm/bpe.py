@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import with_arrow
 
 NO_RANK = np.iinfo(np.int64).max
-#: Stretches of text a worker remembers; then it forgets them all, which bounds its memory.
-REMEMBERED = 300_000
+#: Stretches of text a worker remembers, of up to so many characters; then it forgets them all, which bounds its memory.
+REMEMBERED, LONGEST = 300_000, 100
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
 
@@ -131,7 +131,10 @@ class MergeTable:
             words = list({p for parts in pieces.values() for p in parts if p not in self.special})
             ids = {w: i.tobytes() for w, i in zip(words, self.merged(words), strict=True)}
             ids |= {t: np.int32(i).tobytes() for t, i in self.special.items()}
-            known.update({w: b"".join([ids[p] for p in parts]) for w, parts in pieces.items()})
+            made = {w: b"".join([ids[p] for p in parts]) for w, parts in pieces.items()}
+            known.update({w: i for w, i in made.items() if len(w) <= LONGEST})
+            if any(len(w) > LONGEST for w in made):
+                return [np.frombuffer(b"".join([made[w] if w in made else known[w] for w in parts]), np.int32) for parts in split]
         return [np.frombuffer(b"".join([known[w] for w in parts]), np.int32) for parts in split]
 
     def stretches(self, text: str) -> list[str]:
@@ -174,7 +177,13 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", into: str = "decode
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with token_ids and, decoded from these, decoded; encode() and decode() in one pass over the rows."""
+    """docs with token_ids and, decoded from these, decoded; encode() and decode() in one pass over the rows.
+
+    A null or empty text has no ids and an empty text decoded; texts of any length, also
+    without white space, are encoded as a whole. Repeated rows and rows without doc_id
+    are rows like others; columns of the two names are replaced. An empty table gives an
+    empty result.
+    """
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         ids, column = _ids(path, batch.column(text))
@@ -184,6 +193,6 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids (decimal, joined by a space) and of the decoded text."""
+    """doc_id, n_tokens and the SHA-256 of the ids (decimal, joined by a space) and of the decoded text, for each row of round_trip(); of a null or empty text those of an empty one."""
     joined = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return df.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

@@ -19,8 +19,8 @@ from .common import with_arrow
 
 MARK = "▁"
 PENALTY = 10.0
-#: Stretches of text a worker remembers; then it forgets them all.
-REMEMBERED = 300_000
+#: Stretches of text a worker remembers, of up to so many characters; then it forgets them all, which bounds its memory.
+REMEMBERED, LONGEST = 300_000, 100
 
 
 class Unigram:
@@ -70,7 +70,9 @@ class Unigram:
     def stretch(self, text: str) -> tuple[float, int]:
         got = self.known.get(text)
         if got is None:
-            got = self.known[text] = self.best(text)
+            got = self.best(text)
+            if len(text) <= LONGEST:
+                self.known[text] = got
         return got
 
     def count(self, text: str | None) -> tuple[int, float]:
@@ -107,7 +109,13 @@ def loaded(path: str) -> Unigram:
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with n_tokens and score of the best path over every whole text; a null or empty text has 0 and 0.0. Other columns stay."""
+    """docs with n_tokens and score of the best path over every whole text.
+
+    A null or empty text has 0 and 0.0; texts of any length, also without white space,
+    are counted as a whole. Of paths with equal scores the library's is taken. Repeated
+    rows and rows without doc_id are rows like others. Other columns stay, but for those
+    of the two names. An empty table gives an empty result.
+    """
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         model = loaded(path)

@@ -198,6 +198,30 @@ def vectors(spark, x, extra=()):
 BAD = [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, [None] + [1.0] * 15), (None, [1.0] * 16), (9005, [1.0, 2.0])]
 
 
+def test_long_texts_without_white_space(spark):
+    """Counted and encoded as a whole, and not remembered."""
+    text = "".join(random.Random(8).choice("abcdeé語") for _ in range(20_000))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text[:50])], "doc_id long, text string")
+    want = Tokenizer.from_file(BPE)
+    want.no_truncation()
+    rows = {r["doc_id"]: r for r in bpe.round_trip(docs, BPE).collect()}
+    assert all(rows[i]["token_ids"] == want.encode(t, add_special_tokens=False).ids for i, t in ((1, text), (2, text), (3, text[:50])))
+    counts = {r["doc_id"]: r["n_tokens"] for r in unigram.token_counts(docs, PIECES).collect()}
+    assert counts[1] == counts[2] > 1000
+    table, model = bpe.MergeTable(BPE), unigram.loaded(PIECES)
+    known = {}
+    table.encode([text, text[:50]], known)
+    model.count(text)
+    assert set(known) == {text[:50]} and not any(len(k) > unigram.LONGEST for k in model.known)
+
+
+def test_many_sources_are_solved_like_few(spark):
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 700}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    n = mixing.mixture(docs, entropy=0.99).agg({"n_tokens": "sum"}).first()[0]
+    assert 0.5 * sum(1 + i % 7 for i in range(3000)) <= n <= sum(1 + i % 7 for i in range(3000))
+
+
 def test_neighbours_recall(spark):
     x = np.random.default_rng(1).standard_normal((3000, 16)).astype(np.float32)
     x[100:400] = x[100]

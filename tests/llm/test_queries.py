@@ -167,7 +167,7 @@ def mixture(rows, entropy=0.95):
     every = sum(total.values())
     p = {s: t / every for s, t in total.items() if t}
     low, high = 0.0, 1.0
-    for _ in range(mixing.STEPS):
+    for _ in range(50):
         a = (low + high) / 2
         w = [x**a / sum(y**a for y in p.values()) for x in p.values()]
         low, high = (low, a) if -sum(x * math.log(x) for x in w) < entropy * math.log(len(p)) else (a, high)
