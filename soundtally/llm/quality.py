@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Labelled rows that the classifier is fitted on at most, half of each label; chosen by hash of the id.
 SAMPLE = 4_000
 #: Hashed features: SHAPES for character classes, WORDS for words.
-SHAPES, WORDS = 768, 1280
+SHAPES, WORDS = 768, 512
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 64, 25, 6
 _CLASS = np.arange(256, dtype=np.uint8)
 for _first, _last, _to in ((0x61, 0x7A, 0x61), (0x41, 0x5A, 0x41), (0x30, 0x39, 0x30), (0x80, 0xFF, 0x61), (0x09, 0x0D, 0x0A), (0x20, 0x20, 0x20)):
@@ -74,7 +74,7 @@ class Model:
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
         self.prior = float(labels.mean()) if len(labels) else 1.0
         n = max(1, len(counts))
-        self.idf = np.log((1 + n) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
+        self.idf = np.log((1 + n) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32) + 1
         x = self.weighted(counts)
         values, vectors = np.linalg.eigh(x.T @ x) if len(counts) else (np.ones(1), np.eye(x.shape[1], dtype=np.float32))
         self.axes = np.ascontiguousarray(vectors[:, ::-1][:, :DIMENSIONS], dtype=np.float32)
