@@ -413,3 +413,22 @@ def test_pipeline(spark):
         before = n
     out = corpus_pipeline.run(spark, SF)
     assert out.count() == docs.count() > 100
+
+
+def test_stages_keep_null_and_repeated_ids(spark):
+    """Exact rows of the stages after the classifier, which only scores rows singly."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(None, a, "en", "s", 1), (None, a, "en", "s", 1), (1, a, "en", "s", 1), (1, a, "en", "s", 1), (2, "", "en", "s", 0), (3, None, "en", "s", None), (4, b, "en", "s", 5), (4, b + " more", "en", "s", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    counted = lambda df: sorted(map(tuple, df.select(*docs.columns).collect()), key=str)
+    lines_, near, mix, encode = (f for _, f in corpus_pipeline.STAGES[1:])
+    one = lines_(spark, docs, SF)
+    # the second row of document 4 has a line that is one word away from the first's, which has the same place
+    assert counted(one) == sorted(rows, key=str)
+    kept = [*rows[:3], *rows[4:7]]
+    two = near(spark, one, SF)
+    assert counted(two) == sorted(kept, key=str)
+    three = mix(spark, two, SF)
+    assert counted(three) == sorted(kept, key=str)
+    four = encode(spark, three, SF).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"] > 0) for r in four), key=str) == sorted(((r[0], bool(r[1])) for r in kept), key=str)
