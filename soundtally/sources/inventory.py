@@ -38,7 +38,9 @@ def facts(files: DataFrame) -> DataFrame:
     part = lambda i: F.lower(F.regexp_extract("name", SESSION, i))
     session, role = F.regexp_extract("name", SESSION, 1), F.lower(F.regexp_extract("name", ROLE, 2))
     kind = F.when(part(4) == "xl2", "raw").when(part(3) == "log", "log").when(part(3).isin("report", "rpt_report"), "summary").when(part(3) == "voicenote", "voice_note")
-    stem = F.when(session != "", session).when(role != "", F.regexp_extract("name", ROLE, 1)).otherwise(F.regexp_replace("name", r"\.[^.]*$", ""))
+    bare = F.when(role != "", F.regexp_extract("name", ROLE, 1)).otherwise(F.regexp_replace("name", r"\.[^.]*$", ""))
+    label = F.trim(F.regexp_replace(bare, r"(?i)[_\s-]*(log|summary|rpt_report|report)(_\d+[a-z]*)?$", ""), F.lit(" _-"))
+    stem = F.when(session != "", session).otherwise(F.coalesce(F.nullif(label, F.lit("")), bare))
     return f.select(
         *files.columns,
         visit.alias("visit"),
