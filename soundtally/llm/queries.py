@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, licences, lines, minhash, mixing, near_vectors, quality, shards, unigram
+from . import ann, bpe, codes, languages, licences, lines, merkle, minhash, mixing, near_vectors, quality, shards, unigram
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,11 +54,24 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), entropy=0.95)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.predicted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
     ops = (op1_balanced_shards, op2_license_scan, op3_token_counts, op4_minhash_near_dedup, op5_bpe_round_trip)
     ops += (op6_nearest_neighbours, op7_quality_classifier, op8_embedding_near_dedup, op9_line_dedup, op10_mixture)
+    ops += (op11_merkle_manifest, op12_vector_codes, op13_language)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licences.oracle(), "op9_line_dedup": lines.ORACLE}
+    return {"op2_license_scan": licences.oracle(), "op9_line_dedup": lines.ORACLE, "op11_merkle_manifest": merkle.oracle(), "op12_vector_codes": codes.oracle()}

@@ -250,18 +250,25 @@ def test_queries_over_odd_tables(spark, tmp_path, empty):
     rows = [(None, "no id", None, None, 1), (1, None, "en", "a", None), (2, "", "en", "a", 0), (3, " \n ", "en", None, 3), (4, "one two", "en", "b", 7), (4, "one two", "en", "b", 7), (5, "one two", "en", "b", 7), (6, "w " * 30_000, "en", "b", 1)]
     clash = "score double, token_ids string, hub string, part int, block int, c long, id long, list int, n_tokens string, component_id string, shard string, line_no string"
     extra = (0.5, "x", "h", 1, 1, 1, 1, 1, "x", "x", "x", "x")
+    more, odd = ", key string, at long, node string, more string, root string, piece int, n long, held_out int", ("k", 1, "n", "m", "r", 1, 1, 1)
     put = lambda name, data, schema: spark.createDataFrame([] if empty else data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    put("documents", [(*r, *extra) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {clash}")
+    put("documents", [(*r, *extra, *odd) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {clash}{more}")
     put("labels", [(4, 1, 0), (5, None, None), (None, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
-    put("embeddings", [(0, [1.0, 0.5]), (100, [1.0, 0.5]), (100, [1.0, 0.5]), (1, None), (2, []), (3, [0.0, 0.0]), (None, [1.0, 2.0]), (4, [1.0, None])], "vec_id long, embedding array<float>")
+    vectors = [(0, [1.0, 0.5]), (100, [1.0, 0.5]), (100, [1.0, 0.5]), (1, None), (2, []), (3, [0.0, 0.0]), (None, [1.0, 2.0]), (4, [1.0, None])]
+    vectors = [(i, None if v is None else [x for x in v for _ in range(8)], 7 if i else None, *extra, "c", 1, 1) for i, v in vectors]
+    put("embeddings", vectors, f"vec_id long, embedding array<float>, label int, {clash}, code string, error long, v int")
     got = {name: [r.asDict() for r in q(spark, str(tmp_path)).collect()] for name, q in QUERIES.items()}
     got["pipeline"] = [r.asDict() for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     if empty:
         assert not any(got.values())
         return
-    for name in ("op1_balanced_shards", "op3_token_counts", "op4_minhash_near_dedup", "op5_bpe_round_trip", "op7_quality_classifier"):
+    for name in ("op1_balanced_shards", "op3_token_counts", "op4_minhash_near_dedup", "op5_bpe_round_trip", "op7_quality_classifier", "op11_merkle_manifest", "op13_language"):
         assert Counter(r["doc_id"] for r in got[name]) == Counter(r[0] for r in rows), name
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got["op6_nearest_neighbours"]} == {(0, 1, 100, 0.0), (100, 1, 0, 0.0)}
     assert {r["vec_id"]: r["n_links"] for r in got["op8_embedding_near_dedup"]} == {0: 1, 100: 1, 1: 0, 2: 0, 3: 0, 4: 0, None: 0}
     assert {r["component_id"] for r in got["op4_minhash_near_dedup"] if r["doc_id"] in (4, 5)} == {4}
+    assert all(r["verified"] for r in got["op11_merkle_manifest"]) and len({r["root"] for r in got["op11_merkle_manifest"]}) == 1
+    coded = {(r["vec_id"], r["error"], r["label_error"]) for r in got["op12_vector_codes"]}
+    assert coded == {(0, 0, 0), (100, 0, 0), (3, 0, 0), (None, 0, 0)} and len(got["op12_vector_codes"]) == 5
+    assert {r["doc_id"]: r["lang_pred"] for r in got["op13_language"]} == {None: "en", 1: "und", 2: "und", 3: "und", 4: "en", 5: "en", 6: "en"}
     assert {r["doc_id"] for r in got["pipeline"]} <= {None, 1, 2, 3, 4, 6}
