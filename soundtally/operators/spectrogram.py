@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundtally.functions.levels import finite, laeq, quantised
@@ -20,16 +20,35 @@ def quantise(spectra: DataFrame, by: str = "position") -> DataFrame:
     return spectra.join(r, by).withColumn("level", quantised(F.col("level"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
-def rasterise(spectra: DataFrame, bins: int, step_ms: int, by: str = "position") -> DataFrame:
-    """Fixed number of time bins over each position's span; a spectrum paints the bins that it reaches into until the next one, with the largest level."""
+def rasterise(spectra: DataFrame, bins: int, step_ms: float | None = None, by: str = "position", fill: float | None = None) -> DataFrame:
+    """(by, freq_hz, bin, level): each position's spectra on a fixed number of time bins over the span from its first to its last time.
+
+    A spectrum paints the bins that it reaches into until the next one, at least one,
+    with the largest level; the last one lasts for step_ms, or as long as the one before
+    it where none is given, and paints the last bin. As many times as bins keep their
+    places, and a single time fills all of them. With a fill each bin of each band has a
+    row: the fill is the least level, and stands where nothing was painted.
+    """
     times = spectra.select(by, "ms", F.lit(0).alias("event_id")).distinct()
-    ends = interval_end(times, step_ms, by).select(by, "ms", F.col("end_ms").alias("end"))
-    span = ends.groupBy(by).agg(F.min("ms").alias("t0"), F.max("end").alias("t1"))
+    ends = interval_end(times, 0, by).select(by, "ms", F.col("end_ms").alias("end"))
+    last = F.col("ms") == F.col("t1")
+    span = ends.groupBy(by).agg(F.min("ms").alias("t0"), F.max("ms").alias("t1"), F.max(F.when(F.col("end") > F.col("ms"), F.col("ms"))).alias("prev"), F.count(F.lit(1)).alias("n"))
     place = ends.join(span, by).withColumn("w", (F.col("t1") - F.col("t0")) / bins)
+    every = F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<long>")
+    # as many times as bins
+    order = Window.partitionBy(by).orderBy("ms")
+    kept = place.where(F.col("n") == bins).select(by, "ms", (F.row_number().over(order) - 1).cast("long").alias("bin"))
+    alone = place.where((F.col("n") == 1) & (F.col("n") != bins)).select(by, "ms", F.explode(every).alias("bin"))
+    length = F.lit(float(step_ms)) if step_ms and step_ms > 0 else F.greatest(F.col("t1") - F.col("prev"), F.col("w"), F.lit(1.0))
+    until = F.when(last, F.col("ms") + length).otherwise(F.col("end"))
     first = F.least(F.floor((F.col("ms") - F.col("t0")) / F.col("w")), F.lit(bins - 1))
-    stop = F.least(F.greatest(F.ceil((F.col("end") - F.col("t0")) / F.col("w")), first + 1), F.lit(bins))
-    painted = place.select(by, "ms", F.explode(F.sequence(first, stop - 1)).alias("bin"))
-    return spectra.join(painted, [by, "ms"]).groupBy(by, "freq_hz", "bin").agg(F.max("level").alias("level"))
+    stop = F.least(F.greatest(F.ceil((until - F.col("t0")) / F.col("w")), first + 1), F.lit(bins))
+    painted = place.where((F.col("n") > 1) & (F.col("n") != bins)).select(by, "ms", F.explode(F.sequence(first, stop - 1)).alias("bin"))
+    cells = spectra.join(kept.unionByName(alone).unionByName(painted), [by, "ms"]).groupBy(by, "freq_hz", "bin").agg(F.max("level").alias("level"))
+    if fill is None:
+        return cells
+    grid = spectra.select(by, "freq_hz").distinct().select(by, "freq_hz", F.explode(every).alias("bin"))
+    return grid.join(cells, [by, "freq_hz", "bin"], "left").withColumn("level", F.greatest("level", F.lit(float(fill))))
 
 
 def pack(cells: DataFrame, by: str = "position") -> DataFrame:

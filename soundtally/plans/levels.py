@@ -315,21 +315,25 @@ def v6_quantise_levels(spark, d):
     return spectrogram.quantise(spectra(spark, d))
 
 
-RASTER = """, t as (select distinct position, ms from spectra), n as (select position, ms, coalesce(lead(ms) over (partition by position order by ms), ms + 1000) as e from t),
- s as (select position, min(ms) as t0, max(e) as t1 from n group by 1), w as (select n.*, t0, (t1 - t0) / 40.0 as w from n join s using (position)),
- b as (select position, ms, least(floor((ms - t0) / w), 39)::bigint as b0, ceil((e - t0) / w)::bigint as b1 from w),
- p as (select position, ms, unnest(range(b0, least(greatest(b1, b0 + 1), 40))) as bin from b),
- c as (select position, freq_hz, bin, max(level) as level from spectra join p using (position, ms) group by 1, 2, 3)"""
+RASTER = """, t as (select distinct position, ms from spectra),
+ n as (select *, lead(ms) over w as e, row_number() over w - 1 as i, count(*) over (partition by position) as n, min(ms) over (partition by position) as t0, (max(ms) over (partition by position) - min(ms) over (partition by position)) / 40.0 as w from t window w as (partition by position order by ms)),
+ p as (select position, ms, unnest(case when n = 40 then range(i, i + 1) when n = 1 then range(40) else range(least(floor((ms - t0) / w)::bigint, 39), least(greatest(ceil((coalesce(e, ms + 1000) - t0) / w)::bigint, least(floor((ms - t0) / w)::bigint, 39) + 1), 40)) end) as bin from n),
+ painted as (select position, freq_hz, bin, max(level) as level from spectra join p using (position, ms) group by 1, 2, 3),
+ c as (select g.position, g.freq_hz, g.bin, greatest(level, 40.0::double) as level from (select distinct position, freq_hz, unnest(range(40)) as bin from spectra) g left join painted using (position, freq_hz, bin))"""
+
+
+def canvas(spark, d):
+    return spectrogram.rasterise(spectra(spark, d), 40, 1000, fill=40)
 
 
 @query(RASTER + " select position, freq_hz, bin, round(level, 6) as level from c", "spectra")
 def v7_rasterise(spark, d):
-    return spectrogram.rasterise(spectra(spark, d), 40, 1000)
+    return canvas(spark, d)
 
 
 @query(RASTER + " select position, freq_hz, string_agg(round_even(level, 0)::int::varchar, ',' order by bin) as levels from c group by 1, 2", "spectra")
 def v11_pack_spectrogram(spark, d):
-    cells = spectrogram.rasterise(spectra(spark, d), 40, 1000).withColumn("level", F.rint("level").cast("int"))
+    cells = canvas(spark, d).withColumn("level", F.rint("level").cast("int"))
     return spectrogram.pack(cells).withColumn("levels", F.array_join(F.col("levels").cast("array<string>"), ","))
 
 

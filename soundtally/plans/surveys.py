@@ -108,7 +108,7 @@ JOB = "page_id % 3 as c, case when page_id % 4 > 0 then 'LAeq' || case page_id %
 
 @query(
     f"""select position, columns, profile, axis, low, coalesce(string_agg(distinct path, ',' order by path) filter (there), '') as paths, count(distinct path) filter (not there) as missing from
- (select position, coalesce(case when page_id % 4 > 0 then 'LAeq' || case page_id % 4 when 2 then ',LAF90' else '' end end, '') as columns, role as profile, case when page_id % 2 = 0 then 'Level' end as axis, case when page_id % 2 = 0 then 30.0 end as low, 'job/' || path as path, 'job/' || path in (select 'job/' || path from {FILES} where role is not null and page_id % 10 <> 3) as there
+ (select position, coalesce(case when page_id % 4 > 0 then 'LAeq' || case page_id % 4 when 2 then ',LAF90' else '' end end, '') as columns, role as profile, case when page_id % 2 = 0 then 'Level' end as axis, case when page_id % 2 = 0 then 30.0::double end as low, 'job/' || path as path, 'job/' || path in (select 'job/' || path from {FILES} where role is not null and page_id % 10 <> 3) as there
   from {FILES} where page_id % 5 <> 2 and role is not null and path not like '%.wav') group by 1, 2, 3, 4, 5"""
 )
 def s15_read_job_config(spark, d):
@@ -174,11 +174,11 @@ def x_spectrum_text(spark, d):
 
 # Names of meter files made from the pages table's rows: the name, its position and kind.
 METERS = [
-    ("7001 {d}B_2031_01_08__11h23m33s_log.csv", "7001 {d}B", "sentry"),
-    ("7002 Harbour Mews NS{d}_2031_04_11__17h58m09s_summary.csv", "7002 Harbour Mews NS{d}", "sentry"),
+    ("4410 K{d}_2033_09_27__06h05m40s_log.csv", "4410 K{d}", "sentry"),
+    ("86 East Weir gate {d}_2032_12_30__21h50m15s_summary.csv", "86 East Weir gate {d}", "sentry"),
     ("L9{d}_log.csv", "L9{d}", "svan"),
     ("x{d}_summary.csv", None, "svan"),
-    ("2031-05-13_SLM_00{d}_RTA_3rd_Log.txt", None, "nti"),
+    ("2033-02-19_SLM_01{d}_RTA_3rd_Log.txt", None, "nti"),
     ("R{d}.WAV", None, None),
 ]
 

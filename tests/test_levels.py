@@ -37,10 +37,30 @@ def test_frequencies(spark):
     assert [r[0] for r in df.select(L.frequency_hz(F.col("s"))).collect()] == [1000, 1000, 31.5, 63, None]
 
 
-def test_rasterise(spark):
-    rows = [("p", t * 1000, f, b + i) for i, t in enumerate((0, 10, 20)) for f, b in ((100, 60.0), (200, 70.0))]
-    out = spectrogram.pack(spectrogram.rasterise(spark.createDataFrame(rows, "position string, ms long, freq_hz int, level double"), 6, 10_000))
-    assert {r["freq_hz"]: r["levels"] for r in out.collect()} == {100: [60, 60, 61, 61, 62, 62], 200: [70, 70, 71, 71, 72, 72]}
+def painted(spark, seconds, bins, step_ms=None, fill=None, levels=(60.0, 70.0)):
+    rows = [("p", t * 1000, f, b + i) for i, t in enumerate(seconds) for f, b in zip((100, 200), levels, strict=True)]
+    out = spectrogram.pack(spectrogram.rasterise(spark.createDataFrame(rows, "position string, ms long, freq_hz int, level double"), bins, step_ms, fill=fill))
+    return {r["freq_hz"]: r["levels"] for r in out.collect()}
+
+
+@pytest.mark.parametrize("step_ms", [None, 0, 1000, 10_000])
+def test_rasterise(spark, step_ms):
+    assert painted(spark, (0, 10, 20), 6, step_ms) == {100: [60, 60, 60, 61, 61, 62], 200: [70, 70, 70, 71, 71, 72]}
+
+
+def test_rasterise_as_many_times_as_bins(spark):
+    assert painted(spark, (0, 1, 20), 3, 1000)[100] == [60, 61, 62] and painted(spark, (7,), 1)[100] == [60]
+
+
+def test_rasterise_one_time(spark):
+    assert painted(spark, (7,), 4, 0) == {100: [60] * 4, 200: [70] * 4}
+
+
+def test_rasterise_takes_the_largest_and_fills(spark):
+    assert painted(spark, (0, 1, 2, 3, 4), 2)[100] == [61, 64]
+    rows = [("p", 0, 100, 60.0), ("p", 10_000, 200, 50.0), ("p", 20_000, 100, 10.0)]
+    out = spectrogram.pack(spectrogram.rasterise(spark.createDataFrame(rows, "position string, ms long, freq_hz int, level double"), 4, fill=20))
+    assert {r["freq_hz"]: r["levels"] for r in out.collect()} == {100: [60, 60, 20, 20], 200: [20, 20, 50, 50]}
 
 
 def test_segments(spark):
