@@ -11,16 +11,19 @@ block at the border is cut at the last document that fits.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, salted_join
+from .common import cut, partitions, salted_join
 
 #: A block has about so many tokens, or more where a source would have over MOST_BLOCKS.
 BLOCK_TOKENS, MOST_BLOCKS = 200_000, 65_536
 #: Exponents that are tried at once, and rounds: each narrows the interval by as many.
 TRIED, ROUNDS = 64, 6
+#: Copies of a row that a task writes out at once.
+RANGE = 65_536
 
 
 def token_count(text: str = "text") -> Column:
@@ -36,9 +39,11 @@ def solve(sizes: DataFrame, entropy: float | None, most_repeats: float | None) -
     """The exponent, to six decimal places, the sum of all shares raised to it, and all tokens, of sizes (source, tokens) with tokens > 0.
 
     It is the largest whose entropy reaches the target, or the smallest that repeats
-    no source more often than allowed. Each round tries TRIED exponents in one
-    aggregation over the sources, however many there are, and keeps the interval in
-    which the answer lies; only two numbers an exponent come to the driver.
+    no source more often than allowed. With both, the larger of the two: where they
+    contradict each other the repetition limit holds and the entropy stays below its
+    target. Each round tries TRIED exponents in one aggregation over the sources,
+    however many there are, and keeps the interval in which the answer lies; only two
+    numbers an exponent come to the driver.
     """
     total, count, least = sizes.agg(F.sum("tokens"), F.count(F.lit(1)), F.min("tokens")).first()
     if not count:
@@ -51,19 +56,24 @@ def solve(sizes: DataFrame, entropy: float | None, most_repeats: float | None) -
         got = {r["a"]: (r["z"], r["l"]) for r in each.agg(F.sum(F.pow("p", "a")).alias("z"), F.sum(F.pow("p", "a") * F.log("p")).alias("l")).collect()}
         return [got[a] for a in at]
 
-    low, high = 0.0, 1.0
-    for _ in range(ROUNDS):
-        at = [low + (high - low) * i / (TRIED + 1) for i in range(1, TRIED + 1)]
-        for a, (z, logs) in zip(at, sums(at), strict=True):
-            if most_repeats is not None:
-                enough = rarest ** (a - 1) / z <= most_repeats
-            else:
-                enough = math.log(z) - a * logs / z < entropy * math.log(count)
-            if enough:
-                high = a
-                break
-            low = a
-    a = round(high if most_repeats is not None else low, 6)
+    def between(reached: Callable[[float, float, float], bool]) -> tuple[float, float]:
+        """The interval in which reached(exponent, powers, logs) turns true."""
+        low, high = 0.0, 1.0
+        for _ in range(ROUNDS):
+            at = [low + (high - low) * i / (TRIED + 1) for i in range(1, TRIED + 1)]
+            for a, (z, logs) in zip(at, sums(at), strict=True):
+                if reached(a, z, logs):
+                    high = a
+                    break
+                low = a
+        return low, high
+
+    found = [0.0]
+    if entropy is not None:
+        found.append(between(lambda a, z, logs: math.log(z) - a * logs / z < entropy * math.log(count))[0])
+    if most_repeats is not None:
+        found.append(between(lambda a, z, logs: rarest ** (a - 1) / z <= most_repeats)[1])
+    a = round(max(found), 6)
     return a, sums([a])[0][0], float(total)
 
 
@@ -109,22 +119,37 @@ def passes(docs: DataFrame, entropy: float | None = 0.95, most_repeats: float |
     return inside.unionByName(cut_there).withColumn("source", F.when(F.col("source") != "\0", F.col("source")))
 
 
+def repeated(rows: DataFrame, often: str, name: str) -> DataFrame:
+    """rows as often as the column says, numbered from 0; nothing for 0.
+
+    A row that comes more than RANGE times is cut into ranges, which are dealt over the
+    tasks before they are written out, so that no task holds all its copies.
+    """
+    n = F.col(often)
+    numbers = lambda first, last: F.explode(F.sequence(first, last)).alias(name)
+    few = rows.where((n > 0) & (n <= RANGE)).select("*", numbers(F.lit(0).cast("long"), n - 1))
+    ranges = rows.where(n > RANGE).select("*", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(RANGE).cast("long"))).alias("__first")).repartition(partitions(rows))
+    many = ranges.select("*", numbers(F.col("__first"), F.least(F.col("__first") + RANGE, n) - 1)).drop("__first")
+    return few.unionByName(many)
+
+
 def mixture(docs: DataFrame, **how) -> DataFrame:
     """doc_id, source, n_tokens, block and epoch, from 0: one row for each time that the mixture has a row of docs; nulls, copies and empty tables as in ``passes``."""
-    often = passes(docs, **how).where("passes > 0")
-    return often.select("doc_id", "source", "n_tokens", "block", F.explode(F.sequence(F.lit(0), F.col("passes").cast("int") - 1)).alias("epoch"))
+    often = repeated(passes(docs, **how).withColumn("passes", F.col("passes").cast("long")), "passes", "epoch")
+    return often.select("doc_id", "source", "n_tokens", "block", "epoch")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs as often as the mixture has them, with their columns.
 
     Rows without doc_id or source are repeated like others. Rows that share a doc_id
-    and a source come equally often. Empty texts go with their block; where no row has
-    a token each row comes once, and an empty table gives an empty result.
+    and a source come equally often. Empty texts go with their block, and a very long one
+    is repeated whole; where no row has a token each row comes once, and an empty table
+    gives an empty result.
     """
-    often = passes(docs, **how).where("passes > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s")).agg(F.max("passes").cast("int").alias("__n"))
+    often = passes(docs, **how).where("passes > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s")).agg(F.max("passes").cast("long").alias("__n"))
     same = docs["source"].cast("string").eqNullSafe(F.col("__s"))
     known = docs.join(often.where("__id is not null"), (docs["doc_id"] == F.col("__id")) & same)
     # rows without doc_id hash alike, so that all of a source have the same passes: at most one row a source
     blank = docs.where(docs["doc_id"].isNull()).join(often.where("__id is null"), same)
-    return known.unionByName(blank).withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    return repeated(known.unionByName(blank), "__n", "__e").select(*docs.columns)

@@ -432,3 +432,32 @@ def test_stages_keep_null_and_repeated_ids(spark):
     assert counted(three) == sorted(kept, key=str)
     four = encode(spark, three, SF).collect()
     assert sorted(((r["doc_id"], r["n_tokens"] > 0) for r in four), key=str) == sorted(((r[0], bool(r[1])) for r in kept), key=str)
+
+
+def test_mixture_of_a_tiny_source_beside_a_large_one(spark):
+    """One word beside a million: passes beyond 32 bits, written out only as far as they are asked for."""
+    docs = spark.createDataFrame([(0, "tiny", "word")] + [(i, "large", "w " * 1000) for i in range(1, 1001)], "doc_id long, source string, text string")
+    often = {r["doc_id"]: r["passes"] for r in mixing.passes(docs, entropy=0.95, budget=20_000_000_000).where("doc_id < 2").collect()}
+    plan = {r["source"]: r["quota"] for r in mixing.weights(spark.createDataFrame([("tiny", 1), ("large", 1_000_000)], "source string, tokens long"), 0.95, None, 20_000_000_000).collect()}
+    assert often[0] == plan["tiny"] > 1 << 31
+    rows = mixing.mixture(docs.where("doc_id = 0"), entropy=None, most_repeats=None, budget=100_000)
+    assert rows.count() == 100_000 and rows.select("epoch").distinct().count() == 100_000 and rows.agg({"epoch": "max"}).first()[0] == 99_999
+    assert mixing.mixed(docs.where("doc_id = 0"), entropy=None, most_repeats=None, budget=70_000).count() == 70_000
+    assert len(mixing.mixture(docs, entropy=0.95, budget=20_000_000_000).limit(3).collect()) == 3
+
+
+def test_entropy_and_repetition_limit_together(spark):
+    sizes = spark.createDataFrame([("a", 1_000_000), ("b", 1_000), ("c", 10)], "source string, tokens long")
+    both = mixing.solve(sizes, 0.9, 5.0)[0]
+    assert both == max(mixing.solve(sizes, 0.9, None)[0], mixing.solve(sizes, None, 5.0)[0])
+    assert mixing.solve(sizes, 0.2, 1e9)[0] == mixing.solve(sizes, 0.2, None)[0]
+
+
+def test_classifier_keeps_columns_and_breaks_ties(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    kept = quality.keep_good(docs.selectExpr("*", "7.5D as score", "doc_id as __quality"), labels)
+    assert {r["score"] for r in kept.select("score").distinct().collect()} == {7.5} and kept.columns[-2:] == ["score", "__quality"]
+    counts = np.stack([quality.features("equal words")] * 60)
+    model = quality.Model(counts, np.array([0, 1] * 30))
+    # all are equally near: those of label 1 come first, 25 of 30
+    assert model.score(counts[:1])[0] == pytest.approx(1.0)
