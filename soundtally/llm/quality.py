@@ -22,6 +22,8 @@ SAMPLE = 4_000
 #: Hashed features: SHAPES for character classes, WORDS for words.
 SHAPES, WORDS = 768, 512
 DIMENSIONS, NEIGHBOURS, SHARPNESS = 64, 25, 6
+#: Decimals of a similarity that count.
+PLACES = 9
 _CLASS = np.arange(256, dtype=np.uint8)
 for _first, _last, _to in ((0x61, 0x7A, 0x61), (0x41, 0x5A, 0x41), (0x30, 0x39, 0x30), (0x80, 0xFF, 0x61), (0x09, 0x0D, 0x0A), (0x20, 0x20, 0x20)):
     _CLASS[_first : _last + 1] = _to
@@ -74,15 +76,18 @@ class Model:
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
         self.prior = float(labels.mean()) if len(labels) else 1.0
         n = max(1, len(counts))
-        self.idf = np.log((1 + n) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32) + 1
+        self.idf = np.log((1 + n) / (1 + np.count_nonzero(counts, axis=0))) + 1
         x = self.weighted(counts)
-        values, vectors = np.linalg.eigh(x.T @ x) if len(counts) else (np.ones(1), np.eye(x.shape[1], dtype=np.float32))
-        self.axes = np.ascontiguousarray(vectors[:, ::-1][:, :DIMENSIONS], dtype=np.float32)
-        self.labels = labels.astype(np.float32)
+        values, vectors = np.linalg.eigh(x.T @ x) if len(counts) else (np.ones(1), np.eye(x.shape[1]))
+        self.axes = np.ascontiguousarray(vectors[:, ::-1][:, :DIMENSIONS], dtype=np.float64)
+        self.labels = labels.astype(np.float64)
         self.known = self.latent(x)
+        # places by label, 1 first, and then by id, as rows come in order of ids
+        self.turn = np.empty(len(labels), np.int64)
+        self.turn[np.argsort(-self.labels, kind="stable")] = np.arange(len(labels))
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts)
+        x = np.log1p(counts.astype(np.float64))
         x *= self.idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         return x
@@ -92,14 +97,18 @@ class Model:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors by weight; a text without features gets the sample's share."""
+        """Share of label 1 among the nearest labelled vectors by weight; a text without features gets the sample's share.
+
+        Of equal similarities at the last place, to nine decimals, rows of label 1 are
+        nearer, and of these the smaller ids.
+        """
         if not len(self.known):
             return np.full(len(counts), self.prior)
-        # rounded, so that which texts share a batch doesn't decide between equal neighbours
-        sims = np.round(self.latent(self.weighted(counts)) @ self.known.T, 5)
-        k = min(NEIGHBOURS, sims.shape[1])
-        top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(sims, top, axis=1), 0).astype(np.float64) ** SHARPNESS
+        sims = np.round(self.latent(self.weighted(counts)) @ self.known.T, PLACES)
+        k, n = min(NEIGHBOURS, sims.shape[1]), sims.shape[1]
+        near = np.rint(sims * 10**PLACES).astype(np.int64) * n - self.turn
+        top = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1)
+        weight = np.maximum(np.take_along_axis(sims, top, axis=1), 0) ** SHARPNESS
         vote = (weight * self.labels[top]).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-12)
         return np.where((weight.sum(axis=1) > 1e-12) & (counts.sum(axis=1) > 0), np.clip(vote, 0, 1), self.prior)
 
@@ -124,8 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     return Model(counts, rows["quality"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a score from 0 to 1 of every whole text; null and empty texts get the sample's share of label 1. Other columns stay."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a score from 0 to 1 of every whole text, as column ``name``; null and empty texts get the sample's share of label 1. Other columns stay, but for one of that name. An empty table stays empty."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -134,7 +143,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn("score", F.pandas_udf(run, "double")(F.col("text")))
+    return docs.withColumn(name, F.pandas_udf(run, "double")(F.col("text")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -142,13 +151,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
     Rows that share a doc_id are scored singly. Null and empty texts get the sample's
     share of label 1; a row without doc_id isn't held out. A very long text is scored
-    as a whole. Equal similarities at the last neighbour kept may fall either way. An
-    empty table gives an empty result.
+    as a whole. An empty table gives an empty result.
     """
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score at least threshold, with their columns; rows without doc_id, repeated rows and empty texts are scored like others, see ``classify``."""
-    return score(docs, fit(docs, labels)).where(F.col("score") >= threshold).select(*docs.columns)
+    """The rows of docs that score at least threshold, with their columns as they are, also one named like a score.
+
+    Rows without doc_id, repeated rows, very long and empty texts are scored like
+    others, see ``classify``; an empty table stays empty.
+    """
+    name = "__quality" + "_" * max(map(len, docs.columns))
+    return score(docs, fit(docs, labels), name).where(F.col(name) >= threshold).select(*docs.columns)
