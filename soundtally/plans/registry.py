@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from soundtally.plans import annotations, base, ingest, levels, live, matching, shapes, surveys
+from soundtally.plans import annotations, base, folders, ingest, levels, live, matching, shapes, surveys
 
 #: Modules that register queries when imported.
-MODULES = (levels, matching, ingest, annotations, surveys, live, shapes)
+MODULES = (levels, matching, ingest, annotations, surveys, live, shapes, folders)
 
 
 def queries() -> dict[str, base.Query]:
