@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from soundtally.plans.base import log, query
-from soundtally.sources import folders
+from soundtally.sources import added, folders
 from soundtally.sources import lines as T
 from soundtally.sources.place import shared_dir
 
@@ -103,3 +103,25 @@ def s20_peek_headers(spark, d):
     """Columns, bands and cadence of each file from its head."""
     found = folders.listing(spark, logs(spark, d))
     return folders.peeked(folders.ends(found)).select("path", F.array_join("columns", "|").alias("columns"), "spectral", "step_ms")
+
+
+def seconds_and_level():
+    """The reader of a made-up layout: lines of milliseconds, a semicolon and a level."""
+
+    def parse(head, lines):
+        for line in lines:
+            ms, _, level = line.partition(";")
+            yield int(ms), "LAeq", None, float(level)
+
+    return parse
+
+
+@query("select position, ms, 'LAeq' as name, round(laeq, 6) as level from log", "log")
+def s_added_block_reader(spark, d):
+    """The level log in a layout of a user's own, read by an added data source in blocks of 64 KiB."""
+    place = shared_dir(spark) + "/own"
+    body = log(spark, d).select("position", F.concat_ws(";", F.col("ms").cast("string"), F.col("laeq").cast("string")).alias("value"))
+    body.write.partitionBy("position").text(place)
+    added.register(spark, added.block_source("own_logs", seconds_and_level(), ".txt"))
+    rows = spark.read.format("own_logs").option("block", 1 << 16).load(place)
+    return rows.select(F.regexp_extract("path", "position=([^/]*)/", 1).alias("position"), "ms", "name", "level")

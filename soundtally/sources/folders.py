@@ -12,13 +12,13 @@ from contextlib import AbstractContextManager
 from typing import BinaryIO
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soundtally.functions.texts import file_name
 from soundtally.sources import inventory as I
 from soundtally.sources import names as N
+from soundtally.sources.place import opened
 
 #: Bytes that are read from each end of a file.
 END_BYTES = 8192
@@ -61,14 +61,6 @@ def configs(spark: SparkSession, root: str, largest: int = 1 << 20) -> DataFrame
     return named.groupBy("path").agg(F.min_by(F.col("content").cast("string"), "file").alias("content"))
 
 
-def opened(path: str) -> AbstractContextManager[BinaryIO]:
-    """A file for reads at any place: a local path, or an address of a store that pyarrow knows."""
-    if path.startswith("file:") or "://" not in path:
-        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
-    store, place = fs.FileSystem.from_uri(path)
-    return store.open_input_file(place)
-
-
 def ends(files: DataFrame, size: int = END_BYTES, opener: Callable[[str], AbstractContextManager[BinaryIO]] = opened) -> DataFrame:
     """files (path, first_file, last_file, ...) with head, tail, bytes_read and error.
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soundtally.functions.texts import file_name
+from soundtally.sources import added
 
 # File name patterns of the loggers, and other names of the readers.
 SECTIONED = r"_(rta|123)_"
@@ -16,12 +19,14 @@ ALIASES = {"sentry": "sentry", "noisesentry": "sentry", "svan": "svan", "svantek
 
 
 def routed(files: DataFrame) -> DataFrame:
-    """files (path, forced) with reader: nti, sentry, svan, audio, generic or null. A forced reader that has a known name wins, underscores, dashes and case aside; else the file's name decides."""
+    """files (path, forced) with reader: nti, sentry, svan, audio, generic, one that a user added, or null. A forced reader that has a known name wins, underscores, dashes and case aside; else the file's name decides, by the added readers first."""
     low = F.lower(file_name(F.col("path")))
-    known = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    names = ALIASES | {re.sub("[_-]", "", name): name for name in added.READERS}
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     asked = F.element_at(known, F.regexp_replace(F.lower(F.trim(F.coalesce("forced", F.lit("")))), "[_-]", ""))
     named = F.when(low.rlike(r"\.wav$"), "audio").when(low.rlike(SECTIONED_END) & low.rlike(SECTIONED), "nti").when(low.rlike(STAMPED), "sentry").when(low.rlike(TABULAR), "svan")
-    return files.withColumn("reader", F.coalesce(asked, named))
+    extra = [F.when(low.rlike(r.pattern), r.name) for r in added.READERS.values()]
+    return files.withColumn("reader", F.coalesce(asked, *extra, named))
 
 
 def profile(path: Column, reader: Column, top: Column, period_s: Column) -> Column:

@@ -6,6 +6,9 @@ gives no rows; a cell that isn't a number gives none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +16,9 @@ from soundtally.functions.texts import date_comma_time_ms
 from soundtally.functions.levels import band_hz, frequency_hz
 from soundtally.operators import timeline
 from soundtally.sources import names as N
+from soundtally.sources import added
 from soundtally.sources import lines as T
-from soundtally.sources.place import cut
+from soundtally.sources.place import cut, shared_dir
 
 # Names of broadband levels that mark a header.
 BROADBAND = "LAeq|LAFmax|LAF10|LAF90|LCSmax|LCFmax|LZSmax|LZFmax"
@@ -236,18 +240,27 @@ def read_files(lines: DataFrame, forced: DataFrame | None = None) -> tuple[DataF
     """Files of all layouts: rows (path, reader, profile, ms, name, freq_hz, level), and rejects (path, reader, reason) of those that gave none.
 
     Names decide on the reader, see ``names.routed``; forced (path, forced) overrides
-    them. A file that can't be read never fails the job.
+    them. Lines are written once to a folder a layout, so that each layout's passes
+    read no other's files, and added readers get theirs. A file that can't be read
+    never fails the job.
     """
     files = lines.select("path").distinct()
     files = files.join(forced, "path", "left") if forced is not None else files.withColumn("forced", F.lit(None).cast("string"))
     routes = cut(N.routed(files))
-    sent = T.with_heads(lines, routes.select("path", "reader"))
-    of = lambda where: sent.where(where).drop("reader")
     low = F.lower("path")
-    parts = [short_delimited(of("reader = 'sentry'")), three_row_header(of("reader = 'svan'")), plain_header(of("reader = 'svan'")), generic(of("reader = 'generic'"))]
-    for (kind, end), title in TITLES.items():
-        mine = of((F.col("reader") == "nti") & low.contains(f"_{kind}_") & low.rlike(rf"_{end}\.txt$"))
-        parts.append((sectioned_bands if kind == "rta" else sectioned_broadband)(mine, title))
+    layout = F.when(F.col("reader") != "nti", F.col("reader"))
+    for kind, end in TITLES:
+        layout = F.coalesce(layout, F.when(low.contains(f"_{kind}_") & low.rlike(rf"_{end}\.txt$"), f"{kind} {end}"))
+    laid = routes.withColumn("layout", layout)
+    own: dict[str, list[Callable[[DataFrame], DataFrame]]] = {"sentry": [short_delimited], "svan": [three_row_header, plain_header], "generic": [generic]}
+    own |= {f"{kind} {end}": [partial(sectioned_bands if kind == "rta" else sectioned_broadband, title=title)] for (kind, end), title in TITLES.items()}
+    own |= {r.name: [r.rows] for r in added.READERS.values()}
+    place = shared_dir(lines.sparkSession)
+    T.with_heads(lines.select("path", "line_no", "line"), laid.where(F.col("layout").isin(list(own))).select("path", "layout")).write.partitionBy("layout").parquet(place)
+    there = {r["layout"] for r in laid.select("layout").distinct().collect()}  # a row a layout
+    sent = lines.sparkSession.read.schema(lines.select("path", "line_no", "line").schema.add("layout", "string")).parquet(place)
+    none = lines.sparkSession.createDataFrame([], "path string, ms long, name string, freq_hz double, level double")
+    parts = [none] + [read(sent.where(F.col("layout") == name).drop("layout")).select(*LONG) for name, ways in own.items() if name in there for read in ways]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
