@@ -28,6 +28,25 @@ def t3_stream_segments(spark, d):
     return streams.drained(streams.sessions(streams.events_stream(spark, d)), "complete")
 
 
+SEGMENTS = """, s as (select position, ms, sum(coalesce((ms - prev > 300000)::int, 0)) over (partition by position order by ms rows unbounded preceding) as seg from (select *, lag(ms) over (partition by position order by ms) as prev from log)),
+ closed as (select position, min(ms) as start_ms, max(ms) as end_ms, count(*) as n from s group by position, seg having max(ms) + 300000 <= (select max(ms) from log) - 3600000)"""
+
+
+@query(SEGMENTS + " select * from closed", "log")
+def t3_closed_segments(spark, d):
+    """Segments in append mode: each is given out once, when the watermark has passed it."""
+    return streams.drained(streams.sessions(streams.events_stream(spark, d)), "append")
+
+
+@query(SEGMENTS + " select (select count(*) from log) as rows, 0::bigint as late_rows, (select count(distinct (position, seg)) from s) - (select count(*) from closed) as state_rows", "log")
+def t3_state_report(spark, d):
+    """Rows read, rows left out as too late, and sessions still held when the stream's end is reached: those that the watermark hasn't passed."""
+    reports = []
+    streams.drained(streams.sessions(streams.events_stream(spark, d)), "append", reports)
+    total = lambda k: sum(r[k] for r in reports)
+    return spark.createDataFrame([(total("rows"), total("late_rows"), reports[-1]["state_rows"])], "rows long, late_rows long, state_rows long")
+
+
 @query("select distinct position, ms // 60000 * 60000 as ms from log", "log")
 def t4_stream_dedupe(spark, d):
     minutes = streams.events_stream(spark, d).select("position", F.date_trunc("minute", "ts").alias("ts"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from soundtally.functions.levels import laeq, lafmax
 from soundtally.sources.place import shared_dir
@@ -27,7 +30,12 @@ def stream_leq(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sessions(levels: DataFrame, late: str = "1 hour", gap: str = "5 minutes") -> DataFrame:
-    """position, start_ms, end_ms, n of a stream (position, ts): runs without a gap of this length."""
+    """position, start_ms, end_ms, n of a stream (position, ts): runs without a gap of this length.
+
+    In append mode a session is given out once, when the watermark has passed its end by
+    the gap, and its state is dropped then; rows that come later than ``late`` are left
+    out, and ``report`` says how many. Rows without a time have no session.
+    """
     w = levels.withWatermark("ts", late).groupBy("position", F.session_window("ts", gap).alias("w"))
     return w.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count(F.lit(1)).alias("n")).select("position", F.unix_millis("lo").alias("start_ms"), F.unix_millis("hi").alias("end_ms"), "n")
 
@@ -44,8 +52,18 @@ def events_stream(spark: SparkSession, d: str) -> DataFrame:
     return source.select(F.col("event_type").alias("position"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives until its source is read to the end; in complete mode the last state."""
+def report(run: StreamingQuery) -> list[dict]:
+    """Of each batch of a query its number, rows read, rows held as state after it, rows left out as too late, and the watermark in milliseconds."""
+    out = []
+    for p in run.recentProgress:
+        watermark = p.eventTime.get("watermark") if p.eventTime else None
+        at = int(datetime.fromisoformat(watermark.replace("Z", "+00:00")).timestamp() * 1000) if watermark else 0
+        out.append({"batch": p.batchId, "rows": p.numInputRows, "state_rows": sum(o.numRowsTotal for o in p.stateOperators), "late_rows": sum(o.numRowsDroppedByWatermark for o in p.stateOperators), "watermark_ms": at})
+    return out
+
+
+def drained(stream: DataFrame, mode: str, reports: list[dict] | None = None) -> DataFrame:
+    """What a stream gives until its source is read to the end; in complete mode the last state. reports gets a ``report`` of each batch."""
     spark = stream.sparkSession
     place = shared_dir(spark)
 
@@ -54,6 +72,8 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
 
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep).start()
     run.awaitTermination()
+    if reports is not None:
+        reports += report(run)
     out = spark.read.schema(stream.schema.add("epoch", "long")).parquet(f"{place}/out")
     if mode == "complete":
         out = out.join(F.broadcast(out.agg(F.max("epoch").alias("epoch"))), "epoch")
