@@ -22,7 +22,7 @@ from .common import cut, partitions, salted_join, text_bytes
 #: Labels that ask to join one label in a task; where more do, they and the room are divided.
 ASKING = 10_000
 #: Share of members that a pass has to bring together for further ones to be made.
-MENDED = 0.005
+MENDED = 0.02
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
