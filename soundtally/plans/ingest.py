@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from soundtally.functions import levels as L
 from soundtally.operators import timeline
 from soundtally.plans.base import ENERGY, SQL, VIEWS, log, query
+from soundtally.sources import headers
 from soundtally.sources import lines as T
 from soundtally.sources import readers
 from soundtally.sources.place import shared_dir
@@ -102,11 +103,42 @@ def s7_read_generic(spark, d):
     return by_position(one.unionByName(two))
 
 
-@query(f"select distinct position, (ms // {DAY})::bigint as day, 3 + 1 as matches, 'likely_valid' as status, '4 of the layout''s marks found' as reason from log", "log")
+#: What begins the files of each position's reader, by the day modulo 4.
+HEADS = {
+    "click": ("sentry", [["", "Exported by LEQ", "  Time (Date hh:mm:ss.ms),LEQ dB-A,Lmax dB-A,L10 dB-A,L90 dB-A"], ["Time\tLEQ"], ["Odd level", "Time"], [" ", ""]]),
+    "error": ("svan", [["Site 4", "", "Date & time,LAeq,LAFmax,LZeq"], ["SvanPC", "Box 3"], ["Box 3", "Start time, LAeq"], ["Box 3", "Box 4", "no mark"]]),
+    "purchase": ("nti", [SECTIONS, ["# RTA Results", "x", "", "y", "z", "w"], ["a", "b", "c", "d"], [" "]]),
+    "signup": ("generic", [["", "Timestamp,LAeq"], ["when,LAeq", "date"], ["Start TIME;" + "LAeq;" * 50], [""]]),
+    "view": (None, [["nothing"], ["Date"], ["Time"], ["x"]]),
+}
+TEXTS = lambda x: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in x) + "]"
+HEAD_ROWS = ", ".join(f"('{p}', {k}, {TEXTS(h)})" for p, (_, heads) in HEADS.items() for k, h in enumerate(heads))
+RULE_ROWS = ", ".join(f"('{p}', '{r}', {TEXTS(headers.RULES[r].words)}, {headers.RULES[r].likely}, {headers.RULES[r].some}, {headers.RULES[r].header}, {headers.RULES[r].excerpt}, {str(headers.RULES[r].anywhere).lower()}, {TEXTS(headers.RULES[r].reasons)})" for p, (r, _) in HEADS.items() if r)
+
+
+@query(
+    f""", h(position, kind, head) as (values {HEAD_ROWS}), r(position, reader, words, likely, part, header, excerpt, anywhere, texts) as (values {RULE_ROWS}),
+ f as (select distinct position, (ms // {DAY})::bigint as day from log), l as (select f.*, r.* exclude position, list_filter(h.head, lambda x: trim(x) <> '') as lines from f join h on h.position = f.position and h.kind = f.day % 4 left join r on r.position = f.position),
+ c as (select *, coalesce(list_filter(lines, lambda x: header > 0 and len(list_filter(words, lambda w: contains(lower(x), w))) >= header)[1], lines[1], '') as line from l),
+ n as (select *, len(list_filter(words, lambda w: case when anywhere then len(list_filter(lines, lambda x: contains(lower(x), w))) > 0 else contains(lower(line), w) end)) as matches from c)
+ select position, day, coalesce(reader, 'none') as reader, coalesce(matches, 0)::int as matches,
+ case when reader is null then 'unknown' when len(lines) = 0 and texts[1] <> '' then 'unlikely_valid' when matches >= likely then 'likely_valid' else 'needs_review' end as status,
+ case when reader is null then '' when len(lines) = 0 and texts[1] <> '' then texts[1] when matches >= likely then replace(texts[2], '%d', matches::varchar) when matches >= part or reader = 'svan' and contains(lower(array_to_string(lines[1:5], ' ')), 'svan') then texts[3] else texts[4] end as reason,
+ case when reader is null then '' when excerpt > 0 then array_to_string(lines[1:excerpt], chr(10)) when reader = 'sentry' then trim(line) else line[1:200] end as excerpt from n""",
+    "log",
+)
 def s10_header_hint(spark, d):
-    marks = ["# HARDWARE CONFIGURATION", "# MEASUREMENT SETUP", "# BROADBAND RESULTS", "# BROADBAND LOG RESULTS", "SERIAL NUMBER"]
-    h = T.hints(sectioned(spark, d), marks)
-    return h.select(F.substring_index("path", "_", 1).alias("position"), F.substring_index("path", "_", -1).cast("long").alias("day"), "matches", "status", "reason")
+    """Files of four layouts and of none, that begin as they should, in part, not at all, or with blank lines."""
+    rows = files(spark, d).select("path", "position", F.floor(F.col("ms") / DAY).alias("day")).distinct()
+    head = F.lit(None).cast("array<string>")
+    for p, (_, heads) in HEADS.items():
+        for k, h in enumerate(heads):
+            head = F.when((F.col("position") == p) & (F.col("day") % 4 == k), F.array(*map(F.lit, h))).otherwise(head)
+    place = shared_dir(spark) + "/lines"
+    T.write_lines(rows.select("path", F.posexplode(head).alias("line_no", "line")), place)
+    reader = F.coalesce(*[F.when(F.col("position") == p, r) for p, (r, _) in HEADS.items()])
+    h = headers.hints(rows.withColumn("reader", reader), T.read_lines(spark, place))
+    return h.select("position", "day", F.coalesce("reader", F.lit("none")).alias("reader"), "matches", "status", "reason", "excerpt")
 
 
 @query(f"select position, (ms // {DAY})::bigint as day, 'Broadband LOG Results' as section, count(*) + 2 as n from log group by 1, 2 union all select distinct position, (ms // {DAY})::bigint, m.section, m.n from log, (values ('Hardware Configuration', 2), ('Measurement Setup', 1)) as m(section, n)", "log")

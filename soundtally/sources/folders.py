@@ -41,17 +41,21 @@ def _logical(file: Column, root: str) -> Column:
     return F.when(written, F.array_join(F.transform(F.filter(steps, lambda s: s.contains("=")), value), "/")).otherwise(below)
 
 
+def parts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, file, bytes, modified_ms) of what ``listing`` sums up: a row a file, or a row a part of one that Spark wrote."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    seen = raw.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.unix_millis("modificationTime").alias("modified_ms"))
+    return seen.withColumn("path", _logical(F.col("file"), root)).where(~file_name(F.col("file")).rlike("^[._]")).select("path", "file", "bytes", "modified_ms")
+
+
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, bytes, modified_ms, first_file, last_file) of all files below a folder, at any depth; only their metadata are read.
 
     path is relative to root, first_file and last_file are where its first and its last
     byte are. Hidden files, empty ones and empty folders aren't there.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    seen = raw.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.unix_millis("modificationTime").alias("modified_ms"))
-    named = seen.withColumn("path", _logical(F.col("file"), root)).where(~file_name(F.col("file")).rlike("^[._]"))
     held = F.when(F.col("bytes") > 0, F.col("file"))
-    return named.groupBy("path").agg(F.sum("bytes").alias("bytes"), F.max("modified_ms").alias("modified_ms"), F.coalesce(F.min(held), F.min("file")).alias("first_file"), F.coalesce(F.max(held), F.max("file")).alias("last_file"))
+    return parts(spark, root, pattern).groupBy("path").agg(F.sum("bytes").alias("bytes"), F.max("modified_ms").alias("modified_ms"), F.coalesce(F.min(held), F.min("file")).alias("first_file"), F.coalesce(F.max(held), F.max("file")).alias("last_file"))
 
 
 def configs(spark: SparkSession, root: str, largest: int = 1 << 20) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from soundtally.sources.place import cut
 
 
-def write_lines(lines: DataFrame, place: str) -> None:
-    """Writes (path, line_no, line) as text, one folder path=... a file, in order of line_no."""
-    lines.repartition("path").sortWithinPartitions("path", "line_no").select("path", F.col("line").alias("value")).write.partitionBy("path").text(place)
+def write_lines(lines: DataFrame, place: str, renew: bool = False) -> None:
+    """Writes (path, line_no, line) as text, one folder path=... a file, in order of line_no; with renew over files that are there, and no others."""
+    laid = lines.repartition("path").sortWithinPartitions("path", "line_no").select("path", F.col("line").alias("value")).write.partitionBy("path")
+    (laid.mode("overwrite").option("partitionOverwriteMode", "dynamic") if renew else laid).text(place)
 
 
 def read_lines(spark: SparkSession, place: str) -> DataFrame:
@@ -98,17 +99,6 @@ def metadata(lines: DataFrame, titles: list[str]) -> DataFrame:
     return s.withColumn("key", key).where("key <> ''").groupBy("path", "section", "key").agg(F.max_by(value, "line_no").alias("value"))
 
 
-def hints(lines: DataFrame, markers: list[str], first: int = 40, enough: int = 3) -> DataFrame:
-    """(path, matches, status, reason): how many of a layout's markers a file's first lines hold, in upper case."""
-    heads = top(lines, first).select("path", F.transform("top", lambda x: F.upper(x["line"])).alias("top"))
-    held = lambda m: F.exists("top", lambda x: x.contains(m)).cast("int")
-    n = sum((held(m) for m in markers), F.lit(0))
-    filled = F.exists("top", lambda x: F.trim(x) != "")
-    status = F.when(~filled, "unlikely_valid").when(n >= enough, "likely_valid").otherwise("needs_review")
-    reason = F.when(~filled, "the file is empty").otherwise(F.format_string("%d of the layout's marks found", n))
-    return heads.select("path", n.alias("matches"), status.alias("status"), reason.alias("reason"))
-
-
 def span(rows: DataFrame) -> DataFrame:
     """(path, lo, hi) of rows (path, ms)."""
     return rows.groupBy("path").agg(F.min("ms").alias("lo"), F.max("ms").alias("hi"))
