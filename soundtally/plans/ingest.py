@@ -9,6 +9,7 @@ from soundtally.operators import timeline
 from soundtally.plans.base import ENERGY, SQL, VIEWS, log, query
 from soundtally.sources import headers
 from soundtally.sources import lines as T
+from soundtally.sources import overview
 from soundtally.sources import readers
 from soundtally.sources.place import shared_dir
 
@@ -198,11 +199,26 @@ def k4_combine_reports(spark, d):
     return c.select(F.substring_index("path", "_", 1).alias("position"), F.substring_index("path", "_", -1).cast("long").alias("day"), F.col("values")[0].alias("level"), "accepted")
 
 
-@query("select coalesce(a.hour, b.hour) as hour, a.broadband, b.band from (select ms // 3600000 as hour, " + ENERGY.format("laeq") + " as broadband from log where position = 'click' group by 1) a full join (select ms // 3600000 as hour, " + ENERGY.format("lafmax") + " as band from log where position = 'error' group by 1) b on a.hour = b.hour", "log")
+@query(
+    f""", r as (select position as folder, (ms // {DAY})::bigint as day, ms // 1000 * 1000 as s, event_id, event_id % 3 as third, laeq, lafmax from log),
+ side as (select *, event_id = min(event_id) over (partition by folder, day, third <> 1) as firsts, event_id = min(event_id) over (partition by folder, day, third <> 2) as firsts2 from r),
+ a as (select folder, s, max_by(struct_pack(f := case when firsts then folder || '_' || day || '_SLM_123_Log.txt' end, x := laeq, y := case when event_id % 4 = 0 then 0 else lafmax end), event_id) as v from side where third <> 1 group by 1, 2),
+ b as (select folder, s, max_by(struct_pack(f := case when firsts2 then folder || '_' || day || '_SLM_RTA_3rd_Log.txt' end, x := lafmax), event_id) as v from side where third <> 2 group by 1, 2)
+ select coalesce(a.folder, b.folder) as folder, strftime(epoch_ms(coalesce(a.s, b.s)), '%Y-%m-%d') as date, strftime(epoch_ms(coalesce(a.s, b.s)), '%H:%M:%S') as time, a.v.f as left_file, b.v.f as right_file, round(a.v.x, 6) as "left_LAeq_dt", round(a.v.y, 6) as "left_LAFmax", round(b.v.x, 6) as "right_LZeq_dt_63_0"
+ from a full join b on a.folder = b.folder and a.s = b.s""",
+    "log",
+)
 def k5_overview_sheet(spark, d):
-    rows = log(spark, d).withColumn("hour", F.floor(F.col("ms") / L.HOUR_MS))
-    block = lambda p, c, name: rows.where(F.col("position") == p).groupBy("hour").agg(L.laeq(F.col(c)).alias(name))
-    return timeline.aligned(block("click", "laeq", "broadband"), block("error", "lafmax", "band"), ["hour"])
+    """A sheet a position of its broadband and its third-octave logs, a file a day; each has rows that the other lacks, and rows in one second."""
+    rows = files(spark, d).withColumn("time", F.substring("time", 1, 8)).withColumn("high", F.when(F.col("event_id") % 4 == 0, "-.-").otherwise(F.col("lafmax").cast("string")))
+    name = lambda tail: F.concat("position", F.lit("/"), "path", F.lit(tail))
+    total = [*SECTIONS, "# Broadband LOG Results", "Date\tTime\tTimer\tLAeq_dt\tLAFmax", "[YYYY-MM-DD]\t[hh:mm:ss]\t[hh:mm:ss]\t[dB]\t[dB]"]
+    band = [*SECTIONS, "# RTA LOG Results LZF", "x", "y", "z", "\t2020-01-01\t00:00:00\t\t\t1", "# RTA LOG Results L*eq_dt", "\t\t\t\tLZeq_dt", "Date\tTime\tTimer\tBand [Hz]\t63.0", "[YYYY-MM-DD]\t[hh:mm:ss]\t[hh:mm:ss]\t\t[dB]"]
+    one = reread(spark, rows.where("event_id % 3 <> 1").withColumn("path", name("_SLM_123_Log.txt")), total, tabbed("", "date", "time", "", "laeq", "high"), ["#CheckSum", "x"])
+    two = reread(spark, rows.where("event_id % 3 <> 2").withColumn("path", name("_SLM_RTA_3rd_Log.txt")), band, tabbed("", "date", "time", "", "", "lafmax"), ["#CheckSum", "x"])
+    (lh, left), (rh, right) = overview.block(one, "123 log"), overview.block(two, "rta log")
+    out = overview.wide(overview.wide(overview.sheet(left, right), lh, "left"), rh, "right").drop("left_times", "right_times")
+    return out.select("folder", "date", "time", "left_file", "right_file", *[F.col(c).cast("double").alias(c) for c in out.columns[5:]])
 
 
 @query("select position, count(*) filter (ms < epoch_ms(timestamp '" + CUTOFF + f"')) + 4 * count(distinct ms // {DAY}) as n from log group by 1", "log")

@@ -9,7 +9,7 @@ from soundtally.functions import columns as C
 from soundtally.functions import levels as L
 from soundtally.functions import texts as X
 from soundtally.plans.base import log, query, spectra
-from soundtally.sources import lines, readers
+from soundtally.sources import lines, options, readers
 
 
 def wide(spark, d):
@@ -64,6 +64,30 @@ def p4_select_columns(spark, d):
     return C.selected(log(spark, d), ["laeq", "absent"], ["event_id"])
 
 
+OPTIONS = [("click", ["Datetime", "LAFmax", "LAF10"], "overview"), ("error", ["LAF90", None], None), ("purchase", [], "log"), ("signup", None, "")]
+OPTION_ROWS = """, r as (select position, ms, 'LAeq' as name, null::double as freq_hz, laeq as level from log union all select position, ms, 'LAFmax', null, lafmax from log union all select position, ms, 'LZeq', 63, laeq from log),
+ o(position, columns, profile) as (values ('click', ['LAFmax', 'LAF10'], 'overview'), ('error', ['LAF90'], null), ('purchase', null, 'log')),
+ m as (select r.*, columns, coalesce(profile, 'file') as profile, freq_hz is null and columns is not null as selects from r left join o using (position))"""
+
+
+def optioned(spark, d):
+    """Two broadband levels and a band of each row, and what is asked of four positions."""
+    level = lambda n, hz, c: F.struct(F.lit(n).alias("name"), F.lit(hz).cast("double").alias("freq_hz"), F.col(c).alias("level"))
+    rows = log(spark, d).select(F.col("position").alias("path"), F.lit("file").alias("profile"), "ms", F.explode(F.array(level("LAeq", None, "laeq"), level("LAFmax", None, "lafmax"), level("LZeq", 63, "laeq"))).alias("v"))
+    return rows.select("path", "profile", "ms", "v.*"), spark.createDataFrame(OPTIONS, "path string, columns array<string>, forced_profile string")
+
+
+@query(OPTION_ROWS + " select position, profile, ms, name, freq_hz, round(level, 6) as level from m where not selects or list_contains(columns, name) union all select distinct position, profile, ms, null, null, null from m where position = 'error' and selects", "log")
+def p4_source_options(spark, d):
+    """One position keeps a level and gets a profile, one has none of those asked for, one only a profile, two are left alone."""
+    return options.with_options(*optioned(spark, d)).withColumnRenamed("path", "position")
+
+
+@query(OPTION_ROWS + " select position, array_to_string(list_sort(list_filter(columns, lambda c: not list_contains(names, c))), ',') as missing from (select position, columns, list(distinct name) as names from m where selects group by 1, 2)", "log")
+def p4_missing_columns(spark, d):
+    return options.missing(*optioned(spark, d)).select(F.col("path").alias("position"), F.array_join(F.array_sort("missing"), ",").alias("missing"))
+
+
 @query("select position, ms, case freq_hz when 32 then 'LZFmax' else 'LZeq' end as param, case freq_hz when 8 then 31.5 when 16 then 160 else 63 end::double as freq_hz, round(level, 6) as level from spectra where freq_hz in (8, 16, 32)", "spectra")
 def p6_unpivot_bands(spark, d):
     return C.unpivot_bands(wide(spark, d), ["position", "ms"])

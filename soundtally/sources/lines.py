@@ -28,13 +28,13 @@ FEW, MANY = 20_000, 16
 MARKS = 200
 
 
-def with_heads(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """lines with the columns of heads, which has a row a file at most: broadcast if their number, which is counted, allows it, else met in parts, so that a long file isn't one task."""
+def with_heads(lines: DataFrame, heads: DataFrame, how: str = "inner", order: str = "line_no") -> DataFrame:
+    """lines with the columns of heads, which has a row a file at most: broadcast if their number, which is counted, allows it, else met in parts by order, so that a long file isn't one task. A left join keeps lines of files without a head."""
     small = cut(heads)
     if small.count() <= FEW:
-        return lines.join(F.broadcast(small), "path")
-    dealt = lines.withColumn("__part", F.pmod(F.xxhash64("line_no"), F.lit(MANY)).cast("int"))
-    return dealt.join(small.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(MANY - 1)))), ["path", "__part"]).drop("__part")
+        return lines.join(F.broadcast(small), "path", how)
+    dealt = lines.withColumn("__part", F.pmod(F.xxhash64(order), F.lit(MANY)).cast("int"))
+    return dealt.join(small.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(MANY - 1)))), ["path", "__part"], how).drop("__part")
 
 
 def sections(lines: DataFrame, marker: str = r"^#", end: str = "#CheckSum") -> DataFrame:

@@ -205,7 +205,7 @@ def before(lines: DataFrame, cutoff: str) -> DataFrame:
 
 
 def single_band_reports(lines: DataFrame) -> DataFrame:
-    """(path, header, units, start_ms, end_ms, metrics) of files with one third-octave measurement: metrics is an array of structs (name, values) in order of the rows.
+    """(path, header, units, start_ms, end_ms, metrics) of files with one third-octave measurement: metrics is an array of structs (name, values, texts) in order of the rows.
 
     Start and end stand as 'Start: YYYY-MM-DD, HH:MM:SS' before the table, whose rows
     are the bands, the units, and one row a metric. '-.-' counts as 0.
@@ -218,7 +218,7 @@ def single_band_reports(lines: DataFrame) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("line_no", F.split("line", "\t").alias("c"))))
     table = body.groupBy("path").agg(rows.alias("rows")).where(F.size("rows") >= 3)
     cut = lambda c, first: F.slice(c, first, 9999)
-    metric = F.transform(F.slice("rows", 3, 9999), lambda r: F.struct(F.trim(F.get(r["c"], F.lit(1))).alias("name"), F.transform(cut(r["c"], 3), number).alias("values")))
+    metric = F.transform(F.slice("rows", 3, 9999), lambda r: F.struct(F.trim(F.get(r["c"], F.lit(1))).alias("name"), F.transform(cut(r["c"], 3), number).alias("values"), cut(r["c"], 3).alias("texts")))
     metrics = F.filter(metric, lambda m: m["name"].isNotNull() & (m["name"] != ""))
     out = table.select("path", cut(F.get("rows", F.lit(0))["c"], 3).alias("header"), cut(F.get("rows", F.lit(1))["c"], 3).alias("units"), metrics.alias("metrics"))
     return out.where(F.size("metrics") > 0).join(when, "path")
