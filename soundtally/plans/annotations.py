@@ -104,15 +104,20 @@ def k1_annotation_rows(spark, d):
     return rows.select("type", "id", F.col("positionId").alias("position"), "start_utc", "end_utc", "source_start_utc", "areas", "chart_offset_ms", *[c for c in A.METRICS if c != "metrics_lafmax"])
 
 
+#: The labels of 64 bands; one is in two cases and one has two forms that give one column name.
+LABELS = {i: "31.5 Hz" if i == 31 else f"{i} Hz" for i in range(1, 65)}
+BAND_NAMES = {i: "band_8_HZ" if i == 8 else "band_" + label.replace(".", "_").replace(" ", "_") for i, label in LABELS.items()}
+
+
 @query(
-    f"""select position as id, {NUMBER.format("a8")} as "band_8_HZ", {NUMBER.format("a16")} as "band_16_Hz", {NUMBER.format("a16")} as "band_16_Hz_2", {NUMBER.format("a31")} as "band_31_5_Hz" from
- (select position, 10 * log10(avg(pow(10.0, level / 10)) filter (freq_hz = 8)) as a8, 10 * log10(avg(pow(10.0, level / 10)) filter (freq_hz = 16)) as a16, 10 * log10(avg(pow(10.0, level / 10)) filter (freq_hz = 31)) as a31 from spectra group by 1)""",
+    "select position as id, " + ", ".join(f'{NUMBER.format(f"a{i}")} as "{n}"' for i, n in BAND_NAMES.items()) + f""", {NUMBER.format("a16")} as "band_16_Hz_2" from
+ (select position, """ + ", ".join(f"10 * log10(avg(pow(10.0, level / 10)) filter (freq_hz = {i})) as a{i}" for i in LABELS) + " from spectra group by 1)",
     "spectra",
 )
 def k1_band_columns(spark, d):
     """Labels in natural order, one in two cases, two of which give one column name."""
-    mean = spectrogram.mean_spectrum(spectra(spark, d), ["position"]).where("freq_hz in (8, 16, 31)")
-    label = F.when(F.col("freq_hz") == 8, F.when(F.col("position") == "P3", "8 HZ").otherwise("8 Hz")).when(F.col("freq_hz") == 16, "16 Hz").otherwise("31.5 Hz")
+    mean = spectrogram.mean_spectrum(spectra(spark, d), ["position"])
+    label = F.when((F.col("freq_hz") == 8) & (F.col("position") == "P3"), "8 HZ").when(F.col("freq_hz") == 31, "31.5 Hz").otherwise(F.concat(F.col("freq_hz").cast("string"), F.lit(" Hz")))
     one = mean.select(F.col("position").alias("id"), label.alias("label"), F.col("laeq").alias("level"))
     two = one.where("label = '16 Hz'").withColumn("label", F.lit("16-Hz"))
     return A.with_bands(one.select("id").distinct(), one.unionByName(two), ["id"])

@@ -185,9 +185,12 @@ def f1_slice_time(spark, d):
     return timeline.between(rows.join(F.broadcast(lo)), F.col("lo") + 90000000, F.col("lo") + 3600000).select("event_id", "position", "laeq")
 
 
-@query("select position, count(*) as n from log where laeq is not null and isfinite(laeq) and laeq < 89 group by 1", "log")
+@query("select position, count(*) as n, round(max(x), 6) as most from (select position, case event_id % 7 when 0 then 'nan'::double when 1 then 'inf'::double when 2 then '-inf'::double when 3 then null else laeq end as x from log) where x is not null and isfinite(x) group by 1", "log")
 def f3_finite_only(spark, d):
-    return log(spark, d).where(L.finite(F.col("laeq")).isNotNull() & (F.col("laeq") < 89)).groupBy("position").agg(F.count(F.lit(1)).alias("n"))
+    """Levels, of which some are missing, infinite or not numbers."""
+    odd = F.col("event_id") % 7
+    level = F.when(odd == 0, float("nan")).when(odd == 1, float("inf")).when(odd == 2, float("-inf")).when(odd > 3, F.col("laeq"))
+    return log(spark, d).withColumn("x", L.finite(level)).where("x is not null").groupBy("position").agg(F.count(F.lit(1)).alias("n"), F.max("x").alias("most"))
 
 
 @query("select a.region_id, count(*) as n, round(max(l.laeq), 6) as most from areas a join log l on l.position = a.position and l.ms between a.start_ms and a.end_ms group by 1", "log", "areas")
@@ -211,17 +214,17 @@ def j1_asof_markers(spark, d):
 
 
 @query(
-    """, r as (select event_id as recording, ms as start_ms, ms + (laeq * 1000)::bigint as end_ms from log where position = 'purchase'),
- t as (select event_id, ms from log where position = 'view')
- select t.event_id, case when r.end_ms > t.ms then r.recording when t.ms < (select min(start_ms) from r) then (select min_by(recording, (start_ms, recording)) from r) end as recording,
- case when r.end_ms > t.ms then t.ms - r.start_ms when t.ms < (select min(start_ms) from r) then 0 end as offset_ms
- from t left join lateral (select * from r where r.start_ms <= t.ms order by start_ms desc, recording desc limit 1) r on true""",
+    """, r as (select position, event_id as recording, ms as start_ms, ms + (laeq * 1000)::bigint as end_ms from log where event_id % 3 = 0),
+ t as (select position, event_id, ms from log where event_id % 3 > 0), f as (select position, min(start_ms) as lo, min_by(recording, (start_ms, recording)) as first from r group by 1)
+ select t.event_id, case when r.end_ms > t.ms then r.recording when t.ms < f.lo then f.first end as recording, case when r.end_ms > t.ms then t.ms - r.start_ms when t.ms < f.lo then 0 end as offset_ms
+ from t left join f on f.position = t.position left join lateral (select * from r where r.position = t.position and r.start_ms <= t.ms order by start_ms desc, recording desc limit 1) r on true""",
     "log",
 )
 def j5_recording_at(spark, d):
-    rows = log(spark, d).withColumn("site", F.lit("all"))
-    rec = rows.where("position = 'purchase'").select("site", F.col("event_id").alias("recording"), "ms", (F.col("ms") + F.round(F.col("laeq") * 1000).cast("long")).alias("end_ms"))
-    points = rows.where("position = 'view'").select("site", "ms", "event_id")
+    """A third of the rows are recordings, the others look for one of their position."""
+    rows = log(spark, d).withColumnRenamed("position", "site")
+    rec = rows.where("event_id % 3 = 0").select("site", F.col("event_id").alias("recording"), "ms", (F.col("ms") + F.round(F.col("laeq") * 1000).cast("long")).alias("end_ms"))
+    points = rows.where("event_id % 3 > 0").select("site", "ms", "event_id")
     return asof.recording_at(points, rec.withColumnRenamed("ms", "start_ms"), "site").select("event_id", "recording", "offset_ms")
 
 
@@ -239,11 +242,11 @@ def j10_copy_regions(spark, d):
     return areas(rows).crossJoin(places).where(F.col("other") != F.col("position")).select("region_id", F.col("other").alias("position"))
 
 
-@query("select coalesce(a.k, b.k) as k, a.n as left_n, b.n as right_n from (select ms // 60000 as k, count(*) as n from log where position = 'click' group by 1) a full join (select ms // 60000 as k, count(*) as n from log where position = 'error' group by 1) b on a.k = b.k", "log")
+@query("select coalesce(a.position, b.position) as position, coalesce(a.k, b.k) as k, a.n as left_n, b.n as right_n from (select position, ms // 60000 as k, count(*) as n from log where event_id % 2 = 0 group by 1, 2) a full join (select position, ms // 60000 as k, count(*) as n from log where event_id % 2 = 1 group by 1, 2) b on a.position = b.position and a.k = b.k", "log")
 def j7_align_reports(spark, d):
     rows = log(spark, d).withColumn("k", F.floor(F.col("ms") / 60000))
-    side = lambda p, n: rows.where(F.col("position") == p).groupBy("k").agg(F.count(F.lit(1)).alias(n))
-    return timeline.aligned(side("click", "left_n"), side("error", "right_n"), ["k"])
+    side = lambda odd, n: rows.where(F.col("event_id") % 2 == odd).groupBy("position", "k").agg(F.count(F.lit(1)).alias(n))
+    return timeline.aligned(side(0, "left_n"), side(1, "right_n"), ["position", "k"])
 
 
 MERGED = """, o as (select *, case when start_ms <= max(end_ms) over (partition by position order by start_ms, end_ms rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from areas),

@@ -143,9 +143,9 @@ def u4_split_region(spark, d):
     return regions.split_regions(united(spark, d))
 
 
-@query("select distinct freq_hz, position from spectra where freq_hz > 60", "spectra")
+@query("select distinct freq_hz, position from spectra", "spectra")
 def u6_distinct_bands(spark, d):
-    return spectra(spark, d).where("freq_hz > 60").select("freq_hz", "position").distinct()
+    return spectra(spark, d).select("freq_hz", "position").distinct()
 
 
 @query(

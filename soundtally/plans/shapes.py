@@ -13,10 +13,10 @@ from soundtally.sources import lines, options, readers
 
 
 def wide(spark, d):
-    """Spectra with columns for three bands of two levels."""
+    """Spectra with a column for each of their 64 bands, of two levels, and columns that are no band between 20 Hz and 20 kHz."""
     s = spectra(spark, d)
-    band = lambda i: F.max(F.when(F.col("freq_hz") == i, F.col("level")))
-    return s.groupBy("position", "ms").agg(band(1).alias("LZeq_10"), band(8).alias("LZeq_31.5"), band(16).alias("LZeq_160"), band(32).alias("LZFmax_63"), F.lit(1.0).alias("Battery"))
+    band = lambda i: F.max(F.when(F.col("freq_hz") == i, F.col("level"))).alias(f"{'LZFmax' if i % 4 == 3 else 'LZeq'}_{i * 20.5}")
+    return s.groupBy("position", "ms").agg(*[band(i) for i in range(1, 65)], F.lit(1.0).alias("LZeq_10"), F.lit(1.0).alias("LZeq_25000"), F.lit(1.0).alias("Battery"))
 
 
 @query("select event_id, round(lafmax, 6) as \"LAFmax\", round(laeq, 6) as \"LAeq\" from log", "log")
@@ -88,12 +88,12 @@ def p4_missing_columns(spark, d):
     return options.missing(*optioned(spark, d)).select(F.col("path").alias("position"), F.array_join(F.array_sort("missing"), ",").alias("missing"))
 
 
-@query("select position, ms, case freq_hz when 32 then 'LZFmax' else 'LZeq' end as param, case freq_hz when 8 then 31.5 when 16 then 160 else 63 end::double as freq_hz, round(level, 6) as level from spectra where freq_hz in (8, 16, 32)", "spectra")
+@query("select position, ms, case freq_hz % 4 when 3 then 'LZFmax' else 'LZeq' end as param, freq_hz * 20.5::double as freq_hz, round(max(level), 6) as level from spectra group by 1, 2, 3, 4", "spectra")
 def p6_unpivot_bands(spark, d):
     return C.unpivot_bands(wide(spark, d), ["position", "ms"])
 
 
-@query("select distinct case freq_hz when 32 then 'LZFmax' else 'LZeq' end as param from spectra where freq_hz in (8, 16, 32)", "spectra")
+@query("select distinct case freq_hz % 4 when 3 then 'LZFmax' else 'LZeq' end as param from spectra", "spectra")
 def p7_spectral_params(spark, d):
     return C.unpivot_bands(wide(spark, d), ["position", "ms"]).select("param").distinct()
 

@@ -3,6 +3,7 @@ import sys
 
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = "/root/testdata/sf0.001"
@@ -13,5 +14,7 @@ def spark():
     conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g", "spark.sql.session.timeZone": "UTC"}
     s = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
+    # a session's first column ids are those that Spark gives to lambda variables when it compares plans; a filter can then end up on the wrong side of a join
+    s.range(1).select(*[F.lit(i).alias(f"c{i}") for i in range(100)]).collect()
     yield s
     s.stop()
