@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundtally.functions.levels import day
+from soundtally.functions.levels import day, finite
 
 
 def last_at(points: DataFrame, rows: DataFrame, by: str, values: list[str], strict: bool = False, order: str | None = None) -> DataFrame:
@@ -119,6 +119,36 @@ def event_windows(times: DataFrame, half_ms: int = 1_800_000) -> DataFrame:
     return times.withColumn("start_ms", F.col("ms") - half_ms).withColumn("end_ms", F.col("ms") + half_ms)
 
 
+def window_levels(times: DataFrame, rows: DataFrame, key: str, by: str = "position", value: str = "laeq", half_ms: int = 1_800_000) -> DataFrame:
+    """(key, by, n, value): number and energy mean of the rows (by, ms, value) in the windows of ``event_windows`` around times (key, ms), ends included; times that share a key count together.
+
+    Windows are all as wide as a bucket, so that each is the end of one bucket and the
+    beginning of the next. Running sums from both sides of a bucket give it without a
+    pair of time and row, and without a difference of large sums. Rows and windows of
+    one millisecond are one row before they are ordered.
+    """
+    width = 2 * half_ms
+    bucket = F.floor(F.col("ms") / width).cast("long")
+    level = finite(F.col(value))
+    sums = ["__n", "__c", "__e"]
+    add = [F.sum(c).alias(c) for c in sums]
+    here = rows.where("ms is not null").select(F.col(by), F.col("ms").cast("long").alias("ms"), F.lit(1).cast("long").alias("__n"), level.isNotNull().cast("long").alias("__c"), F.pow(F.lit(10.0), level / 10).alias("__e"))
+    here = here.groupBy(by, "ms").agg(*add).withColumn("__b", bucket)
+    asked = event_windows(times.where("ms is not null").select(F.col("ms").cast("long").alias("ms")).distinct(), half_ms)
+    ends = asked.select(F.explode(F.array(F.struct(F.col("start_ms").alias("ms"), F.lit(1).alias("__from"), F.lit(0).alias("__to")), F.struct(F.col("end_ms").alias("ms"), F.lit(0).alias("__from"), F.lit(1).alias("__to")))).alias("x")).select("x.*")
+    ends = ends.withColumn("__b", bucket).join(here.select("__b", by).distinct(), "__b")
+    none = [F.lit(0).cast("long").alias("__n"), F.lit(0).cast("long").alias("__c"), F.lit(None).cast("double").alias("__e")]
+    both = here.withColumn("__from", F.lit(0)).withColumn("__to", F.lit(0)).unionByName(ends.select(by, "__b", "ms", *none, "__from", "__to"))
+    one = both.groupBy(by, "__b", "ms").agg(*add, F.max("__from").alias("__from"), F.max("__to").alias("__to"))
+    upto = lambda order: Window.partitionBy(by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    run = one.select("*", *[F.sum(c).over(upto(F.asc("ms"))).alias(f"{c}_to") for c in sums]).select("*", *[F.sum(c).over(upto(F.desc("ms"))).alias(f"{c}_from") for c in sums])
+    part = lambda side, shift: F.when(F.col(f"__{side}") == 1, F.struct((F.col("ms") + shift).alias("ms"), *[F.col(f"{c}_{side}").alias(c) for c in sums]))
+    parts = run.select(by, F.explode(F.array(part("from", half_ms), part("to", -half_ms))).alias("p")).where("p.__n > 0").select(by, "p.*")
+    met = times.select(key, F.col("ms").cast("long").alias("ms")).join(parts, "ms").groupBy(key, by).agg(*add)
+    mean = F.when(F.col("__e") > 1e-12, 10 * F.log10(F.col("__e") / F.col("__c")))
+    return met.select(key, by, F.col("__n").alias("n"), mean.alias(value))
+
+
 def marker_metrics(markers: DataFrame, levels: DataFrame, by: str = "position") -> DataFrame:
     """markers (by, ms, ...) with at_ms, parameter and value of the last row of levels (by, ms, event_id, laeq, lzeq) at or before each: LAeq where the position has it, else LZeq."""
     has = levels.groupBy(by).agg((F.count("laeq") > 0).alias("__a"), (F.count("lzeq") > 0).alias("__z"))

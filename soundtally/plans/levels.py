@@ -293,9 +293,8 @@ def r1_night_regions(spark, d):
 
 @query("select m.marker_id, l.position, count(*) as n, round(10 * log10(avg(pow(10.0, laeq / 10))), 6) as laeq from markers m join log l on l.ms between m.ms - 1800000 and m.ms + 1800000 group by 1, 2", "log", "markers")
 def r4_event_windows(spark, d):
-    rows = log(spark, d).withColumn("site", F.lit(1))
-    spans = asof.event_windows(rows.where("position = 'error'").select("site", F.col("event_id").alias("marker_id"), "ms")).drop("ms")
-    return asof.in_intervals(rows, spans, "site").groupBy("marker_id", "position").agg(F.count(F.lit(1)).alias("n"), L.laeq(F.col("laeq")).alias("laeq"))
+    rows = log(spark, d)
+    return asof.window_levels(rows.where("position = 'error'").select(F.col("event_id").alias("marker_id"), "ms"), rows, "marker_id")
 
 
 @query("select event_id, round(w, 6) as window_ms, case when s > 0 then ceil(round(w / s, 9))::bigint end as bins from (select event_id, s, case when s is null or s <= 0 then 900000 else least(greatest(900000 + (s - 100) / 900 * 2700000, 900000), 3600000) end as w from (select event_id, case when event_id % 7 = 0 then 0.0 when event_id % 11 = 0 then null else event_id * 1.0 end as s from log))", "log")

@@ -140,6 +140,34 @@ def test_spans_of_all_lengths(spark):
     assert sorted((r["i"], r["k"]) for r in df.collect()) == want
 
 
+def test_windows_without_pairs(spark):
+    """Counts and means of windows against a plain loop, with equal times, rows at both ends, repeated keys, null positions and levels that are missing; no join meets times with rows."""
+    rng = random.Random(9)
+    at = [rng.choice([rng.randrange(-4000, 9000), 1000 * rng.randrange(9)]) for _ in range(400)]
+    rows = [(rng.choice(["a", "b", None]), t, rng.choice([30.0, 90.0, None, float("nan"), float("inf"), rng.uniform(30, 90)])) for t in at] + [("a", None, 1.0)]
+    times = [(rng.choice([k, 7]), rng.choice(at)) for k in range(60)] + [(99, None), (98, 10**9), (97, 2000), (97, 2000)]
+    want = {}
+    for k, t in times:
+        for p, ms, x in rows:
+            if t is not None and ms is not None and t - 500 <= ms <= t + 500:
+                want.setdefault((k, p), []).append(x)
+    want = {g: (len(xs), [10 ** (x / 10) for x in xs if x is not None and math.isfinite(x)]) for g, xs in want.items()}
+    df = asof.window_levels(spark.createDataFrame(times, "k long, ms long"), spark.createDataFrame(rows, "position string, ms long, laeq double"), "k", half_ms=500)
+    got = {(r["k"], r["position"]): (r["n"], r["laeq"]) for r in df.collect()}
+    assert {g: n for g, (n, _) in got.items()} == {g: n for g, (n, _) in want.items()}
+    for g, (_, energy) in want.items():
+        assert got[g][1] == (pytest.approx(10 * math.log10(sum(energy) / len(energy)), abs=1e-9) if energy else None)
+
+
+def test_event_windows_at_one_time(spark, tmp_path):
+    """40,000 events within a second are 320 million pairs of marker and row."""
+    n = 40_000
+    e = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("id") % 1000).cast("timestamp_ntz").alias("ts"), F.when(F.col("id") % 5 == 0, "error").otherwise("view").alias("event_type"), F.lit(100.0).alias("value"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    q = registry.queries()["r4_event_windows"](spark, str(tmp_path))
+    assert [tuple(r) for r in q.groupBy("position", "n", "laeq").count().orderBy("position").collect()] == [("error", n // 5, 40.0, n // 5), ("view", n - n // 5, 40.0, n // 5)]
+
+
 def test_merging_over_days(spark):
     rng = random.Random(6)
     areas = [(s, s + rng.randrange(-10**8, 3 * 10**8)) for s in (rng.randrange(10**10) for _ in range(120))]
