@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +23,10 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 MARK = "▁"
-#: Languages that are learnt at most, the most frequent ones: bounds the model to so many numbers a piece.
+#: Languages of one model: bounds it, and a task that counts, to so many numbers a piece. More are learnt in several models.
 LANGUAGES = 100
 #: Expected counts are kept as integers, so that their sums don't depend on the order of tasks.
 UNIT = 1 << 20
@@ -201,10 +203,8 @@ class Model:
         self.place |= {w: i for i, w in enumerate(words, len(self.known))}
         self.known = np.concatenate([self.known, *tables])
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and posterior probability of each text."""
-        if not self.names:
-            return [("und", 0.0)] * len(texts)
+    def best(self, texts: list[str | None]) -> list[tuple[str | None, float, float]]:
+        """Of each text the likeliest of the languages, its log weight, and the sum of all weights as a multiple of its own; no language if the text has no word."""
         words = [counted(t) for t in texts]
         new = sorted(set().union(*words).difference(self.place))
         if (len(self.place) + len(new)) * len(self.names) > REMEMBERED:
@@ -215,20 +215,29 @@ class Model:
         out = []
         for c in words:
             if not c:
-                out.append(("und", 0.0))
+                out.append((None, -np.inf, 0.0))
                 continue
             at, n = np.fromiter(map(self.place.__getitem__, c), np.int64, len(c)), np.fromiter(c.values(), np.float64, len(c))
             logs = np.round(self.prior + (self.known[at] * n[:, None]).sum(axis=0), 6)
             best = int(logs.argmax())
-            out.append((self.names[best], round(float(1 / np.exp(logs - logs[best]).sum()), 9)))
+            out.append((self.names[best], float(logs[best]), float(np.exp(logs - logs[best]).sum())))
         return out
 
 
+def better(one: tuple[str | None, float, float], two: tuple[str | None, float, float]) -> tuple[str | None, float, float]:
+    """What ``Model.best`` would say of the languages of both; of equal ones the first's counts."""
+    if one[0] is None or two[0] is None:
+        return two if one[0] is None else one
+    high, low = (two, one) if two[1] > one[1] else (one, two)
+    return high[0], high[1], high[2] + low[2] * float(np.exp(low[1] - high[1]))
+
+
 def piece_counts(docs: DataFrame, path: str) -> DataFrame:
     """(lang, piece, n): expected counts in units of 1 / UNIT of docs (lang, text), over all of their words.
 
     A task gathers words until it has many, deals them out to pieces and adds these up,
-    so that it gives at most a row a piece and language.
+    so that it gives a row a piece and language, or several where it meets more than
+    LANGUAGES languages and starts anew.
     """
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,38 +254,47 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
                     np.add.at(total, lattice.piece, np.round(lattice.expected(vocabulary.base) * UNIT).astype(np.int64) * n[i : i + AT_ONCE][lattice.word])
             waiting.clear()
 
+        def given() -> Iterator[pd.DataFrame]:
+            deal()
+            for lang, total in sums.items():
+                piece = np.flatnonzero(total)
+                yield pd.DataFrame({"lang": lang, "piece": piece, "n": total[piece]})
+            sums.clear()
+
         for pdf in pdfs:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
+                if lang not in sums and lang not in waiting and len(sums.keys() | waiting.keys()) >= LANGUAGES:
+                    yield from given()
                 waiting.setdefault(lang, Counter()).update(counted(text))
                 if sum(map(len, waiting.values())) > 10 * AT_ONCE:
                     deal()
-        deal()
-        for lang, total in sums.items():
-            piece = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "piece": piece, "n": total[piece]})
+        yield from given()
 
     return docs.select("lang", "text").mapInPandas(run, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, path: str) -> Model:
-    """Learns from all documents that may be learnt from, by their ids, and have a language: whole texts, null ones as empty.
+def fit(docs: DataFrame, path: str) -> Iterator[Model]:
+    """Learns all languages of all documents that may be learnt from, by their ids, and have one: whole texts, null ones as empty.
 
-    At most LANGUAGES languages are learnt, those of most documents, ties by name; the
-    driver gets a number a language and piece.
+    One model after the other, each of LANGUAGES languages at most, in order of names;
+    the driver gets a number a language and piece of one model at a time.
     """
     known = docs.where(learnable() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    shares = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r["lang"] for r in shares)
-    if not names:
-        return Model(path, [], np.zeros((0, 0)), np.zeros(0))
-    rows = piece_counts(known.where(F.col("lang").isin(names)), path).toPandas()
+    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    every, total = sorted(n), sum(n.values())
+    if not every:
+        return
+    counted_once = piece_counts(known, path)
+    if len(every) > LANGUAGES:
+        counted_once = stored(counted_once)
     vocabulary = loaded(path)
-    counts = np.zeros((len(vocabulary.pieces), len(names)))
-    counts[rows["piece"].to_numpy(np.int64), np.searchsorted(names, rows["lang"].to_numpy(str)) if len(rows) else []] = rows["n"].to_numpy(np.float64) / UNIT
-    logs = np.log(counts + PRIOR * np.exp(vocabulary.base)[:, None]) - np.log(counts.sum(axis=0) + PRIOR)
-    n = {r["lang"]: r["n"] for r in shares}
-    share = np.array([n[name] for name in names], np.float64)
-    return Model(path, names, logs, np.log(share / share.sum()))
+    for i in range(0, len(every), LANGUAGES):
+        names = every[i : i + LANGUAGES]
+        rows = (counted_once.where(F.col("lang").isin(names)) if len(every) > LANGUAGES else counted_once).toPandas()
+        counts = np.zeros((len(vocabulary.pieces), len(names)))
+        counts[rows["piece"].to_numpy(np.int64), rows["lang"].map({name: k for k, name in enumerate(names)}).to_numpy(np.int64)] = rows["n"].to_numpy(np.float64) / UNIT
+        logs = np.log(counts + PRIOR * np.exp(vocabulary.base)[:, None]) - np.log(counts.sum(axis=0) + PRIOR)
+        yield Model(path, names, logs, np.log(np.array([n[name] for name in names], np.float64) / total))
 
 
 def predicted(docs: DataFrame, path: str) -> DataFrame:
@@ -285,17 +303,43 @@ def predicted(docs: DataFrame, path: str) -> DataFrame:
     held_out rows teach nothing, and neither do those without doc_id or lang; lang is no
     input of a prediction. A text that is null or has no letter is ``und`` with score 0,
     and so is every text where nothing could be learnt. score is the posterior
-    probability of lang_pred; equal ones go to the first name. Rows that share a doc_id
-    are predicted singly, a very long text as a whole. Other columns are ignored. An
-    empty table gives an empty result.
+    probability of lang_pred among all languages that were learnt; equal ones go to the
+    first name. Where there are more than LANGUAGES of them, each further model is a
+    pass over the texts, which carry what the models before it found. Rows that share a
+    doc_id are predicted singly, a very long text as a whole. Other columns are ignored.
+    An empty table gives an empty result.
     """
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, path))
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = [r for i in range(0, len(texts), 256) for r in held.value.predict(texts.iloc[i : i + 256].tolist())]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    found = F.pandas_udf(run, "lang_pred string, score double")(F.col("text").cast("string"))
-    return docs.select("doc_id", held_out().alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
+    models = fit(docs, path)
+    model = next(models, None)
+    found = F.lit(None).cast(FOUND)
+    state = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    before = None
+    while model is not None:
+        after = next(models, None)
+        found = _found(state, model)(*["text", *([] if before is None else [before])])
+        if after is not None:
+            state, before = stored(state.select("doc_id", "held_out", "text", found.alias("found"))), "found"
+        model = after
+    told = state.select("doc_id", "held_out", found.alias("found"))
+    return told.select("doc_id", "held_out", F.coalesce("found.lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce(F.round(1 / F.col("found.sum"), 9), F.lit(0.0)).alias("score"))
+
+
+FOUND = "struct<lang_pred: string, log: double, sum: double>"
+
+
+def _found(docs: DataFrame, model: Model) -> Callable[..., Column]:
+    """A function of text, and perhaps of what earlier models found, for the best of all languages so far."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, *before = batch if isinstance(batch, tuple) else (batch,)  # a single column comes bare
+            rows = [r for i in range(0, len(texts), 256) for r in held.value.best(texts.iloc[i : i + 256].tolist())]
+            for old in before:
+                was = [(r[0] if isinstance(r[0], str) else None, *r[1:]) for r in old.itertuples(index=False, name=None)]
+                rows = [better(a, b) for a, b in zip(was, rows, strict=True)]
+            out = pd.DataFrame(rows, columns=["lang_pred", "log", "sum"])
+            yield out.assign(lang_pred=out["lang_pred"].astype(object), sum=out["sum"].where(out["lang_pred"].notna()))
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, FOUND)

@@ -92,3 +92,19 @@ def test_nothing_to_learn(spark):
     rows = languages.predicted(spark.createDataFrame([(1, "text", None), (None, "text", "en")], schema), PATH).collect()
     assert {(r["lang_pred"], r["score"]) for r in rows} == {("und", 0.0)}
     assert languages.predicted(spark.createDataFrame([], schema), PATH).count() == 0
+
+
+def test_more_languages_than_a_model_has(spark, monkeypatch):
+    """All of 130 languages can be predicted, and models of a few languages find what one of all finds."""
+    ids = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    new = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 3 == 1]
+    word = lambda k: "".join(chr(97 + (k * 7 + j * (k % 5 + 3)) % 26) for j in range(9)) + chr(0x430 + k % 32)
+    lang = lambda k: f"l{k:03d}"
+    rows = [(i, " ".join([word(j % 130)] * 20), lang(j % 130)) for j, i in enumerate(ids)] + [(i, word(j % 130) + " " + word(j % 130), None) for j, i in enumerate(new)] + [(None, "1", None), (None, None, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pick = lambda: {(r["doc_id"], r["held_out"]): (r["lang_pred"], r["score"]) for r in languages.predicted(docs, PATH).where("doc_id is not null").collect()}
+    two = pick()
+    assert len(two) == 1200 and all(two[i, True][0] == lang(j % 130) for j, i in enumerate(new))
+    monkeypatch.setattr(languages, "LANGUAGES", 1000)
+    one = pick()
+    assert {k: v[0] for k, v in one.items()} == {k: v[0] for k, v in two.items()} and all(abs(one[k][1] - two[k][1]) <= 2e-9 for k in one)
