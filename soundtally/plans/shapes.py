@@ -49,8 +49,8 @@ def p2_map_columns(spark, d):
     rows = log(spark, d)
     names = {"P1 (A; Fast) (TH)_LAeq [dB]": "laeq", "P2 (A, Slow)_LAFmax (SR)": "lafmax", "P1_Histogram LAeq_L90": "low", "P1_Battery": "low"}
     wide = rows.withColumn("low", F.col("laeq") - 1)
-    long = wide.select("position", "ms", F.explode(F.array(*[F.struct(F.lit(n).alias("raw"), F.col(c).alias("level")) for n, c in names.items()])).alias("v")).select("position", "ms", "v.*")
-    return long.withColumn("name", readers.three_row_name(F.col("raw"))["name"]).where("name is not null").select("position", "ms", "name", "level")
+    long = wide.select("position", "ms", F.explode(F.array(*[F.struct(readers.three_row_name(F.lit(n))["name"].alias("name"), F.col(c).alias("level")) for n, c in names.items()])).alias("v")).select("position", "ms", "v.*")
+    return long.where("name is not null").select("position", "ms", "name", "level")
 
 
 @query("select event_id, round(case when event_id % 3 = 1 then laeq end, 6) as level, event_id % 3 = 1 as was_number from log", "log")
