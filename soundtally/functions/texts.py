@@ -86,3 +86,8 @@ def natural_key(label: Column) -> Column:
     """Sorts labels without case and their numbers by value: digits before the point are filled up with zeros."""
     low = F.lower(F.trim(label))
     return F.array_join(F.transform(F.regexp_extract_all(low, F.lit(r"(\d+|\D+)"), F.lit(1)), lambda t: F.when(t.rlike(r"^\d") & (F.length(t) < 20), F.lpad(t, 20, "0")).otherwise(t)), "")
+
+
+def number(text: Column) -> Column:
+    """The number in a text, or null. What begins like a date isn't one and isn't tried: a failed cast costs Spark an exception, many times a good one's time."""
+    return F.when(~text.rlike(r"^\s*\d{4}-\d\d?-\d"), text.try_cast("double"))

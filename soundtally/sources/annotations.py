@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soundtally.functions.levels import half_up3
-from soundtally.functions.texts import natural_key
+from soundtally.functions.texts import natural_key, number
 
 CSV = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False}
 # Spellings of an area's two ends in JSON.
@@ -23,7 +23,7 @@ def utc_text(ms: Column) -> Column:
 def utc_ms(text: Column) -> Column:
     """Milliseconds from a number, or from a date and time with a space or T between and perhaps a Z; null for anything else."""
     t = F.trim(text)
-    return F.coalesce(t.try_cast("double").cast("long"), F.unix_millis(F.try_to_timestamp(F.regexp_replace(t, "[zZ]$", ""))))
+    return F.coalesce(number(t).cast("long"), F.unix_millis(F.try_to_timestamp(F.regexp_replace(t, "[zZ]$", ""))))
 
 
 # Columns of an annotation file after type and id, in order; bands follow.
@@ -117,8 +117,10 @@ def area_ends(text: Column) -> Column:
     entries = F.from_json(F.when(t.startswith("["), t).otherwise(F.concat(F.lit("["), t, F.lit("]"))), "array<string>")
     field = lambda x, keys: F.coalesce(*[F.get_json_object(x, f"$.{k}") for k in keys])
     part = lambda x, i: F.get(F.split(F.trim(x), r"\s*[,;|]\s*"), F.lit(i))
-    end = lambda x, keys, i: utc_ms(F.when(x.startswith("{"), field(x, keys)).when(x.startswith("["), F.get_json_object(x, f"$[{i}]")).otherwise(part(x, i)))
-    return F.transform(entries, lambda x: F.struct(end(x, STARTS, 0).alias("a"), end(x, ENDS, 1).alias("b")))
+    end = lambda x, keys, i: F.when(x.startswith("{"), field(x, keys)).when(x.startswith("["), F.get_json_object(x, f"$[{i}]")).otherwise(part(x, i))
+    texts = F.transform(entries, lambda x: F.struct(end(x, STARTS, 0).alias("a"), end(x, ENDS, 1).alias("b")))
+    # texts first, so that no entry is parsed for each use of its ends
+    return F.transform(texts, lambda x: F.struct(utc_ms(x["a"]).alias("a"), utc_ms(x["b"]).alias("b")))
 
 
 def read_annotations(spark: SparkSession, place: str) -> DataFrame:
