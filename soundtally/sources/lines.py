@@ -83,13 +83,22 @@ def numbered(names: Column, first: int) -> Column:
     return F.transform(names, lambda x, i: F.when(before(x, i) == 0, x).otherwise(F.concat(x, F.lit("_"), (before(x, i) + (first - 1)).cast("string"))))
 
 
-def cells(lines: DataFrame, heads: DataFrame, separator: str | Column, is_time: Callable[[Column], Column]) -> DataFrame:
-    """(path, line_no, ts_text, name, text) for every non-empty cell below a file's header of heads (path, names, header_no). ts_text is the line's time cells in order of name."""
-    body = with_heads(lines, heads).where((F.col("line_no") > F.col("header_no")) & (F.trim("line") != ""))
-    pairs = body.withColumn("__c", F.arrays_zip(F.col("names").alias("name"), F.transform(F.split("line", separator), lambda x: F.trim(x)).alias("text")))
-    ts = F.array_join(F.transform(F.array_sort(F.filter("__c", lambda c: is_time(c["name"]))), lambda c: c["text"]), " ")
-    rest = F.filter("__c", lambda c: ~is_time(c["name"]) & (c["text"] != ""))
-    return pairs.select("path", "line_no", ts.alias("ts_text"), F.explode(rest).alias("c")).select("path", "line_no", "ts_text", "c.name", "c.text")
+def cells(lines: DataFrame, heads: DataFrame, separator: str | Column, is_time: Callable[[Column], Column], known: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(path, line_no, ts_text, name, text) for every non-empty cell below a file's header of heads (path, names, header_no). ts_text is the line's time cells in order of name.
+
+    What depends on names alone is found once a file: which columns are times, and what
+    ``known`` makes of the others, which stands in place of the name; columns for which
+    that is null go.
+    """
+    column = lambda n, i: F.struct(i.alias("i"), n.alias("name"), F.coalesce(is_time(n), F.lit(False)).alias("time"), (known(n) if known else n).alias("known"))
+    named = F.filter(F.transform("names", column), lambda c: c["name"].isNotNull())
+    at = heads.withColumn("__n", named).withColumns({"__times": F.filter("__n", lambda c: c["time"]), "__rest": F.filter("__n", lambda c: ~c["time"] & c["known"].isNotNull())}).drop("names", "__n")
+    body = with_heads(lines, at).where((F.col("line_no") > F.col("header_no")) & (F.trim("line") != ""))
+    parts = body.withColumn("__c", F.split("line", separator))
+    text = lambda c: F.trim(F.get("__c", c["i"])).alias("text")
+    ts = F.array_join(F.transform(F.array_sort(F.transform("__times", lambda c: F.struct(c["name"].alias("name"), text(c)))), lambda c: c["text"]), " ")
+    rest = F.filter(F.transform("__rest", lambda c: F.struct(c["known"].alias("name"), text(c))), lambda c: c["text"] != "")
+    return parts.select("path", "line_no", ts.alias("ts_text"), F.explode(rest).alias("c")).select("path", "line_no", "ts_text", "c.name", "c.text")
 
 
 def metadata(lines: DataFrame, titles: list[str]) -> DataFrame:

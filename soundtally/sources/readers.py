@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from soundtally.functions.texts import date_comma_time_ms
+from soundtally.functions.texts import date_comma_time_ms, number
 from soundtally.functions.levels import band_hz, frequency_hz
 from soundtally.operators import timeline
 from soundtally.sources import names as N
@@ -37,7 +37,7 @@ def times(name: Column) -> Column:
 
 def levels(long: DataFrame, name: Column, freq_hz: Column) -> DataFrame:
     """Typed rows from stamped cells; those without a name, a time or a number go."""
-    out = long.select("path", F.unix_millis(F.try_to_timestamp("ts_text")).alias("ms"), name.alias("name"), freq_hz.cast("double").alias("freq_hz"), F.col("text").try_cast("double").alias("level"))
+    out = long.select("path", F.unix_millis(F.try_to_timestamp("ts_text")).alias("ms"), name.alias("name"), freq_hz.cast("double").alias("freq_hz"), number(F.col("text")).alias("level"))
     return out.dropna(subset=["ms", "name", "level"])
 
 
@@ -64,9 +64,8 @@ def three_row_header(lines: DataFrame) -> DataFrame:
     name = lambda i: F.array_join(F.filter(F.transform("rows", lambda r: F.trim(F.get(r, i))), lambda x: x != ""), "_")
     named = F.transform(F.sequence(F.lit(0), wide - 1), lambda i: F.coalesce(F.nullif(name(i), F.lit("")), F.concat(F.lit("Unnamed_"), i.cast("string"))))
     heads = h.withColumn("rows", rows).select("path", "header_no", T.numbered(named, 1).alias("names"))
-    long = T.cells(lines, heads, ",", times)
-    met = long.withColumn("__k", three_row_name(F.col("name")))
-    return levels(met, F.col("__k.name"), F.col("__k.freq_hz"))
+    known = lambda n: F.get(F.filter(F.array(three_row_name(n)), lambda k: k["name"].isNotNull()), F.lit(0))
+    return levels(T.cells(lines, heads, ",", times, known), F.col("name.name"), F.col("name.freq_hz"))
 
 
 def short_delimited(lines: DataFrame) -> DataFrame:
@@ -94,17 +93,16 @@ def short_delimited(lines: DataFrame) -> DataFrame:
     heads = h.select("path", "header_no", F.when(tabbed, "\t").otherwise(",").alias("sep"), canonical.alias("names"))
     standard = F.exists("names", lambda c: c.isin("LAeq", "LAFmax", "LAF10", "LAF90"))
     heads = heads.withColumn("names", F.when(standard, F.transform("names", lambda c: F.when(c.isin("Datetime", "LAeq", "LAFmax", "LAF10", "LAF90"), c).otherwise(""))).otherwise(F.col("names")))
-    long = T.cells(lines, heads, F.col("sep"), lambda n: n == "Datetime")
-    return levels(long, F.nullif(F.col("name"), F.lit("")), F.lit(None))
+    long = T.cells(lines, heads, F.col("sep"), lambda n: n == "Datetime", lambda n: F.when(n != "", n))
+    return levels(long, F.col("name"), F.lit(None))
 
 
 def plain_header(lines: DataFrame) -> DataFrame:
     """Comma-separated files with one header row that has 'start time' and 'laeq'."""
     h = T.found(lines, 50, lambda x: F.lower(x).contains("start time") & F.lower(x).contains("laeq"))
     heads = h.select("path", "header_no", T.numbered(F.transform(F.split("header", ","), lambda x: F.trim(x)), 1).alias("names"))
-    low = F.lower("name")
-    name = F.when(low == "laeq", "LAeq").when(low == "la10", "LAF10").when(low == "la90", "LAF90").when(low == "lafmax", "LAFmax")
-    return levels(T.cells(lines, heads, ",", times), name, F.lit(None))
+    name = lambda n: F.when(F.lower(n) == "laeq", "LAeq").when(F.lower(n) == "la10", "LAF10").when(F.lower(n) == "la90", "LAF90").when(F.lower(n) == "lafmax", "LAFmax")
+    return levels(T.cells(lines, heads, ",", times, name), F.col("name"), F.lit(None))
 
 
 def clean(name: Column) -> Column:
@@ -116,7 +114,7 @@ def sectioned_broadband(lines: DataFrame, title: str = "Broadband LOG Results")
     body = T.sections(lines).where(F.col("section").startswith(title) & ~F.trim("line").startswith("["))
     h = T.found(body, 20, lambda x: x.rlike(BROADBAND))
     heads = h.select("path", "header_no", T.numbered(F.transform(F.split("header", "\t"), clean), 2).alias("names"))
-    return levels(T.cells(body, heads, "\t", times), F.when(F.col("name").rlike(r"^L\w+$"), F.col("name")), F.lit(None))
+    return levels(T.cells(body, heads, "\t", times, lambda n: F.when(n.rlike(r"^L\w+$"), n)), F.col("name"), F.lit(None))
 
 
 def sectioned_bands(lines: DataFrame, title: str = "RTA LOG Results") -> DataFrame:
@@ -148,7 +146,7 @@ def generic(lines: DataFrame) -> DataFrame:
     heads = h.select("path", "header_no", "sep", F.transform(F.split(F.col("header"), F.col("sep")), lambda x: F.trim(x)).alias("names"))
     long = T.cells(lines, heads, F.col("sep"), lambda n: F.lit(False))
     low = F.lower("name")
-    stats = long.groupBy("path", "name").agg(F.count(F.lit(1)).alias("n"), F.count(F.col("text").try_cast("double")).alias("numbers"), F.count(F.try_to_timestamp("text")).alias("times"))
+    stats = long.groupBy("path", "name").agg(F.count(F.lit(1)).alias("n"), F.count(number(F.col("text"))).alias("numbers"), F.count(F.try_to_timestamp("text")).alias("times"))
     named = F.array_position(F.array(*map(F.lit, TIME_NAMES)), low)
     rank = F.when(named > 0, named).when(low.isin("date", "time", "start date", "start time"), 10).when(low.rlike("datetime|timestamp"), 20).when(low.rlike("^time | time$"), 21).when((F.col("numbers") == 0) & (F.col("times") >= 0.8 * F.col("n")), 30)
     ranks = stats.withColumn("rank", rank).where("rank is not null")

@@ -3,7 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from soundtally.functions import texts
 from soundtally.operators import asof, regions, spectrogram, timeline
+from soundtally.plans import registry
 from soundtally.sources import annotations as A
 from soundtally.sources import clock, lines, place, readers
 from soundtally.sources import inventory as I
@@ -180,3 +182,23 @@ def test_region_rows(spark):
     got = {r["id"]: r for r in A.region_rows(areas, offsets).collect()}
     assert [tuple(a) for a in got[1]["areas"]] == [(10, 20), (50, 60)] and [tuple(a) for a in got[1]["sourceAreas"]] == [(0, 10), (40, 50)]
     assert (got[1]["start"], got[1]["end"], got[2]["chartOffsetMs"], got[2]["note"]) == (10, 60, 0, "")
+
+
+def test_names_are_read_once_a_file(spark):
+    """No pattern for names of columns runs over cells."""
+    t = text(spark, a="x\nBuffer,P1 (A) (TH),1/3 Oct,\n,LAeq,LZeq,\nDate & time,,31.5 Hz,\n2024-01-01 00:00:00,50,40,7")
+    long = readers.three_row_header(t)
+    assert sorted((r["name"], r["freq_hz"], r["level"]) for r in long.collect()) == [("LAeq", None, 50.0), ("LZeq", 31.5, 40.0)]
+    assert "Oct" not in long._jdf.queryExecution().optimizedPlan().toString()
+    p2 = registry.queries()["p2_map_columns"](spark, "/root/testdata/sf0.001")
+    assert "regexp" not in p2._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_ends_of_areas_are_parsed_once(spark):
+    forms = ['[{"start":"2024-01-01 00:00:01","endUtc":"2024-01-01T00:00:02Z"},["1000","2000.5"],"5 | 6",{"startUtc":null,"start":7,"end":"x"}]', '{"start_utc":"1e3","end_utc":" 2024-1-1 00:00:00 "}', "[{bad", None]
+    df = spark.createDataFrame([(x,) for x in forms], "x string").select(A.area_ends(F.col("x")).alias("a"))
+    got = [None if r["a"] is None else [tuple(x) for x in r["a"]] for r in df.collect()]
+    assert got[0] == [(1_704_067_201_000, 1_704_067_202_000), (1000, 2000), (5, 6), (7, None)] and got[1] == [(1000, 1_704_067_200_000)] and not got[2] and got[3] is None
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 8
+    numbers = spark.createDataFrame([(x,) for x in ("1", " -2.5 ", "1e3", "2024-01-01", "2024", "NaN", "x", "", None)], "x string").select(texts.number(F.col("x")).alias("n"), F.col("x").try_cast("double").alias("m")).collect()
+    assert [str(r["n"]) for r in numbers] == [str(r["m"]) for r in numbers]
